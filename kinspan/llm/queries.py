@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import drop_repeats
+
+    out = drop_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -31,12 +39,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_packing": op3_packing,
     "op7_warc": op7_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ), runs AS (
+            SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS run
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+        ), least_doc AS (
+            SELECT run, min(doc_id) AS least_id FROM runs GROUP BY run
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM runs JOIN least_doc USING (run) WHERE least_id < doc_id
+        ), cut AS (
+            SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, ws, coalesce(len(gone), 0) AS n_removed,
+                   CASE WHEN gone IS NULL THEN ws
+                        ELSE [x.w FOR x IN [{'w': ws[j], 'j': j} FOR j IN range(1, len(ws) + 1)] IF NOT list_contains(gone, x.j)] END AS k
+            FROM w LEFT JOIN cut USING (doc_id)
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+               sha256(array_to_string(k, ' ')) AS kept_sha256
+        FROM kept
+    """,
     "op7_warc": """
         WITH p AS (
             SELECT page_id, url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
