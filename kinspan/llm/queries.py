@@ -25,6 +25,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out, score_quality
+
+    labels = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_quality(docs, labels, usable=~held_out())
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "attention")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .archives import archive_pages
 
@@ -52,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_packing": op3_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
     "op10_quality_rules": op10_quality_rules,
