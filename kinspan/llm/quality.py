@@ -228,7 +228,7 @@ def score_quality(
             yield pa.RecordBatch.from_arrays([part.column(0), *made_], ["row", *made])
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    result = T.StructType([rows.schema["row"]]).add("score", "double").add("predicted", "int").add("attention", "double")
+    result = T.StructType([rows.schema["row"]]).add("score", "double").add("predicted", "integer").add("attention", "double")
     out = rows.mapInArrow(score, result)
     return out.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in made), *made)
 
