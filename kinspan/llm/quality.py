@@ -121,7 +121,7 @@ def forward(net: dict[str, np.ndarray], x: np.ndarray, bag: np.ndarray, n: int)
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "p": _sigmoid(z @ net["c"] + net["c0"])}
 
 
-def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, *, width: int = 24, gate: int = 12, rounds: int = 200, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Network:
+def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, *, width: int = 24, gate: int = 12, rounds: int = 300, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Network:
     """Gated attention by Adam on all bags at once; the same rows give the same network."""
     shift, scale = x.mean(0), x.std(0) + 1e-6
     x = np.clip((x - shift) / scale, -8, 8)
