@@ -25,6 +25,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import held_out, score_quality
 
@@ -61,6 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_packing": op3_packing,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
@@ -90,6 +97,33 @@ ORACLE: dict[str, str] = {
                sha256(array_to_string(k, ' ')) AS kept_sha256
         FROM kept
     """,
+    "op5_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS sh
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), pairs AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+            FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+        ), edges AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach AS (
+            SELECT doc_id, doc_id AS r FROM documents
+            UNION
+            SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.r
+        )
+        SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, c.component_id = w.doc_id AS kept
+        FROM w LEFT JOIN n USING (doc_id)
+        JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+    """,
     "op7_warc": """
         WITH p AS (
             SELECT page_id, url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
