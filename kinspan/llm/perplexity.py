@@ -99,7 +99,7 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """``lang, gram, c``: tasks count within slices of text, Spark adds up."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 1 << 20):
             key, doc = grams(chunk_of(part.column(1)))
             named = part.column(0).dictionary_encode()
             group, gram, c = counted(key, named.indices.to_numpy()[doc])
@@ -115,16 +115,23 @@ def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
+def kneser_ney(counts: DataFrame, folder: str) -> DataFrame:
     """``lang, gram, logp`` of the modified Kneser-Ney estimate for every counted gram.
 
     Below the highest order the count of a gram is the number of distinct bytes before it;
     the three discounts of each order and language come of its counts of counts, and are
-    held to [0, k] where those are too few; the lowest order falls back on 1/256.
+    held to [0, k] where those are too few; the lowest order falls back on 1/256.  Each order's
+    counts and estimates are written below ``folder``, so that no plan holds more than one order.
     """
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     orders = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
-        orders[n] = orders[n + 1].groupBy("lang", F.expr(f"gram & {(1 << 8 * n) - 1}").alias("gram")).agg(F.count("*").alias("c"))
+        gram = F.expr(f"gram & {(1 << 8 * n) - 1}").alias("gram")
+        orders[n] = kept(orders[n + 1].groupBy("lang", gram).agg(F.count("*").alias("c")), f"counts-{n}")
     lower = None
     for n in range(1, ORDER + 1):
         own = orders[n]
@@ -145,7 +152,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             joined = joined.withColumn("tail", F.expr(f"gram & {(1 << 8 * (n - 1)) - 1}")).join(lower, ["lang", "tail"])
         taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         spread = F.col("d1") * F.col("ones") + F.col("d2") * F.col("twos") + F.col("d3") * F.col("more")
-        p = joined.select("lang", "gram", ((F.greatest(F.col("c") - taken, F.lit(0.0)) + spread * F.col("below")) / F.col("total")).alias("p"))
+        p = (F.greatest(F.col("c") - taken, F.lit(0.0)) + spread * F.col("below")) / F.col("total")
+        p = kept(joined.select("lang", "gram", p.alias("p")), f"estimates-{n}")
         lower = p.select("lang", F.col("gram").alias("tail"), F.col("p").alias("below"))
     return p.select("lang", "gram", F.log("p").alias("logp"))
 
@@ -170,7 +178,7 @@ def score_with_arrays(rows: DataFrame, model: DataFrame) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(arrays)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 1 << 20):
             chunk = chunk_of(part.column(2))
             base = base_counts(chunk)
             key, doc = grams(chunk)
@@ -199,7 +207,7 @@ def score_with_join(rows: DataFrame, model: DataFrame, folder: str) -> DataFrame
         from pyspark import TaskContext
 
         task, done = TaskContext.get().partitionId(), 0
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 1 << 20):
             chunk = chunk_of(part.column(2))
             base = base_counts(chunk)
             key, doc = grams(chunk)
@@ -265,8 +273,7 @@ def judge(
     folder = fresh_folder(docs.sparkSession, "perplexity")
     read = docs.sparkSession.read.parquet
     count_grams(docs, lang_col, text_col).write.parquet(f"{folder}/counts")
-    kneser_ney(read(f"{folder}/counts")).write.parquet(f"{folder}/model")
-    model = read(f"{folder}/model")
+    model = kneser_ney(read(f"{folder}/counts"), folder)
     rows = _named(docs, id_col, lang_col, text_col)
     n = model.count()
     scored = score_with_arrays(rows, model) if 0 < n <= array_rows else score_with_join(rows, model, folder)
