@@ -19,6 +19,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    out = scan_licences(table(spark, sf_dir, "documents"))
+    return out.withColumn("dice", F.round("dice", 6))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -58,6 +65,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: The key of the surrogates in the registered queries; a user gives one of their own.
+DEMONSTRATION_KEY = "kinspan demonstration key"
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_entities
+
+    out = replace_entities(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+    return out.select("doc_id", "text", "n_entities")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .perplexity import judge
 
@@ -66,15 +84,41 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_licence_scan": op2_licence_scan,
     "op3_packing": op3_packing,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_quality_rules": op10_quality_rules,
 }
 
+def _licence_sql() -> str:
+    from .licences import TEMPLATES
+
+    values = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in TEMPLATES.items())
+    words = "list_filter(string_split(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    grams = "list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))])"
+    return f"""
+        WITH t AS (
+            SELECT licence, {grams} AS own FROM (SELECT licence, {words.format("body")} AS ws FROM (VALUES {values}) v(licence, body))
+        ), b AS (
+            SELECT doc_id, 0 AS block, text AS body FROM documents WHERE contains(text, chr(10))
+            UNION ALL
+            SELECT doc_id, generate_subscripts(l, 1) AS block, unnest(l) AS body
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+        ), g AS (
+            SELECT doc_id, block, {grams} AS found FROM (SELECT doc_id, block, {words.format("body")} AS ws FROM b) WHERE len(ws) > 1
+        ), d AS (
+            SELECT doc_id, block, licence, 2.0::DOUBLE * len(list_intersect(found, own)) / (len(found) + len(own)) AS dice FROM g, t
+        )
+        SELECT doc_id, CAST(block AS INTEGER) AS block, licence, round(dice, 6) AS dice FROM d WHERE dice >= 0.8
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op2_licence_scan": _licence_sql(),
     "op1_substring_dedup": r"""
         WITH w AS (
             SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
