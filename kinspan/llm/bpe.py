@@ -41,9 +41,9 @@ def unsqueeze(data: bytes) -> bytes:
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Integer arrays one after another, each in its own type, compressed."""
+    """Integer arrays one after another, each in its own type and with its bytes by significance, compressed."""
     head = np.array([x for a in arrays for x in (len(a), a.dtype.itemsize)], np.int64)
-    return squeeze(len(arrays).to_bytes(8, "little") + head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    return squeeze(len(arrays).to_bytes(8, "little") + head.tobytes() + b"".join(a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a)))
 
 
 def unpack_arrays(blob: bytes) -> list[np.ndarray]:
@@ -52,7 +52,8 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
     head = np.frombuffer(data, np.int64, 2 * n, 8)
     out, at = [], 8 + 16 * n
     for size, width in head.reshape(n, 2).tolist():
-        out.append(np.frombuffer(data, np.dtype(f"u{width}"), size, at))
+        planes = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(np.dtype(f"u{width}")).reshape(size))
         at += size * width
     return out
 
@@ -121,6 +122,14 @@ def _tools(pattern: str):
     return regex.compile(pattern)
 
 
+def numbering(sizes: np.ndarray) -> np.ndarray:
+    """The order in which words asked for bucket by bucket are numbered: the first of each bucket, the
+    second of each, and so on, so that frequent words have small numbers."""
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    rank = np.arange(len(bucket)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.lexsort((bucket, rank))
+
+
 def parcels(part: pa.RecordBatch, batch: int, buckets: int, pattern: str) -> Iterator[tuple]:
     """A slice's own parcel (bucket -1), and one for each bucket with the words asked of it."""
     find = _tools(pattern).findall
@@ -136,10 +145,12 @@ def parcels(part: pa.RecordBatch, batch: int, buckets: int, pattern: str) -> Ite
     end = np.cumsum(size)
     buf = np.frombuffer(b"".join(data), np.uint8)
     bucket = bucket_of(span_hashes(buf, end - size, end), buckets).astype(np.int64) if len(data) else np.zeros(0, np.int64)
-    order = np.argsort(bucket, kind="stable")
+    at = np.array(at, np.int64)
+    often = np.bincount(at, minlength=len(data))
+    order = np.lexsort((-often, bucket))  # as they are asked for: bucket by bucket, frequent words first
     place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))  # words are numbered as they are asked for, bucket by bucket
-    at = place[np.array(at, np.int64)] if at else np.zeros(0, np.int64)
+    place[order[numbering(np.bincount(bucket, minlength=buckets))]] = np.arange(len(order))
+    at = place[at]
     sink = pa.BufferOutputStream()
     ids = pa.RecordBatch.from_arrays([part.column(0)], ["id"])
     with pa.ipc.new_stream(sink, ids.schema) as stream:
@@ -188,7 +199,7 @@ def assemble(own: pa.Table, replies: pa.Table, tokens: list[bytes]) -> pa.Table:
     size = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else empty
     flat = np.concatenate([p[1] for p in parts]).astype(np.int32) if parts else empty.astype(np.int32)
     begin = np.cumsum(size) - size
-    at = at.astype(np.int64)
+    at = numbering(np.array([len(p[0]) for p in parts], np.int64))[at.astype(np.int64)] if parts else empty
     n = size[at]
     done = np.cumsum(n)
     out = flat[np.repeat(begin[at] - (done - n), n) + np.arange(int(n.sum()))]
