@@ -32,6 +32,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketches import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near import near_duplicates
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_licence_scan": op2_licence_scan,
     "op3_packing": op3_packing,
+    "op4_fingerprints": op4_fingerprints,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
