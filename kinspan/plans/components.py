@@ -11,34 +11,35 @@ from .shared import cut
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of ``links``; component is the smallest node reachable.
 
-    Each round points every node at the smallest label among its neighbours and
-    itself, then at that label's own label, so that the number of rounds follows the
-    logarithm of the longest chain in practice.  Labels are checkpointed every round
-    in the shared folder; only a count of changes reaches the driver.
+    Each round hangs every node under its smallest neighbour, where that is smaller, follows these
+    trees to their roots by pointer doubling, and replaces the links by those between different
+    roots, so that links shrink from round to round.  Tables are checkpointed in the shared folder;
+    only whether anything is left reaches the driver.
     """
-    both = cut(
-        links.select(F.col(a).alias("node"), F.col(b).alias("peer"))
-        .unionByName(links.select(F.col(b).alias("node"), F.col(a).alias("peer")))
-        .where("node IS NOT NULL AND peer IS NOT NULL AND node <> peer")
-        .distinct()
-    )
-    labels = cut(both.groupBy("node").agg(F.least(F.min("peer"), F.col("node")).alias("component")))
+    low, high = F.least(a, b).alias("low"), F.greatest(a, b).alias("high")
+    edges = cut(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(low, high).distinct())
+    labels = None
+    while labels is None or edges.limit(1).count():
+        # the smaller end of a link is a node as well, though it may hang under none
+        hung = edges.select(F.col("high").alias("node"), F.col("low").alias("parent"))
+        hung = hung.unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("parent")))
+        found = _roots(cut(hung.groupBy("node").agg(F.min("parent").alias("parent"))))
+        if labels is None:
+            labels = found.withColumnRenamed("root", "component")
+        else:
+            named = found.withColumnRenamed("node", "component")
+            labels = cut(labels.join(named, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        ends = edges.join(found.select(F.col("node").alias("low"), F.col("root").alias("x")), "low")
+        ends = ends.join(found.select(F.col("node").alias("high"), F.col("root").alias("y")), "high")
+        edges = cut(ends.where("x <> y").select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).distinct())
+    return labels
+
+
+def _roots(now: DataFrame) -> DataFrame:
+    """``node, root`` of the forest ``node, parent``, in which a root is its own parent."""
     while True:
-        seen = labels.select(F.col("node").alias("peer"), F.col("component").alias("of_peer"))
-        best = both.join(seen, "peer").groupBy("node").agg(F.min("of_peer").alias("near"))
-        # the nodes that were a component's name are told of the better name as well
-        told = labels.join(best, "node").select(
-            "node", F.col("component").alias("old"), F.least("component", "near").alias("new")
-        )
-        hook = told.groupBy(F.col("old").alias("node")).agg(F.min("new").alias("hooked"))
-        step = cut(
-            told.join(hook, "node", "left").select("node", "old", F.least("new", "hooked").alias("component"))
-        )
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        jumped = cut(
-            step.join(up, "component", "left").select("node", "old", F.least("component", "above").alias("component"))
-        )
-        moved = jumped.where("component <> old").limit(1).count()
-        labels = jumped.select("node", "component")
-        if not moved:
-            return labels
+        up = now.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        step = cut(now.join(up, "parent").select("node", "parent", "above"))
+        now = step.select("node", F.col("above").alias("parent"))
+        if not step.where("above <> parent").limit(1).count():
+            return now.withColumnRenamed("parent", "root")
