@@ -72,11 +72,18 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(flat, " "), lambda w: w != "")
 
 
-def bigrams_of(words: Column) -> Column:
-    """Hashes of the distinct pairs of neighbouring words."""
-    n = F.size(words)
-    pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(words[i], words[i + 1]))
-    return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<bigint>"))
+def bigrams_of(text: Column) -> Column:
+    """Hashes of the distinct pairs of neighbouring words.
+
+    The words are the only element of an array, so that they are split once however often they are used.
+    """
+
+    def pairs(w: Column) -> Column:
+        n = F.size(w)
+        hashed = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(w[i], w[i + 1]))
+        return F.when(n >= 2, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.coalesce(F.element_at(F.transform(F.array(words_of(text)), pairs), 1), F.array().cast("array<bigint>"))
 
 
 def scan_licences(
@@ -95,7 +102,7 @@ def scan_licences(
     """
     spark = docs.sparkSession
     table = spark.createDataFrame(list((TEMPLATES if templates is None else templates).items()), "licence string, body string")
-    table = table.select("licence", bigrams_of(words_of(F.col("body"))).alias("own")).where(F.size("own") > 0)
+    table = table.select("licence", bigrams_of(F.col("body")).alias("own"))
     share = least / (2 - least)
     table = table.withColumn("n", F.size("own")).withColumn("low", F.col("n") * share).withColumn("high", F.col("n") / share)
     lines = F.split(F.col(text_col), "\n", -1)
@@ -104,11 +111,10 @@ def scan_licences(
         docs.where(F.col(text_col).isNotNull())
         .select(F.col(id_col), F.posexplode(blocks).alias("block", "body"))
         .where(F.col("body").isNotNull())
-        .select(id_col, "block", words_of(F.col("body")).alias("words"))
-        .where(F.size("words") > 1)
-        .select(id_col, "block", bigrams_of(F.col("words")).alias("found"))
+        .select(id_col, "block", bigrams_of(F.col("body")).alias("found"))
         .withColumn("m", F.size("found"))
     )
-    both = found.join(F.broadcast(table), (F.col("m") >= F.col("low") - 1e-9) & (F.col("m") <= F.col("high") + 1e-9))
-    dice = 2.0 * F.size(F.array_intersect("found", "own")) / (F.col("m") + F.col("n"))
-    return both.select(id_col, "block", "licence", dice.alias("dice")).where(F.col("dice") >= least)
+    # sizes are compared first, the bigrams only of what fits
+    dice = 2.0 * F.size(F.array_intersect("found", "own")) / F.nullif(F.col("m") + F.col("n"), F.lit(0))
+    fits = (F.col("m") >= F.col("low") - 1e-9) & (F.col("m") <= F.col("high") + 1e-9)
+    return found.join(F.broadcast(table), fits & (F.col("n") > 0) & (dice >= least)).select(id_col, "block", "licence", dice.alias("dice"))
