@@ -1,0 +1,290 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kinspan.llm import archives, bpe, packing, perplexity, pii, quality, sketches
+from kinspan.llm.licences import TEMPLATES, scan_licences
+from .conftest import rows_of, sha
+
+
+def prose(rng, n):
+    return " ".join(rng.choice("the of and rain river stone light over under moves slowly again".split()) for _ in range(n))
+
+
+# ---- licences
+
+
+def test_licences(spark):
+    texts = ["nothing of the kind", "Released under the MIT license!\nmore", "word", "", None, TEMPLATES["MIT"].upper(), "Released under the MIT License.", "Released under the MIT License."]
+    got = {(r["doc_id"], r["block"], r["licence"]): r["dice"] for r in scan_licences(rows_of(spark, texts)).collect()}
+    assert got == {(1, 0, "MIT-notice"): 8 / 9, (1, 1, "MIT-notice"): 1.0, (5, 1, "MIT"): 1.0, (6, 1, "MIT-notice"): 1.0, (7, 1, "MIT-notice"): 1.0}
+    near = scan_licences(rows_of(spark, ["Released under the new MIT License."]), {"m": "Released under the MIT License."}, least=0.5).first()
+    assert near["dice"] == pytest.approx(2 * 3 / 9)
+    assert scan_licences(rows_of(spark, [])).count() == 0
+
+
+# ---- packing
+
+
+def least_padding(lengths, buckets):
+    values = sorted(set(lengths))
+    best = math.inf
+
+    def go(at, left, cost):
+        nonlocal best
+        if at == len(values):
+            best = min(best, cost)
+        elif left:
+            for end in range(at, len(values)):
+                go(end + 1, left - 1, cost + sum(values[end] - x for x in lengths if values[at] <= x <= values[end]))
+
+    go(0, buckets, 0)
+    return best
+
+
+def test_boundaries_are_optimal():
+    rng = random.Random(1)
+    for _ in range(60):
+        lengths = [rng.randint(0, 30) for _ in range(rng.randint(1, 9))]
+        values, counts = np.unique(lengths, return_counts=True)
+        k = rng.randint(1, 4)
+        bounds = packing.optimal_boundaries(values, counts, values * counts, k)
+        assert len(bounds) <= k and bounds == sorted(bounds)
+        assert sum(min(b for b in bounds if b >= x) - x for x in lengths) == least_padding(lengths, k)
+
+
+def test_batches(spark):
+    rng = random.Random(2)
+    texts = [prose(rng, rng.choice([0, 3, 40, 41, 700, 3000])) for _ in range(300)] + [None, "", "same text", "same text"]
+    df = rows_of(spark, texts).withColumn("bucket", F.lit("clash")).withColumn("id", F.lit(None).cast("int"))
+    rows = packing.pack(df, budget=1000, buckets=3, group_rows=50).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    batches = defaultdict(list)
+    for r in rows:
+        assert r["n_tokens"] == len((texts[r["doc_id"]] or "").split()) and r["padding"] == r["boundary"] - r["n_tokens"] >= 0
+        batches[r["batch_id"]].append(r)
+    for members in batches.values():
+        assert len({r["bucket"] for r in members}) == 1
+        assert sorted(r["slot"] for r in members) == list(range(len(members)))
+        assert len(members) == 1 or len(members) * members[0]["boundary"] <= 1000
+    assert packing.pack(rows_of(spark, [])).count() == 0
+
+
+# ---- fingerprints
+
+
+def test_fingerprints(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(prose(rng, rng.randint(1, 60)) + "." for _ in range(rng.randint(0, 12))) for _ in range(50)]
+    texts += [None, "", "é中\n🙂" * 40, texts[0], "\n".join(f"line {i}" for i in range(900))]
+    piece = re.compile(r"[^\n]{1,100}[^.!?\n]*[.!?]*")
+    sets = lambda t: set(piece.findall(t))
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    df = rows_of(spark, texts).withColumn("row", F.lit("clash")).withColumn("near_next", F.lit(1))
+    got = {r["doc_id"]: r for r in sketches.fingerprints(df, bucket_bytes=4000).collect()}
+    assert len(got) == len(texts)
+    plain = [t or "" for t in texts]
+    for i, t in enumerate(plain):
+        after = plain[i - 1]  # the next by descending id; after 0 comes the last
+        third = len(t) // 3
+        edited = t[: len(t) - third] + after[:third]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), sha(edited))
+        assert r["near_edited"] == pytest.approx(jaccard(sets(t), sets(edited)))
+        assert r["near_next"] == pytest.approx(jaccard(sets(t), sets(after)))
+    assert got[0]["fingerprint"] == got[len(texts) - 2]["fingerprint"] != got[1]["fingerprint"]
+    odd = spark.createDataFrame([(None, "a b"), (5, "c d"), (5, "c d"), (2, None)], "doc_id long, text string")
+    assert sketches.fingerprints(odd).count() == 4
+    assert sketches.fingerprints(rows_of(spark, [])).count() == 0
+
+
+# ---- quality classifier
+
+
+def test_held_out_accuracy(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        good = rng.random() < 0.6
+        text = prose(rng, rng.randint(30, 300))
+        if not good:  # half of a bad text is bad
+            text += "\n" + " ".join(w.upper() + "!!" for w in prose(rng, 150).split())
+        rows.append((i, text))
+        labels.append((i, int(good), 0))
+    rows += [(1000, None), (1001, ""), (1001, ""), (1002, "x" * 300_000), (None, "text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("row", F.lit(0))
+    known = spark.createDataFrame(labels + [(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality.score_quality(docs, known, usable=~quality.held_out())
+    assert out.columns == ["doc_id", "text", "row", "score", "predicted", "attention"]
+    got = out.join(known.distinct(), "doc_id").where(quality.held_out()).toPandas()
+    assert len(got) > 80 and (got.predicted == got.quality).mean() > 0.95
+    assert out.where("score < 0 OR score > 1 OR score IS NULL").count() == 0 and out.count() == len(rows)
+    none = quality.score_quality(docs, known.where("false"), usable=F.lit(True))
+    assert {r["score"] for r in none.select("score").distinct().collect()} == {0.5}
+    assert quality.score_quality(docs.where("false"), known, usable=F.lit(True)).count() == 0
+
+
+# ---- archives
+
+
+def test_archives(spark):
+    long = "<p>" + "né " * 400
+    pages = [(1, "http://a/b c", long), (7, "http://a/é", long), (3, None, long), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (8, "u", ""), (9, "u", "x\r\n\r\nWARC/1.1\r\ny" * 90)]
+    pages += [(10, "u", "z" * 2000), (10, "u", "z" * 2000), (None, "u", "n" * 1500), (None, "v", "m")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).withColumn("payload", F.lit(1))
+    rows = archives.archive_pages(df).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["page_id"]].append(r)
+    for key, _, html in pages:
+        body = (html or "").encode()
+        assert any((r["payload_bytes"], r["payload_digest"]) == (len(body), hashlib.sha1(body).hexdigest()) for r in by[key])
+    kinds = {k: sorted((r["record_type"], r["refers_to"]) for r in v) for k, v in by.items() if k is not None}
+    assert kinds[7] == [("response", None)] and kinds[1] == kinds[3] == [("revisit", 7)]
+    assert kinds[4] == kinds[5] == kinds[6] == kinds[9] == [("response", None)]
+    assert sorted(kinds[10], key=str) == [("response", None), ("revisit", 10)]
+    assert len(by[None]) == 2 and by[7][0]["warc_date"] == "2024-01-02T03:04:05Z"
+    assert archives.archive_pages(df.where("false")).count() == 0
+
+
+def test_arc_versions():
+    for version, rest in (("1", ""), ("2", " 200 - - 0 n.arc")):
+        block = f"{version} 0 x\n{archives.ARC_FIELDS[version]}\n"
+        data = f"filedesc://n.arc 0.0.0.0 2020 text/plain{rest} {len(block)}\n{block}\nhttp://a 1.2.3.4 20200102030405 text/html{rest} 5\nhello\n".encode()
+        (record,) = archives.arc_records(data)
+        assert (record["URL"], bytes(record["content"]), archives.warc_date(record["Archive-date"])) == ("http://a", b"hello", "2020-01-02T03:04:05Z")
+        with pytest.raises(ValueError):
+            list(archives.arc_records(data[:-4]))
+    with pytest.raises(ValueError):
+        list(archives.arc_records(b"no archive\n"))
+
+
+# ---- byte pairs
+
+
+def test_bpe_agrees_with_tiktoken(spark):
+    import public_tokenizers as public
+    import tiktoken
+
+    ranks = bpe.read_ranks(public.path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    letters = " \t\n\r\x0b\x1c\x85\xa0 'stredmlv09²éßЖ中🙂́.,!<|endoftext|>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "a" * 3000, " " * 200, "same", "same"]
+    df = rows_of(spark, texts).repartition(3).withColumn("ids", F.lit("clash"))
+    for sizes in ({}, {"slice_bytes": 500, "bucket_bytes": 2000}):
+        got = bpe.encode(df, ranks, public.PATTERN, **sizes)
+        for r in got.collect():
+            text = texts[r["doc_id"]] or ""
+            assert r["ids"] == plain.encode_ordinary(text) and r["n_tokens"] == len(r["ids"]) and bytes(r["decoded"]) == text.encode()
+    back = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(got, ranks).collect()}
+    assert back[0] == texts[0].encode()
+    assert bpe.encode(rows_of(spark, []), ranks, public.PATTERN).count() == 0
+
+
+# ---- personal data
+
+
+def test_surrogates(spark):
+    texts = [
+        "mail ann.lee@corp.example.com or ANN.LEE@corp.example.com now", "call +1 (743) 555-3824, again (743) 555-3824.", "ip 152.143.123.131 card 4785380592391139",
+        'token = "24be64439e3e49cf46b2d7c90f1234567890abcd" end', "Mrs. Mary Stone met Mr. John Stone; Frau Müller", "version 1.2.3 of 2020, page 12", "", None,
+        "ip 152.143.123.131 card 4785380592391139", "Госпожа Иванова", "DE44 5001 0517 5407 3249 31 and 078-05-1120",
+    ]
+    df = rows_of(spark, texts + [texts[2]]).withColumn("n_entities", F.lit("clash")).withColumn("digest", F.lit(1))
+    out = pii.replace_entities(df, "key")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "digest", "n_entities"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    new = {i: r["text"] for i, r in got.items()}
+    assert len(got) == len(texts) + 1
+    assert new[5] == texts[5] and new[6] == "" and new[7] is None and got[5]["n_entities"] == 0
+    assert new[2] == new[8] == new[11]
+    a, b = re.findall(r"\S+@\S+", new[0])
+    assert a.lower() == b.lower() and "corp" not in new[0].lower()
+    full, short = re.fullmatch(r"call (\+1 \(\d{3}\) 555-\d{4}), again (\(\d{3}\) 555-\d{4})\.", new[1]).groups()
+    assert full.endswith(short) and "743" not in full
+    ip, card = re.fullmatch(r"ip ([\d.]+) card (\d{16})", new[2]).groups()
+    digits = [int(x) for x in card[::-1]]
+    assert ip != "152.143.123.131" and (sum(digits[::2]) + sum(sum(divmod(2 * x, 10)) for x in digits[1::2])) % 10 == 0 and card[0] == "4"
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" end', new[3]) and "24be64439e" not in new[3]
+    mrs, mr, frau = re.fullmatch(r"Mrs. (\w+) \w+ met Mr. (\w+) \w+; Frau (\w+)", new[4]).groups()
+    assert mrs in pii.GIVEN["f-latin"] and mr in pii.GIVEN["m-latin"] and frau != "Müller"
+    assert re.fullmatch(r"Госпожа [А-Яа-яё]+", new[9]) and new[9] != texts[9]
+    assert re.fullmatch(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d and 9\d\d-\d\d-\d{4}", new[10]) and "5001" not in new[10]
+    assert pii.replace_entities(rows_of(spark, []), "key").count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    names = [f"{a}{b}{c}" for a in "Bcdfg"[:1] for b in "aeiou" for c in "bcdfglmnprst"]
+    rows = spark.createDataFrame([("name-f-latin", n.lower()) for n in names] + [("ip", f"10.0.0.{i}") for i in range(200)], "kind string, value string")
+    made = pii.distinct_surrogates(rows, "k").collect()
+    assert len({(r["kind"], r["made"]) for r in made}) == len(made) == len(names) + 200
+    assert not {r["made"] for r in made} & {r["value"] for r in made}
+
+
+# ---- quality rules
+
+
+def brute_model(texts):
+    """Modified Kneser-Ney over five-byte grams of one language."""
+    raw = Counter()
+    streams = []
+    for t in texts:
+        words = (t or "").encode().split()
+        s = b"    " + b" ".join(words) + b" " if words else b"    "
+        grams = [s[i : i + 5] for i in range(len(s) - 4)]
+        streams.append(grams)
+        raw.update(grams)
+    counts = {5: raw}
+    for n in (4, 3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    p = {0: {b"": 1 / 256}}
+    for n in range(1, 6):
+        c = counts[n]
+        of = Counter(c.values())
+        n1, n2, n3, n4 = (of[i] for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else None
+        d = {}
+        for k, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1):
+            d[k] = min(max(k - (k + 1) * y * b / a if y is not None and a else k / 2, 0), k)
+        ctx = defaultdict(Counter)
+        for g, x in c.items():
+            ctx[g[:-1]][g] = x
+        p[n] = {}
+        for group in ctx.values():
+            total = sum(group.values())
+            spread = sum(d[min(x, 3)] for x in group.values())
+            for g, x in group.items():
+                p[n][g] = (max(x - d[min(x, 3)], 0) + spread * p[n - 1][g[1:]]) / total
+    return [math.exp(-sum(math.log(p[5][g]) for g in s) / len(s)) if s else None for s in streams]
+
+
+def test_perplexity_agrees_with_brute_force(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randint(0, 120)) for _ in range(40)] + ["$$ ## the of", None, "", "a\na\n b\na\n\n\n", "é中 é中 é中 é中", "same", "same"]
+    df = rows_of(spark, texts).withColumn("kept", F.lit("clash"))
+    want = brute_model(texts)
+    for limit in (10**6, 0):
+        rows = {r["doc_id"]: r for r in perplexity.judge(df, array_rows=limit).collect()}
+        assert len(rows) == len(texts)
+        for i, t in enumerate(texts):
+            t = t or ""
+            w = re.findall(r"[^\x20\x09-\x0D]+", t)
+            times = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+            again = {j + k for j in range(len(w) - 2) if times[tuple(w[j : j + 3])] > 1 for k in range(3)}
+            lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+            r = rows[i]
+            base = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again))
+            assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == base
+            assert r["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w))
+            assert (r["perplexity"] is None) == (want[i] is None) and (want[i] is None or r["perplexity"] == pytest.approx(want[i]))
+            assert r["kept"] == (not r["base_failed"] and r["lower"] <= r["perplexity"] * (1 + 1e-12) and r["perplexity"] <= r["upper"] * (1 + 1e-12))
+    languages = df.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.lit("en")))
+    assert perplexity.judge(languages).where("lang = ''").count() == len(texts) // 2
+    assert perplexity.judge(rows_of(spark, [])).count() == 0
