@@ -37,8 +37,10 @@ PATTERNS = {
         r"\p{Lu}\p{Ll}{1,30}(?:[ \-]\p{Lu}\p{Ll}{1,30}){0,2}"
     ),
 }
-#: A text without any of these characters or words has no mention.
-HINT = r"[@0-9]|\b(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Господин|Госпожа)\b|token|secret|passw|api_?key|access_key"
+#: A text without a digit, an at sign or one of these has no mention.
+HINTS = (
+    "@ Mr Ms Miss Sir Madam Herr Frau Monsieur Mme Señor Sr. Sra Господин Госпожа token secret passw apikey api_key access_key"
+).split()
 FEMALE = r"\b(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|Sra|Госпожа)\.?\s$"
 #: Given names by gender and script, and syllables of family names by script.
 GIVEN = {
@@ -197,7 +199,8 @@ def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")
     )
-    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    hinted = reduce(lambda x, hint: x | F.contains("text", F.lit(hint)), [*HINTS, "Sr "], F.col("text").rlike("[0-9]"))
+    hinted = F.coalesce(hinted, F.lit(False))
     mentions = F.when(hinted, F.regexp_extract_all("text", F.lit(WHOLE), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("mentions", mentions)
     some = rows.where(F.size("mentions") > 0).withColumn("digest", F.sha2("text", 256))
