@@ -249,12 +249,12 @@ def drop_repeats(
     block = window // 2
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     batches, buckets = max(1, math.ceil(total / batch_bytes)), max(1, math.ceil(total / bucket_bytes))
-    row = T.StructType(docs.schema.fields)
+    rest = [c for c in docs.columns if c != text_col]  # the text itself travels once
     dealt = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(batches)).alias("batch"),
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).alias("text"),
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"),
     )
     by_batch = dealt.groupBy("batch")
     answered = by_batch.applyInArrow(lambda t: anchors(t, block, buckets), LETTER).groupBy("bucket").applyInArrow(shared_anchors, LETTER)
@@ -264,7 +264,7 @@ def drop_repeats(
     later = near.groupBy("bucket").applyInArrow(later_windows, LETTER)
     result = T.StructType(
         [
-            T.StructField("row", row),
+            dealt.schema["row"],
             T.StructField("kept", T.StringType()),
             T.StructField("n_words", T.LongType()),
             T.StructField("n_removed", T.LongType()),
