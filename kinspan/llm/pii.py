@@ -56,6 +56,10 @@ SYLLABLES = {
 WHOLE = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+#: After so many rounds a type's surrogates are taken to be used up.
+ATTEMPTS = 60
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
@@ -110,8 +114,10 @@ def _pick(stream: Column, at: int, values: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.conv(F.substring(stream, at, 4), 16, 10).cast("int") % len(values) + 1)
 
 
-def _family(stream: Column, script: str, at: int) -> Column:
-    return F.initcap(F.concat(*(_pick(stream, at + 4 * i, SYLLABLES[script]) for i in range(3))))
+def _family(stream: Column, script: str, at: int, attempt: Column) -> Column:
+    """A family name of three syllables, and of one more for each further attempt up to eight."""
+    more = [F.when(attempt > i, _pick(stream, at + 12 + 4 * i, SYLLABLES[script])).otherwise(F.lit("")) for i in range(5)]
+    return F.initcap(F.concat(*(_pick(stream, at + 4 * i, SYLLABLES[script]) for i in range(3)), *more))
 
 
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
@@ -120,10 +126,11 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     byte = lambda at: F.conv(F.substring(stream, at, 4), 16, 10).cast("int")
     number = F.translate(stream, "abcdef", "234567")
     host = F.concat(*(_pick(stream, 40 + 4 * i, SYLLABLES["latin"]) for i in range(4)))
-    email = F.concat(F.lower(_pick(stream, 1, GIVEN["f-latin"] + GIVEN["m-latin"])), F.lit("."), F.lower(_family(stream, "latin", 9)),
+    email = F.concat(F.lower(_pick(stream, 1, GIVEN["f-latin"] + GIVEN["m-latin"])), F.lit("."), F.lower(_family(stream, "latin", 109, attempt)),
                      (byte(30) % 100).cast("string"), F.lit("@"), host, F.lit(".example"))
     address = F.concat_ws(".", (byte(1) % 223 + 1).cast("string"), *((byte(1 + 4 * i) % 256).cast("string") for i in (1, 2, 3)))
-    phone = F.concat(F.translate(F.substring(number, 1, 1), "01", "23"), F.substring(number, 2, 2), F.lit("555"), F.substring(number, 6, 4))
+    phone = F.concat(F.translate(F.substring(number, 1, 1), "01", "23"), F.substring(number, 2, 2),
+                     F.when(attempt < 3, F.lit("555")).otherwise(F.substring(number, 10, 3)), F.substring(number, 6, 4))
     body = F.concat(F.substring(value, 1, 1), F.substring(number, F.lit(1), F.length(value) - 2))
     doubled = F.when(luhn(F.concat(body, F.lit("0"))), F.lit("0"))
     check = reduce(lambda c, d: c.when(luhn(F.concat(body, F.lit(str(d)))), F.lit(str(d))), range(1, 10), doubled)
@@ -133,8 +140,8 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     out = out.when(kind == "card", F.concat(body, check)).when(kind == "ssn", F.concat(F.lit("9"), F.substring(number, 2, 8)))
     for name, given in GIVEN.items():
         script = name.split("-")[1]
-        full = F.concat(_pick(stream, 1, given), F.lit(" "), _family(stream, script, 9))
-        out = out.when(kind == f"name-{name}", F.when(words > 1, full).otherwise(_family(stream, script, 9)))
+        full = F.concat(_pick(stream, 1, given), F.lit(" "), _family(stream, script, 109, attempt))
+        out = out.when(kind == f"name-{name}", F.when(words > 1, full).otherwise(_family(stream, script, 109, attempt)))
     return out.otherwise(_reshaped(value, stream, F.when(kind == "iban", 2).otherwise(0)))
 
 
@@ -177,7 +184,7 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind, value, made`` with a surrogate of its own for each entity, none of them an entity's value."""
     held = entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
     real = cut(held.select("kind", F.col("value").alias("made")))
-    while True:
+    for _ in range(ATTEMPTS):
         made = cut(held.withColumn("made", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt"))))
         again = made.selectExpr("kind", "value", "made", "row_number() OVER (PARTITION BY kind, made ORDER BY attempt DESC, value) AS n")
         clash = again.where("n > 1").select("kind", "value").union(made.join(real, ["kind", "made"], "left_semi").select("kind", "value"))
@@ -185,6 +192,7 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
         if not clash.limit(1).count():
             return made.select("kind", "value", "made")
         held = made.join(clash, ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("clash", F.lit(0))).alias("attempt"))
+    raise ValueError("there are more entities of a type than surrogates of its form")
 
 
 def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
