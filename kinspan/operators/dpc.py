@@ -47,18 +47,23 @@ def nearest_higher(dense: DataFrame, sym: DataFrame, by: list[str]) -> DataFrame
     return rows.withColumn("gamma", F.col("rho") * (1 - F.col("smax")))
 
 
-def roots(parents: DataFrame, by: list[str]) -> DataFrame:
+def roots(parents: DataFrame, by: list[str], doublings: int = 3) -> DataFrame:
     """``id, root`` of a forest given by ``id, parent`` (a root is its own parent), by pointer doubling.
 
-    Each round is checkpointed in the shared folder; only whether anything moved reaches the driver.
+    A round doubles several times and is then checkpointed in the shared folder, so that trees up to
+    8 deep take one round; only whether anything moved reaches the driver.
     """
     now = cut(parents.select(*by, "id", "parent"))
     while True:
-        up = now.select(*by, F.col("id").alias("parent"), F.col("parent").alias("above"))
-        nxt = cut(now.join(up, [*by, "parent"]).select(*by, "id", "above", (F.col("above") != F.col("parent")).alias("moved")))
-        now = nxt.select(*by, "id", F.col("above").alias("parent"))
-        if not nxt.where("moved").limit(1).count():
-            return now.withColumnRenamed("parent", "root")
+        step = now
+        for _ in range(doublings):
+            up = step.select(*by, F.col("id").alias("parent"), F.col("parent").alias("above"))
+            step = step.join(up, [*by, "parent"]).select(*by, "id", F.col("above").alias("parent"))
+        up = now.select(*by, F.col("id").alias("parent"), (F.col("parent") != F.col("id")).alias("goes_on"))
+        now = cut(step.join(up, [*by, "parent"]).select(*by, "id", "parent", "goes_on"))
+        if not now.where("goes_on").limit(1).count():
+            return now.select(*by, "id", F.col("parent").alias("root"))
+        now = now.drop("goes_on")
 
 
 def top_neighbours(sym: DataFrame, by: list[str], k: int = 20) -> DataFrame:
