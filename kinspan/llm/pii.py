@@ -9,6 +9,7 @@ distinct entities stay distinct.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -64,16 +65,28 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
-def luhn(number: Column) -> Column:
-    """Whether the last of the digits is the check digit of the others."""
-    n = F.length(number)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def luhn_sum(number: Column) -> Column:
+    """The sum of the digits, every second one from the right doubled and its digits added."""
+
+    def worth(d: Column, i: Column) -> Column:
+        return F.when(i % 2 == 1, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
+
+    def total(v: Column) -> Column:
+        n = F.length(v)
+        places = F.sequence(F.lit(0), n - 1)
+        return F.aggregate(places, F.lit(0), lambda s, i: s + let(F.substring(v, n - i, F.lit(1)).cast("int"), lambda d: worth(d, i)))
 
-    def worth(i: Column) -> Column:
-        d = F.substring(number, n - i, F.lit(1)).cast("int")
-        twice = d * 2 - F.when(d > 4, 9).otherwise(0)
-        return F.when(i % 2 == 1, twice).otherwise(d)
+    return let(number, total)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + worth(i)) % 10 == 0
+
+def luhn(number: Column) -> Column:
+    """Whether the last of the digits is the check digit of the others."""
+    return luhn_sum(number) % 10 == 0
 
 
 def type_of(value: Column) -> Column:
@@ -122,48 +135,53 @@ def _family(stream: Column, script: str, at: int, attempt: Column) -> Column:
 
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The canonical surrogate of an entity."""
-    stream = _stream(key, kind, value, attempt)
+    return let(_stream(key, kind, value, attempt), lambda stream: _from_stream(stream, kind, value, attempt))
+
+
+def _from_stream(stream: Column, kind: Column, value: Column, attempt: Column) -> Column:
     byte = lambda at: F.conv(F.substring(stream, at, 4), 16, 10).cast("int")
     number = F.translate(stream, "abcdef", "234567")
     host = F.concat(*(_pick(stream, 40 + 4 * i, SYLLABLES["latin"]) for i in range(4)))
     email = F.concat(F.lower(_pick(stream, 1, GIVEN["f-latin"] + GIVEN["m-latin"])), F.lit("."), F.lower(_family(stream, "latin", 109, attempt)),
                      (byte(30) % 100).cast("string"), F.lit("@"), host, F.lit(".example"))
     address = F.concat_ws(".", (byte(1) % 223 + 1).cast("string"), *((byte(1 + 4 * i) % 256).cast("string") for i in (1, 2, 3)))
-    phone = F.concat(F.translate(F.substring(number, 1, 1), "01", "23"), F.substring(number, 2, 2),
-                     F.when(attempt < 3, F.lit("555")).otherwise(F.substring(number, 10, 3)), F.substring(number, 6, 4))
+    phone = let(number, lambda x: F.concat(
+        F.translate(F.substring(x, 1, 1), "01", "23"), F.substring(x, 2, 2),
+        F.when(attempt < 3, F.lit("555")).otherwise(F.substring(x, 10, 3)), F.substring(x, 6, 4),
+    ))
     body = F.concat(F.substring(value, 1, 1), F.substring(number, F.lit(1), F.length(value) - 2))
-    doubled = F.when(luhn(F.concat(body, F.lit("0"))), F.lit("0"))
-    check = reduce(lambda c, d: c.when(luhn(F.concat(body, F.lit(str(d)))), F.lit(str(d))), range(1, 10), doubled)
+    card = let(body, lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")))
     words = F.size(F.split(value, "[ -]"))
     out = F.when(kind == "email", email).when(kind == "ip", address)
     out = out.when(kind == "phone", F.when(F.length(value) == 10, phone).otherwise(F.substring(number, F.lit(1), F.length(value))))
-    out = out.when(kind == "card", F.concat(body, check)).when(kind == "ssn", F.concat(F.lit("9"), F.substring(number, 2, 8)))
+    out = out.when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), F.substring(number, 2, 8)))
     for name, given in GIVEN.items():
         script = name.split("-")[1]
-        full = F.concat(_pick(stream, 1, given), F.lit(" "), _family(stream, script, 109, attempt))
-        out = out.when(kind == f"name-{name}", F.when(words > 1, full).otherwise(_family(stream, script, 109, attempt)))
+        family = _family(stream, script, 109, attempt)
+        full = F.concat(_pick(stream, 1, given), F.lit(" "), family)
+        out = out.when(kind == f"name-{name}", F.when(words > 1, full).otherwise(family))
     # the prefix that tells what a secret is stays
     prefix = F.when(kind == "iban", 2).when(value.rlike("^(?:AKIA|gh[pousr]_)"), 4).when(value.startswith("sk-"), 3).otherwise(0)
-    return out.otherwise(_reshaped(value, stream, prefix))
+    return out.otherwise(let(prefix, lambda keep: _reshaped(value, stream, keep)))
 
 
 def _reshaped(value: Column, stream: Column, keep: Column) -> Column:
     """The value with every letter and digit after the first ``keep`` replaced by another of its class."""
-    hexadecimal = value.rlike("^[0-9a-f]+$")
 
-    def one(i: Column) -> Column:
+    def one(i: Column, letters: Column) -> Column:
         c = F.substring(value, i, F.lit(1))
         at = F.conv(F.substring(stream, (i * 2) % 254 + 1, F.lit(2)), 16, 10).cast("int")
-        letter = F.when(hexadecimal, F.lit(6)).otherwise(F.lit(26))
         return (
             F.when(i <= keep, c)
             .when(c.rlike("[0-9]"), (at % 10).cast("string"))
-            .when(c.rlike("[a-z]"), F.char(at % letter + 97))
+            .when(c.rlike("[a-z]"), F.char(at % letters + 97))
             .when(c.rlike("[A-Z]"), F.char(at % 26 + 65))
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+    places = F.sequence(F.lit(1), F.length(value))
+    letters = F.when(value.rlike("^[0-9a-f]+$"), F.lit(6)).otherwise(F.lit(26))
+    return let(letters, lambda n: F.array_join(F.transform(places, lambda i: one(i, n)), ""))
 
 
 def written(kind: Column, value: Column, made: Column) -> Column:
