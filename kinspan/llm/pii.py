@@ -21,20 +21,20 @@ from ..plans.shared import cut
 PATTERNS = {
     "email": r"(?<![\w.%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9\-]{1,63}){1,8}(?<![.\-])",
     "secret": (
-        r"(?<=\b(?:token|secret|password|passwd|api_key|apikey|access_key)\"?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-+/]{12,512}+={0,2}"
+        r"(?<=[\"'=:\s])(?=[\w\-+/]{12})(?<=\b(?:token|secret|password|passwd|api_key|apikey|access_key)\"?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-+/]{12,512}+={0,2}"
         r"|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
     ),
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
-    "card": r"(?<![\w.])(?:\d{13,16}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\w|\.\d)",
-    "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
+    "iban": r"(?=[A-Z]{2}\d\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
+    "card": r"(?=\d{4})(?<![\w.])(?:\d{13,16}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\w|\.\d)",
+    "ssn": r"(?=\d{3}-)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": (
         r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\w)"
         r"|(?<![\w.\-+])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
         r"|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)"
     ),
     "name": (
-        r"(?<=\b(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.?\s)"
+        r"(?=\p{Lu}\p{Ll})(?<=\s)(?<=\b(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.?\s)"
         r"\p{Lu}\p{Ll}{1,30}(?:[ \-]\p{Lu}\p{Ll}{1,30}){0,2}"
     ),
 }
@@ -54,7 +54,8 @@ SYLLABLES = {
     "latin": "ba ber da del fo gan ka lan mar nel or pa ros sen tor vin".split(),
     "cyrillic": "ба бер да дел фо ган ка лан мар нел ор па рос сен тор вин".split(),
 }
-WHOLE = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A mention begins where no letter, digit or underscore stands before, which is looked at first.
+WHOLE = "(?<![A-Za-z0-9_])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
 
 #: After so many rounds a type's surrogates are taken to be used up.
