@@ -15,33 +15,35 @@ HITS = """
            CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS t_strand
     FROM {lineitem} WHERE l_partkey <> l_suppkey
 """
-#: The characters of aligned sequences.
+#: The characters of aligned sequences: every document's whole text, in alignments of 40 columns; an alignment
+#: is a source and a stretch of the text, and a text's last stretch is filled up with gaps.
 CELLS = """
-    SELECT d.source AS dataset, d.doc_id AS header, n.col,
-           CASE WHEN (n.col < 3 OR n.col > 36) AND d.doc_id % 10 <> 0 THEN '-'
-                ELSE CASE ascii(substr(d.text, n.col + 1, 1)) % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'C'
+    SELECT p.dataset, p.header, n.col,
+           CASE WHEN n.col >= length(p.piece) THEN '-'
+                ELSE CASE ascii(substr(p.piece, n.col + 1, 1)) % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'C'
                      WHEN 2 THEN 'G' WHEN 3 THEN 'U' WHEN 4 THEN 'N' ELSE '-' END END AS ch
-    FROM {documents} d
-    CROSS JOIN (SELECT DISTINCT CAST(l_quantity AS INT) - 1 AS col FROM {lineitem} WHERE l_quantity <= 40) n
-    WHERE d.lang = 'en' AND d.n_chars >= 60 AND d.doc_id % 3 = 0
+    FROM (SELECT concat(b.source, '-', b.block) AS dataset, b.doc_id AS header, substr(b.text, b.block * 40 + 1, 40) AS piece
+          FROM (SELECT source, doc_id, text, explode(sequence(0, CAST(floor((length(text) - 1) / 40.0) AS INT))) AS block
+                FROM {documents} WHERE length(text) > 0) b) p
+    CROSS JOIN (SELECT explode(sequence(0, 39)) AS col) n
 """
 #: Reference and predicted labels of stretches of sequences.
 LABELS = """
     SELECT event_type AS ref, CAST(user_id % 7 AS VARCHAR(8)) AS pred, CAST(user_id AS BIGINT) AS seq_id, CAST(1 AS BIGINT) AS len
     FROM {events}
 """
-#: Features in one-based closed coordinates.
+#: Features in one-based closed coordinates: every line item, on the documents in turn.
 FEATURES = """
-    SELECT CAST(l_orderkey % 200 AS BIGINT) AS seq_id, CAST(1 + l_partkey % 40 AS BIGINT) AS f_start,
+    SELECT CAST(l_orderkey % (SELECT count(*) FROM {documents}) AS BIGINT) AS seq_id, CAST(1 + l_partkey % 40 AS BIGINT) AS f_start,
            1 + l_partkey % 40 + CAST(l_quantity AS BIGINT) AS f_end,
            CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand, CAST(l_suppkey % 20 AS BIGINT) AS fam_id
-    FROM {lineitem} WHERE l_linenumber = 1
+    FROM {lineitem}
 """
-#: Nucleotide sequences: the first 100 characters of English documents, spelled in an IUPAC alphabet.
+#: Nucleotide sequences: the whole texts of all documents, spelled in an IUPAC alphabet.
 SEQUENCES = """
     SELECT doc_id AS seq_id,
-           translate(lower(substr(text, 1, 100)), 'abcdefghijklmnopqrstuvwxyz .,', 'ACGTUNRYSWKMBDHVacgtunryswACG') AS sequence
-    FROM {documents} WHERE lang = 'en' AND n_chars >= 100
+           translate(lower(text), 'abcdefghijklmnopqrstuvwxyz .,', 'ACGTUNRYSWKMBDHVacgtunryswACG') AS sequence
+    FROM {documents}
 """
 TABLES = ("lineitem", "documents", "events", "orders")
 
@@ -53,5 +55,6 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def plain(sql: str) -> str:
-    """The same text over tables of those names."""
+    """The same text over tables of those names, with DuckDB's names for numbers in a row."""
+    sql = sql.replace("explode(sequence(", "unnest(generate_series(")
     return sql.format(**{t: t for t in TABLES})
