@@ -288,3 +288,16 @@ def test_perplexity_agrees_with_brute_force(spark):
     languages = df.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.lit("en")))
     assert perplexity.judge(languages).where("lang = ''").count() == len(texts) // 2
     assert perplexity.judge(rows_of(spark, [])).count() == 0
+
+
+def test_junk_that_passes_the_base_rules_is_rejected(spark):
+    rng = random.Random(9)
+    syllables = "ba ber da del fo gan ka lan mar nel or pa ros sen tor vin".split()
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(2000)]
+    clean = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(60, 400))) for _ in range(200)]
+    noise = lambda w: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz#%") for _ in w) if rng.random() < 0.06 else w
+    junk = [" ".join(noise(rng.choice(vocabulary)) for _ in range(200)) for _ in range(12)]
+    rows = {r["doc_id"]: r for r in perplexity.judge(rows_of(spark, clean + junk)).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    assert sum(rows[i]["kept"] for i in range(len(clean))) >= 0.95 * len(clean)
+    assert sum(rows[i]["kept"] for i in range(len(clean), len(rows))) <= 2
