@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import cut
 
-#: What the types look like (Java expressions), in order of precedence.
+#: The words that stand before a secret, in any case.
+KEYS = r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)"
+#: What the types look like (Java expressions), in order of precedence.  The only group
+#: is a secret known by the word before it: six characters or more up to a quote or blank, five of them letters or digits.
 PATTERNS = {
     "email": r"(?<![\w.%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9\-]{1,63}){1,8}(?<![.\-])",
     "secret": (
-        r"(?<=[\"'=:\s])(?=[\w\-+/]{12})(?<=\b(?:token|secret|password|passwd|api_key|apikey|access_key)\"?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-+/]{12,512}+={0,2}"
+        r"((?<=[\"'=:\s])(?=(?:[^\sA-Za-z0-9\"']*+[A-Za-z0-9]){5})(?<=(?<![A-Za-z0-9])" + KEYS + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"']{6,}+)"
         r"|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
     ),
     "iban": r"(?=[A-Z]{2}\d\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -38,9 +41,9 @@ PATTERNS = {
         r"\p{Lu}\p{Ll}{1,30}(?:[ \-]\p{Lu}\p{Ll}{1,30}){0,2}"
     ),
 }
-#: A text without a digit, an at sign or one of these has no mention.
+#: A text without a digit, a key word, an at sign or one of these has no mention.
 HINTS = (
-    "@ Mr Ms Miss Sir Madam Herr Frau Monsieur Mme Señor Sr. Sra Господин Госпожа token secret passw apikey api_key access_key"
+    "@ Mr Ms Miss Sir Madam Herr Frau Monsieur Mme Señor Sr. Sra Господин Госпожа"
 ).split()
 FEMALE = r"\b(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|Sra|Госпожа)\.?\s$"
 #: Given names by gender and script, and syllables of family names by script.
@@ -177,6 +180,7 @@ def _reshaped(value: Column, stream: Column, keep: Column) -> Column:
             .when(c.rlike("[0-9]"), (at % 10).cast("string"))
             .when(c.rlike("[a-z]"), F.char(at % letters + 97))
             .when(c.rlike("[A-Z]"), F.char(at % 26 + 65))
+            .when(c.rlike(r"\p{L}"), F.char(at % 26 + 97))
             .otherwise(c)
         )
 
@@ -228,18 +232,20 @@ def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")
     )
-    hinted = reduce(lambda x, hint: x | F.contains("text", F.lit(hint)), [*HINTS, "Sr "], F.col("text").rlike("[0-9]"))
+    hinted = reduce(lambda x, hint: x | F.contains("text", F.lit(hint)), [*HINTS, "Sr "], F.col("text").rlike("[0-9]|" + KEYS))
     hinted = F.coalesce(hinted, F.lit(False))
     mentions = F.when(hinted, F.regexp_extract_all("text", F.lit(WHOLE), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("mentions", mentions)
     some = rows.where(F.size("mentions") > 0).withColumn("digest", F.sha2("text", 256))
+    # a secret after a key word is one whatever it looks like, so the match is carried
+    keyed = F.when(F.col("text").rlike(KEYS), F.regexp_extract_all("text", F.lit(WHOLE), F.lit(1))).otherwise(F.transform("mentions", lambda m: F.lit("")))
     titles = F.transform(F.split("text", WHOLE, -1), lambda x: x.rlike(FEMALE))
     listed = (
-        some.select("id", "digest", "mentions", titles.alias("titles"))
+        some.select("id", "digest", "mentions", titles.alias("titles"), keyed.alias("keyed"))
         .dropDuplicates(["id", "digest"])
-        .select("id", "digest", F.posexplode(F.arrays_zip("mentions", "titles")).alias("at", "m"))
+        .select("id", "digest", F.posexplode(F.arrays_zip("mentions", "titles", "keyed")).alias("at", "m"))
         .where("m.mentions IS NOT NULL")
-        .select("id", "digest", "at", F.col("m.mentions").alias("said"), type_of(F.col("m.mentions")).alias("kind"), "m.titles")
+        .select("id", "digest", "at", F.col("m.mentions").alias("said"), F.when(F.col("m.keyed") != "", F.lit("secret")).otherwise(type_of(F.col("m.mentions"))).alias("kind"), "m.titles")
     )
     gender = F.concat(F.when(F.col("titles"), "f-").otherwise("m-"), F.when(F.col("said").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin"))
     listed = listed.withColumn("kind", F.when(F.col("kind") == "name", F.concat(F.lit("name-"), gender)).otherwise(F.col("kind")))

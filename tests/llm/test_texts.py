@@ -301,3 +301,14 @@ def test_junk_that_passes_the_base_rules_is_rejected(spark):
     assert not any(r["base_failed"] for r in rows.values())
     assert sum(rows[i]["kept"] for i in range(len(clean))) >= 0.95 * len(clean)
     assert sum(rows[i]["kept"] for i in range(len(clean), len(rows))) <= 2
+
+
+def test_secrets_of_any_case_and_form(spark):
+    secrets = ["9233A8EC77B1", "hunter2", "pa$$w0rd!x,y", "1234567812345678", "AbC.12:34"]
+    texts = [f'TOKEN = "{secrets[0]}" end', f"password={secrets[1]} end", f"Password: {secrets[2]} end", f"DB_PASSWORD='{secrets[3]}' end", f'{{"api-key": "{secrets[4]}"}}', "the secret of the token"]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(rows_of(spark, texts), "key").collect()}
+    for i, secret in enumerate(secrets):
+        before, after = texts[i].split(secret)
+        made = got[i][len(before) : len(got[i]) - len(after)]
+        assert got[i].startswith(before) and got[i].endswith(after) and len(made) == len(secret) and made != secret
+    assert got[5] == texts[5]
