@@ -312,3 +312,11 @@ def test_secrets_of_any_case_and_form(spark):
         made = got[i][len(before) : len(got[i]) - len(after)]
         assert got[i].startswith(before) and got[i].endswith(after) and len(made) == len(secret) and made != secret
     assert got[5] == texts[5]
+
+
+def test_paragraphs_are_bounded(spark):
+    rng = random.Random(10)
+    plain, chinese = prose(rng, 3000), "".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(60)) + "。" for _ in range(60))
+    solid = "".join(rng.choice("abc") for _ in range(9000))
+    got = {r["doc_id"]: r for r in sketches.fingerprints(rows_of(spark, [plain, chinese, solid])).collect()}
+    assert all(r["near_edited"] > 0.1 for r in got.values())  # two thirds are unchanged; the next text adds pieces of its own
