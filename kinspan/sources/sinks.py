@@ -59,10 +59,10 @@ def write_reports(tables: dict[str, DataFrame], path: str) -> None:
         table.write.mode("overwrite").csv(f"{path}/{name}", header=True)
 
 
-def write_gml(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+def write_gml(edges: DataFrame, nodes: DataFrame, path: str, *, one_file: bool = False) -> None:
     """Error graph in GML: ``nodes`` have ``id`` (the label) and attributes, ``edges`` ``source, target, nt, seqs``.
 
-    Nodes are named by their labels, so that they need no numbers.
+    Nodes are named by their labels, so that they need no numbers.  The part files in order are the graph.
     """
     spark = edges.sparkSession
     quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.col(c).cast("string"), '"', "&quot;"), F.lit('"'))
@@ -76,4 +76,4 @@ def write_gml(edges: DataFrame, nodes: DataFrame, path: str) -> None:
     rows = nodes.select(F.lit(1).alias("k"), F.col("id").alias("s"), node.alias("value"))
     rows = rows.unionByName(edges.select(F.lit(2).alias("k"), F.concat_ws("\t", "source", "target").alias("s"), edge.alias("value")))
     ends = spark.createDataFrame([(0, "", "graph ["), (3, "", "]")], "k int, s string, value string")
-    _write(rows.unionByName(ends), path, ["k", "s"], True)
+    _write(rows.unionByName(ends), path, ["k", "s"], one_file)
