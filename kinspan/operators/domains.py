@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,13 +62,13 @@ def domain_instances(
     clusters = cut(
         dpc(
             spans.select("q_seq", F.col("ord").alias("id"), "w"), graph, by=["q_seq"], min_sim=min_sim, min_dens=min_dens,
-            halo_method=halo_method, halo_tau=halo_tau, point_specific=point_specific,
+            halo_method=halo_method, halo_tau=halo_tau, point_specific=point_specific, unique=True,
         ).select("q_seq", "id", "w", "label")
     )
     support = clusters.where("label IS NOT NULL").groupBy("q_seq", F.col("label").alias("id")).agg(F.sum("w").alias("support"))
     at = spans.select("q_seq", F.col("ord").alias("id"), F.col("q_start").alias("start"), F.col("q_end").alias("end"))
     peaks = support.join(at, ["q_seq", "id"]).withColumn("len", F.col("end") - F.col("start"))
-    parents = spurious_parents(peaks, graph, min_containment)
+    parents = cut(spurious_parents(cut(peaks), graph, min_containment))
     if reassign:
         final = roots(parents, ["q_seq"]).select("q_seq", F.col("id").alias("label"), F.col("root").alias("peak"))
     else:
@@ -80,29 +82,26 @@ def domain_instances(
     return domains, assigned.drop("t_strand").unionByName(own)
 
 
-def number_domains(domains: DataFrame, query_order: DataFrame | None = None) -> DataFrame:
+def number_domains(domains: DataFrame, query_order: DataFrame | None = None, range_rows: int = 500_000) -> DataFrame:
     """Domains with ``dom_id``, counted from 0 by the order of queries (``q_seq, place``; default: by q_seq), then by span.
 
     Counts of domains by query are summed up over the queries; domains themselves are numbered within
     their query, so that no window spans all of them.
     """
-    per = domains.groupBy("q_seq").agg(F.count("*").alias("n"))
+    per = cut(domains.groupBy("q_seq").agg(F.count("*").alias("n")))
     per = per.join(query_order, "q_seq") if query_order is not None else per.withColumn("place", F.col("q_seq"))
-    parts = 64
-    bounds = per.select("place", "n")
-    # ranges of places are summed first; only their totals, one row a range, are summed in one place
-    cuts = bounds.agg(F.percentile_approx("place", [i / parts for i in range(1, parts)])).first()[0] or []
-    range_of = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("place"))) if cuts else F.lit(0)
-    per = per.withColumn("range", range_of)
+    # sorted ranges of a bounded number of queries are summed first; only their totals, one row a range, in one place
+    ranges = max(1, math.ceil(per.count() / range_rows))
+    per = cut(per.repartitionByRange(ranges, "place").withColumn("range", F.spark_partition_id()))
     totals = per.groupBy("range").agg(F.sum("n").alias("total"))
     before = totals.withColumn("base", F.sum("total").over(Window.orderBy("range")) - F.col("total")).select("range", "base")
     within = F.sum("n").over(Window.partitionBy("range").orderBy("place")) - F.col("n")
-    offsets = per.withColumn("within", within).join(F.broadcast(before), "range").select("q_seq", (F.col("base") + F.col("within")).alias("offset"))
+    offsets = per.withColumn("within", within).join(before, "range").select("q_seq", (F.col("base") + F.col("within")).alias("offset"))
     local = F.row_number().over(Window.partitionBy("q_seq").orderBy("peak")) - 1
     return domains.withColumn("local", local).join(offsets, "q_seq").withColumn("dom_id", (F.col("offset") + F.col("local")).cast("bigint")).drop("local", "offset")
 
 
-def target_overlaps(targets: DataFrame, bin_width: int | None = 256) -> tuple[DataFrame, DataFrame]:
+def target_overlaps(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lengths of domains over their targets, and overlaps of different domains on one target.
 
     Spans of one domain on one target are merged first.  Lengths: ``dom_id, len``; overlaps:
@@ -110,7 +109,7 @@ def target_overlaps(targets: DataFrame, bin_width: int | None = 256) -> tuple[Da
     """
     spans = cut(merged(targets, keys=["t_seq", "dom_id"], start="t_start", end="t_end"))
     lengths = spans.groupBy("dom_id").agg(F.sum(span_length("t_start", "t_end")).alias("len"))
-    both = overlaps(spans, key="t_seq", start="t_start", end="t_end", label="dom_id", differ="dom_id", bin_width=bin_width)
+    both = overlaps(spans, key="t_seq", start="t_start", end="t_end", label="dom_id", differ="dom_id")
     return lengths, both.select(F.col("dom_id_a").alias("a"), F.col("dom_id_b").alias("b"), "inter")
 
 
@@ -134,7 +133,9 @@ def families(
 ) -> DataFrame:
     """``dom_id, family, gamma``: the clusters of the global graph; domains that are noise have none."""
     nodes = lengths.select(F.col("dom_id").alias("id"), F.lit(1).alias("w"))
-    out = dpc(nodes, edges, min_sim=min_sim, min_dens=min_dens, halo_method=halo_method, halo_tau=halo_tau, point_specific=point_specific)
+    out = dpc(
+        nodes, edges, min_sim=min_sim, min_dens=min_dens, halo_method=halo_method, halo_tau=halo_tau, point_specific=point_specific, unique=True
+    )
     return out.where("label IS NOT NULL").select(F.col("id").alias("dom_id"), F.col("label").alias("family"), "gamma")
 
 
@@ -170,7 +171,6 @@ def find_domains(
     min_containment: float = 0.6,
     point_specific: bool = False,
     query_order: DataFrame | None = None,
-    bin_width: int | None = 256,
 ) -> DataFrame:
     """Family features of all hits, one-based and closed: ``seqid, start, end, strand, family``.
 
@@ -183,7 +183,7 @@ def find_domains(
     )
     numbered = cut(number_domains(domains, query_order))
     known = numbered.select("q_seq", "peak", "dom_id")
-    lengths, pairs = target_overlaps(targets.join(known, ["q_seq", "peak"]).select("t_seq", "t_start", "t_end", "dom_id"), bin_width)
+    lengths, pairs = target_overlaps(targets.join(known, ["q_seq", "peak"]).select("t_seq", "t_start", "t_end", "dom_id"))
     lengths, edges = cut(lengths), cut(family_edges(lengths, pairs))
     member = families(
         lengths, edges, min_sim=min_fam_sim, min_dens=min_fam_dens, halo_method=halo_method, halo_tau=fam_halo, point_specific=point_specific

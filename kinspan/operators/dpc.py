@@ -16,11 +16,21 @@ from ..plans.shared import cut
 HALO_METHODS = ("traditional", "similarity_weighted", "knn", "ndcg")
 
 
+def unique_edges(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Edges ``a < b`` without self edges; of repeated ones, in either direction, the largest similarity."""
+    ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return edges.where("a <> b AND sim > 0").groupBy(*by, *ends).agg(F.max("sim").alias("sim"))
+
+
+def directed(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Unique edges in both directions, ``src, dst, sim``: two rows an edge, without a shuffle."""
+    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    return edges.select(*by, F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e"), "sim").select(*by, "e.src", "e.dst", "sim")
+
+
 def symmetric(edges: DataFrame, by: list[str]) -> DataFrame:
     """Both directions of each edge, without self edges; of repeated edges the largest similarity."""
-    there = edges.select(*by, F.col("a").alias("src"), F.col("b").alias("dst"), "sim")
-    back = edges.select(*by, F.col("b").alias("src"), F.col("a").alias("dst"), "sim")
-    return there.unionByName(back).where("src <> dst AND sim > 0").groupBy(*by, "src", "dst").agg(F.max("sim").alias("sim"))
+    return directed(unique_edges(edges, by), by)
 
 
 def densities(nodes: DataFrame, sym: DataFrame, by: list[str]) -> DataFrame:
@@ -31,19 +41,21 @@ def densities(nodes: DataFrame, sym: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("rho", F.round(F.col("w") + F.coalesce("near", F.lit(0.0)), 9)).drop("near")
 
 
-def nearest_higher(dense: DataFrame, sym: DataFrame, by: list[str]) -> DataFrame:
-    """``nh``, the most similar neighbour of higher density, its similarity ``smax`` (0 without one) and ``gamma``."""
-    src = dense.select(*by, F.col("id").alias("src"), F.col("rho").alias("rho_src"))
-    dst = dense.select(*by, F.col("id").alias("dst"), F.col("rho").alias("rho_dst"))
-    higher = (F.col("rho_dst") > F.col("rho_src")) | ((F.col("rho_dst") == F.col("rho_src")) & (F.col("dst") < F.col("src")))
+def nearest_higher(dense: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """``nh``, the most similar neighbour of higher density, its similarity ``smax`` (0 without one) and ``gamma``.
+
+    Of the two ends of an edge one is the denser, so each unique edge is looked at once, from its other end.
+    """
+    end = lambda e: dense.select(*by, F.col("id").alias(e), F.col("rho").alias(f"rho_{e}"))
+    ends = edges.select(*by, "a", "b", "sim").join(end("a"), [*by, "a"]).join(end("b"), [*by, "b"])
+    b_higher = F.col("rho_b") > F.col("rho_a")  # a < b, so that a goes first among equals
+    pick = lambda x, y: F.when(b_higher, F.col(x)).otherwise(F.col(y))
     best = (
-        sym.join(src, [*by, "src"])
-        .join(dst, [*by, "dst"])
-        .where(higher)
-        .groupBy(*by, F.col("src").alias("id"))
-        .agg(F.max_by("dst", F.struct("sim", "rho_dst", -F.col("dst"))).alias("nh"), F.max("sim").alias("smax"))
+        ends.select(*by, pick("a", "b").alias("id"), pick("b", "a").alias("up"), pick("rho_b", "rho_a").alias("rho_up"), "sim")
+        .groupBy(*by, "id")
+        .agg(F.max(F.struct("sim", "rho_up", (-F.col("up")).alias("last"), F.col("up").alias("nh"))).alias("best"))
     )
-    rows = dense.join(best, [*by, "id"], "left").withColumn("smax", F.coalesce("smax", F.lit(0.0)))
+    rows = dense.join(best, [*by, "id"], "left").select(*dense.columns, F.col("best.nh").alias("nh"), F.coalesce("best.sim", F.lit(0.0)).alias("smax"))
     return rows.withColumn("gamma", F.col("rho") * (1 - F.col("smax")))
 
 
@@ -53,7 +65,7 @@ def roots(parents: DataFrame, by: list[str], doublings: int = 3) -> DataFrame:
     A round doubles several times and is then checkpointed in the shared folder, so that trees up to
     8 deep take one round; only whether anything moved reaches the driver.
     """
-    now = cut(parents.select(*by, "id", "parent"))
+    now = parents.select(*by, "id", "parent")
     while True:
         step = now
         for _ in range(doublings):
@@ -61,7 +73,7 @@ def roots(parents: DataFrame, by: list[str], doublings: int = 3) -> DataFrame:
             step = step.join(up, [*by, "parent"]).select(*by, "id", F.col("above").alias("parent"))
         up = now.select(*by, F.col("id").alias("parent"), (F.col("parent") != F.col("id")).alias("goes_on"))
         now = cut(step.join(up, [*by, "parent"]).select(*by, "id", "parent", "goes_on"))
-        if not now.where("goes_on").limit(1).count():
+        if now.where("goes_on").isEmpty():
             return now.select(*by, "id", F.col("parent").alias("root"))
         now = now.drop("goes_on")
 
@@ -101,7 +113,7 @@ def halo(labelled: DataFrame, sym: DataFrame, by: list[str], *, method: str, tau
     By cluster, points less dense than its densest border point go; point by point, border points
     less dense than their cluster's median.
     """
-    scores = border_scores(labelled, sym, by, method, tau, k)
+    scores = cut(border_scores(labelled, sym, by, method, tau, k))
     many = labelled.groupBy(*by).agg(F.count_distinct("label").alias("n_clusters"))
     sizes = labelled.where("label IS NOT NULL").groupBy(*by, "label").agg(F.count("*").alias("size"), F.median("rho").alias("mid"))
     rows = labelled.join(scores, [*by, "id"], "left").join(sizes, [*by, "label"], "left")
@@ -129,21 +141,24 @@ def dpc(
     halo_min_size: int = 3,
     halo_k: int = 20,
     point_specific: bool = False,
+    unique: bool = False,
 ) -> DataFrame:
     """Nodes with ``rho, smax, nh, gamma`` and ``label``, the id of their cluster's peak (null: noise).
 
     A peak is at least ``min_dens`` dense and less than ``min_sim`` similar to its nearest denser
-    neighbour; other points follow theirs, and are noise where this ends at no peak.
+    neighbour; other points follow theirs, and are noise where this ends at no peak.  ``unique`` says that
+    the edges are pairs ``a < b``, each there once and more than 0 similar, which saves a shuffle of them.
     """
     by = by or []
     if not 0 < min_sim < 1:
         raise ValueError("min_sim must lie between 0 and 1")
     if halo_method not in (None, "none", *HALO_METHODS):
         raise ValueError(f"unknown halo method {halo_method!r}")
-    sym = cut(symmetric(edges, by))
-    state = cut(nearest_higher(densities(nodes, sym, by), sym, by))
-    peak = (F.col("rho") >= min_dens) & (F.col("nh").isNull() | (F.col("smax") < min_sim))
-    state = state.withColumn("peak", peak)
+    edges = edges.select(*by, "a", "b", "sim") if unique else cut(unique_edges(edges, by))
+    sym = directed(edges, by)
+    dense = cut(densities(nodes, sym, by))
+    state = nearest_higher(dense, edges, by)
+    state = cut(state.withColumn("peak", (F.col("rho") >= min_dens) & (F.col("nh").isNull() | (F.col("smax") < min_sim))))
     forest = state.withColumn("parent", F.when(F.col("peak"), F.col("id")).otherwise(F.coalesce("nh", "id")))
     found = roots(forest, by)
     peaks = state.where("peak").select(*by, F.col("id").alias("root"), F.col("id").alias("label"))

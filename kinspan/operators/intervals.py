@@ -64,28 +64,36 @@ def overlaps(
     label: str,
     carry: tuple[str, ...] = (),
     differ: str | None = None,
-    bin_width: int | None = None,
 ) -> DataFrame:
     """Pairs a < b (by ``label``) of overlapping intervals of one key, with ``inter``, the overlap's length.
 
     ``differ`` names a column that must differ between the two and orders the pair instead of ``label``.
-    With ``bin_width`` intervals are dealt to the bins that they touch and a pair is found in the bin
-    of its overlap's start alone, which bounds the work where one key holds very many intervals.
+    An interval belongs to the level of the least power of two that is no shorter, and is at home in the one or
+    two bins of that width that it touches; it visits the bins of the wider levels that occur.  A pair is
+    found where the wider one is at home, in the bin of the overlap's start alone.  So a row has two copies a
+    level at most, however long it is, and what is compared grows with the pairs found, not with a key's rows squared.
     """
     by = differ or label
-    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in dict.fromkeys((label, by, start, end, *carry))]
-    rows = spans
-    if bin_width:
-        first, last = F.floor(F.col(start) / bin_width), F.floor((F.col(end) - 1) / bin_width)
-        rows = rows.withColumn("__bin", F.explode(F.sequence(first, last)))
-    keys = [key, "__bin"] if bin_width else [key]
-    a, b = rows.select(*keys, *named("a")), rows.select(*keys, *named("b"))
-    meet = (F.col(f"{by}_a") < F.col(f"{by}_b")) & (F.col(f"{start}_a") < F.col(f"{end}_b")) & (F.col(f"{start}_b") < F.col(f"{end}_a"))
-    low = F.greatest(f"{start}_a", f"{start}_b")
-    both = a.join(b, keys).where(meet)
-    if bin_width:
-        both = both.where(F.col("__bin") == F.floor(low / bin_width)).drop("__bin")
-    return both.withColumn("inter", F.least(f"{end}_a", f"{end}_b") - low)
+    columns = list(dict.fromkeys((label, by, start, end, *carry)))
+    rows = spans.select(key, F.length(F.bin(F.col(end) - F.col(start) - 1)).alias("__level"), F.struct(*columns).alias("x"))
+    levels = sorted(r[0] for r in rows.select("__level").distinct().collect())  # 64 at most
+    bins = lambda level: F.explode(F.expr(f"sequence(shiftright(x.{start}, {level}), shiftright(x.{end} - 1, {level}))")).alias("__bin")
+    home = rows.select(key, F.col("__level").alias("__at"), "x", bins("__level")).withColumnRenamed("x", "y")
+    wider = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda at: at >= F.col("__level"))
+    guest = rows.select(key, "__level", F.explode(wider).alias("__at"), "x").select(key, "__level", "__at", "x", bins("__at"))
+    # a few input rows make many pairs, so they are spread before the join, however it is done
+    guest = guest.repartition(key, "__at", "__bin")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    low = F.greatest(x(start), y(start))
+    meet = (x(start) < y(end)) & (y(start) < x(end)) & (x(by) != y(by)) & ((F.col("__level") < F.col("__at")) | (x(by) < y(by)))
+    both = guest.join(home, [key, "__at", "__bin"]).where(meet & (F.col("__bin") == F.expr(f"shiftright(greatest(x.{start}, y.{start}), __at)")))
+    first, second = F.when(x(by) < y(by), F.col("x")).otherwise(F.col("y")), F.when(x(by) < y(by), F.col("y")).otherwise(F.col("x"))
+    return both.select(
+        key,
+        *(first[c].alias(f"{c}_a") for c in columns),
+        *(second[c].alias(f"{c}_b") for c in columns),
+        (F.least(x(end), y(end)) - low).alias("inter"),
+    )
 
 
 def merged(spans: DataFrame, *, keys: list[str], start: str, end: str) -> DataFrame:

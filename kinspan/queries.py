@@ -125,7 +125,7 @@ def unique_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def span_graph(spark: SparkSession, d: str) -> DataFrame:
     spans = I.unique_spans(hits(spark, d)).withColumn("ord", F.col("ord").cast("bigint"))
-    return D.span_graph(spans)
+    return D.span_graph(cut(spans))
 
 
 @query(f"WITH {GRAPH} SELECT q_seq, a, b, inter, round(sim, 6) AS sim FROM graph")
@@ -143,40 +143,41 @@ def span_containment(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {GRAPH} SELECT q_seq, a, b, inter FROM graph")
 def span_overlap_binned(spark: SparkSession, d: str) -> DataFrame:
     spans = I.unique_spans(hits(spark, d)).withColumn("ord", F.col("ord").cast("bigint"))
-    both = I.overlaps(spans, key="q_seq", start="q_start", end="q_end", label="ord", bin_width=64)
+    both = I.overlaps(spans, key="q_seq", start="q_start", end="q_end", label="ord")
     return both.select("q_seq", F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), "inter")
 
 
-def nodes_and_sym(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def nodes_and_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     spans = cut(I.unique_spans(hits(spark, d)).withColumn("ord", F.col("ord").cast("bigint")))
     nodes = spans.select("q_seq", F.col("ord").alias("id"), "w")
-    return nodes, cut(P.symmetric(D.span_graph(spans), ["q_seq"]))
+    return nodes, cut(D.span_graph(spans))
 
 
 @query(f"WITH {DENSE} SELECT q_seq, id, w, round(rho, 6) AS rho FROM dense")
 def local_density(spark: SparkSession, d: str) -> DataFrame:
-    spans = I.unique_spans(hits(spark, d)).withColumn("ord", F.col("ord").cast("bigint"))
-    sym = P.symmetric(D.span_graph(spans), ["q_seq"])
-    return rounded(P.densities(spans.select("q_seq", F.col("ord").alias("id"), "w"), sym, ["q_seq"]), "rho")
+    nodes, edges = nodes_and_edges(spark, d)
+    return rounded(P.densities(nodes, P.directed(edges, ["q_seq"]), ["q_seq"]), "rho")
 
 
 @query(f"WITH {DENSE} SELECT q_seq, id, row_number() OVER (PARTITION BY q_seq ORDER BY rho DESC, id) - 1 AS rank FROM dense")
 def density_rank(spark: SparkSession, d: str) -> DataFrame:
-    dense = P.densities(*nodes_and_sym(spark, d), ["q_seq"])
+    nodes, edges = nodes_and_edges(spark, d)
+    dense = P.densities(nodes, P.directed(edges, ["q_seq"]), ["q_seq"])
     order = Window.partitionBy("q_seq").orderBy(F.desc("rho"), "id")
     return dense.select("q_seq", "id", (F.row_number().over(order) - 1).cast("bigint").alias("rank"))
 
 
 @query(f"WITH {STATE} SELECT q_seq, id, nh, round(smax, 6) AS smax FROM state")
 def nearest_higher(spark: SparkSession, d: str) -> DataFrame:
-    nodes, sym = nodes_and_sym(spark, d)
-    return rounded(P.nearest_higher(P.densities(nodes, sym, ["q_seq"]), sym, ["q_seq"]).select("q_seq", "id", "nh", "smax"), "smax")
+    nodes, edges = nodes_and_edges(spark, d)
+    dense = cut(P.densities(nodes, P.directed(edges, ["q_seq"]), ["q_seq"]))
+    return rounded(P.nearest_higher(dense, edges, ["q_seq"]).select("q_seq", "id", "nh", "smax"), "smax")
 
 
 @query(f"WITH {STATE} SELECT q_seq, id, round(rho, 6) AS rho, round(gamma, 6) AS gamma FROM state WHERE peak")
 def candidate_peaks(spark: SparkSession, d: str) -> DataFrame:
-    nodes, sym = nodes_and_sym(spark, d)
-    state = P.nearest_higher(P.densities(nodes, sym, ["q_seq"]), sym, ["q_seq"])
+    nodes, edges = nodes_and_edges(spark, d)
+    state = P.nearest_higher(cut(P.densities(nodes, P.directed(edges, ["q_seq"]), ["q_seq"])), edges, ["q_seq"])
     peaks = state.where((F.col("rho") >= MIN_DENS) & (F.col("nh").isNull() | (F.col("smax") < MIN_SIM)))
     return rounded(peaks.select("q_seq", "id", "rho", "gamma"), "rho", "gamma")
 
@@ -184,7 +185,7 @@ def candidate_peaks(spark: SparkSession, d: str) -> DataFrame:
 def clusters(spark: SparkSession, d: str, **options: object) -> DataFrame:
     spans = cut(I.unique_spans(hits(spark, d)).withColumn("ord", F.col("ord").cast("bigint")))
     nodes = spans.select("q_seq", F.col("ord").alias("id"), "w")
-    return P.dpc(nodes, D.span_graph(spans), by=["q_seq"], min_sim=MIN_SIM, min_dens=MIN_DENS, **options)
+    return P.dpc(nodes, cut(D.span_graph(spans)), by=["q_seq"], min_sim=MIN_SIM, min_dens=MIN_DENS, unique=True, **options)
 
 
 @query(f"WITH RECURSIVE {LABELLED} SELECT q_seq, id, label FROM labelled")

@@ -42,14 +42,14 @@ def test_merge(spark, spans, expected):
     assert sorted((r["s"], r["e"]) for r in merged(df, keys=["k"], start="s", end="e").collect()) == expected
 
 
-@pytest.mark.parametrize("width", [None, 7])
-def test_overlaps_agree_with_all_pairs(spark, width):
+@pytest.mark.parametrize("longest", [30, 3000])
+def test_overlaps_agree_with_all_pairs(spark, longest):
     @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-    @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.integers(1, 30)), min_size=1, max_size=25))
+    @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.integers(1, longest)), min_size=1, max_size=25))
     def check(rows):
         spans = [(k, i, s, s + n) for i, (k, s, n) in enumerate(rows)]
         df = spark.createDataFrame(spans, "k int, id int, s int, e int")
-        got = {(r["id_a"], r["id_b"], r["inter"]) for r in overlaps(df, key="k", start="s", end="e", label="id", bin_width=width).collect()}
+        got = {(r["id_a"], r["id_b"], r["inter"]) for r in overlaps(df, key="k", start="s", end="e", label="id").collect()}
         assert got == {
             (a[1], b[1], min(a[3], b[3]) - max(a[2], b[2]))
             for a in spans for b in spans
