@@ -75,23 +75,24 @@ def overlaps(
     """
     by = differ or label
     columns = list(dict.fromkeys((label, by, start, end, *carry)))
-    rows = spans.select(key, F.length(F.bin(F.col(end) - F.col(start) - 1)).alias("__level"), F.struct(*columns).alias("x"))
+    rows = spans.select(key, F.length(F.bin(F.col(end) - F.col(start) - 1)).alias("__level"), *columns)
     levels = sorted(r[0] for r in rows.select("__level").distinct().collect())  # 64 at most
-    bins = lambda level: F.explode(F.expr(f"sequence(shiftright(x.{start}, {level}), shiftright(x.{end} - 1, {level}))")).alias("__bin")
-    home = rows.select(key, F.col("__level").alias("__at"), "x", bins("__level")).withColumnRenamed("x", "y")
+    named = lambda side: [F.col(c).alias(f"{side}_{c}") for c in columns]
+    bins = lambda level: F.explode(F.expr(f"sequence(shiftright({start}, {level}), shiftright({end} - 1, {level}))")).alias("__bin")
+    home = rows.select(key, F.col("__level").alias("__at"), *named("y"), bins("__level"))
     wider = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda at: at >= F.col("__level"))
-    guest = rows.select(key, "__level", F.explode(wider).alias("__at"), "x").select(key, "__level", "__at", "x", bins("__at"))
+    guest = rows.select("*", F.explode(wider).alias("__at")).select(key, "__level", "__at", *named("x"), bins("__at"))
     # a few input rows make many pairs, so they are spread before the join, however it is done
     guest = guest.repartition(key, "__at", "__bin")
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    x, y = (lambda c: F.col(f"x_{c}")), (lambda c: F.col(f"y_{c}"))
     low = F.greatest(x(start), y(start))
     meet = (x(start) < y(end)) & (y(start) < x(end)) & (x(by) != y(by)) & ((F.col("__level") < F.col("__at")) | (x(by) < y(by)))
-    both = guest.join(home, [key, "__at", "__bin"]).where(meet & (F.col("__bin") == F.expr(f"shiftright(greatest(x.{start}, y.{start}), __at)")))
-    first, second = F.when(x(by) < y(by), F.col("x")).otherwise(F.col("y")), F.when(x(by) < y(by), F.col("y")).otherwise(F.col("x"))
+    both = guest.join(home, [key, "__at", "__bin"]).where(meet & (F.col("__bin") == F.expr(f"shiftright(greatest(x_{start}, y_{start}), __at)")))
+    pick = lambda c, this, that: F.when(x(by) < y(by), this(c)).otherwise(that(c))
     return both.select(
         key,
-        *(first[c].alias(f"{c}_a") for c in columns),
-        *(second[c].alias(f"{c}_b") for c in columns),
+        *(pick(c, x, y).alias(f"{c}_a") for c in columns),
+        *(pick(c, y, x).alias(f"{c}_b") for c in columns),
         (F.least(x(end), y(end)) - low).alias("inter"),
     )
 
