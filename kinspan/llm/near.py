@@ -8,8 +8,10 @@ sets into buckets; within a bucket the share of equal registers, corrected for r
 agree by chance, estimates the Jaccard coefficient and drops pairs that cannot be links.  What is
 left joins into clusters, inside which full sets decide.
 
-No stage makes all pairs of a group.  Copies are one class from the start; buckets and clusters
-give spanning forests, at most one row a member; large ones are dealt in pairs of blocks.
+No stage makes all pairs of a group.  Copies are one class from the start.  Buckets give spanning
+forests of likely pairs; a large one is dealt into blocks, each with the bucket's first member.  The
+likely pairs are confirmed on full sets, which leaves most clusters connected.  Only where a cluster
+is left with several trees are its members compared again: those outside its largest tree with all.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from pyspark.sql import types as T
 from ..plans.components import components
 from ..plans.shared import fresh_folder
 from .repeats import runs
-from .words import Chunk, chunk_of, mix, slices, span_hashes, window_hashes, _power
+from .words import Chunk, chunk_of, mix, sequence_hashes, slices, span_hashes, window_hashes
 
 MANTISSA = 10
-SMALL_RUN = 48
+SMALL_RUN = 8
 
 
 def banding(threshold: float, miss: float = 1e-6, most: int = 256) -> tuple[int, int]:
@@ -53,10 +55,7 @@ def shingle_sets(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(low.ptr)
     cut = np.searchsorted(first, low.ptr)
     short = np.flatnonzero((count > 0) & (count < size))
-    run = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * _power("up", len(words)), out=run[1:])
-    whole = (run[low.ptr[short + 1]] - run[low.ptr[short]]) * _power("down", len(words) + 1)[low.ptr[short]]
-    whole = mix(whole + count[short].astype(np.uint64))
+    whole = sequence_hashes(words, low.ptr[short], count[short])
     at = dict(zip(short.tolist(), whole, strict=True))
     sets = [np.array([at[i]], np.uint64) if i in at else np.unique(window[cut[i] : cut[i + 1]]) for i in range(n)]
     size_ = np.fromiter(map(len, sets), np.int64, n)
@@ -94,27 +93,22 @@ def estimate(equal: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (equal - by_chance) / (1 - by_chance)
 
 
-def forest(k: int, near: Callable[[int], np.ndarray], first: int) -> list[tuple[int, int]]:
-    """A spanning forest of the graph in which i has the neighbours ``near(i)``.
+def forest(root: np.ndarray, near: Callable[[int], np.ndarray], ask: list[int], main: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the trees ``root`` along the neighbours ``near(i)`` of those asked, and the trees then.
 
-    ``first`` is asked first; then every member outside what is by then the largest tree, so that each
-    pair of different trees has been looked at from one side.
+    One that has by then joined the tree of ``main`` is not asked again: a pair of trees that are both apart
+    from that one has been looked at from one side, if all outside it are asked.
     """
-    root = np.arange(k)
+    root = root.copy()
     edges = []
-
-    def ask(i: int) -> None:
+    for turn, i in enumerate(ask):
+        if turn and main >= 0 and root[i] == root[main]:
+            continue
         for j in near(i).tolist():
-            x, y = root[i], root[j]
-            if x != y:
+            if root[i] != root[j]:
                 edges.append((i, j))
-                root[root == y] = x
-
-    ask(first)
-    for i in range(k):
-        if root[i] != root[first]:
-            ask(i)
-    return edges
+                root[root == root[j]] = root[i]
+    return np.array(edges, np.int64).reshape(-1, 2), root
 
 
 def band_rows(batches: Iterable[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -129,43 +123,79 @@ def band_rows(batches: Iterable[pa.RecordBatch], bands: int, rows: int) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rep)], ["key", "rep"])
 
 
+EDGES = "a long, b long, weak boolean"
+
+
 def likely_edges(table: pa.Table, cut: float) -> pa.Table:
-    """Of each bucket in the table, a forest of the pairs whose estimate reaches ``cut``."""
-    table = table.sort_by([("key", "ascending"), ("side", "ascending"), ("rep", "ascending")])
-    key, side = table.column("key").to_numpy(), table.column("side").to_numpy()
-    rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+    """Of each block of a bucket, a forest of the pairs whose estimate reaches ``cut``.
+
+    Where a bucket has several blocks, trees without its first member (``hub``) get a weak edge to it,
+    which puts them into one cluster but says nothing of likeness.
+    """
+    table = table.sort_by([("key", "ascending"), ("block", "ascending"), ("rep", "ascending")])
+    key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
+    rep, n, hub = (table.column(c).to_numpy() for c in ("rep", "n", "hub"))
+    split = table.column("blocks").to_numpy() > 1
     regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(len(rep), -1)
-    at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (side[1:] != side[:-1])]))
+    at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
     size = np.diff(np.append(at, len(key)))
-    a, b = [], []
-    for k in np.unique(size[(size > 1) & (size <= SMALL_RUN)]).tolist():
+    small = (size <= SMALL_RUN) & ~split[at]
+    a, b, weak = [], [], []
+    for k in np.unique(size[(size > 1) & small]).tolist():
         i, j = np.triu_indices(k, 1)
-        begin = at[size == k]
+        begin = at[small & (size == k)]
         for some in np.array_split(begin, max(1, len(begin) * len(i) // 20_000)):
             x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
             good = estimate((regs[x] == regs[y]).mean(1), n[x], n[y]) >= cut
             a.append(rep[x[good]])
             b.append(rep[y[good]])
-    for begin, k in zip(at[size > SMALL_RUN].tolist(), size[size > SMALL_RUN].tolist(), strict=True):
+            weak.append(np.zeros(int(good.sum()), bool))
+    for begin, k in zip(at[~small].tolist(), size[~small].tolist(), strict=True):
         r, m, reps = regs[begin : begin + k], n[begin : begin + k], rep[begin : begin + k]
         typical = np.array([np.bincount(c).argmax() for c in r.T], np.uint16)
         first = int((r == typical).sum(1).argmax())
         near = lambda i, r=r, m=m: np.flatnonzero(estimate((r == r[i]).mean(1), m, np.full(len(m), m[i])) >= cut)
-        edges = np.array(forest(k, near, first), np.int64).reshape(-1, 2)
+        edges, root = forest(np.arange(k), near, [first, *range(k)], first)
         a.append(reps[edges[:, 0]])
         b.append(reps[edges[:, 1]])
+        weak.append(np.zeros(len(edges), bool))
+        if split[begin]:
+            center = int(np.searchsorted(reps, hub[begin]))
+            loose = np.unique(root[root != root[center]], return_index=True)[0]
+            a.append(np.full(len(loose), hub[begin]))
+            b.append(reps[loose])
+            weak.append(np.ones(len(loose), bool))
     none = np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])]), axis=1)
-    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+    a, b, weak = np.concatenate([none, *a]), np.concatenate([none, *b]), np.concatenate([none.astype(bool), *weak])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "weak": pa.array(weak, pa.bool_())})
+
+
+def confirmed(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose full sets (sorted hashes) are linked: 100 * intersection >= percent * union."""
+    for batch in batches:
+        a, b, one, two = (batch.column(i) for i in range(4))
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (x, y) in enumerate(zip(one.to_pylist(), two.to_pylist(), strict=True)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+        keep = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
 
 def exact_edges(table: pa.Table, percent: int) -> pa.Table:
-    """A forest of the links among the sets of one task: 100 * intersection >= percent * union."""
-    table = table.sort_by("rep")
-    rep = table.column("rep").to_numpy()
-    keep = np.concatenate([[True], rep[1:] != rep[:-1]])
-    sets = [np.frombuffer(x, np.uint64) for x, k in zip(table.column("shingles").to_pylist(), keep, strict=True) if k]
-    rep = rep[keep]
+    """Links between different trees among the sets of one task; ``asked`` sets are compared with all."""
+    found: dict[tuple[int, bytes], list] = {}
+    for rep, tree, main, asked, x in zip(*(table.column(c).to_pylist() for c in ("rep", "tree", "main", "asked", "shingles")), strict=True):
+        held = found.setdefault((rep, x), [tree, main, False])
+        held[2] |= asked
+    rows = sorted(found.items())
+    rep = np.array([r for (r, _), _ in rows], np.int64)
+    sets = [np.frombuffer(x, np.uint64) for (_, x), _ in rows]
+    _, tree = np.unique(np.array([t for _, (t, _, _) in rows]), return_inverse=True)
+    main = np.array([m for _, (_, m, _) in rows])
+    asked = np.flatnonzero([q for _, (_, _, q) in rows])
     k = len(sets)
     n = np.fromiter(map(len, sets), np.int64, k)
     owner = np.repeat(np.arange(k), n)
@@ -182,25 +212,10 @@ def exact_edges(table: pa.Table, percent: int) -> pa.Table:
         good[i] = False
         return np.flatnonzero(good)
 
-    # the set with most of what is common is asked first
-    first = int(np.bincount(owner, np.bincount(code)[code], minlength=k).argmax())
-    edges = np.array(forest(k, near, first), np.int64).reshape(-1, 2)
+    edges, _ = forest(tree, near, asked.tolist(), int(main.argmax()) if main.any() else -1)
     return pa.table({"a": pa.array(rep[edges[:, 0]], pa.int64()), "b": pa.array(rep[edges[:, 1]], pa.int64())})
 
 
-def in_block_pairs(members: DataFrame, group: str, weight: str, most: int) -> DataFrame:
-    """Members with the blocks (``side``) of their group that they are compared in.
-
-    A group of up to ``most`` units of weight is one block, 0.  A larger one is dealt by hash into
-    blocks, and a member goes to each pair of blocks that has its own, so that any two members meet.
-    """
-    blocks = F.ceil(F.col(weight) / F.lit(most)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    pair = lambda j: F.least(own, j).cast("long") * blocks + F.greatest(own, j)
-    sides = F.when(blocks <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), pair))
-    return members.withColumn("side", F.explode(sides))
-
-
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -227,6 +242,10 @@ def near_duplicates(
     cut = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / m)
     folder = fresh_folder(spark, "near")
 
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             values, place = shingle_sets(chunk_of(part.column(1)), shingle)
@@ -254,31 +273,56 @@ def near_duplicates(
     classes = spark.read.parquet(f"{folder}/classes")
 
     banded = classes.select("rep", "regs").mapInArrow(lambda b: band_rows(b, bands, rows), "key long, rep long")
-    members = banded.selectExpr("key", "rep", "count(*) OVER (PARTITION BY key) AS members").where("members > 1")
-    members = in_block_pairs(members, "key", "members", block_members)
+    # a bucket's first member goes to each of its blocks, every other one to its own
+    members = banded.selectExpr("key", "rep", "count(*) OVER (PARTITION BY key) AS members", "min(rep) OVER (PARTITION BY key) AS hub").where("members > 1")
+    blocks = F.ceil(F.col("members") / F.lit(block_members)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    members = members.withColumn("blocks", blocks).select(
+        "key", "rep", "hub", "blocks", F.explode(F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)).alias("block")
+    )
     shares = max(1, math.ceil(classes.count() / 4096))
-    dealt = members.join(classes.select("rep", "n", "regs"), "rep").withColumn("share", F.pmod(F.xxhash64("key", "side"), F.lit(shares)))
-    dealt.groupBy("share").applyInArrow(lambda t: likely_edges(t, cut), "a long, b long").distinct().write.parquet(f"{folder}/likely")
-    components(spark.read.schema("a long, b long").parquet(f"{folder}/likely")).write.parquet(f"{folder}/clusters")
-    clusters = spark.read.schema("node long, component long").parquet(f"{folder}/clusters")
+    dealt = members.join(classes.select("rep", "n", "regs"), "rep").withColumn("share", F.pmod(F.xxhash64("key", "block"), F.lit(shares)))
+    likely = dealt.groupBy("share").applyInArrow(lambda t: likely_edges(t, cut), EDGES).groupBy("a", "b").agg(F.min("weak").alias("weak"))
+    likely = kept(likely, "likely")
+    clusters = kept(components(likely).select("node", "component"), "clusters")
 
     def full_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             values, place = shingle_sets(chunk_of(part.column(1)), shingle)
             sets = [values[a:b].tobytes() for a, b in zip(place, place[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, pa.binary())], ["rep", "cluster", "shingles"])
-
-    sizes = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    weights = sizes.groupBy("component").agg(F.sum("n").alias("weight"))
-    wanted = texts.join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
-    sets = wanted.select("id", "text", "cluster").mapInArrow(full_sets, "rep long, cluster long, shingles binary")
-    placed = in_block_pairs(sets.join(weights.withColumnRenamed("component", "cluster"), "cluster"), "cluster", "weight", block_shingles)
-    links = placed.select("cluster", "side", "rep", "shingles").groupBy("cluster", "side").applyInArrow(lambda t: exact_edges(t, percent), "a long, b long")
-    links.write.parquet(f"{folder}/links")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+
+    # an id may have several texts; equal ones are looked at once
+    wanted = texts.join(clusters.select(F.col("node").alias("id")), "id").select("id", "text", F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
+    wanted = wanted.dropDuplicates(["id", "h", "g"]).select("id", "text")
+    sets = kept(wanted.mapInArrow(full_sets, "rep long, shingles binary").where("length(shingles) > 0"), "sets")
+    # pairs are confirmed; the set of one that has many is sent once for each thousand of them
+    degree = likely.where("NOT weak").groupBy("a").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
+    pairs = likely.where("NOT weak").join(degree, "a").selectExpr("a", "b", "CAST(pmod(xxhash64(b), salts) AS INT) AS salt")
+    salted = sets.withColumnRenamed("rep", "a").join(degree, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("one"))
+    pairs = pairs.join(salted, ["a", "salt"]).join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("two")), "b")
+    links = kept(pairs.select("a", "b", "one", "two").mapInArrow(lambda x: confirmed(x, percent), "a long, b long"), "confirmed")
+    # clusters that are left with several trees
+    trees = components(links).select(F.col("node"), F.col("component").alias("tree"))
+    placed = clusters.join(trees, "node", "left").join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    placed = kept(placed.select(F.col("node").alias("rep"), F.col("component").alias("cluster"), F.coalesce("tree", "node").alias("tree"), "n"), "placed")
+    weights = placed.groupBy("cluster", "tree").agg(F.sum("n").alias("n"))
+    weights = weights.groupBy("cluster").agg(F.count("*").alias("trees"), F.sum("n").alias("weight"), F.max(F.struct("n", "tree")).alias("top"))
+    open_ = weights.where("trees > 1").selectExpr(
+        "cluster", "top.tree AS main", f"CAST(ceil(weight / {block_shingles}) AS INT) AS rows_", f"CAST(ceil((weight - top.n) / {block_shingles}) AS INT) AS columns_"
+    )
+    open_ = placed.join(open_, "cluster").selectExpr("cluster", "rep", "tree", "tree = main AS main", "rows_", "columns_")
+    own = lambda of: F.array(F.pmod(F.xxhash64("rep"), F.col(of)).cast("int"))
+    each = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    at = ["cluster", "rep", "tree", "main"]
+    told = open_.select(*at, F.lit(False).alias("asked"), F.explode(own("rows_")).alias("x"), "columns_").withColumn("y", F.explode(each("columns_"))).drop("columns_")
+    asked = open_.where("NOT main").select(*at, F.lit(True).alias("asked"), F.explode(each("rows_")).alias("x"), "columns_").withColumn("y", F.explode(own("columns_"))).drop("columns_")
+    blocks = told.unionByName(asked).join(sets, "rep").groupBy("cluster", "x", "y").applyInArrow(lambda t: exact_edges(t, percent), "a long, b long")
+    links = links.unionByName(kept(blocks, "links"))
     # an id with several sets links their classes
     several = real.join(classes.select(*same, "rep"), same).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     several = several.join(classes.select(F.col("rep").alias("a")), "a")
-    found = components(spark.read.schema("a long, b long").parquet(f"{folder}/links").unionByName(several))
+    found = components(links.unionByName(several))
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         *same, F.coalesce("component", "rep").alias("component_id")
     )

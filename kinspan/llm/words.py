@@ -18,23 +18,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-BYTE_CODES = np.random.RandomState(20240229).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    held = _powers[kind]
-    if len(held) < n:
-        full = np.full(max(n, 1 << 16), BASE if kind == "up" else INVERSE, np.uint64)
-        full[0] = 1
-        held = np.multiply.accumulate(full)
-        if n <= 1 << 23:  # the powers for one very long text are not kept
-            _powers[kind] = held
-    return held[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(33))
@@ -95,25 +78,60 @@ def chunk_of(texts: pa.Array | pa.ChunkedArray) -> Chunk:
     return Chunk(buf, off, start, end, np.searchsorted(start, off))
 
 
+def sequence_hashes(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run ``values[start:start + count]``, which may be empty.
+
+    Every value is scrambled together with its place, so that no two runs collide by their structure, as they do
+    under a polynomial modulo a power of two.
+    """
+    out = np.zeros(len(count), np.uint64)
+    full = np.flatnonzero(count)
+    begin = np.cumsum(count[full]) - count[full]
+    place = np.arange(int(count.sum())) - np.repeat(begin, count[full])
+    picked = values[np.repeat(start[full], count[full]) + place]
+    if len(full):
+        out[full] = np.add.reduceat(mix(picked ^ mix(place.astype(np.uint64) + np.uint64(1))), begin)
+    return mix(out + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``buf[start:end]``; equal spans have equal hashes."""
-    run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[buf] * _power("up", len(buf)), out=run[1:])
-    raw = (run[end] - run[start]) * _power("down", len(buf) + 1)[start]
-    return mix(raw + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    """A 64-bit hash of each ``buf[start:end]``, made of its blocks of 8 bytes; equal spans have equal hashes."""
+    size = (end - start).astype(np.int64)
+    blocks = -(-size // 8)
+    begin = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(begin, blocks)
+    at = np.repeat(start, blocks) + 8 * place
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    word = np.lib.stride_tricks.sliding_window_view(padded, 8)[at]
+    value = np.ascontiguousarray(word).view("<u8").reshape(-1)
+    inside = np.minimum(np.repeat(size, blocks) - 8 * place, 8).astype(np.uint64)
+    value = value & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - inside) * np.uint64(8)))
+    return mix(sequence_hashes(value, begin, blocks) + size.astype(np.uint64))
 
 
 def window_hashes(hashes: np.ndarray, ptr: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of all runs of ``size`` consecutive words within one text."""
+    """First words and hashes of all runs of ``size`` consecutive words within one text.
+
+    Runs of 1, 2, 4, ... words are joined pairwise, each time scrambled, and those of the powers of two that
+    ``size`` is the sum of are joined in turn.
+    """
     n = len(hashes)
     if n < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * _power("up", n), out=run[1:])
+    join = lambda a, b: mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0xD6E8FEB86659FD93)))
+    double, length = hashes, 1  # double[i] is of the words i to i + length
+    run, taken = None, 0
+    while True:
+        if size & length:
+            run = double if run is None else join(run[: n - taken - length + 1], double[taken : n - length + 1])
+            taken += length
+        if 2 * length > size:
+            break
+        double = join(double[: n - 2 * length + 1], double[length : n - length + 1])
+        length *= 2
     room = np.repeat(ptr[1:], np.diff(ptr))[: n - size + 1]
     first = np.flatnonzero(np.arange(n - size + 1) + size <= room)
-    raw = (run[first + size] - run[first]) * _power("down", n + 1)[first]
-    return first, mix(raw)
+    return first, run[first]
 
 
 def covered(n: int, first: np.ndarray, size: int) -> np.ndarray:
