@@ -1,29 +1,28 @@
-"""Byte-level BPE by the ranks of a public vocabulary: each distinct word is encoded once.
+"""Byte-level BPE by the ranks of a public vocabulary: each distinct word of the corpus is encoded once.
 
-Texts are split into pre-tokens; a slice of texts keeps its pre-tokens' positions as numbers in
-its own list of distinct words, and sends to each bucket of words those of its list that belong
-there.  A bucket encodes each of its distinct words once and sends the ids back in the order of
-the request; slices put their texts together by position.  Decoding looks ids up in the table of
-token bytes, whose size is that of the vocabulary.
+Slices of texts are written once as a table: the slice's distinct pre-tokens, and for each text the
+places of its pre-tokens in that list.  The words are exploded and made distinct over the corpus,
+each is encoded once, and the ids are joined back to the words of the slices, where texts are put
+together by position.  Decoding joins the distinct ids of a slice with the table of token bytes.
+All later steps read the written table, so that a task that runs again meets the same slices.
 """
 
 from __future__ import annotations
 
 import base64
-import math
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .repeats import bucket_of, runs
-from .words import slices, span_hashes
-
-PARCEL = "batch long, bucket int, ids binary, body binary"
+from ..plans.shared import cut, fresh_folder
+from .words import slices
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,36 +31,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
 
 
-def squeeze(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
-
-
-def unsqueeze(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
-
-
-def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Integer arrays one after another, each in its own type and with its bytes by significance, compressed."""
-    head = np.array([x for a in arrays for x in (len(a), a.dtype.itemsize)], np.int64)
-    return squeeze(len(arrays).to_bytes(8, "little") + head.tobytes() + b"".join(a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a)))
-
-
-def unpack_arrays(blob: bytes) -> list[np.ndarray]:
-    data = unsqueeze(blob)
-    n = int.from_bytes(data[:8], "little")
-    head = np.frombuffer(data, np.int64, 2 * n, 8)
-    out, at = [], 8 + 16 * n
-    for size, width in head.reshape(n, 2).tolist():
-        planes = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size)
-        out.append(np.ascontiguousarray(planes.T).view(np.dtype(f"u{width}")).reshape(size))
-        at += size * width
-    return out
-
-
-def narrow(values: np.ndarray) -> np.ndarray:
-    """The values in the fewest bytes that hold them."""
-    top = int(values.max()) if len(values) else 0
-    return values.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max))
+def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """``token, bytes``: the vocabulary as a table, whose size is the vocabulary's."""
+    return spark.createDataFrame([(rank, bytearray(token)) for token, rank in ranks.items()], "token int, bytes binary")
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -122,16 +94,9 @@ def _tools(pattern: str):
     return regex.compile(pattern)
 
 
-def numbering(sizes: np.ndarray) -> np.ndarray:
-    """The order in which words asked for bucket by bucket are numbered: the first of each bucket, the
-    second of each, and so on, so that frequent words have small numbers."""
-    bucket = np.repeat(np.arange(len(sizes)), sizes)
-    rank = np.arange(len(bucket)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.lexsort((bucket, rank))
-
-
-def parcels(part: pa.RecordBatch, batch: int, buckets: int, pattern: str) -> Iterator[tuple]:
-    """A slice's own parcel (bucket -1), and one for each bucket with the words asked of it."""
+def sliced(part: pa.RecordBatch, pattern: str) -> pa.RecordBatch:
+    """A slice of texts as one row: its key, the ids, how many pre-tokens each text has, the places of these in
+    the list of distinct words, and that list, frequent words first."""
     find = _tools(pattern).findall
     number: dict[str, int] = {}
     at: list[int] = []
@@ -140,79 +105,48 @@ def parcels(part: pa.RecordBatch, batch: int, buckets: int, pattern: str) -> Ite
         words = find(text) if text else []
         counts.append(len(words))
         at.extend([number.setdefault(w, len(number)) for w in words])
-    data = [w.encode() for w in number]
-    size = np.fromiter(map(len, data), np.int64, len(data))
-    end = np.cumsum(size)
-    buf = np.frombuffer(b"".join(data), np.uint8)
-    bucket = bucket_of(span_hashes(buf, end - size, end), buckets).astype(np.int64) if len(data) else np.zeros(0, np.int64)
-    at = np.array(at, np.int64)
-    often = np.bincount(at, minlength=len(data))
-    order = np.lexsort((-often, bucket))  # as they are asked for: bucket by bucket, frequent words first
-    place = np.empty(len(order), np.int64)
-    place[order[numbering(np.bincount(bucket, minlength=buckets))]] = np.arange(len(order))
-    at = place[at]
-    sink = pa.BufferOutputStream()
-    ids = pa.RecordBatch.from_arrays([part.column(0)], ["id"])
-    with pa.ipc.new_stream(sink, ids.schema) as stream:
-        stream.write_batch(ids)
-    yield batch, -1, sink.getvalue().to_pybytes(), pack_arrays(narrow(np.array(counts, np.int64)), narrow(at))
-    cut = runs(bucket[order])
-    for rows in np.split(order, cut[1:]) if len(cut) else []:
-        asked = b"".join(data[i] for i in rows.tolist())
-        yield batch, int(bucket[rows[0]]), b"", pack_arrays(narrow(size[rows]), np.frombuffer(asked, np.uint8))
-
-
-def tables(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["batch", "bucket", "ids", "body"])
-
-
-def answer(table: pa.Table, ranks: dict[bytes, int]) -> pa.Table:
-    """For each batch, the ids of the words that it asked for; a word is encoded once."""
-    known: dict[bytes, list[int]] = {}
-    rows = []
-    for batch, bucket, body in zip(*(table.column(c).to_pylist() for c in ("batch", "bucket", "body")), strict=True):
-        size, asked = unpack_arrays(body)
-        end = np.cumsum(size, dtype=np.int64)
-        data = asked.tobytes()
-        got = []
-        for a, b in zip((end - size).tolist(), end.tolist(), strict=True):
-            word = data[a:b]
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = merge_word(word, ranks)
-            got.append(ids)
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.int64, int(n.sum()))
-        rows.append((batch, bucket, b"", pack_arrays(narrow(n), narrow(flat))))
-    return pa.Table.from_batches([tables(rows)])
-
-
-def assemble(own: pa.Table, replies: pa.Table, tokens: list[bytes]) -> pa.Table:
-    """A batch's texts as ids, by position, and the bytes that these decode to."""
-    slots = [i for i, b in enumerate(own.column("bucket").to_pylist()) if b == -1]
-    ids = pa.ipc.open_stream(own.column("ids")[slots[0]].as_py()).read_all().column(0)
-    counts, at = unpack_arrays(own.column("body")[slots[0]].as_py())
-    answers = sorted(zip(replies.column("bucket").to_pylist(), replies.column("body").to_pylist(), strict=True))
-    parts = [unpack_arrays(body) for _, body in answers]
-    empty = np.zeros(0, np.int64)
-    size = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else empty
-    flat = np.concatenate([p[1] for p in parts]).astype(np.int32) if parts else empty.astype(np.int32)
+    at = np.array(at, np.int32)
+    order = np.argsort(-np.bincount(at, minlength=len(number)), kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    words = pa.array(list(number), pa.string()).take(pa.array(order))
+    whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([uuid.uuid4().hex]), whole(part.column(0)), whole(pa.array(counts, pa.int32())), whole(pa.array(place[at])), whole(words)],
+        ["slice", "ids", "counts", "places", "words"],
+    )
+
+
+def assemble(own: pa.Table, told: pa.Table) -> pa.Table:
+    """A slice's texts as ids, by position, and the bytes that these decode to."""
+    own = own.combine_chunks()
+    flat = lambda name: own.column(name).combine_chunks().flatten()
+    counts, places = flat("counts").to_numpy(), flat("places").to_numpy()
+    words = told.filter(pc.is_valid(told.column("place"))).sort_by("place").combine_chunks()
+    tokens = told.filter(pc.is_valid(told.column("token"))).sort_by("token").combine_chunks()
+    if words.num_rows:
+        lists = words.column("encoded").combine_chunks()
+        size, values = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy()
+    else:
+        size, values = np.zeros(0, np.int64), np.zeros(0, np.int32)
     begin = np.cumsum(size) - size
-    at = numbering(np.array([len(p[0]) for p in parts], np.int64))[at.astype(np.int64)] if parts else empty
-    n = size[at]
+    n = size[places]
     done = np.cumsum(n)
-    out = flat[np.repeat(begin[at] - (done - n), n) + np.arange(int(n.sum()))]
-    words = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    cut = np.concatenate([[0], done])[words]
-    listed = out.tolist()
-    decoded = [b"".join(map(tokens.__getitem__, listed[a:b])) for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+    out = values[np.repeat(begin[places] - (done - n), n) + np.arange(int(n.sum()))]
+    cut_ = np.concatenate([[0], done])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+    if len(out):
+        known = tokens.column("token").to_numpy()
+        decoded = tokens.column("bytes").combine_chunks().cast(pa.large_binary()).take(pa.array(np.searchsorted(known, out)))
+        ends, data = np.frombuffer(decoded.buffers()[1], np.int64)[: len(out) + 1], decoded.buffers()[2]
+    else:
+        ends, data = np.zeros(1, np.int64), pa.py_buffer(b"")
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.ascontiguousarray(ends[cut_])), data])
     return pa.table(
         {
-            "id": ids,
-            "n_tokens": pa.array(np.diff(cut)),
-            "ids": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(out)),
-            "decoded": pa.array(decoded, pa.binary()),
+            "id": flat("ids"),
+            "n_tokens": pa.array(np.diff(cut_)),
+            "ids": pa.ListArray.from_arrays(pa.array(cut_.astype(np.int32)), pa.array(out.astype(np.int32))),
+            "decoded": texts.cast(pa.binary()),
         }
     )
 
@@ -225,7 +159,6 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     slice_bytes: int = 4 << 20,
-    bucket_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Token ids of every text and the bytes they decode to, without special tokens.
 
@@ -233,34 +166,41 @@ def encode(
     Result, a row per input row: the id, ``n_tokens, ids, decoded``.  Null texts count as empty and
     have no tokens; rows with equal ids are encoded each; further columns are left out; an empty
     table gives an empty result.  The ranks go to the executors once, as a broadcast whose size is
-    the vocabulary's; a token must be known for each single byte that occurs.
+    the vocabulary's; a token must be known for each single byte that occurs.  A word has one row a slice of
+    about ``slice_bytes``, so rows grow with the input and none with the number of slices times words.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(ranks)
-    bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        bytes_of[rank] = token
-    tokens = spark.sparkContext.broadcast(bytes_of)
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
     kind = docs.schema[id_col].dataType
+    held = T.StructType(
+        [
+            T.StructField("slice", T.StringType()),
+            T.StructField("ids", T.ArrayType(kind)),
+            T.StructField("counts", T.ArrayType(T.IntegerType())),
+            T.StructField("places", T.ArrayType(T.IntegerType())),
+            T.StructField("words", T.ArrayType(T.StringType())),
+        ]
+    )
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, done = TaskContext.get().partitionId(), 0
         for part in slices(batches, "text", slice_bytes):
-            yield tables(list(parcels(part, (task << 32) + done, buckets, pattern)))
-            done += 1
+            yield sliced(part, pattern)
 
-    def requests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.compute.greater_equal(batch.column(1), 0))
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # one shuffle of all parcels, which both sides below read
-    dealt = rows.mapInArrow(split, PARCEL).repartition("batch")
-    replies = dealt.mapInArrow(requests, PARCEL).groupBy("bucket").applyInArrow(lambda t: answer(t, sent.value), PARCEL)
+            ids = [merge_word(w.encode(), sent.value) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "encoded"])
+
+    path = fresh_folder(spark, "slices")
+    docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(split, held).write.parquet(path)
+    words = spark.read.schema(held).parquet(path).select("slice", F.posexplode("words").alias("place", "word"))
+    distinct = cut(words.select("word").distinct().mapInArrow(encoded, "word string, encoded array<int>"))
+    back = words.join(distinct, "word").select("slice", "place", "encoded")
+    # the ids that occur in a slice, with their bytes; the vocabulary is a table of bounded size
+    used = back.select("slice", F.explode("encoded").alias("token")).distinct().join(F.broadcast(token_table(spark, ranks)), "token")
+    told = back.selectExpr("slice", "place", "encoded", "CAST(NULL AS INT) AS token", "CAST(NULL AS BINARY) AS bytes").unionByName(
+        used.selectExpr("slice", "CAST(NULL AS INT) AS place", "CAST(NULL AS ARRAY<INT>) AS encoded", "token", "bytes")
+    )
     result = T.StructType(
         [
             T.StructField("id", kind),
@@ -269,20 +209,22 @@ def encode(
             T.StructField("decoded", T.BinaryType()),
         ]
     )
-    out = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
-        lambda mine, theirs: assemble(mine, theirs, tokens.value), result
-    )
-    return out.withColumnRenamed("id", id_col)
+    texts = spark.read.schema(held).parquet(path).select("slice", "ids", "counts", "places").groupBy("slice")
+    return texts.cogroup(told.groupBy("slice")).applyInArrow(assemble, result).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """The bytes of lists of ids: ``id, decoded``; a null list decodes to nothing, an unknown id is an error."""
-    sent = tokens.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [b"".join(sent.value[i] for i in x or ()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [id_col, "decoded"])
+    """The bytes of lists of ids: ``id, decoded``, a row per input row.
 
-    rows = tokens.select(id_col, ids_col)
-    return rows.mapInArrow(read, T.StructType([tokens.schema[id_col], T.StructField("decoded", T.BinaryType())]))
+    Ids are exploded with their positions, joined with the table of token bytes and put together by position.
+    A null or empty list decodes to nothing, an unknown id is an error; further columns are left out.
+    """
+    rows = cut(tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).withColumn("row", F.expr("uuid()")))
+    units = rows.select("row", F.posexplode("ids").alias("at", "token"))
+    found = units.join(F.broadcast(token_table(tokens.sparkSession, ranks)), "token", "left")
+    piece = F.when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("no such token: "), F.coalesce(F.col("token").cast("string"), F.lit("null"))))).otherwise(F.hex("bytes"))
+    joined = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", piece.alias("x")))).alias("parts"))
+    text = F.unhex(F.array_join(F.transform("parts", lambda p: p["x"]), ""))
+    return rows.join(joined.select("row", text.alias("decoded")), "row", "left").select(
+        F.col("id").alias(id_col), F.coalesce("decoded", F.lit(bytearray())).alias("decoded")
+    )
