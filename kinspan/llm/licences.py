@@ -1,12 +1,16 @@
-"""Licence scan: Dice coefficient of word bigrams between blocks of text and licence templates.
+"""Licence scan: Dice coefficient of word bigrams between stretches of text and licence templates.
 
-Only DataFrame functions are used.  A block is the whole text (number 0) and, where a text has
-several lines, each line (from 1).  The number of bigrams bounds the coefficient from above by
-``2 * min / (a + b)``, so a template is compared only with blocks of a fitting size.
+Only DataFrame functions are used.  Texts are normalised to lower-case words, so that wrapped lines, case and
+punctuation do not matter.  For ``2x / (m + n)`` to reach ``least``, a stretch must share a least number of
+a template's n bigrams; so it shares one of any larger rest of them, and of these the rarest are taken as
+the template's anchors.  Only texts with an anchor are looked at, only for its templates, and only
+where enough shared bigrams lie within the template's length.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +62,28 @@ TEMPLATES = {
         " CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS"
         " SOFTWARE."
     ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+        " following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of"
+        " conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,"
+        " this list of conditions and the following disclaimer in the documentation and/or other materials provided with the"
+        " distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED"
+        " WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR"
+        " PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,"
+        " INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS"
+        " OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,"
+        " WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF"
+        " THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable"
+        " for any damages arising from the use of this software. Permission is granted to anyone to use this software for any"
+        " purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following"
+        " restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original"
+        " software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated"
+        " but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being"
+        " the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,"
         " compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,"
@@ -72,18 +98,37 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(flat, " "), lambda w: w != "")
 
 
-def bigrams_of(text: Column) -> Column:
-    """Hashes of the distinct pairs of neighbouring words.
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    The words are the only element of an array, so that they are split once however often they are used.
-    """
+
+def bigrams_of(text: Column) -> Column:
+    """Hashes of the pairs of neighbouring words, in order; the place of a pair is that of its first word."""
 
     def pairs(w: Column) -> Column:
         n = F.size(w)
         hashed = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(w[i], w[i + 1]))
-        return F.when(n >= 2, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= 2, hashed).otherwise(F.array().cast("array<bigint>"))
+
+    return F.coalesce(let(words_of(text), pairs), F.array().cast("array<bigint>"))
+
 
-    return F.coalesce(F.element_at(F.transform(F.array(words_of(text)), pairs), 1), F.array().cast("array<bigint>"))
+def anchored(templates: list[tuple[str, list[int]]], least: float) -> list[tuple[str, list[int], int, int, list[int]]]:
+    """Of each template with its bigrams: the distinct ones, how many bigrams it has, how many of the distinct ones
+    must be shared, and its anchors: one more than may be missing, those in the fewest templates first."""
+    seen: dict[int, int] = {}
+    for _, grams in templates:
+        for g in set(grams):
+            seen[g] = seen.get(g, 0) + 1
+    out = []
+    for name, grams in templates:
+        own = list(dict.fromkeys(grams))
+        need = max(1, math.ceil(len(own) * least / (2 - least) - 1e-9))
+        rare = sorted(own, key=lambda g: (seen[g], g))[: len(own) - need + 1]
+        if own:
+            out.append((name, own, len(grams), need, rare))
+    return out
 
 
 def scan_licences(
@@ -94,27 +139,46 @@ def scan_licences(
     text_col: str = "text",
     least: float = 0.8,
 ) -> DataFrame:
-    """``id, block, licence, dice`` for each block and template whose coefficient is ``least`` or more.
+    """``id, licence, first_word, n_words, dice``: of each text and template the best stretch of ``least`` or more.
 
-    Templates are a parameter of bounded size and sent to all executors.  Null, empty and one-word
-    texts have no bigrams and no rows; rows with equal ids give rows each; further columns are left
-    out; an empty table gives an empty result.
+    A stretch begins at a bigram of the template and ends at the last one within the template's length; of equally
+    good ones the first counts.  A text can match several templates, as where one contains
+    another, and has a row for each.  Templates are a parameter of bounded size and sent to all executors; their
+    bigrams are made by the same expression as those of texts.  Null, empty and one-word texts
+    have no bigrams and no rows; rows with equal ids give rows each; further columns are left out; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
-    table = spark.createDataFrame(list((TEMPLATES if templates is None else templates).items()), "licence string, body string")
-    table = table.select("licence", bigrams_of(F.col("body")).alias("own"))
-    share = least / (2 - least)
-    table = table.withColumn("n", F.size("own")).withColumn("low", F.col("n") * share).withColumn("high", F.col("n") / share)
-    lines = F.split(F.col(text_col), "\n", -1)
-    blocks = F.when(F.size(lines) > 1, F.concat(F.array(F.col(text_col)), lines)).otherwise(F.array(F.lit(None).cast("string"), F.col(text_col)))
-    found = (
-        docs.where(F.col(text_col).isNotNull())
-        .select(F.col(id_col), F.posexplode(blocks).alias("block", "body"))
-        .where(F.col("body").isNotNull())
-        .select(id_col, "block", bigrams_of(F.col("body")).alias("found"))
-        .withColumn("m", F.size("found"))
+    given = spark.createDataFrame(list((TEMPLATES if templates is None else templates).items()), "licence string, body string")
+    known = anchored([(r[0], r[1]) for r in given.select("licence", bigrams_of(F.col("body"))).collect()], least)
+    schema = "licence string, own array<bigint>, length int, need int, anchors array<bigint>"
+    table = spark.createDataFrame(known, schema)
+    anchors_of = sorted({g for *_, anchors in known for g in anchors})
+    any_anchor = (lambda g: g.isin(anchors_of)) if anchors_of else (lambda g: F.lit(False))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), bigrams_of(F.col(text_col)).alias("grams"))
+    rows = rows.withColumn("hits", F.array_distinct(F.filter("grams", any_anchor)))
+    # the templates of the anchors: a text is repeated once for each of them, and joined with those by name
+    has = lambda anchors: F.arrays_overlap("hits", F.array(*map(F.lit, anchors)))
+    several = F.array(*(F.when(has(anchors), F.lit(name)) for name, *_, anchors in known), F.lit(None).cast("string"))
+    pairs = rows.select(id_col, "grams", F.explode(F.filter(several, lambda x: x.isNotNull())).alias("licence")).join(F.broadcast(table.drop("anchors")), "licence")
+    at = F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains("own", F.element_at("grams", i + 1)))
+    pairs = pairs.withColumn("at", at).where(F.size("at") >= F.col("need"))
+    # places in ``at`` from which on enough shared bigrams lie within the template's length
+    begins = F.filter(
+        F.sequence(F.lit(1), F.size("at") - F.col("need") + 1),
+        lambda k: F.element_at("at", k + F.col("need") - 1) - F.element_at("at", k) < F.col("length"),
+    )
+
+    def stretch(k: Column) -> Column:
+        first = F.element_at("at", k)
+        last = F.array_max(F.filter(F.slice("at", k, F.col("length")), lambda p: p < first + F.col("length")))
+        found = F.array_distinct(F.slice("grams", first + 1, last - first + 1))
+        dice = let(found, lambda f: 2.0 * F.size(F.array_intersect(f, F.col("own"))) / (F.size(f) + F.size("own")))
+        return F.struct(dice.alias("dice"), (-first).alias("before"), (last - first + 2).alias("n_words"))
+
+    best = F.array_max(F.transform(begins, stretch))
+    return (
+        pairs.withColumn("best", best)
+        .where(F.col("best.dice") >= least)
+        .select(id_col, "licence", (-F.col("best.before")).alias("first_word"), F.col("best.n_words").alias("n_words"), F.col("best.dice").alias("dice"))
     )
-    # sizes are compared first, the bigrams only of what fits
-    dice = 2.0 * F.size(F.array_intersect("found", "own")) / F.nullif(F.col("m") + F.col("n"), F.lit(0))
-    fits = (F.col("m") >= F.col("low") - 1e-9) & (F.col("m") <= F.col("high") + 1e-9)
-    return found.join(F.broadcast(table), fits & (F.col("n") > 0) & (dice >= least)).select(id_col, "block", "licence", dice.alias("dice"))

@@ -106,21 +106,27 @@ def _licence_sql() -> str:
 
     values = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in TEMPLATES.items())
     words = "list_filter(string_split(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
-    grams = "list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))])"
+    grams = "[ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]"
     return f"""
         WITH t AS (
-            SELECT licence, {grams} AS own FROM (SELECT licence, {words.format("body")} AS ws FROM (VALUES {values}) v(licence, body))
-        ), b AS (
-            SELECT doc_id, 0 AS block, text AS body FROM documents WHERE contains(text, chr(10))
-            UNION ALL
-            SELECT doc_id, generate_subscripts(l, 1) AS block, unnest(l) AS body
-            FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
-        ), g AS (
-            SELECT doc_id, block, {grams} AS found FROM (SELECT doc_id, block, {words.format("body")} AS ws FROM b) WHERE len(ws) > 1
+            SELECT licence, list_distinct(g) AS own, CAST(len(g) AS BIGINT) AS length, CAST(ceil(len(list_distinct(g)) * 0.8 / 1.2 - 1e-9) AS BIGINT) AS need
+            FROM (SELECT licence, {grams} AS g FROM (SELECT licence, {words.format("body")} AS ws FROM (VALUES {values}) v(licence, body)))
         ), d AS (
-            SELECT doc_id, block, licence, 2.0::DOUBLE * len(list_intersect(found, own)) / (len(found) + len(own)) AS dice FROM g, t
+            SELECT row_number() OVER () AS r, doc_id, {grams} AS g FROM (SELECT doc_id, {words.format("text")} AS ws FROM documents WHERE text IS NOT NULL)
+        ), shared AS (
+            SELECT r, licence, i FROM (SELECT r, unnest(g) AS x, unnest(range(0, len(g))) AS i FROM d) JOIN (SELECT licence, unnest(own) AS x FROM t) USING (x)
+        ), begins AS (
+            SELECT s.r, s.licence, s.i, e.i AS other
+            FROM shared s JOIN t USING (licence) JOIN shared e ON e.r = s.r AND e.licence = s.licence AND e.i >= s.i AND e.i < s.i + t.length
+        ), stretches AS (
+            SELECT r, licence, i, max(other) AS last FROM begins JOIN t USING (licence) GROUP BY r, licence, i, need HAVING count(*) >= need
+        ), scored AS (
+            SELECT d.doc_id, r, licence, i, last, own, list_distinct(g[i + 1:last + 1]) AS found FROM stretches JOIN d USING (r) JOIN t USING (licence)
+        ), best AS (
+            SELECT *, 2.0::DOUBLE * len(list_intersect(found, own)) / (len(found) + len(own)) AS dice FROM scored
+            QUALIFY row_number() OVER (PARTITION BY r, licence ORDER BY 2.0::DOUBLE * len(list_intersect(found, own)) / (len(found) + len(own)) DESC, i) = 1
         )
-        SELECT doc_id, CAST(block AS INTEGER) AS block, licence, round(dice, 6) AS dice FROM d WHERE dice >= 0.8
+        SELECT doc_id, licence, CAST(i AS INTEGER) AS first_word, CAST(last - i + 2 AS INTEGER) AS n_words, round(dice, 6) AS dice FROM best WHERE dice >= 0.8
     """
 
 
