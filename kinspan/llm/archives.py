@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import fresh_folder
+from ..plans.shared import cut, fresh_folder
 
 #: The field lists that a version block declares.
 ARC_FIELDS = {
@@ -26,6 +26,7 @@ ARC_FIELDS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_REVISIT = 1000
+RECORDS_A_FILE = 20_000
 
 
 def write_arc(
@@ -105,7 +106,10 @@ def _line(data: memoryview, at: int) -> tuple[str, int]:
 
 
 def arc_records(content: bytes) -> Iterator[dict]:
-    """The records of an ARC file after its version block, by the fields that the block declares."""
+    """The records of an ARC file after its version block, by the fields that the block declares.
+
+    A file whose version block cannot be read is a ``ValueError``; where a record cannot, an ``error`` is the last one.
+    """
     data = inflated(content)
     if not len(data):
         return
@@ -123,13 +127,15 @@ def arc_records(content: bytes) -> Iterator[dict]:
         line, at = _line(data, at)
         if not line:
             continue
-        values = line.split(" ")
-        if len(values) != len(fields):
-            raise ValueError(f"an ARC record at {begun} has {len(values)} fields of {len(fields)}")
-        record = dict(zip(fields, values, strict=True))
-        size = int(record["Archive-length"])
-        if at + size > len(data):
-            raise ValueError(f"the ARC record at {begun} ends after its file")
+        # old crawlers left blanks in URLs, so the fields are counted from the right
+        values = line.rsplit(" ", len(fields) - 1)
+        record = dict(zip(fields, values, strict=False))
+        size = record.get("Archive-length", "")
+        if not size.isdigit() or at + int(size) > len(data):
+            # without a length nothing says where the next record begins
+            yield {"offset": begun, "error": f"unreadable from byte {begun} on: {line[:200]}"}
+            return
+        size = int(size)
         yield record | {"offset": begun, "content": data[at : at + size]}
         at += size
 
@@ -162,28 +168,42 @@ def record_urn(*parts: object) -> str:
 
 CAPTURE = (
     "record_id string, page_id long, url string, ip string, date string, http_head binary,"
-    " payload binary, payload_bytes long, payload_digest string"
+    " payload binary, payload_bytes long, payload_digest string, error string"
 )
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of all ARC files below a path, with WARC identifiers, timestamps and SHA-1 digests."""
+    """Captures of all ARC files below a path, with WARC identifiers, timestamps and SHA-1 digests.
+
+    Every file is read, whatever its name.  What cannot be read is a row with nothing but ``url``, the file's
+    path, and ``error``; the records before it are captures as others.
+    """
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
             [("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()),
-             ("http_head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+             ("http_head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("error", pa.string())]
         )
+
+        def records(content: bytes) -> Iterator[dict]:
+            try:
+                yield from arc_records(content)
+            except (ValueError, IndexError, zlib.error) as e:
+                yield {"offset": 0, "error": str(e)}
+
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, held = [], 0
-                for r in arc_records(content):
+                for r in records(content):
+                    if "error" in r:
+                        rows.append((None, None, name, None, None, None, None, None, None, r["error"]))
+                        continue
                     head, body = split_http(r["content"])
                     key = http_header(head, b"X-Page-Id")
                     digest = hashlib.sha1(body).hexdigest()
                     place = name.rsplit("/", 1)[-1]
                     rows.append((record_urn(place, r["offset"], r["URL"], digest), int(key) if key else None, r["URL"], r["IP-address"],
-                                 warc_date(r["Archive-date"]), head, body, len(body), digest))
+                                 warc_date(r["Archive-date"]), head, body, len(body), digest, None))
                     held += len(body)
                     if held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -191,18 +211,19 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInArrow(parse, CAPTURE)
 
 
 def convert(captures: DataFrame, path: str, *, work: str) -> None:
-    """Captures as gzipped WARC files.
+    """Captures as gzipped WARC files of ``RECORDS_A_FILE`` records at most; rows with an error are left out.
 
     Of captures with equal payloads of ``LEAST_REVISIT`` bytes or more, the one with the largest
     page id (and, among equal ids, the largest record id) is a response; the others become
     revisits that name it.  The table of payloads that occur more than once is written to
     ``work`` first: Spark broadcasts it below its own threshold, and else sorts and joins it.
     """
+    captures = cut(captures.where("error IS NULL").drop("error"))  # archives are parsed once
     long = F.col("payload_bytes") >= LEAST_REVISIT
     (
         captures.where(long)
@@ -242,7 +263,7 @@ def convert(captures: DataFrame, path: str, *, work: str) -> None:
         head,
         F.when(again, F.lit("")).otherwise(F.col("payload").cast("string")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -286,7 +307,8 @@ RECORD = (
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row per response or revisit record of all WARC files below a path.
 
-    Digests of responses are recomputed from the payload and must agree with the header.
+    Digests of responses are recomputed from the payload and must agree with the header.  Revisits
+    hold no payload, so ``payload_bytes`` is null for them.
     """
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +324,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     digest = _hex_digest(fields["warc-payload-digest"])
                     size = len(body)
                     if fields["warc-type"] == "revisit":
-                        size = int(http_header(head, b"Content-Length") or 0)
+                        size = None  # its payload is that of the record it refers to
                     elif hashlib.sha1(body).hexdigest() != digest:
                         raise ValueError(f"the payload of {fields['warc-record-id']} does not match its digest")
                     key = http_header(head, b"X-Page-Id")
@@ -311,7 +333,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").load(path)
     return files.select("content").mapInArrow(parse, RECORD)
 
 
@@ -332,6 +354,6 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     records = spark.read.schema(RECORD).parquet(f"{at}/records")
     keep = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("date").alias("warc_date"), "record_id"]
     own = records.where("record_type = 'response'")
-    target = own.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    revisits = records.where("record_type = 'revisit'").join(target, "refers_to_id", "left")
+    target = own.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), "payload_bytes")
+    revisits = records.where("record_type = 'revisit'").drop("payload_bytes").join(target, "refers_to_id", "left")
     return own.withColumn("refers_to", F.lit(None).cast("long")).select(*keep).unionByName(revisits.select(*keep))
