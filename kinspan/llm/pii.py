@@ -37,14 +37,14 @@ PATTERNS = {
         r"|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)"
     ),
     "name": (
-        r"(?=\p{Lu}\p{Ll})(?<=\s)(?<=\b(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.?\s)"
-        r"\p{Lu}\p{Ll}{1,30}(?:[ \-]\p{Lu}\p{Ll}{1,30}){0,2}"
+        r"(?=\p{Lu}\p{Ll})(?<=\s)(?<=\b(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Dr|Prof|Doctor|Professor"
+        r"|Господин|Госпожа|[Mm]y name is|[Nn]ame:)\.?\s)\p{Lu}\p{Ll}{1,30}(?:[ \-]\p{Lu}\p{Ll}{1,30}){0,2}"
     ),
 }
-#: A text without a digit, a key word, an at sign or one of these has no mention.
+#: A text without a digit, a key word or one of these has no mention: every pattern needs one of them.
 HINTS = (
-    "@ Mr Ms Miss Sir Madam Herr Frau Monsieur Mme Señor Sr. Sra Господин Госпожа"
-).split()
+    "@ AKIA ghp_ gho_ ghu_ ghs_ ghr_ sk- Mr Ms Miss Sir Madam Herr Frau Monsieur Mme Señor Sr Dr Prof Doctor Господин Госпожа ame:"
+).split() + ["y name is"]
 FEMALE = r"\b(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|Sra|Госпожа)\.?\s$"
 #: Given names by gender and script, and syllables of family names by script.
 GIVEN = {
@@ -57,6 +57,9 @@ SYLLABLES = {
     "latin": "ba ber da del fo gan ka lan mar nel or pa ros sen tor vin".split(),
     "cyrillic": "ба бер да дел фо ган ка лан мар нел ор па рос сен тор вин".split(),
 }
+#: A given name of these lists and a name after it are a name without any title.
+PATTERNS["name"] += r"|(?<!\p{L})(?:" + "|".join(x for names in GIVEN.values() for x in names) + r")(?: \p{Lu}\p{Ll}{1,30}){1,2}(?!\p{L})"
+HINTS += [f"{x} " for names in GIVEN.values() for x in names]
 #: A mention begins where no letter, digit or underscore stands before, which is looked at first.
 WHOLE = "(?<![A-Za-z0-9_])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
@@ -113,10 +116,10 @@ def canonical(kind: Column, value: Column) -> Column:
     number = digits(value)
     return (
         F.when(kind == "email", F.lower(value))
-        .when(kind == "phone", F.when(F.length(number) > 10, F.substring(number, F.length(number) - 9, F.lit(10))).otherwise(number))
+        .when(kind == "phone", F.when(number.rlike("^1[0-9]{10}$"), F.substring(number, 2, 10)).otherwise(number))
         .when(kind.isin("card", "ssn"), number)
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
-        .when(kind.startswith("name"), F.lower(value))
+        .when(kind.rlike("^(given|family)-"), F.lower(value))
         .otherwise(value)
     )
 
@@ -155,20 +158,32 @@ def _from_stream(stream: Column, kind: Column, value: Column, attempt: Column) -
     ))
     body = F.concat(F.substring(value, 1, 1), F.substring(number, F.lit(1), F.length(value) - 2))
     card = let(body, lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")))
-    words = F.size(F.split(value, "[ -]"))
     out = F.when(kind == "email", email).when(kind == "ip", address)
-    out = out.when(kind == "phone", F.when(F.length(value) == 10, phone).otherwise(F.substring(number, F.lit(1), F.length(value))))
-    out = out.when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), F.substring(number, 2, 8)))
+    # the country code before ten digits stays
+    code = F.greatest(F.length(value) - 10, F.lit(0))
+    longer = F.concat(F.substring(value, F.lit(1), code), F.substring(number, F.lit(1), F.length(value) - code))
+    out = out.when(kind == "phone", F.when(F.length(value) == 10, phone).otherwise(longer))
+    # no number issued begins with 9, as long as there are enough of these
+    out = out.when(kind == "card", card).when(kind == "ssn", F.when(attempt < 8, F.concat(F.lit("9"), F.substring(number, 2, 8))).otherwise(F.substring(number, 1, 9)))
+    for script in SYLLABLES:
+        out = out.when(kind == f"family-{script}", _family(stream, script, 109, attempt))
     for name, given in GIVEN.items():
-        script = name.split("-")[1]
-        family = _family(stream, script, 109, attempt)
-        full = F.concat(_pick(stream, 1, given), F.lit(" "), family)
-        out = out.when(kind == f"name-{name}", F.when(words > 1, full).otherwise(family))
+        more = F.when(attempt > 0, F.lower(_family(stream, name.split("-")[1], 109, attempt))).otherwise(F.lit(""))
+        out = out.when(kind == f"given-{name}", F.concat(_pick(stream, 1, given), more))
+    out = out.when(kind == "iban", let(_reshaped(value, stream, F.lit(2)), checked_iban))
     # the prefix that tells what a secret is stays
-    prefix = F.when(kind == "iban", 2).when(value.rlike("^(?:AKIA|gh[pousr]_)"), 4).when(value.startswith("sk-"), 3).otherwise(0)
+    prefix = F.when(value.rlike("^(?:AKIA|gh[pousr]_)"), 4).when(value.startswith("sk-"), 3).otherwise(0)
     return out.otherwise(let(prefix, lambda keep: _reshaped(value, stream, keep)))
 
 
+def checked_iban(value: Column) -> Column:
+    """The account number with the check digits (the third and fourth character) that make it 1 modulo 97."""
+    moved = F.concat(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 2), F.lit("00"))
+    worth = lambda c: F.conv(c, 36, 10).cast("int")
+    rest = F.aggregate(F.split(moved, "(?!^)"), F.lit(0), lambda s, c: (s * F.when(worth(c) > 9, 100).otherwise(10) + worth(c)) % 97)
+    return F.concat(F.substring(value, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substring(value, F.lit(5), F.length(value)))
+
+
 def _reshaped(value: Column, stream: Column, keep: Column) -> Column:
     """The value with every letter and digit after the first ``keep`` replaced by another of its class."""
 
@@ -208,18 +223,41 @@ def written(kind: Column, value: Column, made: Column) -> Column:
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind, value, made`` with a surrogate of its own for each entity, none of them an entity's value."""
     held = entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
-    real = cut(held.select("kind", F.col("value").alias("made")))
+    real = cut(held.select("kind", F.col("value").alias("plain")))
+    plain = F.when(F.col("kind").rlike("^(given|family)-"), F.lower("made")).otherwise(F.col("made"))
     for _ in range(ATTEMPTS):
-        made = cut(held.withColumn("made", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt"))))
-        again = made.selectExpr("kind", "value", "made", "row_number() OVER (PARTITION BY kind, made ORDER BY attempt DESC, value) AS n")
-        clash = again.where("n > 1").select("kind", "value").union(made.join(real, ["kind", "made"], "left_semi").select("kind", "value"))
+        made = cut(held.withColumn("made", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt"))).withColumn("plain", plain))
+        again = made.selectExpr("kind", "value", "row_number() OVER (PARTITION BY kind, plain ORDER BY attempt DESC, value) AS n")
+        clash = again.where("n > 1").select("kind", "value").union(made.join(real, ["kind", "plain"], "left_semi").select("kind", "value"))
         clash = cut(clash.distinct().withColumn("clash", F.lit(1)))
-        if not clash.limit(1).count():
+        if clash.isEmpty():
             return made.select("kind", "value", "made")
         held = made.join(clash, ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("clash", F.lit(0))).alias("attempt"))
     raise ValueError("there are more entities of a type than surrogates of its form")
 
 
+def name_parts(said: Column, female: Column) -> Column:
+    """The words of a name as entities of their own, so that a full name and a later mention of a part of it agree.
+
+    The last word is a family name, and so is a single one unless it is a given name of the lists; the gender of
+    a given name is that of the lists, else of the title.
+    """
+    lists = {kind: [x.lower() for x in names] for kind, names in GIVEN.items()}
+    script = F.when(said.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    words = F.split(said, "[ -]")
+
+    def part(word: Column, i: Column) -> Column:
+        low = F.lower(word)
+        listed = reduce(lambda x, kind: x.when(low.isin(lists[kind]), F.lit(f"given-{kind}")), lists, F.when(F.lit(False), F.lit("")))
+        given = F.coalesce(listed, F.concat(F.lit("given-"), F.when(female, F.lit("f-")).otherwise(F.lit("m-")), script))
+        family = F.concat(F.lit("family-"), script)
+        n = F.size(words)
+        kind = F.when(i < n - 1, given).when(n == 1, F.coalesce(listed, family)).otherwise(family)
+        return F.struct(kind.alias("kind"), low.alias("value"))
+
+    return F.transform(words, part)
+
+
 def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with surrogates in the text and ``n_entities``, the number of mentions replaced.
 
@@ -247,13 +285,20 @@ def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_
         .where("m.mentions IS NOT NULL")
         .select("id", "digest", "at", F.col("m.mentions").alias("said"), F.when(F.col("m.keyed") != "", F.lit("secret")).otherwise(type_of(F.col("m.mentions"))).alias("kind"), "m.titles")
     )
-    gender = F.concat(F.when(F.col("titles"), "f-").otherwise("m-"), F.when(F.col("said").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin"))
-    listed = listed.withColumn("kind", F.when(F.col("kind") == "name", F.concat(F.lit("name-"), gender)).otherwise(F.col("kind")))
-    listed = cut(listed.withColumn("value", canonical(F.col("kind"), F.col("said"))).drop("titles"))
+    parts = F.when(F.col("kind") == "name", name_parts(F.col("said"), F.col("titles")))
+    parts = parts.otherwise(F.array(F.struct("kind", canonical(F.col("kind"), F.col("said")).alias("value"))))
+    listed = cut(listed.select("id", "digest", "at", "said", "kind", F.posexplode(parts).alias("nth", "p")).select("id", "digest", "at", "said", F.col("kind").alias("type"), "nth", "p.kind", "p.value"))
     made = distinct_surrogates(listed.where("kind IS NOT NULL"), key)
-    new = listed.join(made, ["kind", "value"], "left").select(
-        "id", "digest", "at", F.coalesce(written(F.col("kind"), F.col("said"), F.col("made")), "said").alias("new"), F.col("made").isNotNull().alias("hit")
+    put = F.when(F.col("type") == "name", F.col("made")).otherwise(written(F.col("type"), F.col("said"), F.col("made")))
+    new = (
+        listed.join(made, ["kind", "value"], "left")
+        .groupBy("id", "digest", "at", "said")
+        .agg(F.sort_array(F.collect_list(F.struct("nth", put.alias("put")))).alias("puts"), F.bool_or(F.col("made").isNotNull()).alias("hit"))
     )
+    # the words of a name keep what stood between them
+    joints = F.concat(F.slice(F.split("said", r"[^ \-]+", -1), 2, 1000), F.array(F.lit("")))
+    spelled = F.array_join(F.zip_with("puts", F.slice(joints, F.lit(1), F.size("puts")), lambda x, y: F.concat(x["put"], F.when(F.size("puts") > 1, y).otherwise(F.lit("")))), "")
+    new = new.select("id", "digest", "at", F.when(F.col("hit"), spelled).otherwise(F.col("said")).alias("new"), "hit")
     texts = new.groupBy("id", "digest").agg(
         F.array_sort(F.collect_list(F.struct("at", "new"))).alias("news"), F.count_if("hit").cast("int").alias("n_entities")
     )
