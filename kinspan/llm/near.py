@@ -224,7 +224,7 @@ def near_duplicates(
     shingle: int = 5,
     percent: int = 80,
     block_members: int = 2048,
-    block_shingles: int = 250_000,
+    block_shingles: int = 50_000,
 ) -> DataFrame:
     """Groups of documents linked by ``100 * intersection >= percent * union`` of their shingle sets.
 
