@@ -1,16 +1,16 @@
 """Byte-level BPE by the ranks of a public vocabulary: each distinct word of the corpus is encoded once.
 
-Slices of texts are written once as a table: the slice's distinct pre-tokens, and for each text the
-places of its pre-tokens in that list.  The words are exploded and made distinct over the corpus,
-each is encoded once, and the ids are joined back to the words of the slices, where texts are put
-together by position.  Decoding joins the distinct ids of a slice with the table of token bytes.
-All later steps read the written table, so that a task that runs again meets the same slices.
+A slice of texts has a list of its distinct pre-tokens, and for each text the places of its pre-tokens in
+that list.  The lists are exploded and shuffled by word; each distinct word is encoded once, its ids are joined
+with the table of token bytes, and both are joined back to the slices, which put their texts together by
+position.  Slices are cut from rows sorted within their partition and named by what they hold, so that a task that
+runs again makes the same ones; if its input had other rows by then, the run fails rather than mix them up.
 """
 
 from __future__ import annotations
 
 import base64
-import uuid
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.shared import cut, fresh_folder
+from ..plans.shared import cut
 from .words import slices
 
 
@@ -94,9 +94,9 @@ def _tools(pattern: str):
     return regex.compile(pattern)
 
 
-def sliced(part: pa.RecordBatch, pattern: str) -> pa.RecordBatch:
-    """A slice of texts as one row: its key, the ids, how many pre-tokens each text has, the places of these in
-    the list of distinct words, and that list, frequent words first."""
+def sliced(part: pa.RecordBatch, pattern: str, place_of: tuple[int, int]) -> pa.RecordBatch:
+    """A slice of texts as one row: its name, the ids, how many pre-tokens each text has, the places of these in
+    the sorted list of distinct words (``wide`` where there are too many for 16 bits), and that list."""
     find = _tools(pattern).findall
     number: dict[str, int] = {}
     at: list[int] = []
@@ -105,47 +105,64 @@ def sliced(part: pa.RecordBatch, pattern: str) -> pa.RecordBatch:
         words = find(text) if text else []
         counts.append(len(words))
         at.extend([number.setdefault(w, len(number)) for w in words])
-    at = np.array(at, np.int32)
-    order = np.argsort(-np.bincount(at, minlength=len(number)), kind="stable")
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    words = pa.array(list(number), pa.string()).take(pa.array(order))
+    words = sorted(number)
+    place = np.empty(len(words), np.int64)
+    place[[number[w] for w in words]] = np.arange(len(words))
+    places = place[np.array(at, np.int64)]
+    content = hashlib.blake2b(repr((place_of, counts)).encode() + places.tobytes() + "\0".join(words).encode(), digest_size=8)
+    none = pa.array([None], pa.list_(pa.int16())), pa.array([None], pa.list_(pa.int32()))
     whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    narrow = len(words) <= 1 << 16
     return pa.RecordBatch.from_arrays(
-        [pa.array([uuid.uuid4().hex]), whole(part.column(0)), whole(pa.array(counts, pa.int32())), whole(pa.array(place[at])), whole(words)],
-        ["slice", "ids", "counts", "places", "words"],
+        [
+            pa.array([int.from_bytes(content.digest(), "little", signed=True)], pa.int64()),
+            whole(part.column(0)),
+            whole(pa.array(counts, pa.int32())),
+            whole(pa.array(places.astype(np.uint16).view(np.int16))) if narrow else none[0],
+            none[1] if narrow else whole(pa.array(places.astype(np.int32))),
+            whole(pa.array(words, pa.string())),
+        ],
+        ["slice", "ids", "counts", "places", "wide", "words"],
     )
 
 
+def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``slice, place, word`` of the lists of slices.  (Reading whole rows keeps the shuffle of slices one for both its uses.)"""
+    for batch in batches:
+        words = batch.column(5)
+        size = pc.list_value_length(words).to_numpy()
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        slices_ = pa.array(np.repeat(batch.column(0).to_numpy(), size))
+        yield pa.RecordBatch.from_arrays([slices_, pa.array(at.astype(np.int32)), words.flatten()], ["slice", "place", "word"])
+
+
 def assemble(own: pa.Table, told: pa.Table) -> pa.Table:
-    """A slice's texts as ids, by position, and the bytes that these decode to."""
+    """A slice's texts as ids and as the bytes of these, by position."""
     own = own.combine_chunks()
     flat = lambda name: own.column(name).combine_chunks().flatten()
-    counts, places = flat("counts").to_numpy(), flat("places").to_numpy()
-    words = told.filter(pc.is_valid(told.column("place"))).sort_by("place").combine_chunks()
-    tokens = told.filter(pc.is_valid(told.column("token"))).sort_by("token").combine_chunks()
-    if words.num_rows:
-        lists = words.column("encoded").combine_chunks()
-        size, values = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy()
-    else:
-        size, values = np.zeros(0, np.int64), np.zeros(0, np.int32)
-    begin = np.cumsum(size) - size
-    n = size[places]
-    done = np.cumsum(n)
-    out = values[np.repeat(begin[places] - (done - n), n) + np.arange(int(n.sum()))]
-    cut_ = np.concatenate([[0], done])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-    if len(out):
-        known = tokens.column("token").to_numpy()
-        decoded = tokens.column("bytes").combine_chunks().cast(pa.large_binary()).take(pa.array(np.searchsorted(known, out)))
-        ends, data = np.frombuffer(decoded.buffers()[1], np.int64)[: len(out) + 1], decoded.buffers()[2]
+    counts, places = flat("counts").to_numpy(), flat("places").to_numpy().view(np.uint16)
+    places = (places if len(places) else flat("wide").to_numpy()).astype(np.int64)
+    rows = told.column("told").combine_chunks().flatten() if told.num_rows else pa.array([], pa.struct({"place": pa.int32(), "encoded": pa.list_(pa.int32()), "decoded": pa.binary()}))
+    order = pa.array(np.argsort(rows.field("place").to_numpy(), kind="stable"))
+    if own.num_rows != 1 or len(order) != len(flat("words")):
+        raise ValueError("a slice changed while it was encoded: the order or number of input rows is not fixed")
+    encoded, decoded = rows.field("encoded").take(order), rows.field("decoded").take(order)
+    size = pc.list_value_length(encoded).to_numpy().astype(np.int64)
+    begin, n = np.cumsum(size) - size, size[places]
+    done = np.concatenate([[0], np.cumsum(n)])
+    out = encoded.flatten().to_numpy()[np.repeat(begin[places] - done[:-1], n) + np.arange(int(n.sum()))]
+    bound = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    if len(places):
+        spelled = decoded.cast(pa.large_binary()).take(pa.array(places))
+        ends, data = np.frombuffer(spelled.buffers()[1], np.int64)[: len(places) + 1], spelled.buffers()[2]
     else:
         ends, data = np.zeros(1, np.int64), pa.py_buffer(b"")
-    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.ascontiguousarray(ends[cut_])), data])
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.ascontiguousarray(ends[bound])), data])
     return pa.table(
         {
             "id": flat("ids"),
-            "n_tokens": pa.array(np.diff(cut_)),
-            "ids": pa.ListArray.from_arrays(pa.array(cut_.astype(np.int32)), pa.array(out.astype(np.int32))),
+            "n_tokens": pa.array(np.diff(done[bound])),
+            "ids": pa.ListArray.from_arrays(pa.array(done[bound].astype(np.int32)), pa.array(out.astype(np.int32))),
             "decoded": texts.cast(pa.binary()),
         }
     )
@@ -158,7 +175,7 @@ def encode(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    slice_bytes: int = 4 << 20,
+    slice_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Token ids of every text and the bytes they decode to, without special tokens.
 
@@ -167,40 +184,42 @@ def encode(
     have no tokens; rows with equal ids are encoded each; further columns are left out; an empty
     table gives an empty result.  The ranks go to the executors once, as a broadcast whose size is
     the vocabulary's; a token must be known for each single byte that occurs.  A word has one row a slice of
-    about ``slice_bytes``, so rows grow with the input and none with the number of slices times words.
+    about ``slice_bytes``, so that the rows grow with the input.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(ranks)
     kind = docs.schema[id_col].dataType
     held = T.StructType(
         [
-            T.StructField("slice", T.StringType()),
+            T.StructField("slice", T.LongType()),
             T.StructField("ids", T.ArrayType(kind)),
             T.StructField("counts", T.ArrayType(T.IntegerType())),
-            T.StructField("places", T.ArrayType(T.IntegerType())),
+            T.StructField("places", T.ArrayType(T.ShortType())),
+            T.StructField("wide", T.ArrayType(T.IntegerType())),
             T.StructField("words", T.ArrayType(T.StringType())),
         ]
     )
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", slice_bytes):
-            yield sliced(part, pattern)
-
-    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [merge_word(w.encode(), sent.value) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "encoded"])
-
-    path = fresh_folder(spark, "slices")
-    docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(split, held).write.parquet(path)
-    words = spark.read.schema(held).parquet(path).select("slice", F.posexplode("words").alias("place", "word"))
-    distinct = cut(words.select("word").distinct().mapInArrow(encoded, "word string, encoded array<int>"))
-    back = words.join(distinct, "word").select("slice", "place", "encoded")
-    # the ids that occur in a slice, with their bytes; the vocabulary is a table of bounded size
-    used = back.select("slice", F.explode("encoded").alias("token")).distinct().join(F.broadcast(token_table(spark, ranks)), "token")
-    told = back.selectExpr("slice", "place", "encoded", "CAST(NULL AS INT) AS token", "CAST(NULL AS BINARY) AS bytes").unionByName(
-        used.selectExpr("slice", "CAST(NULL AS INT) AS place", "CAST(NULL AS ARRAY<INT>) AS encoded", "token", "bytes")
-    )
+        from pyspark import TaskContext
+
+        for number, part in enumerate(slices(batches, "text", slice_bytes)):
+            yield sliced(part, pattern, (TaskContext.get().partitionId(), number))
+
+    @F.arrow_udf("array<int>")
+    def ids_of(words: pa.Array) -> pa.Array:
+        return pa.array([merge_word(w.encode(), sent.value) for w in words.to_pylist()], pa.list_(pa.int32()))
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).sortWithinPartitions("id", F.xxhash64("text"))
+    dealt = rows.mapInArrow(split, held).repartition("slice")
+    words = dealt.mapInArrow(listed, "slice bigint, place int, word string").repartition("word")
+    # a row of each word is asked for whole, so that the shuffle of words is one for this and for the join
+    distinct = words.groupBy("word").agg(F.max(F.struct("slice", "place")).alias("one")).where("one.slice IS NOT NULL AND one.place IS NOT NULL")
+    encoded = distinct.select("word", ids_of("word").alias("encoded")).select("word", F.posexplode("encoded").alias("at", "token"))
+    spelled = encoded.join(F.broadcast(token_table(spark, ranks)), "token")
+    known = spelled.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "token", F.hex("bytes").alias("hex")))).alias("x"))
+    known = known.select("word", F.col("x.token").alias("encoded"), F.unhex(F.array_join("x.hex", "")).alias("decoded"))
+    told = words.join(known, "word").groupBy("slice").agg(F.collect_list(F.struct("place", "encoded", "decoded")).alias("told"))
     result = T.StructType(
         [
             T.StructField("id", kind),
@@ -209,8 +228,7 @@ def encode(
             T.StructField("decoded", T.BinaryType()),
         ]
     )
-    texts = spark.read.schema(held).parquet(path).select("slice", "ids", "counts", "places").groupBy("slice")
-    return texts.cogroup(told.groupBy("slice")).applyInArrow(assemble, result).withColumnRenamed("id", id_col)
+    return dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(assemble, result).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
