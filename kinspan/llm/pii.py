@@ -58,8 +58,8 @@ SYLLABLES = {
     "cyrillic": "ба бер да дел фо ган ка лан мар нел ор па рос сен тор вин".split(),
 }
 #: A given name of these lists and a name after it are a name without any title.
-PATTERNS["name"] += r"|(?<!\p{L})(?:" + "|".join(x for names in GIVEN.values() for x in names) + r")(?: \p{Lu}\p{Ll}{1,30}){1,2}(?!\p{L})"
-HINTS += [f"{x} " for names in GIVEN.values() for x in names]
+PATTERNS["name"] += r"|(?<!\p{L})(?:" + "|".join(x for names in GIVEN.values() for x in names) + r")(?:[ \-]\p{Lu}\p{Ll}{1,30}){1,2}(?!\p{L})"
+HINTS += [x for names in GIVEN.values() for x in names]
 #: A mention begins where no letter, digit or underscore stands before, which is looked at first.
 WHOLE = "(?<![A-Za-z0-9_])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
@@ -180,7 +180,7 @@ def checked_iban(value: Column) -> Column:
     """The account number with the check digits (the third and fourth character) that make it 1 modulo 97."""
     moved = F.concat(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 2), F.lit("00"))
     worth = lambda c: F.conv(c, 36, 10).cast("int")
-    rest = F.aggregate(F.split(moved, "(?!^)"), F.lit(0), lambda s, c: (s * F.when(worth(c) > 9, 100).otherwise(10) + worth(c)) % 97)
+    rest = F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), lambda s, c: (s * F.when(worth(c) > 9, 100).otherwise(10) + worth(c)) % 97)
     return F.concat(F.substring(value, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substring(value, F.lit(5), F.length(value)))
 
 
