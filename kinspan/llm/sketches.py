@@ -102,7 +102,7 @@ def recover(pairs: DataFrame, level: int) -> DataFrame:
     )
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, most_buckets: int) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, most_bounds: int) -> DataFrame:
     """``row, id, text, next``: each document with the text of the next one by descending id.
 
     Ranges of ids with about ``bucket_bytes`` of text each are sorted by themselves; the first
@@ -110,32 +110,36 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, mo
     follow one another by a hash of their texts; null ids come last; after the last comes the first.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total, any_null = texts.agg(F.sum(F.octet_length("text")), F.bool_or(F.col("id").isNull())).first()
-    total = total or 0
-    levels = max(0, math.ceil(math.log2(max(1, min(most_buckets, math.ceil(total / bucket_bytes))))))
+    total, any_null, low, high = texts.agg(F.sum(F.octet_length("text")), F.bool_or(F.col("id").isNull()), F.min("id"), F.max("id")).first()
+    ranges = max(1, math.ceil((total or 0) / bucket_bytes))
+    levels = max(0, math.ceil(math.log2(min(most_bounds, ranges))))
     n = 1 << levels
     bounds: list[int] = []
     if n > 1:
         cuts = [i / n for i in range(1, n)]
         bounds = texts.agg(F.percentile_approx("id", cuts, 100 * n)).first()[0] or []
+    bucket = F.lit(0).cast("long")
     if bounds:
-        bucket = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_search(F.array(*map(F.lit, bounds)), levels))
-    else:
-        bucket = F.lit(0)
-    placed = texts.withColumn("bucket", bucket.cast("int"))
-    # one row for each range: at most ``most_buckets``
-    tops = sorted((r["bucket"], r["top"]) for r in placed.groupBy("bucket").agg(F.max("id").alias("top")).collect() if r["top"] is not None)
-    low = 0 if any_null else min((b for b, _ in tops), default=0)
-    follows = [(tops[i][1], tops[i + 1][0]) for i in range(len(tops) - 1)] + ([(tops[-1][1], low)] if tops else [])
-    kind = docs.schema[id_col].dataType.simpleString()
-    halo = docs.sparkSession.createDataFrame(follows, f"id {kind}, bucket int")
-    sent = texts.join(F.broadcast(halo), "id").select("id", "text", "bucket", F.lit(1).alias("halo"))
+        bucket = _search(F.array(*map(F.lit, bounds)), levels).cast("long")
+    # beyond as many quantiles as the driver should hold, each range is divided evenly
+    parts = math.ceil(ranges / n)
+    if bounds and parts > 1:
+        edges = F.array(*map(F.lit, [low, *bounds, high]))
+        begin, end = F.element_at(edges, bucket.cast("int") + 1), F.element_at(edges, bucket.cast("int") + 2)
+        share = (F.col("id") - begin).cast("double") / F.greatest((end - begin).cast("double"), F.lit(1.0))
+        bucket = bucket * parts + F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
+    placed = texts.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(0)).otherwise(bucket).cast("long"))
+    # one row a range: its first document goes to the range above; the last range's goes to the lowest
+    tops = placed.where("id IS NOT NULL").groupBy("bucket").agg(F.max("id").alias("id"))
+    lowest = "0" if any_null else "min(bucket) OVER ()"
+    halo = tops.selectExpr("id", f"coalesce(lead(bucket) OVER (ORDER BY bucket), {lowest}) AS bucket")
+    sent = texts.join(halo, "id").select("id", "text", "bucket", F.lit(1).alias("halo"))
     both = placed.select("id", "text", "bucket", F.lit(0).alias("halo")).unionByName(sent)
     order = "OVER (PARTITION BY bucket ORDER BY halo, id DESC NULLS LAST, xxhash64(text), text)"
     out = both.selectExpr("bucket", "halo", "id", "text", f"lead(text) {order} AS following", f"row_number() {order} AS number",
                           f"first(text) {order} AS first_text")
     return out.where("halo = 0").selectExpr(
-        "shiftleft(CAST(bucket AS BIGINT), 40) + number AS row", "id", "text", "coalesce(following, first_text) AS next"
+        "shiftleft(bucket, 36) + number AS row", "id", "text", "coalesce(following, first_text) AS next"
     )
 
 
@@ -162,7 +166,7 @@ def fingerprints(
     id_col: str = "doc_id",
     text_col: str = "text",
     bucket_bytes: int = 8 << 20,
-    most_buckets: int = 1 << 14,
+    most_bounds: int = 1 << 14,
 ) -> DataFrame:
     """Fingerprints of every text and of its edited version, and what they say of likeness.
 
@@ -174,7 +178,7 @@ def fingerprints(
     """
     spark = docs.sparkSession
     folder = fresh_folder(spark, "sketches")
-    rows = with_next(docs, id_col, text_col, bucket_bytes, most_buckets)
+    rows = with_next(docs, id_col, text_col, bucket_bytes, most_bounds)
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next")))
     rows.select(
         "row", "id", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"),
