@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Lengths up to this are counted one by one; longer ones in steps of at most 1/512 of the length.
-EXACT = 1024
+from ..plans.shared import cut
 
 
 def word_count(text: Column) -> Column:
@@ -17,17 +16,19 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def _step(length: Column) -> Column:
-    """The histogram bin of a length: its number for short ones, 512 bins for each doubling beyond."""
+def _step(length: Column, resolution: int | None) -> Column:
+    """The histogram bin of a length: its number up to twice the resolution, as many bins for each doubling beyond."""
+    if resolution is None:
+        return length.cast("long")
     doubling = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")))
-    width = F.when(length <= EXACT, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), doubling - 9))
+    width = F.when(length <= 2 * resolution, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), doubling) / resolution)
     return (F.ceil(length / width) * width).cast("long")
 
 
-def length_histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
-    """``bin, longest, n, total`` for each bin of lengths that occurs (some 10,000 rows at most)."""
+def length_histogram(lengths: DataFrame, length: str = "n_tokens", resolution: int | None = None) -> DataFrame:
+    """``bin, longest, n, total`` for each bin of lengths that occurs."""
     return (
-        lengths.groupBy(_step(F.col(length)).alias("bin"))
+        lengths.groupBy(_step(F.col(length), resolution).alias("bin"))
         .agg(F.max(length).alias("longest"), F.count("*").alias("n"), F.sum(length).alias("total"))
         .orderBy("bin")
     )
@@ -36,8 +37,9 @@ def length_histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
 def optimal_boundaries(longest: np.ndarray, n: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
     """Upper lengths of at most ``buckets`` buckets that minimise ``sum(boundary - length)``.
 
-    Exact dynamic programming over the ascending bins: ``best[j]`` is the least padding
-    of the bins before j with the buckets used so far.
+    Exact dynamic programming over the ascending bins: ``best[j]`` is the least padding of the bins before j with
+    the buckets used so far.  The best cut does not fall as j grows, so that each layer is divided and
+    conquered: half of what is left is looked at for each bin, on the average of the halvings.
     """
     bins = len(longest)
     if not bins:
@@ -47,18 +49,26 @@ def optimal_boundaries(longest: np.ndarray, n: np.ndarray, total: np.ndarray, bu
     best = np.concatenate([[0.0], longest * count[1:] - mass[1:]])
     cuts = [np.zeros(bins + 1, np.int64)]
     for _ in range(min(buckets, bins) - 1):
-        better, cut = np.zeros(bins + 1), np.zeros(bins + 1, np.int64)
-        for j in range(1, bins + 1):
-            padding = best[:j] + longest[j - 1] * (count[j] - count[:j]) - (mass[j] - mass[:j])
-            cut[j] = int(np.argmin(padding))
-            better[j] = padding[cut[j]]
-        cuts.append(cut)
+        better, at = np.zeros(bins + 1), np.zeros(bins + 1, np.int64)
+        todo = [(1, bins, 0, bins - 1)]
+        while todo:
+            first, last, low, high = todo.pop()
+            j = (first + last) // 2
+            stop = min(j - 1, high) + 1
+            padding = best[low:stop] + longest[j - 1] * (count[j] - count[low:stop]) - (mass[j] - mass[low:stop])
+            at[j] = low + int(np.argmin(padding))
+            better[j] = padding[at[j] - low]
+            if first < j:
+                todo.append((first, j - 1, low, int(at[j])))
+            if j < last:
+                todo.append((j + 1, last, int(at[j]), high))
+        cuts.append(at)
         best = better
     bounds, j = [], bins
-    for cut in reversed(cuts):
+    for at in reversed(cuts):
         if j:
             bounds.append(int(longest[j - 1]))
-            j = int(cut[j])
+            j = int(at[j])
     return bounds[::-1]
 
 
@@ -71,11 +81,15 @@ def pack(
     budget: int = 16_384,
     buckets: int = 8,
     group_rows: int = 2048,
+    resolution: int | None = None,
 ) -> DataFrame:
     """Batches of documents of like length, each within a budget of padded tokens.
 
-    The histogram of all lengths is one aggregation whose result is bounded by its bins,
-    not by the rows; the dynamic programme over it gives bucket boundaries.  Rows of a
+    The histogram of all lengths is one aggregation with a row for each length that occurs, however many
+    rows there are; the dynamic programme over it gives the boundaries with the least padding.  Where
+    lengths may be too many for the driver, a ``resolution`` counts those beyond twice it in that many bins a
+    doubling: boundaries are then at bins' longest lengths, and the padding is more than the least by 1 /
+    ``resolution`` of the tokens at most.  Rows of a
     bucket are dealt by hash into groups of about ``group_rows`` and numbered there, longest
     first, so that no task sees a whole bucket; each group leaves at most one batch that is
     not full.  A batch has ``max(1, budget // boundary)`` slots: a document longer than the
@@ -89,10 +103,12 @@ def pack(
     """
     rows = docs.select(
         F.col(id_col).alias("id"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("deal"),
+        # rows without an id may be many alike: they are dealt apart by the partition that they come from
+        F.xxhash64(F.col(id_col), F.col(text_col), F.when(F.col(id_col).isNull(), F.spark_partition_id())).alias("deal"),
         F.coalesce(length if length is not None else word_count(F.col(text_col)), F.lit(0)).cast("long").alias("n_tokens"),
     )
-    histogram = length_histogram(rows).toPandas()
+    rows = cut(rows)  # texts are read once, for both uses of their lengths
+    histogram = length_histogram(rows, resolution=resolution).toPandas()
     if len(histogram) and histogram["longest"].min() < 0:
         raise ValueError("lengths must not be negative")
     bounds = optimal_boundaries(
