@@ -2,9 +2,10 @@
 
 Fixed-block anchors: every document is an index of its non-overlapping blocks of ``window / 2``
 words, and probes the others' blocks with each of its rolling windows of that length.  A run of
-``window`` words holds a whole block wherever it begins, so no repeat is missed.  Around the hits
-the runs of ``window`` words are compared in full (by 64-bit hashes of their words' hashes); those
-that an earlier document has overlap into the maximal repeats, which are what is removed.
+``window`` words holds a whole block wherever it begins, so no repeat is missed.  Hits are extended by
+the runs of ``window`` words around them, which are compared by 128 bits of two independent hashes (a block hash is 64
+bits, and a false hit only costs a comparison); those that an earlier document has overlap into the maximal
+repeats, which are what is removed.
 
 Both rounds are dealt alike.  Texts are dealt once into batches of a few MB; a batch writes to
 each bucket of hashes one row, holding each of its distinct hashes once, so that copies and common
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Chunk, chunk_of, covered, span_hashes, window_hashes
+from .words import Chunk, chunk_of, covered, mix, span_hashes, window_hashes
 
 ALIGNED, MANY = 1, 2
 LOW = np.uint64((1 << 30) - 1)
+SECOND = np.uint64(0x5851F42D4C957F2D)
 LETTER = "bucket int, batch long, blob binary"
 
 
@@ -147,45 +149,45 @@ def near_windows(texts: pa.Table, hits: pa.Table, block: int, window: int, bucke
     np.subtract.at(step, stop[real], 1)
     near = np.cumsum(step[:-1]) > 0
     first, value, doc = windows_of(chunk, hashes, null, window)
+    _, second, _ = windows_of(chunk, mix(hashes + SECOND), null, window)
     picked = near[first]
-    value, owner = value[picked], ids[doc[picked]]
+    value, second, owner = value[picked], second[picked], ids[doc[picked]]
     order = np.argsort(value, kind="stable")
-    value, owner = value[order], owner[order]
+    value, second, owner = value[order], second[order], owner[order]
     at = runs(value)
     if not len(at):
         return letters([], [], [])
-    value, owner = value[at], np.minimum.reduceat(owner, at)
+    value, second, owner = value[at], second[at], np.minimum.reduceat(owner, at)
     bucket = bucket_of(value, buckets)
     cut = runs(bucket)
-    blobs = [pack_owners(v, o) for v, o in zip(np.split(value, cut[1:]), np.split(owner, cut[1:]), strict=True)]
+    blobs = [pack_owners(*x) for x in zip(*(np.split(y, cut[1:]) for y in (value, second, owner)), strict=True)]
     return letters(bucket[cut].astype(int).tolist(), [texts.column("batch")[0].as_py()] * len(cut), blobs)
 
 
-def pack_owners(value: np.ndarray, owner: np.ndarray) -> bytes:
+def pack_owners(value: np.ndarray, second: np.ndarray, owner: np.ndarray) -> bytes:
     """Hashes and ids as bytes; ids as differences from the least, in as few bytes as hold them."""
     least = int(owner.min())
     off = (owner.astype(np.int64) - np.int64(least)).view(np.uint64)
     kind = next(k for k in (np.uint16, np.uint32, np.uint64) if int(off.max()) <= np.iinfo(k).max)
     head = np.array([least, len(value), np.dtype(kind).itemsize], np.int64).tobytes()
-    return head + value.tobytes() + off.astype(kind).tobytes()
+    return head + value.tobytes() + second.tobytes() + off.astype(kind).tobytes()
 
 
-def unpack_owners(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack_owners(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     least, n, width = np.frombuffer(blob, np.int64, 3)
-    value = np.frombuffer(blob, np.uint64, n, 24)
-    off = np.frombuffer(blob, np.dtype(f"u{width}"), n, 24 + 8 * n)
-    return value, (off.astype(np.uint64).view(np.int64) + least).astype(np.int64)
+    value, second = np.frombuffer(blob, np.uint64, 2 * n, 24).reshape(2, n)
+    off = np.frombuffer(blob, np.dtype(f"u{width}"), n, 24 + 16 * n)
+    return value, second, (off.astype(np.uint64).view(np.int64) + least).astype(np.int64)
 
 
 def later_windows(table: pa.Table) -> pa.Table:
     """For each batch, its windows of this bucket of which another batch has an earlier owner."""
     parts = [unpack_owners(x) for x in table.column("blob").to_pylist()]
-    value = np.concatenate([v for v, _ in parts])
-    owner = np.concatenate([o for _, o in parts])
-    source = np.repeat(np.arange(len(parts)), [len(v) for v, _ in parts])
-    order = np.argsort(value, kind="stable")
-    value, owner, source = value[order], owner[order], source[order]
-    at = runs(value)
+    value, second, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    source = np.repeat(np.arange(len(parts)), [len(v) for v, _, _ in parts])
+    order = np.lexsort((second, value))
+    value, second, owner, source = value[order], second[order], owner[order], source[order]
+    at = np.union1d(runs(value), runs(second))  # both are equal in a run
     least = np.repeat(np.minimum.reduceat(owner, at), np.diff(np.append(at, len(value))))
     later = owner > least
     return answers(table, value[later], source[later])
@@ -251,7 +253,8 @@ def drop_repeats(
     batches, buckets = max(1, math.ceil(total / batch_bytes)), max(1, math.ceil(total / bucket_bytes))
     rest = [c for c in docs.columns if c != text_col]  # the text itself travels once
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(batches)).alias("batch"),
+        # repeated rows are dealt apart by the partition that they come from
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(batches)).alias("batch"),
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).alias("text"),
         F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"),
