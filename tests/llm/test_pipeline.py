@@ -76,3 +76,25 @@ def test_run_gives_the_last_stage(spark, stages):
     import corpus_pipeline
 
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, stages[5].collect()))
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and columns named as the operators' own pass every stage."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i % 977} of{i % 31}" for i in range(40_000))
+    rows = [(1, "plain words " * 30), (1, "plain words " * 30), (None, None), (None, "x"), (2, ""), (3, None), (4, long), (5, "mail a@b.example now")]
+    clash = ["n_words", "n_removed", "removed", "n_entities", "score", "predicted", "attention", "row", "digest", "batch", "id"]
+    docs = spark.createDataFrame([(i, t, *[f"own {c}" for c in clash]) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for number, given in enumerate((docs, docs.where("false"))):
+            out = stage(spark, given, SF)
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert all(r[c] == f"own {c}" for r in got for c in clash), name
+            if number:
+                assert not got
+            elif name != "quality classifier":
+                assert len(got) >= 6 and sum(r["doc_id"] is None for r in got) == 2, name
+    assert corpus_pipeline.packing(spark, docs, SF).count() == len(rows)
+    assert corpus_pipeline.packing(spark, docs.where("false"), SF).count() == 0
