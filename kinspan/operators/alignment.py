@@ -225,8 +225,16 @@ def overlap_score(by_pipeline: dict[str, DataFrame]) -> DataFrame:
 
 
 def conservation_index(consensus_mfe: Column, mean_single_mfe: Column) -> Column:
-    """Consensus energy over the mean of the single ones; 0 where that is 0."""
-    return ratio(consensus_mfe, mean_single_mfe)
+    """Consensus energy over the mean of the single ones; without either it is 0.
+
+    Where single sequences do not fold (no energy below 0), it is 1 if they fold together and else 0.
+    """
+    tiny = 1e-6
+    folds = (consensus_mfe < 0) & (F.abs(consensus_mfe) >= tiny)
+    alone = (mean_single_mfe < 0) & (F.abs(mean_single_mfe) >= tiny)
+    value = F.when(alone, consensus_mfe / mean_single_mfe).otherwise(F.when(folds, F.lit(1.0)).otherwise(F.lit(0.0)))
+    known = consensus_mfe.isNotNull() & mean_single_mfe.isNotNull()
+    return F.when(known & (F.abs(value) >= tiny), value).otherwise(F.lit(0.0))
 
 
 def metrics(cells_: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

@@ -5,8 +5,11 @@ from kinspan.api import evaluate_clustering, extract_sequences, find_domains
 from kinspan.functions import sequences as S
 from kinspan.operators import alignment as A
 from kinspan.operators import evaluation as E
-from kinspan.operators.aligners import Aligner, align
-from kinspan.sources import fasta, gff, hits, sinks
+import os
+
+from kinspan.operators.aligners import ALIGNERS, Aligner, Step, align
+from kinspan.operators.alignment import conservation_index
+from kinspan.sources import fasta, gff, hits, sinks, structures
 
 HIT = "{}\t{}\t0.9\t50\t0\t0\t{}\t{}\t{}\t{}\t1e-5\t99\n"
 
@@ -130,10 +133,10 @@ def test_brackets(spark, dbn):
 
 def test_missing_tool(spark):
     rows = spark.createDataFrame([("d", "a", "ACGU"), ("d", "b", "ACGU"), ("e", "a", "AC")], "dataset string, header string, sequence string")
-    out = {r["dataset"]: r for r in align(rows, Aligner("none", ("no-such-tool", "{input}"))).collect()}
+    out = {r["dataset"]: r for r in align(rows, Aligner("none", (Step(("no-such-tool", "in.fasta")),))).collect()}
     assert not out["d"]["is_successful"] and "not installed" in out["d"]["message"]
     assert "fewer than two" in out["e"]["message"]
-    copied = align(rows.where("dataset = 'd'"), Aligner("cat", ("cat", "{input}")))
+    copied = align(rows.where("dataset = 'd'"), Aligner("cat", (Step(("cat", "in.fasta")),)))
     assert sorted((r["header"], r["sequence"]) for r in copied.collect()) == [("a", "ACGU"), ("b", "ACGU")]
 
 
@@ -163,3 +166,48 @@ def test_evaluation(spark, tmp_path):
 def test_one_class_scores(spark):
     table = spark.createDataFrame([("r", "p", 5, 1)], "ref string, pred string, nt long, seqs long")
     assert E.adjusted_rand(table).first()[0] == 1 and E.normalised_mutual_information(table).first()[0] == 1
+
+
+def program(folder, name, body):
+    path = folder / name
+    path.write_text(f"#!/bin/sh\n{body}\n")
+    path.chmod(0o755)
+
+
+def test_covariance_model_course(tmp_path, monkeypatch):
+    """The steps follow one another with stand-ins for the programs."""
+    program(tmp_path, "mafft", 'for x; do last=$x; done; cat "$last"')
+    program(tmp_path, "RNAalifold", "printf 'ACGU\\n(..) (-1.50 = -1.00 + -0.50)\\n'")
+    program(tmp_path, "cmbuild", 'grep "^#=GC SS_cons" "$2" > "$1"')
+    program(tmp_path, "cmalign", 'test -s "$4" && printf "# STOCKHOLM 1.0\\na  AC-\\nb  ACG\\n\\na  GU\\nb  GU\\n#=GC SS_cons (.)..\\n//\\n" > "$3"')
+    (tool,) = ALIGNERS["profile_cm_pipeline"]
+    monkeypatch.setenv("PATH", "/nowhere")
+    assert tool.missing() == ["RNAalifold", "cmalign", "cmbuild", "mafft"]
+    monkeypatch.setenv("PATH", f"{tmp_path}{os.pathsep}/bin{os.pathsep}/usr/bin")
+    rows, peak = tool.align(">a\nACGU\n>b\nACGGU\n")
+    assert rows == [("a", "AC-GU"), ("b", "ACGGU")] and peak > 0
+    program(tmp_path, "cmbuild", "echo broken >&2; exit 3")
+    with pytest.raises(RuntimeError, match="exit code 3: broken"):
+        tool.align(">a\nACGU\n>b\nACGGU\n")
+    slow = Aligner("slow", (Step(("sleep", "5"), timeout=0.2),))
+    with pytest.raises(RuntimeError, match="stopped"):
+        slow.align(">a\nA\n")
+
+
+def test_structure_output(spark, tmp_path):
+    (tmp_path / "alifold").mkdir()
+    (tmp_path / "single").mkdir()
+    (tmp_path / "score").mkdir()
+    write(tmp_path / "alifold" / "d1.txt", "ACGU\n(..) (-1.50 = -1.00 + -0.50)\n")
+    write(tmp_path / "alifold" / "d2.txt", "nothing\n")
+    write(tmp_path / "single" / "d1.txt", ">a\nACGU\n(..) ( -1.00)\n>b\nACGU\n(..) (-3.00)\n")
+    write(tmp_path / "single" / "d2.txt", "")
+    write(tmp_path / "score" / "d1.score_ascii", "T-COFFEE\nSCORE=987\n*\n")
+    both = structures.read_consensus(spark, f"file://{tmp_path}/alifold").join(structures.read_single_energies(spark, f"file://{tmp_path}/single"), "dataset", "left")
+    got = {r["dataset"]: r for r in both.withColumn("sci", conservation_index(F.col("consensus_mfe"), F.col("mean_single_mfe"))).collect()}
+    assert (got["d1"]["dbn"], got["d1"]["consensus_mfe"], got["d1"]["mean_single_mfe"], got["d1"]["sci"]) == ("(..)", -1.5, -2.0, 0.75)
+    assert (got["d2"]["dbn"], got["d2"]["consensus_mfe"], got["d2"]["sci"]) == (None, None, 0.0)
+    assert [tuple(r) for r in structures.read_scores(spark, f"file://{tmp_path}/score").collect()] == [("d1", 987.0)]
+    cases = [(-1.0, 0.0, 1.0), (0.0, 0.0, 0.0), (0.0, -2.0, 0.0), (None, -2.0, 0.0), (-3.0, -2.0, 1.5)]
+    rows = spark.createDataFrame(cases, "c double, m double, want double").withColumn("sci", conservation_index(F.col("c"), F.col("m")))
+    assert all(r["sci"] == r["want"] for r in rows.collect())
