@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
+from .intervals import stabbed
 
 
 def segments(features: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -24,7 +25,8 @@ def segments(features: DataFrame, lengths: DataFrame) -> DataFrame:
     cuts = inside.select("seq_id", F.explode(F.array("start", "end")).alias("at"))
     cuts = cuts.unionByName(lengths.select("seq_id", F.explode(F.array(F.lit(0).cast("bigint"), F.col("length").cast("bigint"))).alias("at"))).distinct()
     pieces = cuts.select("seq_id", F.col("at").alias("a"), F.lead("at").over(Window.partitionBy("seq_id").orderBy("at")).alias("b")).where("b IS NOT NULL")
-    over = pieces.join(inside, "seq_id").where("start <= a AND b <= end")
+    # no feature begins or ends within a piece, so a piece is in the features that hold its start
+    over = stabbed(pieces, inside, key="seq_id", at="a", start="start", end="end")
     named = over.groupBy("seq_id", "a", "b").agg(
         *(F.max_by(F.when(F.col("label_type") == t, F.col("label")), F.when(F.col("label_type") == t, F.col("ord"))).alias(t) for t in ("ref", "pred"))
     )
@@ -94,7 +96,7 @@ def majority_partners(features: DataFrame, parts: DataFrame, cutoffs: tuple[floa
     """
     other = F.when(F.col("label_type") == "ref", F.col("p_pred")).otherwise(F.col("p_ref"))
     p = parts.select("seq_id", F.col("start").alias("a"), F.col("end").alias("b"), F.col("ref").alias("p_ref"), F.col("pred").alias("p_pred"))
-    over = features.join(p, "seq_id").where("start <= a AND b <= end").withColumn("other", other)
+    over = stabbed(p, features, key="seq_id", at="a", start="start", end="end").withColumn("other", other)
     keys = ["label_type", "ord"]
     counts = over.groupBy(*keys, "other").agg(F.sum(F.col("b") - F.col("a")).alias("n"), F.min("a").alias("left"))
     best = counts.groupBy(*keys).agg(F.max_by("other", F.struct("n", -F.col("left"))).alias("partner"), F.max("n").alias("n"))

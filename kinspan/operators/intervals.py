@@ -97,6 +97,20 @@ def overlaps(
     )
 
 
+def stabbed(points: DataFrame, spans: DataFrame, *, key: str, at: str, start: str, end: str) -> DataFrame:
+    """Points (``key, at``) with the spans of their key that hold them; other columns of both stay.
+
+    A span is at home in the one or two bins of its power-of-two level, and a point looks into its own bin of
+    every level that occurs, so that no key's points are compared with all of its spans.
+    """
+    spans = spans.where(F.col(start) < F.col(end)).withColumn("__level", F.length(F.bin(F.col(end) - F.col(start) - 1)))
+    levels = sorted(r[0] for r in spans.select("__level").distinct().collect())  # 64 at most
+    home = spans.withColumn("__bin", F.explode(F.expr(f"sequence(shiftright({start}, __level), shiftright({end} - 1, __level))")))
+    guest = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__bin", F.expr(f"shiftright({at}, __level)"))
+    both = guest.join(home, [key, "__level", "__bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
+    return both.drop("__level", "__bin")
+
+
 def merged(spans: DataFrame, *, keys: list[str], start: str, end: str) -> DataFrame:
     """Unions of overlapping or touching intervals by key."""
     order = Window.partitionBy(*keys).orderBy(start, end)

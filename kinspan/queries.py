@@ -199,8 +199,8 @@ TOP = """top AS MATERIALIZED (
 
 @query(f"WITH {DENSE}, {TOP} SELECT q_seq, src, dst, round(sim, 6) AS sim, rank FROM top")
 def topk_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    _, sym = nodes_and_sym(spark, d)
-    return rounded(P.top_neighbours(sym, ["q_seq"]).withColumn("rank", F.col("rank").cast("bigint")), "sim")
+    _, edges = nodes_and_edges(spark, d)
+    return rounded(P.top_neighbours(P.directed(edges, ["q_seq"]), ["q_seq"]).withColumn("rank", F.col("rank").cast("bigint")), "sim")
 
 
 def _halo_sql(method: str, point_specific: bool = False) -> str:
@@ -379,17 +379,57 @@ def domain_families(spark: SparkSession, d: str) -> DataFrame:
     return D.families(lengths, cut(D.family_edges(lengths, pairs)), halo_method=None).select("dom_id", "family")
 
 
-@query(f"""WITH RECURSIVE {FAMILIES}, own AS (SELECT family, q_seq, start AS s, "end" AS e, strand FROM numbered JOIN member USING (dom_id)
+def _features_sql(families: str) -> str:
+    return f"""WITH RECURSIVE {families}, own AS (SELECT family, q_seq, start AS s, "end" AS e, strand FROM numbered JOIN member USING (dom_id)
 ), marks AS (
     SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY family, q_seq ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM own
 ), runs AS (SELECT *, sum(opens) OVER (PARTITION BY family, q_seq ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM marks)
 SELECT q_seq AS seqid, min(s) + 1 AS start, max(e) AS "end",
        CASE WHEN count(*) FILTER (WHERE strand = '-') > count(*) FILTER (WHERE strand = '+') THEN '-' ELSE '+' END AS strand, family
-FROM runs GROUP BY family, q_seq, run""")
+FROM runs GROUP BY family, q_seq, run"""
+
+
+def _without_halo(name: str, plain: str, sym: str, by: list[str]) -> str:
+    """The table ``name``: the labels of ``plain`` (``by, id, rho, label``) but for the halo by weighted similarity."""
+    keys = "".join(f"{k}, " for k in by)
+    same = lambda x, y: "".join(f" AND {x}.{k} = {y}.{k}" for k in by)
+    return f"""{name}_top AS MATERIALIZED (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys}src ORDER BY sim DESC, dst) AS rank FROM {sym}) WHERE rank <= 20
+), {name}_scores AS MATERIALIZED (
+    SELECT {"".join(f"y.{k}, " for k in by)}y.src AS id, round(sum(CASE WHEN b.label IS DISTINCT FROM a.label THEN y.sim ELSE 0 END) / sum(y.sim), 9) AS score
+    FROM {name}_top y JOIN {plain} a ON a.id = y.src{same("a", "y")} JOIN {plain} b ON b.id = y.dst{same("b", "y")}
+    WHERE a.label IS NOT NULL GROUP BY {"".join(f"y.{k}, " for k in by)}y.src
+), {name}_sizes AS MATERIALIZED (
+    SELECT {keys}label, count(*) AS size, count(label) OVER ({"PARTITION BY " + ", ".join(by) if by else ""}) AS n FROM {plain} WHERE label IS NOT NULL GROUP BY {keys}label
+), {name}_scored AS MATERIALIZED (
+    SELECT l.*, coalesce(size >= 3 AND n > 1 AND score >= 0.5 AND score > 0, false) AS border
+    FROM {plain} l LEFT JOIN {name}_scores USING ({keys}id) LEFT JOIN {name}_sizes USING ({keys}label)
+), {name}_edge AS MATERIALIZED (
+    SELECT {keys}label, max(rho) AS rho_b FROM {name}_scored WHERE border GROUP BY {keys}label
+), {name} AS MATERIALIZED (
+    SELECT s.* EXCLUDE (label, border), CASE WHEN NOT coalesce(s.rho < e.rho_b, false) THEN s.label END AS label
+    FROM {name}_scored s LEFT JOIN {name}_edge e ON e.label = s.label{same("e", "s")})"""
+
+
+@query(_features_sql(FAMILIES))
 def gff_features(spark: SparkSession, d: str) -> DataFrame:
     return D.find_domains(hits(spark, d), halo_method=None)
 
 
+WITH_HALO = FAMILIES.replace(
+    LABELLED, LABELLED.replace("labelled AS MATERIALIZED", "plain AS MATERIALIZED") + ", " + _without_halo("labelled", "plain", "sym", ["q_seq"])
+).replace("), member AS MATERIALIZED (", "), fplain AS MATERIALIZED (").replace(
+    "SELECT c.id AS dom_id, r.id AS family FROM fclimb c JOIN fstate r ON r.id = c.at AND r.parent = r.id WHERE r.peak)",
+    "SELECT c.id, d.rho, CASE WHEN r.peak THEN r.id END AS label FROM fclimb c JOIN fstate r ON r.id = c.at AND r.parent = r.id JOIN fdense d ON d.id = c.id)",
+) + ", " + _without_halo("flabelled", "fplain", "fsym", []) + ", member AS MATERIALIZED (SELECT id AS dom_id, label AS family FROM flabelled WHERE label IS NOT NULL)"
+
+
+@query(_features_sql(WITH_HALO))
+def gff_features_default(spark: SparkSession, d: str) -> DataFrame:
+    """The whole course with its defaults, the halo taken off domains and families."""
+    return D.find_domains(hits(spark, d))
+
+
 # ---- sequences and features
 
 SEQUENCES = V.plain(V.SEQUENCES)
@@ -473,6 +513,41 @@ def gappyout(spark: SparkSession, d: str) -> DataFrame:
     return A.gappyout(aligned(spark, d))
 
 
+#: A structure of 40 columns for every second alignment: five unpaired ones, four pairs around twenty, seven unpaired.
+MASK_DBN = "concat(repeat('.', 5), repeat('(', 4), repeat('.', 20), repeat(')', 4), repeat('.', 7))"
+
+
+@query(f"""WITH {GAPS}, bounds AS (SELECT dataset, min(col) AS lo, max(col) AS hi FROM gaps WHERE gap_fraction <= 0.8 GROUP BY dataset)
+, chosen AS (
+    SELECT dataset, ch, CASE WHEN length(dataset) % 2 = 0 THEN 3 WHEN lo < hi THEN lo ELSE 0 END AS low,
+           CASE WHEN length(dataset) % 2 = 0 THEN 34 WHEN lo < hi THEN hi ELSE 39 END AS high, col
+    FROM cells LEFT JOIN bounds USING (dataset))
+SELECT dataset, col - low AS col, ch, count(*) AS n FROM chosen WHERE col BETWEEN low AND high GROUP BY ALL""")
+def structure_mask(spark: SparkSession, d: str) -> DataFrame:
+    cells = cut(aligned(spark, d))
+    folded = cells.select("dataset").distinct().where("length(dataset) % 2 = 0").selectExpr("dataset", f"{MASK_DBN} AS dbn")
+    masked = A.trim(cells, "structural_encoding", folded)
+    return masked.groupBy("dataset", "col", "ch").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT o_orderkey, CAST(-(o_custkey % 7) AS DOUBLE) / 2 AS c, CAST(-(o_orderkey % 5) AS DOUBLE) AS m FROM orders)
+SELECT o_orderkey, round(CASE WHEN m < 0 THEN c / m WHEN c < 0 THEN 1 ELSE 0 END, 6) AS sci FROM e""")
+def structure_conservation(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey", "CAST(-(o_custkey % 7) AS DOUBLE) / 2 AS c", "CAST(-(o_orderkey % 5) AS DOUBLE) AS m")
+    return rounded(e.select("o_orderkey", A.conservation_index(F.col("c"), F.col("m")).alias("sci")), "sci")
+
+
+@query(f"""WITH {CELLS}, c AS (SELECT dataset, col, ch, count(*) AS n FROM cells WHERE ch IN ('A','C','G','U','N') GROUP BY ALL
+), h AS (SELECT dataset, col, (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(15) AS h FROM c GROUP BY dataset, col
+), e AS (SELECT dataset, coalesce(avg(h), 1) AS entropy FROM (SELECT DISTINCT dataset FROM cells) LEFT JOIN h USING (dataset) GROUP BY dataset)
+SELECT dataset, 'muscle5' AS pipeline, length(dataset) % 3 <> 0 AS is_successful,
+       round(CASE WHEN length(dataset) % 3 <> 0 THEN entropy ELSE 1 END, 6) AS entropy, CASE WHEN length(dataset) % 3 <> 0 THEN 50.0::DOUBLE ELSE 0 END AS tcs FROM e""")
+def penalised_metrics(spark: SparkSession, d: str) -> DataFrame:
+    scores = cut(A.entropy(aligned(spark, d)).selectExpr("dataset", "'muscle5' AS pipeline", "entropy", "50D AS tcs"))
+    runs = scores.selectExpr("dataset", "pipeline", "length(dataset) % 3 <> 0 AS is_successful")
+    return rounded(A.penalised(runs, scores.where("length(dataset) % 3 <> 0")), "entropy")
+
+
 @query(f"""WITH {CELLS}, c AS (SELECT dataset, col, ch, count(*) AS n FROM cells WHERE ch IN ('A','C','G','U','N') GROUP BY ALL
 ), h AS (SELECT dataset, col, (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(15) AS h FROM c GROUP BY dataset, col)
 SELECT dataset, round(coalesce(avg(h), 1), 6) AS entropy FROM (SELECT DISTINCT dataset FROM cells) LEFT JOIN h USING (dataset) GROUP BY dataset""")

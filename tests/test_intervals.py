@@ -1,10 +1,12 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinspan.operators.domains import find_domains, span_graph, target_overlaps
-from kinspan.operators.intervals import encode, merged, normalise_hits, overlaps, unique_spans
+from kinspan.operators.domains import find_domains, number_domains, span_graph, target_overlaps
+from kinspan.operators.intervals import encode, merged, normalise_hits, overlaps, stabbed, unique_spans
 from kinspan.functions.scores import vote
 
 RAW = "query string, target string, qstart int, qend int, tstart int, tend int"
@@ -79,3 +81,25 @@ def test_small_run(spark):
     for parts in (1, 5):
         out = find_domains(hits.repartition(parts), min_dom_sim=0.2, min_fam_sim=0.1, min_dom_dens=0, min_fam_dens=0, halo_method=None, min_containment=0.5)
         assert sorted(map(tuple, out.collect())) == [(0, 10, 60, "+", 0), (1, 25, 75, "+", 0)]
+
+
+def test_stabbed_agrees_with_all_pairs(spark):
+    rng = random.Random(5)
+    spans = [(rng.randint(0, 2), i, s, s + rng.choice([0, 1, 2, 7, 64, 900])) for i in range(60) for s in [rng.randint(0, 900)]]
+    points = [(rng.randint(0, 2), rng.randint(0, 1000)) for _ in range(80)]
+    df = spark.createDataFrame(spans, "k int, id int, s int, e int")
+    got = stabbed(spark.createDataFrame(points, "k int, p int"), df, key="k", at="p", start="s", end="e").select("k", "p", "id").collect()
+    assert sorted(map(tuple, got)) == sorted((k, p, i) for k, p in points for q, i, s, e in spans if k == q and s <= p < e)
+    assert stabbed(spark.createDataFrame(points, "k int, p int"), df.where("false"), key="k", at="p", start="s", end="e").count() == 0
+
+
+def test_domains_are_numbered_over_ranges(spark):
+    rng = random.Random(6)
+    rows = sorted({(rng.randint(0, 40), rng.randint(0, 99)) for _ in range(200)})
+    df = spark.createDataFrame(rows, "q_seq long, peak long")
+    for size in (3, 500_000):
+        got = sorted((r["q_seq"], r["peak"], r["dom_id"]) for r in number_domains(df, range_rows=size).collect())
+        assert got == [(q, p, i) for i, (q, p) in enumerate(rows)]
+    order = spark.createDataFrame([(q, -q) for q in range(41)], "q_seq long, place long")
+    got = sorted((r["dom_id"], r["q_seq"], r["peak"]) for r in number_domains(df, order, range_rows=3).collect())
+    assert [x[1:] for x in got] == sorted(rows, key=lambda x: (-x[0], x[1])) and [x[0] for x in got] == list(range(len(rows)))
