@@ -1,28 +1,35 @@
-"""Byte-level BPE by the ranks of a public vocabulary: each distinct word of the corpus is encoded once.
+"""Byte-level BPE by the ranks of a public vocabulary: each distinct word is encoded once.
 
-A slice of texts has a list of its distinct pre-tokens, and for each text the places of its pre-tokens in
-that list.  The lists are exploded and shuffled by word; each distinct word is encoded once, its ids are joined
-with the table of token bytes, and both are joined back to the slices, which put their texts together by
-position.  Slices are cut from rows sorted within their partition and named by what they hold, so that a task that
-runs again makes the same ones; if its input had other rows by then, the run fails rather than mix them up.
+Texts are split into pre-tokens; a slice of texts keeps its pre-tokens' positions as numbers in
+its own list of distinct words, and sends to each bucket of words those of its list that belong
+there, in one parcel.  A bucket encodes each of its distinct words once and sends the ids back in the order of
+the request; slices put their texts together by position, and join the ids with the table of token
+bytes, whose size is that of the vocabulary.  Parcels are compressed, as a row for each word of a slice takes more
+than twice the disk that there is; they are never more than the words asked for, so they grow with the input.
+
+Slices are cut from rows sorted within their partition and named by what they hold, so that a task that runs again
+makes the same ones; if its input had other rows by then, the run fails rather than mix ids up.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.shared import cut
-from .words import slices
+from .repeats import bucket_of, runs
+from .words import slices, span_hashes
+
+PARCEL = "batch long, bucket int, ids binary, body binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,6 +43,38 @@ def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     return spark.createDataFrame([(rank, bytearray(token)) for token, rank in ranks.items()], "token int, bytes binary")
 
 
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Integer arrays one after another, each in its own type and with its bytes by significance, compressed."""
+    head = np.array([x for a in arrays for x in (len(a), a.dtype.itemsize)], np.int64)
+    return squeeze(len(arrays).to_bytes(8, "little") + head.tobytes() + b"".join(a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a)))
+
+
+def unpack_arrays(blob: bytes) -> list[np.ndarray]:
+    data = unsqueeze(blob)
+    n = int.from_bytes(data[:8], "little")
+    head = np.frombuffer(data, np.int64, 2 * n, 8)
+    out, at = [], 8 + 16 * n
+    for size, width in head.reshape(n, 2).tolist():
+        planes = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(np.dtype(f"u{width}")).reshape(size))
+        at += size * width
+    return out
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The values in the fewest bytes that hold them."""
+    top = int(values.max()) if len(values) else 0
+    return values.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max))
+
+
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the pair of neighbours with the lowest rank is merged, leftmost first."""
     whole = ranks.get(word)
@@ -94,9 +133,19 @@ def _tools(pattern: str):
     return regex.compile(pattern)
 
 
-def sliced(part: pa.RecordBatch, pattern: str, place_of: tuple[int, int]) -> pa.RecordBatch:
-    """A slice of texts as one row: its name, the ids, how many pre-tokens each text has, the places of these in
-    the sorted list of distinct words (``wide`` where there are too many for 16 bits), and that list."""
+def numbering(sizes: np.ndarray) -> np.ndarray:
+    """The order in which words asked for bucket by bucket are numbered: the first of each bucket, the
+    second of each, and so on, so that frequent words have small numbers."""
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    rank = np.arange(len(bucket)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.lexsort((bucket, rank))
+
+
+def parcels(part: pa.RecordBatch, place_of: tuple[int, int], buckets: int, pattern: str) -> Iterator[tuple]:
+    """A slice's own parcel (bucket -1), and one for each bucket with the words asked of it.
+
+    The slice is named by its place (partition and number) and its content.
+    """
     find = _tools(pattern).findall
     number: dict[str, int] = {}
     at: list[int] = []
@@ -105,65 +154,88 @@ def sliced(part: pa.RecordBatch, pattern: str, place_of: tuple[int, int]) -> pa.
         words = find(text) if text else []
         counts.append(len(words))
         at.extend([number.setdefault(w, len(number)) for w in words])
-    words = sorted(number)
-    place = np.empty(len(words), np.int64)
-    place[[number[w] for w in words]] = np.arange(len(words))
-    places = place[np.array(at, np.int64)]
-    content = hashlib.blake2b(repr((place_of, counts)).encode() + places.tobytes() + "\0".join(words).encode(), digest_size=8)
-    none = pa.array([None], pa.list_(pa.int16())), pa.array([None], pa.list_(pa.int32()))
-    whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    narrow = len(words) <= 1 << 16
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([int.from_bytes(content.digest(), "little", signed=True)], pa.int64()),
-            whole(part.column(0)),
-            whole(pa.array(counts, pa.int32())),
-            whole(pa.array(places.astype(np.uint16).view(np.int16))) if narrow else none[0],
-            none[1] if narrow else whole(pa.array(places.astype(np.int32))),
-            whole(pa.array(words, pa.string())),
-        ],
-        ["slice", "ids", "counts", "places", "wide", "words"],
-    )
-
-
-def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``slice, place, word`` of the lists of slices.  (Reading whole rows keeps the shuffle of slices one for both its uses.)"""
-    for batch in batches:
-        words = batch.column(5)
-        size = pc.list_value_length(words).to_numpy()
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        slices_ = pa.array(np.repeat(batch.column(0).to_numpy(), size))
-        yield pa.RecordBatch.from_arrays([slices_, pa.array(at.astype(np.int32)), words.flatten()], ["slice", "place", "word"])
-
-
-def assemble(own: pa.Table, told: pa.Table) -> pa.Table:
-    """A slice's texts as ids and as the bytes of these, by position."""
-    own = own.combine_chunks()
-    flat = lambda name: own.column(name).combine_chunks().flatten()
-    counts, places = flat("counts").to_numpy(), flat("places").to_numpy().view(np.uint16)
-    places = (places if len(places) else flat("wide").to_numpy()).astype(np.int64)
-    rows = told.column("told").combine_chunks().flatten() if told.num_rows else pa.array([], pa.struct({"place": pa.int32(), "encoded": pa.list_(pa.int32()), "decoded": pa.binary()}))
-    order = pa.array(np.argsort(rows.field("place").to_numpy(), kind="stable"))
-    if own.num_rows != 1 or len(order) != len(flat("words")):
-        raise ValueError("a slice changed while it was encoded: the order or number of input rows is not fixed")
-    encoded, decoded = rows.field("encoded").take(order), rows.field("decoded").take(order)
-    size = pc.list_value_length(encoded).to_numpy().astype(np.int64)
-    begin, n = np.cumsum(size) - size, size[places]
-    done = np.concatenate([[0], np.cumsum(n)])
-    out = encoded.flatten().to_numpy()[np.repeat(begin[places] - done[:-1], n) + np.arange(int(n.sum()))]
-    bound = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    if len(places):
-        spelled = decoded.cast(pa.large_binary()).take(pa.array(places))
-        ends, data = np.frombuffer(spelled.buffers()[1], np.int64)[: len(places) + 1], spelled.buffers()[2]
+    data = [w.encode() for w in number]
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    end = np.cumsum(size)
+    buf = np.frombuffer(b"".join(data), np.uint8)
+    bucket = bucket_of(span_hashes(buf, end - size, end), buckets).astype(np.int64) if len(data) else np.zeros(0, np.int64)
+    at = np.array(at, np.int64)
+    often = np.bincount(at, minlength=len(data))
+    order = np.lexsort((-often, bucket))  # as they are asked for: bucket by bucket, frequent words first
+    place = np.empty(len(order), np.int64)
+    place[order[numbering(np.bincount(bucket, minlength=buckets))]] = np.arange(len(order))
+    at = place[at]
+    sink = pa.BufferOutputStream()
+    ids = pa.RecordBatch.from_arrays([part.column(0)], ["id"])
+    with pa.ipc.new_stream(sink, ids.schema) as stream:
+        stream.write_batch(ids)
+    own = sink.getvalue().to_pybytes()
+    content = hashlib.blake2b(repr((place_of, counts)).encode() + own + at.tobytes() + buf.tobytes(), digest_size=8)
+    batch = int.from_bytes(content.digest(), "little", signed=True)
+    yield batch, -1, own, pack_arrays(narrow(np.array(counts, np.int64)), narrow(at), np.array([len(data)], np.uint64))
+    cut = runs(bucket[order])
+    for rows in np.split(order, cut[1:]) if len(cut) else []:
+        asked = b"".join(data[i] for i in rows.tolist())
+        yield batch, int(bucket[rows[0]]), b"", pack_arrays(narrow(size[rows]), np.frombuffer(asked, np.uint8))
+
+
+def tables(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["batch", "bucket", "ids", "body"])
+
+
+def answer(table: pa.Table, ranks: dict[bytes, int]) -> pa.Table:
+    """For each batch, the ids of the words that it asked for; a word is encoded once."""
+    known: dict[bytes, list[int]] = {}
+    rows = []
+    for batch, bucket, body in zip(*(table.column(c).to_pylist() for c in ("batch", "bucket", "body")), strict=True):
+        size, asked = unpack_arrays(body)
+        end = np.cumsum(size, dtype=np.int64)
+        data = asked.tobytes()
+        got = []
+        for a, b in zip((end - size).tolist(), end.tolist(), strict=True):
+            word = data[a:b]
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = merge_word(word, ranks)
+            got.append(ids)
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter((i for ids in got for i in ids), np.int64, int(n.sum()))
+        rows.append((batch, bucket, b"", pack_arrays(narrow(n), narrow(flat))))
+    return pa.Table.from_batches([tables(rows)])
+
+
+def assemble(own: pa.Table, replies: pa.Table, tokens: list[bytes]) -> pa.Table:
+    """A batch's texts as ids, by position, and the bytes that these decode to."""
+    slots = [i for i, b in enumerate(own.column("bucket").to_pylist()) if b == -1]
+    ids = pa.ipc.open_stream(own.column("ids")[slots[0]].as_py()).read_all().column(0)
+    counts, at, asked = unpack_arrays(own.column("body")[slots[0]].as_py())
+    answers = sorted(zip(replies.column("bucket").to_pylist(), replies.column("body").to_pylist(), strict=True))
+    parts = [unpack_arrays(body) for _, body in answers]
+    empty = np.zeros(0, np.int64)
+    size = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else empty
+    flat = np.concatenate([p[1] for p in parts]).astype(np.int32) if parts else empty.astype(np.int32)
+    if len(slots) != 1 or len(size) != int(asked[0]):
+        raise ValueError("a slice changed while it was encoded: the rows of the input are not fixed")
+    begin = np.cumsum(size) - size
+    at = numbering(np.array([len(p[0]) for p in parts], np.int64))[at.astype(np.int64)] if parts else empty
+    n = size[at]
+    done = np.cumsum(n)
+    out = flat[np.repeat(begin[at] - (done - n), n) + np.arange(int(n.sum()))]
+    words = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    bound = np.concatenate([[0], done])[words]
+    if len(out):  # the ids are joined with the bytes of the tokens
+        spelled = pa.array(tokens, pa.large_binary()).take(pa.array(out))
+        ends, data = np.frombuffer(spelled.buffers()[1], np.int64)[: len(out) + 1], spelled.buffers()[2]
     else:
         ends, data = np.zeros(1, np.int64), pa.py_buffer(b"")
-    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.ascontiguousarray(ends[bound])), data])
+    decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.ascontiguousarray(ends[bound])), data])
     return pa.table(
         {
-            "id": flat("ids"),
-            "n_tokens": pa.array(np.diff(done[bound])),
-            "ids": pa.ListArray.from_arrays(pa.array(done[bound].astype(np.int32)), pa.array(out.astype(np.int32))),
-            "decoded": texts.cast(pa.binary()),
+            "id": ids,
+            "n_tokens": pa.array(np.diff(bound)),
+            "ids": pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(out)),
+            "decoded": decoded.cast(pa.binary()),
         }
     )
 
@@ -175,7 +247,8 @@ def encode(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    slice_bytes: int = 2 << 20,
+    slice_bytes: int = 4 << 20,
+    bucket_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Token ids of every text and the bytes they decode to, without special tokens.
 
@@ -183,43 +256,32 @@ def encode(
     Result, a row per input row: the id, ``n_tokens, ids, decoded``.  Null texts count as empty and
     have no tokens; rows with equal ids are encoded each; further columns are left out; an empty
     table gives an empty result.  The ranks go to the executors once, as a broadcast whose size is
-    the vocabulary's; a token must be known for each single byte that occurs.  A word has one row a slice of
-    about ``slice_bytes``, so that the rows grow with the input.
+    the vocabulary's; a token must be known for each single byte that occurs.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(ranks)
+    bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        bytes_of[rank] = token
+    tokens = spark.sparkContext.broadcast(bytes_of)
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(1, math.ceil(total / bucket_bytes))
     kind = docs.schema[id_col].dataType
-    held = T.StructType(
-        [
-            T.StructField("slice", T.LongType()),
-            T.StructField("ids", T.ArrayType(kind)),
-            T.StructField("counts", T.ArrayType(T.IntegerType())),
-            T.StructField("places", T.ArrayType(T.ShortType())),
-            T.StructField("wide", T.ArrayType(T.IntegerType())),
-            T.StructField("words", T.ArrayType(T.StringType())),
-        ]
-    )
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         for number, part in enumerate(slices(batches, "text", slice_bytes)):
-            yield sliced(part, pattern, (TaskContext.get().partitionId(), number))
+            yield tables(list(parcels(part, (TaskContext.get().partitionId(), number), buckets, pattern)))
 
-    @F.arrow_udf("array<int>")
-    def ids_of(words: pa.Array) -> pa.Array:
-        return pa.array([merge_word(w.encode(), sent.value) for w in words.to_pylist()], pa.list_(pa.int32()))
+    def requests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.compute.greater_equal(batch.column(1), 0))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).sortWithinPartitions("id", F.xxhash64("text"))
-    dealt = rows.mapInArrow(split, held).repartition("slice")
-    words = dealt.mapInArrow(listed, "slice bigint, place int, word string").repartition("word")
-    # a row of each word is asked for whole, so that the shuffle of words is one for this and for the join
-    distinct = words.groupBy("word").agg(F.max(F.struct("slice", "place")).alias("one")).where("one.slice IS NOT NULL AND one.place IS NOT NULL")
-    encoded = distinct.select("word", ids_of("word").alias("encoded")).select("word", F.posexplode("encoded").alias("at", "token"))
-    spelled = encoded.join(F.broadcast(token_table(spark, ranks)), "token")
-    known = spelled.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "token", F.hex("bytes").alias("hex")))).alias("x"))
-    known = known.select("word", F.col("x.token").alias("encoded"), F.unhex(F.array_join("x.hex", "")).alias("decoded"))
-    told = words.join(known, "word").groupBy("slice").agg(F.collect_list(F.struct("place", "encoded", "decoded")).alias("told"))
+    # one shuffle of all parcels, which both sides below read
+    dealt = rows.mapInArrow(split, PARCEL).repartition("batch")
+    replies = dealt.mapInArrow(requests, PARCEL).groupBy("bucket").applyInArrow(lambda t: answer(t, sent.value), PARCEL)
     result = T.StructType(
         [
             T.StructField("id", kind),
@@ -228,7 +290,10 @@ def encode(
             T.StructField("decoded", T.BinaryType()),
         ]
     )
-    return dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(assemble, result).withColumnRenamed("id", id_col)
+    out = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
+        lambda mine, theirs: assemble(mine, theirs, tokens.value), result
+    )
+    return out.withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

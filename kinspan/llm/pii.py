@@ -58,7 +58,7 @@ SYLLABLES = {
     "cyrillic": "ба бер да дел фо ган ка лан мар нел ор па рос сен тор вин".split(),
 }
 #: A given name of these lists and a name after it are a name without any title.
-PATTERNS["name"] += r"|(?<!\p{L})(?:" + "|".join(x for names in GIVEN.values() for x in names) + r")(?:[ \-]\p{Lu}\p{Ll}{1,30}){1,2}(?!\p{L})"
+PATTERNS["name"] += r"|(?=\p{Lu}\p{Ll})(?<!\p{L})(?:" + "|".join(x for names in GIVEN.values() for x in names) + r")(?:[ \-]\p{Lu}\p{Ll}{1,30}){1,2}(?!\p{L})"
 HINTS += [x for names in GIVEN.values() for x in names]
 #: A mention begins where no letter, digit or underscore stands before, which is looked at first.
 WHOLE = "(?<![A-Za-z0-9_])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
