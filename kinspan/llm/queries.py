@@ -88,6 +88,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle import fill_in_middle, restored
+
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shas = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *shas)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine_hard_negatives, quantised
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), quantised().alias("v"))
+    return mine_hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_licence_scan": op2_licence_scan,
@@ -99,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_quality_rules": op10_quality_rules,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 def _licence_sql() -> str:
@@ -194,4 +212,43 @@ ORACLE: dict[str, str] = {
                CASE WHEN top <> page_id THEN top END AS refers_to
         FROM p LEFT JOIN t ON d = payload_digest
     """,
+    "op12_fill_in_middle": """
+        WITH h AS (
+            SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+            FROM documents
+        ), d AS (
+            SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                   CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+            FROM h
+        ), c AS (
+            SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN t = '' OR h3 % 100 >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM d
+        ), p AS (
+            SELECT *, '<P>' || substring(t, 1, a) AS prefix, '<M>' || substring(t, a + 1, b - a) AS middle, '<S>' || substring(t, b + 1) AS suffix FROM c
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN prefix || suffix || middle WHEN 'spm' THEN suffix || prefix || middle ELSE t END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
+    "op13_hard_negatives": """
+        WITH e AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS MATERIALIZED (
+            SELECT a.vec_id AS a, a.label AS al, b.vec_id AS b, b.label AS bl, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id
+        ), p AS (
+            SELECT a, b, score FROM s WHERE al = bl QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+        )
+        SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank,
+               s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.a = p.a AND s.al <> s.bl AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+        QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) <= 5
+    """,
 }
