@@ -88,6 +88,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import decode_pieces, encode_pieces, read_model
+
+    model = read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    out = decode_pieces(encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    listed = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), " "), 256)
+    return out.select("doc_id", "n_tokens", listed("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), listed("ends").alias("ends_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .middle import fill_in_middle, restored
 
@@ -115,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_quality_rules": op10_quality_rules,
+    "op11_sentencepiece": op11_sentencepiece,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_hard_negatives": op13_hard_negatives,
 }
