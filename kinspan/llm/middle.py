@@ -37,7 +37,7 @@ class Checkpoints:
     """A text's number of code points ``n``, and the byte at which every ``stride``-th of them begins."""
 
     def __init__(self, data: np.ndarray, stride: int = STRIDE):
-        self.data, self.units, self.bytes, self.n = data, [0], [0], 0
+        self.data, self.units, self.bytes, self.n = data, [], [], 0
         for at in range(0, len(data), WINDOW):
             begin = np.flatnonzero(starts(data[at : at + WINDOW]))
             picked = np.arange(-self.n % stride, len(begin), stride)

@@ -27,8 +27,8 @@ from .words import slices, text_bytes
 SPACE = "▁"  # U+2581 stands for a space in pieces
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words remembered between slices, and the longest (in characters) that are.
-REMEMBERED, LONGEST = 1 << 19, 64
+#: Words of more characters are merged one by one; bytes of text worked off at once.
+LONGEST, SLICE = 64, 1 << 20
 #: The value of two neighbours that make no piece.
 NONE = float("-inf")
 
@@ -189,7 +189,7 @@ class Normaliser:
         text = out.tobytes()
         if self.model.collapse:
             # what looks like a space goes from the end
-            text = re.sub(b"(?:" + re.escape(self.space.tobytes()) + b")+$", b"", text)
+            text = re.sub(b"(?:" + re.escape(self.space.tobytes()) + b")+\\Z", b"", text)
             size = int(source[len(text)]) if len(text) < len(source) else size
             source = source[: len(text)]
         if self.model.dummy_prefix and text:
@@ -199,21 +199,11 @@ class Normaliser:
 
 
 def merged(word: str, model: Model) -> list[str]:
-    """The pieces of a word: of all neighbours that make a piece together the best is merged, leftmost first, until none is left."""
-    value = model.value.get
-    parts = list(word)
-    if len(parts) <= LONGEST:
-        score = [value(a + b, NONE) for a, b in zip(parts, parts[1:])]
-        while score and (best := max(score)) > NONE:
-            at = score.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del score[at]
-            if at:
-                score[at - 1] = value(parts[at - 1] + parts[at], NONE)
-            if at < len(score):
-                score[at] = value(parts[at] + parts[at + 1], NONE)
-        return parts
-    # long words: a heap of pairs over a linked list
+    """The pieces of one word: of all neighbours that make a piece together the best is merged, leftmost first, until none is left.
+
+    A heap of pairs over a linked list, for words of any length.
+    """
+    value, parts = model.value.get, list(word)
     before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
     heap: list[tuple[float, int, str]] = []
 
@@ -237,66 +227,121 @@ def merged(word: str, model: Model) -> list[str]:
     return [p for p in parts if p]
 
 
-def piece_ids(word: str, model: Model) -> tuple[list[int], list[int]]:
-    """Ids of a word, and the bytes of it that each stands for; a byte piece stands for one byte."""
-    ids, sizes = [], []
-    for part in merged(word, model):
-        known = model.of.get(part)
-        if known is not None:
-            ids.append(known)
-            sizes.append(model.sizes[known])
-        elif model.byte_fallback:
-            data = part.encode()
-            ids += [model.bytes_[b] for b in data]
-            sizes += [1] * len(data)
-        else:
-            ids.append(model.unknown)
-            sizes.append(len(part.encode()))
-    return ids, sizes
+class Merger:
+    """Merges many words at once, as arrays of symbols: a symbol is a piece's id or, beyond these, a character of no piece."""
+
+    NOTHING = 1 << 30  # the rank of two neighbours that make no piece
+
+    def __init__(self, model: Model):
+        self.model, self.v = model, len(model.pieces)
+        self.symbol = np.arange(self.v, self.v + 0x110000, dtype=np.int64)
+        for p, i in model.of.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        name = lambda x: model.of[x] if x in model.of else self.v + ord(x)
+        split = lambda p: [(p[:k], p[k:]) for k in range(1, len(p))]
+        whole = lambda x: len(x) == 1 or x in model.of
+        pairs = sorted((name(a) << 21 | name(b), i) for p, i in model.of.items() for a, b in split(p) if whole(a) and whole(b))
+        order = {s: r for r, s in enumerate(sorted(set(model.value.values()), reverse=True))}
+        self.keys = np.array([k for k, _ in pairs] or [-1], np.int64)
+        self.made = np.array([i for _, i in pairs] or [0], np.int64)
+        self.rank = np.array([order[model.scores[i]] for _, i in pairs] or [0], np.int64)
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair's piece (the smaller the better), and the piece."""
+        key = left << 21 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], self.NOTHING), self.made[at]
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the words one after another, and where each word's begin."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        symbol = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        word = np.repeat(np.arange(len(words)), size)
+        rank, made = np.full(len(symbol), self.NOTHING), np.zeros(len(symbol), np.int64)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner], made[inner] = self.look(symbol[inner], symbol[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            # rank before place, so that the leftmost of equal ones is the least
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(symbol)), first)
+            open_ = (best >> 32) < self.NOTHING
+            stays = np.repeat(open_, np.diff(np.append(first, len(symbol))))
+            if not open_.all():
+                done.append((word[~stays], symbol[~stays]))
+            at = best[open_] & 0xFFFFFFFF
+            symbol[at] = made[at]
+            stays[at + 1] = False
+            place = np.cumsum(stays) - 1
+            at = place[at]
+            symbol, word, rank, made = symbol[stays], word[stays], rank[stays], made[stays]
+            for i in (at, at[at > 0] - 1):
+                here = np.zeros(len(i), bool)
+                here[i + 1 < len(symbol)] = True
+                here[here] = word[i[here]] == word[i[here] + 1]
+                rank[i[~here]] = self.NOTHING
+                i = i[here]
+                rank[i], made[i] = self.look(symbol[i], symbol[i + 1])
+        word, symbol = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64),) * 2
+        return symbol[np.argsort(word, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))])
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words' pieces, the bytes that each stands for, and where each word's begin; a byte piece stands for one byte."""
+        short = [w if len(w) <= LONGEST else "" for w in words]
+        symbol, first = self.merge(short)
+        long = [i for i, w in enumerate(words) if len(w) > LONGEST]
+        if long:
+            found = [[self.model.of.get(p, self.v + ord(p[0])) for p in merged(words[i], self.model)] for i in long]
+            symbol = np.insert(symbol, np.repeat(first[long], [len(x) for x in found]), np.concatenate(found))
+            extra = np.zeros(len(words), np.int64)
+            extra[long] = [len(x) for x in found]
+            first = first + np.concatenate([[0], np.cumsum(extra)])
+        kinds, of = np.unique(symbol, return_inverse=True)
+        spelled = [self.spell(int(k)) for k in kinds]
+        count = np.array([len(x) for x, _ in spelled], np.int64)
+        start, n = np.cumsum(count) - count, count[of]
+        pick = np.repeat(start[of] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        ids, sizes = (np.array([x for pair in spelled for x in pair[side]], np.int64)[pick] for side in (0, 1))
+        return ids, sizes, np.concatenate([[0], np.cumsum(n)])[first]
+
+    def spell(self, symbol: int) -> tuple[list[int], list[int]]:
+        """Ids of a symbol and the bytes that each stands for."""
+        if symbol < self.v:
+            return [symbol], [self.model.sizes[symbol]]
+        data = chr(symbol - self.v).encode()
+        return ([self.model.bytes_[b] for b in data], [1] * len(data)) if self.model.byte_fallback else ([self.model.unknown], [len(data)])
 
 
 class Encoder:
-    """Encodes slices of texts; distinct words are encoded once while they are remembered."""
+    """Encodes slices of texts; each distinct word of a slice is merged once."""
 
     def __init__(self, model: Model):
-        self.model, self.normalise = model, Normaliser(model)
+        self.model, self.normalise, self.merger = model, Normaliser(model), Merger(model)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if model.words_apart else lambda text: [text] if text else []
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.sizes, self.first = [], [], [0]
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For texts ``buf[off[i]:off[i + 1]]``: ids, begins and ends of their pieces, and where each text's begin."""
-        if len(self.place) > REMEMBERED:
-            self.forget()
         words, n_words, sources = [], [0], []
         for i in range(len(off) - 1):
             text, source = self.normalise(buf[off[i] : off[i + 1]])
             words += self.cut(text)
             n_words.append(len(words))
             sources.append(source)
-        for word in dict.fromkeys(words):
-            if word not in self.place:
-                self.place[word] = len(self.first) - 1
-                ids, sizes = piece_ids(word, self.model)
-                self.ids += ids
-                self.sizes += sizes
-                self.first.append(len(self.ids))
-        first = np.array(self.first)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        distinct = list(dict.fromkeys(words))
+        ids, sizes, first = self.merger.ids(distinct)
+        at = np.fromiter(map(dict(zip(distinct, range(len(distinct)))).__getitem__, words), np.int64, len(words))
         count = first[at + 1] - first[at]
         pick = np.repeat(first[at] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
         ptr = np.concatenate([[0], np.cumsum(count)])[n_words]
         text = np.repeat(np.arange(len(sources)), np.diff(ptr))
         # sizes of pieces add up to the normalised texts; each text's sources have one more, for its end
-        size = np.array(self.sizes, np.int64)[pick]
+        size = sizes[pick]
         stop = np.cumsum(size) + text
         source = np.concatenate(sources) if sources else np.zeros(0, np.int64)
         edges = np.array([x[-1] for x in sources], np.int32)
         out = []
-        for piece, last in ((np.array(self.ids, np.int64)[pick], self.model.end), (source[stop - size], edges), (source[stop], edges)):
+        for piece, last in ((ids[pick], self.model.end), (source[stop - size], edges), (source[stop], edges)):
             column = np.empty(len(pick) + len(sources), np.int32)
             column[np.arange(len(pick)) + text] = piece
             column[ptr[1:] + np.arange(len(sources))] = last
@@ -320,7 +365,7 @@ def encode_pieces(docs: DataFrame, model: Model, *, text_column: str = "text") -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        for batch in slices(batches, text_column):
+        for batch in slices(batches, text_column, SLICE):
             buf, off = text_bytes(batch.column(batch.schema.get_field_index(text_column)))
             ids, begins, ends, ptr = encoder.encode(buf, off)
             lists = [pa.ListArray.from_arrays(pa.array(ptr), pa.array(x)) for x in (ids, begins, ends)]
@@ -370,7 +415,7 @@ def decode_pieces(encoded: DataFrame, model: Model, *, ids_column: str = "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model)
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             lists = batch.column(batch.schema.get_field_index(ids_column))
             flat, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             texts = [decoder.decode(flat[off[i] : off[i + 1]].astype(np.int64)) if lists[i].is_valid else None for i in range(batch.num_rows)]

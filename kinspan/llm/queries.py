@@ -94,9 +94,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import decode_pieces, encode_pieces, read_model
 
     model = read_model(public_tokenizers.path("piece_bpe_32k.model"))
-    out = decode_pieces(encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
     listed = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), " "), 256)
-    return out.select("doc_id", "n_tokens", listed("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), listed("ends").alias("ends_sha256"))
+    out = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    out = decode_pieces(out.select("doc_id", "n_tokens", "ids", listed("ends").alias("ends_sha256")), model)
+    return out.select("doc_id", "n_tokens", listed("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ends_sha256")
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
