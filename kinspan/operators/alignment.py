@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
+from ..plans.shared import cut
 
 IUPAC = "ACGUNRYSWKMBDHV"
 #: Base pairs that count as canonical.
@@ -106,54 +107,142 @@ def column_consistency(cells_: DataFrame) -> DataFrame:
     return size.join(whole, "dataset", "left").select("dataset", score.alias("tcs"))
 
 
+def bit_planes(cells_: DataFrame, planes: int = 7) -> DataFrame:
+    """``dataset, header, words``: every aligned row as bits, seven planes and a mask of residues for each stretch of 64 columns.
+
+    Bit c of plane p is bit p of the code of the character in column c; the mask has the columns that are no gap.  Characters
+    whose codes need more than ``planes`` bits are an error.
+    """
+    bit = F.expr("shiftleft(1L, CAST(col % 64 AS INT))")
+    code = F.ascii("ch")
+    fits = F.when(F.shiftright(code, planes) == 0, code).otherwise(F.raise_error(F.concat(F.lit("a character beyond the planes: "), "ch")).cast("int"))
+    plane = lambda p: F.bit_or(F.when(F.getbit(F.col("code"), F.lit(p)) == 1, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"p{p}")
+    known = F.bit_or(F.when(~gap(), F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias("known")
+    rows = cells_.select("dataset", "header", "ch", F.floor(F.col("col") / 64).alias("stretch"), bit.alias("bit"), fits.alias("code"))
+    rows = rows.groupBy("dataset", "header", "stretch").agg(*map(plane, range(planes)), known)
+    word = F.struct("stretch", *(f"p{p}" for p in range(planes)), "known")
+    return rows.groupBy("dataset", "header").agg(F.array_sort(F.collect_list(word)).alias("words"))
+
+
+def _equal_columns(planes: int, x: str, y: str) -> tuple[Column, Column]:
+    """Columns in which two rows have the same residue, and in which either has one, of one stretch."""
+    differ = F.lit(0).cast("bigint")
+    for p in range(planes):
+        differ = differ.bitwiseOR(F.col(f"{x}.p{p}").bitwiseXOR(F.col(f"{y}.p{p}")))
+    either = F.col(f"{x}.known").bitwiseOR(F.col(f"{y}.known"))
+    return F.bit_count(F.bitwise_not(differ).bitwiseAND(either)), F.bit_count(either)
+
+
+def pair_counts(cells_: DataFrame, planes: int = 7, block: int = 512) -> DataFrame:
+    """``dataset, a, b, same, either``: for each pair of sequences the columns in which they have the same residue, and in which either has one.
+
+    Sequences are dealt to blocks of about ``block``, and a pair of blocks is joined in one place: so a large alignment
+    is spread, and a row is copied as often as its alignment has blocks.  A pair is one row, made of a bit operation a plane and stretch.
+    """
+    packed = cut(bit_planes(cells_, planes))
+    sizes = packed.groupBy("dataset").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = packed.join(sizes, "dataset").withColumn("own", F.pmod(F.xxhash64("header"), F.col("blocks")).cast("int"))
+    x = dealt.select("dataset", F.col("header").alias("a"), F.col("words").alias("x"), F.col("own").alias("p"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("q"))
+    y = dealt.select("dataset", F.col("header").alias("b"), F.col("words").alias("y"), F.col("own").alias("q"), F.explode(F.sequence(F.lit(0), "own")).alias("p"))
+    # few rows make many pairs, so they are spread before the join, however it is done
+    pairs = x.repartition("dataset", "p", "q").join(y, ["dataset", "p", "q"]).where("p < q OR a < b")
+    pairs = pairs.select("dataset", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y")
+    most = packed.agg(F.max(F.size("words"))).first()[0] or 0
+    if most <= 1:
+        same, either = _equal_columns(planes, "x0", "y0")
+        flat = pairs.select("dataset", "a", "b", F.col("x")[0].alias("x0"), F.col("y")[0].alias("y0"))
+        return flat.select("dataset", "a", "b", same.cast("bigint").alias("same"), either.cast("bigint").alias("either"))
+    differ = "0L" + "".join(f" | (u.p{p} ^ v.p{p})" for p in range(planes))
+    counts = F.expr(f"aggregate(zip_with(x, y, (u, v) -> named_struct('e', u.known | v.known, 'd', {differ})), named_struct('same', 0L, 'either', 0L), "
+                    "(s, w) -> named_struct('same', s.same + bit_count(~w.d & w.e), 'either', s.either + bit_count(w.e)))")
+    return pairs.select("dataset", "a", "b", counts.alias("n")).select("dataset", "a", "b", "n.same", "n.either")
+
+
 def pair_identities(cells_: DataFrame) -> DataFrame:
     """``dataset, a, b, identity`` of every pair of sequences of an alignment, in percent of the columns where either has a residue."""
-    a = cells_.select("dataset", "col", F.col("header").alias("a"), F.col("ch").alias("x"))
-    b = cells_.select("dataset", "col", F.col("header").alias("b"), F.col("ch").alias("y"))
-    both = a.join(b, ["dataset", "col"]).where("a < b").where(~(gap("x") & gap("y")))
-    return both.groupBy("dataset", "a", "b").agg((100 * F.avg(F.when(F.col("x") == F.col("y"), 1.0).otherwise(0.0))).alias("identity"))
+    return pair_counts(cells_).where("either > 0").select("dataset", "a", "b", (100 * (F.col("same") / F.col("either"))).alias("identity"))
 
 
 def identity(cells_: DataFrame) -> DataFrame:
-    """``dataset`` and mean, median, least and greatest identity of its pairs; 100 for one sequence."""
-    pairs = pair_identities(cells_).groupBy("dataset").agg(
-        F.avg("identity").alias("mean_identity"), F.median("identity").alias("median_identity"),
-        F.min("identity").alias("min_identity"), F.max("identity").alias("max_identity"),
+    """``dataset`` and mean, median, least and greatest identity of its pairs; 100 for one sequence.
+
+    Pairs are counted by their two numbers of columns where they arise; only these counts are shuffled, and the median is theirs.
+    """
+    counts = pair_counts(cells_).where("either > 0").groupBy("dataset", "same", "either").agg(F.count("*").alias("n"))
+    value = 100 * (F.col("same") / F.col("either"))
+    pairs = counts.groupBy("dataset").agg(
+        (F.sum(value * F.col("n")) / F.sum("n")).alias("mean_identity"), F.percentile(value, 0.5, F.col("n")).alias("median_identity"),
+        F.min(value).alias("min_identity"), F.max(value).alias("max_identity"),
     )
     names = [c for c in pairs.columns if c != "dataset"]
     return cells_.select("dataset").distinct().join(pairs, "dataset", "left").select("dataset", *(F.coalesce(c, F.lit(100.0)).alias(c) for c in names))
 
 
-def covariation(cells_: DataFrame) -> DataFrame:
+#: The residues whose joint counts make up the mutual information.
+BASES = "ACGU"
+
+
+def column_bitmaps(cells_: DataFrame, bucket: int = 1024) -> DataFrame:
+    """``dataset, word, col`` and a bitmap over 64 sequences for each of A, C, G and U: where the column has it.
+
+    Sequences are numbered within buckets of about ``bucket`` of their alignment, so that no window spans a whole one;
+    a bucket's last word is not full.
+    """
+    known = cells_.where(F.col("ch").isin(*BASES))
+    sizes = known.groupBy("dataset", "header").agg(F.lit(1).alias("one"))
+    blocks = sizes.groupBy("dataset").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("blocks"))
+    named = sizes.join(blocks, "dataset").select("dataset", "header", F.pmod(F.xxhash64("header"), F.col("blocks")).cast("int").alias("block"))
+    place = F.row_number().over(Window.partitionBy("dataset", "block").orderBy("header")) - 1
+    slots = named.withColumn("place", place).select(
+        "dataset", "header", (F.col("block") * F.lit(1 << 20) + F.floor(F.col("place") / 64)).cast("bigint").alias("word"), F.expr("shiftleft(1L, place % 64)").alias("bit")
+    )
+    of = lambda c: F.bit_or(F.when(F.col("ch") == c, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(c)
+    return known.join(slots, ["dataset", "header"]).groupBy("dataset", "word", "col").agg(*map(of, BASES))
+
+
+def joint_counts(cells_: DataFrame) -> DataFrame:
+    """``dataset, i, j`` of column pairs i < j with a count for each pair of residues, ``AA`` to ``UU``, over the sequences with both.
+
+    A row of the join is a column pair and 64 sequences, and adds 16 counts of bits at once.
+    """
+    maps = cut(column_bitmaps(cells_))
+    x = maps.select("dataset", "word", F.col("col").alias("i"), *(F.col(c).alias(f"x{c}") for c in BASES)).repartition("dataset", "word")
+    y = maps.select("dataset", "word", F.col("col").alias("j"), *(F.col(c).alias(f"y{c}") for c in BASES))
+    both = x.join(y, ["dataset", "word"]).where("i < j")
+    return both.groupBy("dataset", "i", "j").agg(*(F.sum(F.expr(f"bit_count(x{a} & y{b})")).alias(a + b) for a in BASES for b in BASES))
+
+
+def covariation(cells_: DataFrame, joint: DataFrame | None = None) -> DataFrame:
     """``dataset, i, j, mi, apc`` of column pairs i < j: mutual information in bits, and that less the product correction.
 
-    Pairs need three sequences with one of A, C, G, U in both columns.  Means are over all columns.
+    Pairs need three sequences with one of A, C, G, U in both columns.  Means are over all columns.  Margins come of the
+    joint counts (``joint``: those of ``joint_counts``, where they are there already) in the same row.
     """
-    known = cells_.where(F.col("ch").isin("A", "C", "G", "U"))
-    a = known.select("dataset", "header", F.col("col").alias("i"), F.col("ch").alias("x"))
-    b = known.select("dataset", "header", F.col("col").alias("j"), F.col("ch").alias("y"))
-    joint = a.join(b, ["dataset", "header"]).where("i < j").groupBy("dataset", "i", "j", "x", "y").agg(F.count("*").alias("n"))
+    counts = joint if joint is not None else joint_counts(cells_)
+    total = lambda names: sum((F.col(n) for n in names), F.lit(0))
+    rows = counts.withColumns(
+        {"all": total([a + b for a in BASES for b in BASES])}
+        | {f"x{a}": total([a + b for b in BASES]) for a in BASES}
+        | {f"y{b}": total([a + b for a in BASES]) for b in BASES}
+    ).where("all >= 3")
     keys = ["dataset", "i", "j"]
-    over = lambda *more: Window.partitionBy(*keys, *more)
-    rows = joint.withColumns({"all": F.sum("n").over(over()), "nx": F.sum("n").over(over("x")), "ny": F.sum("n").over(over("y"))})
-    term = F.col("n") / F.col("all") * F.log2(F.col("n") * F.col("all") / (F.col("nx") * F.col("ny")))
-    mi = rows.where("all >= 3").groupBy(*keys).agg(F.round(F.sum(term), 12).alias("mi"))
-    length = cells_.groupBy("dataset").agg((F.max("col") + 1).alias("L"))
-    both = mi.select("dataset", F.col("i").alias("col"), "mi").unionByName(mi.select("dataset", F.col("j").alias("col"), "mi"))
+    term = lambda a, b: F.when(F.col(a + b) > 0, F.col(a + b) / F.col("all") * F.log2(F.col(a + b) * F.col("all") / (F.col(f"x{a}") * F.col(f"y{b}")))).otherwise(0.0)
+    mi = cut(rows.select(*keys, F.round(sum((term(a, b) for a in BASES for b in BASES), F.lit(0.0)), 12).alias("mi")))
+    both = mi.select("dataset", F.explode(F.array("i", "j")).alias("col"), "mi")
     sums = both.groupBy("dataset", "col").agg(F.sum("mi").alias("s"))
-    total = sums.groupBy("dataset").agg(F.sum("s").alias("t")).join(length, "dataset")
-    rows = mi.join(total, "dataset")
+    total_ = sums.groupBy("dataset").agg(F.sum("s").alias("t"))
+    rows = mi.join(total_, "dataset")
     for side in "ij":
         rows = rows.join(sums.select("dataset", F.col("col").alias(side), F.col("s").alias(f"s_{side}")), ["dataset", side])
-    # (s_i / L) (s_j / L) / (t / L^2)
+    # (s_i / L) (s_j / L) / (t / L^2): the number of columns L falls out
     product = ratio(F.col("s_i") * F.col("s_j"), F.col("t"))
     apc = F.when(F.col("t") > 0, F.greatest(F.lit(0.0), F.col("mi") - product)).otherwise(F.lit(0.0))
     return rows.select(*keys, "mi", apc.alias("apc"))
 
 
-def mean_covariation(cells_: DataFrame) -> DataFrame:
-    """``dataset, mean_apc`` over all column pairs."""
-    sums = covariation(cells_).groupBy("dataset").agg(F.sum("apc").alias("s"))
+def mean_covariation(cells_: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """``dataset, mean_apc`` over all column pairs; ``scores``: those of ``covariation``, where they are there already."""
+    sums = (scores if scores is not None else covariation(cells_)).groupBy("dataset").agg(F.sum("apc").alias("s"))
     size = cells_.groupBy("dataset").agg((F.max("col") + 1).alias("L"))
     pairs = F.col("L") * (F.col("L") - 1) / 2
     return size.join(sums, "dataset", "left").select("dataset", ratio(F.coalesce("s", F.lit(0.0)), pairs).alias("mean_apc"))
@@ -184,14 +273,13 @@ def base_pairs(cells_: DataFrame, pairs: DataFrame) -> DataFrame:
     Without pairs the covariation is 1.5 times the mean of all column pairs.  A pair is compensatory
     with two or more kinds of canonical base pairs and a corrected information over 0.01.
     """
-    scores = pairs.join(covariation(cells_), ["dataset", "i", "j"], "left").select("dataset", "i", "j", F.coalesce("apc", F.lit(0.0)).alias("apc"))
-    a = cells_.select("dataset", "header", F.col("col").alias("i"), F.col("ch").alias("x"))
-    b = cells_.select("dataset", "header", F.col("col").alias("j"), F.col("ch").alias("y"))
-    seen = pairs.join(a, ["dataset", "i"]).join(b, ["dataset", "header", "j"]).withColumn("pair", F.concat("x", "y"))
-    kinds = seen.where(F.col("pair").isin(*CANONICAL)).groupBy("dataset", "i", "j").agg(F.count_distinct("pair").alias("kinds"))
-    rows = scores.join(kinds, ["dataset", "i", "j"], "left")
+    joint = cut(joint_counts(cells_))
+    scores = cut(covariation(cells_, joint))
+    kinds = sum((F.when(F.col(k) > 0, 1).otherwise(0) for k in CANONICAL), F.lit(0))
+    rows = pairs.join(scores, ["dataset", "i", "j"], "left").join(joint.select("dataset", "i", "j", kinds.alias("kinds")), ["dataset", "i", "j"], "left")
+    rows = rows.select("dataset", F.coalesce("apc", F.lit(0.0)).alias("apc"), "kinds")
     found = rows.groupBy("dataset").agg(F.avg("apc").alias("bp"), F.count_if((F.col("kinds") >= 2) & (F.col("apc") > 0.01)).alias("compensatory"))
-    return mean_covariation(cells_).join(found, "dataset", "left").select(
+    return mean_covariation(cells_, scores).join(found, "dataset", "left").select(
         "dataset", F.coalesce("bp", 1.5 * F.col("mean_apc")).alias("bp_covariation"), F.coalesce("compensatory", F.lit(0)).alias("compensatory")
     )
 
