@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import containment, jaccard, vote
+from ..plans.components import roots
 from ..plans.shared import cut
-from .dpc import dpc, roots
+from .dpc import dpc
 from .intervals import merged, overlaps, span_length, unique_spans
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
+from ..plans.components import roots
 from ..plans.shared import cut
 
 HALO_METHODS = ("traditional", "similarity_weighted", "knn", "ndcg")
@@ -59,25 +60,6 @@ def nearest_higher(dense: DataFrame, edges: DataFrame, by: list[str]) -> DataFra
     return rows.withColumn("gamma", F.col("rho") * (1 - F.col("smax")))
 
 
-def roots(parents: DataFrame, by: list[str], doublings: int = 3) -> DataFrame:
-    """``id, root`` of a forest given by ``id, parent`` (a root is its own parent), by pointer doubling.
-
-    A round doubles several times and is then checkpointed in the shared folder, so that trees up to
-    8 deep take one round; only whether anything moved reaches the driver.
-    """
-    now = parents.select(*by, "id", "parent")
-    while True:
-        step = now
-        for _ in range(doublings):
-            up = step.select(*by, F.col("id").alias("parent"), F.col("parent").alias("above"))
-            step = step.join(up, [*by, "parent"]).select(*by, "id", F.col("above").alias("parent"))
-        up = now.select(*by, F.col("id").alias("parent"), (F.col("parent") != F.col("id")).alias("goes_on"))
-        now = cut(step.join(up, [*by, "parent"]).select(*by, "id", "parent", "goes_on"))
-        if now.where("goes_on").isEmpty():
-            return now.select(*by, "id", F.col("parent").alias("root"))
-        now = now.drop("goes_on")
-
-
 def top_neighbours(sym: DataFrame, by: list[str], k: int = 20) -> DataFrame:
     """The k most similar neighbours of each node and their ``rank``; equal similarities by id."""
     order = Window.partitionBy(*by, "src").orderBy(F.desc("sim"), "dst")

@@ -43,14 +43,17 @@ def unlabelled_regions(parts: DataFrame, label_type: str) -> DataFrame:
 
 
 def with_unlabelled(parts: DataFrame) -> DataFrame:
-    """Segments where each unlabelled region has a label of its own, ``UNL_<type>_<seq>_<start>``."""
-    out = parts
+    """Segments where each unlabelled region has a label of its own, ``UNL_<type>_<seq>_<start>``.
+
+    Segments follow one another, so a region begins at the last segment before which there was a label.
+    """
+    order = Window.partitionBy("seq_id").orderBy("start")
     for t in ("ref", "pred"):
-        regions = unlabelled_regions(parts, t).select("seq_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-        filled = out.where(F.col(t).isNull()).join(regions, "seq_id").where("r_start <= start AND end <= r_end")
-        filled = filled.withColumn(t, F.concat_ws("_", F.lit("UNL"), F.lit(t), "seq_id", "r_start")).drop("r_start", "r_end")
-        out = out.where(F.col(t).isNotNull()).unionByName(filled)
-    return out
+        bare = F.col(t).isNull()
+        opens = bare & F.coalesce(F.lag(~bare).over(order), F.lit(True))
+        parts = parts.withColumn("__from", F.last(F.when(opens, F.col("start")), ignorenulls=True).over(order))
+        parts = parts.withColumn(t, F.when(bare, F.concat_ws("_", F.lit("UNL"), F.lit(t), "seq_id", "__from")).otherwise(F.col(t)))
+    return parts.drop("__from")
 
 
 def contingency(labelled: DataFrame) -> DataFrame:
@@ -88,22 +91,23 @@ def normalised_mutual_information(table: DataFrame) -> DataFrame:
     return one.select(value.alias("normalised_mutual_information"))
 
 
-def majority_partners(features: DataFrame, parts: DataFrame, cutoffs: tuple[float, ...] = (0.5, 0.75, 0.9)) -> DataFrame:
-    """Features with ``partner`` and its ``share``, and a ``partner_<percent>`` for each cutoff.
+def majority_partners(features: DataFrame, parts: DataFrame, percents: tuple[int, ...] = (50, 75, 90), whole: str | None = None) -> DataFrame:
+    """Features with ``partner`` and its ``share``, and a ``partner_<percent>`` for each of ``percents``.
 
     The partner is the label of the other type on most positions, of equal ones the leftmost; where
-    unlabelled positions are the most there is none.
+    unlabelled positions are the most there is none.  Shares are of the feature's length, or of the column ``whole`` (of a feature
+    that was cut off at its sequence's end); they reach a cutoff by whole numbers, so that no rounding decides.
     """
     other = F.when(F.col("label_type") == "ref", F.col("p_pred")).otherwise(F.col("p_ref"))
     p = parts.select("seq_id", F.col("start").alias("a"), F.col("end").alias("b"), F.col("ref").alias("p_ref"), F.col("pred").alias("p_pred"))
     over = stabbed(p, features, key="seq_id", at="a", start="start", end="end").withColumn("other", other)
     keys = ["label_type", "ord"]
     counts = over.groupBy(*keys, "other").agg(F.sum(F.col("b") - F.col("a")).alias("n"), F.min("a").alias("left"))
-    best = counts.groupBy(*keys).agg(F.max_by("other", F.struct("n", -F.col("left"))).alias("partner"), F.max("n").alias("n"))
-    rows = features.join(best, keys, "left").withColumn("share", F.col("n") / (F.col("end") - F.col("start"))).drop("n")
-    for c in cutoffs:
-        rows = rows.withColumn(f"partner_{round(100 * c)}", F.when(F.col("share") >= c, F.col("partner")))
-    return rows
+    best = counts.groupBy(*keys).agg(F.max_by("other", F.struct("n", -F.col("left"))).alias("partner"), F.max("n").alias("__n"))
+    size = F.col(whole) if whole else F.col("end") - F.col("start")
+    rows = features.join(best, keys, "left").withColumn("share", F.col("__n") / size)
+    rows = rows.withColumns({f"partner_{c}": F.when(100 * F.col("__n") >= c * size, F.col("partner")) for c in percents})
+    return rows.drop("__n")
 
 
 def pair_statistics(rows: DataFrame) -> DataFrame:

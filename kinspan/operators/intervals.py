@@ -48,11 +48,32 @@ def encode(rows: DataFrame, registry: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
+#: Starts are dealt to bins of 2**16 positions: a bin has at most as many different ones, however many rows a key has.
+BIN = 16
+
+
+def running(rows: DataFrame, keys: list[str], bin_: str, totals: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+    """``rows`` with what the earlier bins of their key add up to, so that no window spans a whole key.
+
+    ``totals`` are aggregates of one bin; ``carried`` are expressions over these, for windows over the bins of a key in
+    their order, of which there is one row each.  A later one may use the earlier ones.
+    """
+    bins = rows.groupBy(*keys, bin_).agg(*(c.alias(n) for n, c in totals.items()))
+    before = Window.partitionBy(*keys).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+    for name, column in carried.items():
+        bins = bins.withColumn(name, column.over(before))
+    return rows.join(bins.drop(*totals), [*keys, bin_])
+
+
 def unique_spans(hits: DataFrame) -> DataFrame:
-    """Distinct query spans with their multiplicity ``w`` and their place ``ord`` by (start, end)."""
-    order = Window.partitionBy("q_seq").orderBy("q_start", "q_end")
-    spans = hits.groupBy("q_seq", "q_start", "q_end").agg(F.count("*").alias("w"))
-    return spans.withColumn("ord", F.row_number().over(order) - 1)
+    """Distinct query spans with their multiplicity ``w`` and their place ``ord`` by (start, end).
+
+    Spans are numbered within bins of their query, and bins are counted before; a query with most of the spans is spread over them.
+    """
+    spans = hits.groupBy("q_seq", "q_start", "q_end").agg(F.count("*").alias("w")).withColumn("__bin", F.shiftright("q_start", 10))
+    spans = running(spans, ["q_seq"], "__bin", {"__n": F.count("*")}, {"__before": F.sum("__n")})
+    place = F.row_number().over(Window.partitionBy("q_seq", "__bin").orderBy("q_start", "q_end")) - 1
+    return spans.select("q_seq", "q_start", "q_end", "w", (F.coalesce("__before", F.lit(0)) + place).cast("int").alias("ord"))
 
 
 def overlaps(
@@ -112,13 +133,24 @@ def stabbed(points: DataFrame, spans: DataFrame, *, key: str, at: str, start: st
 
 
 def merged(spans: DataFrame, *, keys: list[str], start: str, end: str) -> DataFrame:
-    """Unions of overlapping or touching intervals by key."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
+    """Unions of overlapping or touching intervals by key.
+
+    Of equal starts the greatest end counts.  Within a bin of starts the islands are found by a running maximum of ends;
+    from bin to bin the maximum and the start of the last island are carried, so that a key's spans are dealt to all tasks.
+    """
+    rows = spans.groupBy(*keys, start).agg(F.max(end).alias(end)).withColumn("__bin", F.shiftright(start, BIN))
+    order = Window.partitionBy(*keys, "__bin").orderBy(start)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    rows = spans.select(*keys, start, end).withColumn("__opens", opens)
-    rows = rows.withColumn("__island", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+    rows = rows.withColumn("__opens", reach.isNull() | (F.col(start) > reach))
+    # the last island that a bin opens by itself is open as well beside the earlier bins, or none of its islands is
+    rows = running(
+        rows, keys, "__bin", {"__top": F.max(end), "__last": F.max(F.when(F.col("__opens"), F.col(start)))},
+        {"__reach": F.max("__top"), "__island": F.max(F.when(F.col("__reach").isNull() | (F.col("__last") > F.col("__reach")), F.col("__last")))},
+    )
+    opens = F.col("__opens") & (F.col("__reach").isNull() | (F.col(start) > F.col("__reach")))
+    own = F.max(F.when(opens, F.col(start))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select(*keys, F.coalesce(own, "__island").alias("__start"), F.col(end))
+    return rows.groupBy(*keys, "__start").agg(F.max(end).alias(end)).select(*keys, F.col("__start").alias(start), end)
 
 
 def span_length(start: str, end: str) -> Column:

@@ -670,25 +670,31 @@ def pair_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _typed_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct features as reference (even families) and predicted labels (odd ones) of sequences of 80 positions."""
+    """Distinct features as reference (even families) and predicted labels (odd ones) of the documents, and the documents' lengths."""
     rows = features(spark, d).select("seq_id", (F.col("f_start") - 1).alias("start"), F.col("f_end").alias("end"), "fam_id").distinct()
     order = Window.partitionBy("seq_id").orderBy("start", "end", "fam_id")
     rows = rows.withColumn("ord", F.col("seq_id") * 1_000_000 + F.row_number().over(order))
     rows = rows.withColumn("label_type", F.when(F.col("fam_id") % 2 == 0, "ref").otherwise("pred")).withColumn("label", F.concat(F.lit("f"), "fam_id"))
-    return rows.drop("fam_id"), rows.select("seq_id").distinct().withColumn("length", F.lit(80).cast("bigint"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return cut(rows.drop("fam_id")), docs.select(F.col("doc_id").alias("seq_id"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("length"))
 
 
+#: The same: stretches between the ends of features and of the sequence, with the labels of the last features over them.
 TYPED = f"""feat AS ({V.plain(V.FEATURES)}), typed AS MATERIALIZED (
-    SELECT seq_id, s, least(e, 80) AS e, e AS whole, CASE WHEN fam_id % 2 = 0 THEN 'ref' ELSE 'pred' END AS label_type, 'f' || fam_id AS label,
-           seq_id * 1000000 + row_number() OVER (PARTITION BY seq_id ORDER BY s, e, fam_id) AS ord
-    FROM (SELECT DISTINCT seq_id, f_start - 1 AS s, f_end AS e, fam_id FROM feat)
-), pos AS MATERIALIZED (
-    SELECT q.seq_id, p, (SELECT arg_max(label, ord) FROM typed t WHERE t.seq_id = q.seq_id AND label_type = 'ref' AND s <= p AND p < e) AS ref,
-           (SELECT arg_max(label, ord) FROM typed t WHERE t.seq_id = q.seq_id AND label_type = 'pred' AND s <= p AND p < e) AS pred
-    FROM (SELECT DISTINCT seq_id FROM typed) q, range(80) r(p))"""
-
-
-@query(f"""WITH {TYPED} SELECT coalesce(ref, '') AS ref, coalesce(pred, '') AS pred, count(*) AS nt FROM pos GROUP BY 1, 2""")
+    SELECT seq_id, s, e AS whole, least(e, length) AS e, length, CASE WHEN fam_id % 2 = 0 THEN 'ref' ELSE 'pred' END AS label_type, 'f' || fam_id AS label,
+           seq_id * 1000000 + row_number() OVER (PARTITION BY seq_id ORDER BY s, whole, fam_id) AS ord
+    FROM (SELECT DISTINCT seq_id, f_start - 1 AS s, f_end AS whole, f_end AS e, fam_id FROM feat)
+    JOIN (SELECT doc_id AS seq_id, coalesce(length(text), 0) AS length FROM documents) USING (seq_id)
+), cuts AS (
+    SELECT seq_id, s AS x FROM typed WHERE s < e UNION SELECT seq_id, e FROM typed WHERE s < e
+    UNION SELECT doc_id, 0 FROM documents UNION SELECT doc_id, coalesce(length(text), 0) FROM documents
+), seg AS MATERIALIZED (
+    SELECT seq_id, a, b, (SELECT arg_max(label, ord) FROM typed t WHERE t.seq_id = c.seq_id AND label_type = 'ref' AND s <= a AND a < e) AS ref,
+           (SELECT arg_max(label, ord) FROM typed t WHERE t.seq_id = c.seq_id AND label_type = 'pred' AND s <= a AND a < e) AS pred
+    FROM (SELECT seq_id, x AS a, lead(x) OVER (PARTITION BY seq_id ORDER BY x) AS b FROM cuts) c WHERE b IS NOT NULL)"""
+
+
+@query(f"""WITH {TYPED} SELECT coalesce(ref, '') AS ref, coalesce(pred, '') AS pred, CAST(sum(b - a) AS BIGINT) AS nt FROM seg GROUP BY 1, 2""")
 def label_segments(spark: SparkSession, d: str) -> DataFrame:
     parts = E.segments(*_typed_features(spark, d))
     none = lambda c: F.coalesce(c, F.lit("")).alias(c)
@@ -696,34 +702,36 @@ def label_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {TYPED}, c AS (
-    SELECT t.ord, t.label_type, CASE WHEN label_type = 'ref' THEN pred ELSE ref END AS o, count(*) AS n, min(p) AS l
-    FROM typed t JOIN pos ON pos.seq_id = t.seq_id AND p >= s AND p < e GROUP BY ALL
-), b AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY n DESC, l) AS k FROM c)
-SELECT t.ord, t.label, round(n / CAST(whole - s AS DOUBLE), 6) AS share, CASE WHEN n / CAST(whole - s AS DOUBLE) >= 0.5 THEN o END AS partner_50,
-       CASE WHEN n / CAST(whole - s AS DOUBLE) >= 0.75 THEN o END AS partner_75, CASE WHEN n / CAST(whole - s AS DOUBLE) >= 0.9 THEN o END AS partner_90
-FROM typed t LEFT JOIN b ON b.ord = t.ord AND k = 1""")
+    SELECT t.ord, t.label_type, CASE WHEN label_type = 'ref' THEN pred ELSE ref END AS o, CAST(sum(b - a) AS BIGINT) AS n, min(a) AS l
+    FROM typed t JOIN seg ON seg.seq_id = t.seq_id AND a >= s AND a < e GROUP BY ALL
+), m AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY n DESC, l) AS k FROM c)
+SELECT t.ord, t.label, round(n / CAST(whole - s AS DOUBLE), 6) AS share, CASE WHEN 2 * n >= whole - s THEN o END AS partner_50,
+       CASE WHEN 4 * n >= 3 * (whole - s) THEN o END AS partner_75, CASE WHEN 10 * n >= 9 * (whole - s) THEN o END AS partner_90
+FROM typed t LEFT JOIN m ON m.ord = t.ord AND k = 1""")
 def majority_partner(spark: SparkSession, d: str) -> DataFrame:
     rows, lengths = _typed_features(spark, d)
-    clipped = rows.withColumn("whole", F.col("end")).withColumn("end", F.least("end", F.lit(80)))
-    out = E.majority_partners(clipped, E.segments(rows, lengths))
-    share = F.col("share") * (F.col("end") - F.col("start")) / (F.col("whole") - F.col("start"))
-    out = out.withColumn("share", share)
-    return out.select("ord", "label", F.round("share", 6).alias("share"), *(F.when(F.col("share") >= c, F.col("partner")).alias(f"partner_{round(100 * c)}") for c in (0.5, 0.75, 0.9)))
+    clipped = rows.withColumn("whole", F.col("end") - F.col("start")).join(lengths, "seq_id").withColumn("end", F.least("end", "length")).drop("length")
+    out = E.majority_partners(clipped, cut(E.segments(rows, lengths)), whole="whole")
+    return out.select("ord", "label", F.round("share", 6).alias("share"), *(f"partner_{c}" for c in (50, 75, 90)))
+
+
+#: Runs of bare stretches: a stretch opens one where the one before has a label.
+RUNS = "SELECT *, sum(opens) OVER (PARTITION BY seq_id ORDER BY a) AS g FROM (SELECT *, CASE WHEN {0} IS NULL AND (a = 0 OR lag({0}) OVER (PARTITION BY seq_id ORDER BY a) IS NOT NULL) THEN 1 ELSE 0 END AS opens FROM seg)"
 
 
-@query(f"""WITH {TYPED}, m AS (SELECT seq_id, p, ref IS NULL AS bare, p - row_number() OVER (PARTITION BY seq_id, ref IS NULL ORDER BY p) AS g FROM pos)
-SELECT seq_id, min(p) AS start, max(p) + 1 AS "end" FROM m WHERE bare GROUP BY seq_id, g""")
+@query(f"""WITH {TYPED}, m AS ({RUNS.format("ref")})
+SELECT seq_id, min(a) AS start, max(b) AS "end" FROM m WHERE ref IS NULL GROUP BY seq_id, g""")
 def unlabeled_regions(spark: SparkSession, d: str) -> DataFrame:
     return E.unlabelled_regions(E.segments(*_typed_features(spark, d)), "ref")
 
 
-@query(f"""WITH {TYPED}, q AS (SELECT seq_id, count(*) AS n, count(*) FILTER (WHERE pred IS NULL) AS bare FROM pos GROUP BY seq_id
-), m AS (SELECT seq_id, p - row_number() OVER (PARTITION BY seq_id ORDER BY p) AS g FROM pos WHERE pred IS NULL)
+@query(f"""WITH {TYPED}, q AS (SELECT seq_id, sum(b - a) AS n, coalesce(sum(b - a) FILTER (WHERE pred IS NULL), 0) AS bare FROM seg GROUP BY seq_id
+), m AS ({RUNS.format("pred")})
 SELECT count(*) FILTER (WHERE bare = 0) AS fully_labeled_seqs, count(*) FILTER (WHERE bare > 0 AND bare < n) AS partially_labeled_seqs,
        count(*) FILTER (WHERE bare = n) AS fully_unlabeled_seqs, CAST(sum(bare) AS BIGINT) AS unlabeled_nucleotides,
-       (SELECT count(*) FROM (SELECT DISTINCT seq_id, g FROM m)) AS unlabeled_regions FROM q""")
+       (SELECT count(*) FROM (SELECT DISTINCT seq_id, g FROM m WHERE pred IS NULL)) AS unlabeled_regions FROM q""")
 def label_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return E.coverage(E.segments(*_typed_features(spark, d)), "pred")
+    return E.coverage(cut(E.segments(*_typed_features(spark, d))), "pred")
 
 
 @query(f"""WITH {TYPED} SELECT label_type, label, count(*) AS domains, CAST(sum(whole - s) AS BIGINT) AS nucleotides, count(DISTINCT seq_id) AS seqs

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kinspan.operators import intervals
 from kinspan.operators.domains import find_domains, number_domains, span_graph, target_overlaps
 from kinspan.operators.intervals import encode, merged, normalise_hits, overlaps, stabbed, unique_spans
 from kinspan.functions.scores import vote
@@ -44,6 +45,38 @@ def test_merge(spark, spans, expected):
     assert sorted((r["s"], r["e"]) for r in merged(df, keys=["k"], start="s", end="e").collect()) == expected
 
 
+def plain_union(spans):
+    out = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_unions_and_places_of_one_key_across_bins(spark, seed, monkeypatch):
+    monkeypatch.setattr(intervals, "BIN", 4)
+    rnd = random.Random(seed)
+    # all spans on one key; some reach over many bins
+    spans = [(s := rnd.randint(0, 3000), s + rnd.choice((1, 3, 9, 40, 600 if rnd.random() < 0.1 else 5))) for _ in range(150)]
+    df = spark.createDataFrame([(1, 2, *s) for s in spans], "k int, m int, s int, e int")
+    out = merged(df, keys=["k", "m"], start="s", end="e")
+    assert sorted((r.s, r.e) for r in out.collect()) == plain_union(spans)
+    hits = spark.createDataFrame([(7, *s) for s in spans], "q_seq long, q_start int, q_end int")
+    placed = {(r.q_start, r.q_end): r.ord for r in unique_spans(hits).collect()}
+    assert placed == {s: i for i, s in enumerate(sorted(set(spans)))}
+
+
+def test_one_key_with_all_spans_is_spread_over_tasks(spark):
+    df = spark.range(400_000).selectExpr("1 AS k", "CAST(id * 5 AS INT) AS s", "CAST(id * 5 + 3 AS INT) AS e")
+    out = merged(df, keys=["k"], start="s", end="e")
+    assert out.count() == 400_000
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x]
+    assert windows and all("__bin" in x for x in windows)  # none spans the key's rows
+
+
 @pytest.mark.parametrize("longest", [30, 3000])
 def test_overlaps_agree_with_all_pairs(spark, longest):
     @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
