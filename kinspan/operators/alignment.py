@@ -182,34 +182,56 @@ def identity(cells_: DataFrame) -> DataFrame:
 BASES = "ACGU"
 
 
-def column_bitmaps(cells_: DataFrame, bucket: int = 1024) -> DataFrame:
-    """``dataset, word, col`` and a bitmap over 64 sequences for each of A, C, G and U: where the column has it.
+def base_masks(cells_: DataFrame) -> DataFrame:
+    """``dataset, header, stretch, last`` and a mask for each of A, C, G and U: the columns of a row's stretch of 64 that have it.
+
+    ``last`` is the last column there, of whatever character.
+    """
+    bit = F.expr("shiftleft(1L, CAST(col % 64 AS INT))")
+    of = lambda c: F.bit_or(F.when(F.col("ch") == c, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(c)
+    rows = cells_.select("dataset", "header", "col", "ch", F.floor(F.col("col") / 64).alias("stretch"), bit.alias("bit"))
+    return rows.groupBy("dataset", "header", "stretch").agg(*map(of, BASES), F.max("col").alias("last"))
+
+
+def column_bitmaps(masks: DataFrame, bucket: int = 1024) -> DataFrame:
+    """``dataset, words, word, col`` and a bitmap over 64 sequences for each of A, C, G and U: where the column has it.
 
     Sequences are numbered within buckets of about ``bucket`` of their alignment, so that no window spans a whole one;
-    a bucket's last word is not full.
+    a bucket's last word is not full.  ``words`` is 1 where the alignment has a single one.  Rows are brought together by word and
+    only then spelled out by column, so that no cell is shuffled.
     """
-    known = cells_.where(F.col("ch").isin(*BASES))
-    sizes = known.groupBy("dataset", "header").agg(F.lit(1).alias("one"))
-    blocks = sizes.groupBy("dataset").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("blocks"))
-    named = sizes.join(blocks, "dataset").select("dataset", "header", F.pmod(F.xxhash64("header"), F.col("blocks")).cast("int").alias("block"))
+    names = masks.select("dataset", "header").distinct()
+    blocks = names.groupBy("dataset").agg(F.count("*").alias("size"))
+    named = names.join(blocks, "dataset").select("dataset", "header", "size", F.pmod(F.xxhash64("header"), F.ceil(F.col("size") / F.lit(bucket))).cast("int").alias("block"))
     place = F.row_number().over(Window.partitionBy("dataset", "block").orderBy("header")) - 1
     slots = named.withColumn("place", place).select(
-        "dataset", "header", (F.col("block") * F.lit(1 << 20) + F.floor(F.col("place") / 64)).cast("bigint").alias("word"), F.expr("shiftleft(1L, place % 64)").alias("bit")
-    )
-    of = lambda c: F.bit_or(F.when(F.col("ch") == c, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(c)
-    return known.join(slots, ["dataset", "header"]).groupBy("dataset", "word", "col").agg(*map(of, BASES))
+        "dataset", "header", F.when(F.col("size") <= 64, 1).otherwise(2).alias("words"),
+        (F.col("block") * F.lit(1 << 20) + F.floor(F.col("place") / 64)).cast("bigint").alias("word"), F.expr("shiftleft(1L, place % 64)").alias("bit"),
+    )
+    rows = masks.join(slots, ["dataset", "header"]).repartition("dataset", "word", "stretch")
+    rows = rows.select("dataset", "words", "word", "stretch", "bit", *BASES, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("at"))
+    of = lambda c: F.bit_or(F.when(F.getbit(F.col(c), F.col("at")) == 1, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(c)
+    maps = rows.where("getbit(A | C | G | U, at) = 1").groupBy("dataset", "words", "word", "stretch", "at").agg(*map(of, BASES))
+    return maps.select("dataset", "words", "word", (F.col("stretch") * 64 + F.col("at")).cast("int").alias("col"), *BASES)
 
 
-def joint_counts(cells_: DataFrame) -> DataFrame:
+def joint_counts(masks: DataFrame) -> DataFrame:
     """``dataset, i, j`` of column pairs i < j with a count for each pair of residues, ``AA`` to ``UU``, over the sequences with both.
 
-    A row of the join is a column pair and 64 sequences, and adds 16 counts of bits at once.
+    A row of the join is a column pair and 64 sequences, and has 16 counts of bits at once; where an alignment has no more
+    sequences, that is all, and nothing is shuffled to be added.
     """
-    maps = cut(column_bitmaps(cells_))
-    x = maps.select("dataset", "word", F.col("col").alias("i"), *(F.col(c).alias(f"x{c}") for c in BASES)).repartition("dataset", "word")
-    y = maps.select("dataset", "word", F.col("col").alias("j"), *(F.col(c).alias(f"y{c}") for c in BASES))
-    both = x.join(y, ["dataset", "word"]).where("i < j")
-    return both.groupBy("dataset", "i", "j").agg(*(F.sum(F.expr(f"bit_count(x{a} & y{b})")).alias(a + b) for a in BASES for b in BASES))
+    maps = cut(column_bitmaps(masks))
+    x = maps.select("dataset", "words", "word", F.col("col").alias("i"), *(F.col(c).alias(f"x{c}") for c in BASES))
+    y = maps.select("dataset", "words", "word", F.col("col").alias("j"), *(F.col(c).alias(f"y{c}") for c in BASES))
+    names = [a + b for a in BASES for b in BASES]
+    keys = ["dataset", "words", "word"]
+
+    def counts(of: str) -> DataFrame:
+        both = x.where(of).repartition(*keys).join(y.where(of), keys).where("i < j")
+        return both.select("dataset", "i", "j", *(F.expr(f"bit_count(x{a} & y{b})").cast("bigint").alias(a + b) for a in BASES for b in BASES))
+
+    return counts("words = 1").unionByName(counts("words > 1").groupBy("dataset", "i", "j").agg(*(F.sum(n).alias(n) for n in names)))
 
 
 def covariation(cells_: DataFrame, joint: DataFrame | None = None) -> DataFrame:
@@ -218,16 +240,15 @@ def covariation(cells_: DataFrame, joint: DataFrame | None = None) -> DataFrame:
     Pairs need three sequences with one of A, C, G, U in both columns.  Means are over all columns.  Margins come of the
     joint counts (``joint``: those of ``joint_counts``, where they are there already) in the same row.
     """
-    counts = joint if joint is not None else joint_counts(cells_)
+    counts = joint if joint is not None else joint_counts(cut(base_masks(cells_)))
     total = lambda names: sum((F.col(n) for n in names), F.lit(0))
-    rows = counts.withColumns(
-        {"all": total([a + b for a in BASES for b in BASES])}
-        | {f"x{a}": total([a + b for b in BASES]) for a in BASES}
-        | {f"y{b}": total([a + b for a in BASES]) for b in BASES}
-    ).where("all >= 3")
+    margins = [total([a + b for b in BASES]) for a in BASES] + [total([a + b for a in BASES]) for b in BASES]
+    rows = counts.select("dataset", "i", "j", F.array(*(a + b for a in BASES for b in BASES)).alias("n"), F.array(*margins).alias("m"), total([a + b for a in BASES for b in BASES]).alias("all"))
     keys = ["dataset", "i", "j"]
-    term = lambda a, b: F.when(F.col(a + b) > 0, F.col(a + b) / F.col("all") * F.log2(F.col(a + b) * F.col("all") / (F.col(f"x{a}") * F.col(f"y{b}")))).otherwise(0.0)
-    mi = cut(rows.select(*keys, F.round(sum((term(a, b) for a in BASES for b in BASES), F.lit(0.0)), 12).alias("mi")))
+    # sum n/N log2(n N / (x y)) = log2 N + (sum n log2 n - sum x log2 x - sum y log2 y) / N; loops, as 24 terms in a row make a method too large to be compiled
+    weight = lambda c: F.aggregate(c, F.lit(0.0), lambda s, n: s + F.when(n > 1, n * F.log2(n)).otherwise(0.0))
+    mi = F.greatest(F.lit(0.0), F.round(F.log2("all") + (weight("n") - weight("m")) / F.col("all"), 12))
+    mi = cut(rows.where("all >= 3").select(*keys, mi.alias("mi")))
     both = mi.select("dataset", F.explode(F.array("i", "j")).alias("col"), "mi")
     sums = both.groupBy("dataset", "col").agg(F.sum("mi").alias("s"))
     total_ = sums.groupBy("dataset").agg(F.sum("s").alias("t"))
@@ -240,10 +261,15 @@ def covariation(cells_: DataFrame, joint: DataFrame | None = None) -> DataFrame:
     return rows.select(*keys, "mi", apc.alias("apc"))
 
 
-def mean_covariation(cells_: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """``dataset, mean_apc`` over all column pairs; ``scores``: those of ``covariation``, where they are there already."""
-    sums = (scores if scores is not None else covariation(cells_)).groupBy("dataset").agg(F.sum("apc").alias("s"))
-    size = cells_.groupBy("dataset").agg((F.max("col") + 1).alias("L"))
+def mean_covariation(cells_: DataFrame) -> DataFrame:
+    """``dataset, mean_apc`` over all column pairs."""
+    masks = cut(base_masks(cells_))
+    return _mean_covariation(masks, covariation(cells_, joint_counts(masks)))
+
+
+def _mean_covariation(masks: DataFrame, scores: DataFrame) -> DataFrame:
+    sums = scores.groupBy("dataset").agg(F.sum("apc").alias("s"))
+    size = masks.groupBy("dataset").agg((F.max("last") + 1).alias("L"))
     pairs = F.col("L") * (F.col("L") - 1) / 2
     return size.join(sums, "dataset", "left").select("dataset", ratio(F.coalesce("s", F.lit(0.0)), pairs).alias("mean_apc"))
 
@@ -273,13 +299,14 @@ def base_pairs(cells_: DataFrame, pairs: DataFrame) -> DataFrame:
     Without pairs the covariation is 1.5 times the mean of all column pairs.  A pair is compensatory
     with two or more kinds of canonical base pairs and a corrected information over 0.01.
     """
-    joint = cut(joint_counts(cells_))
+    masks = cut(base_masks(cells_))
+    joint = cut(joint_counts(masks))
     scores = cut(covariation(cells_, joint))
     kinds = sum((F.when(F.col(k) > 0, 1).otherwise(0) for k in CANONICAL), F.lit(0))
     rows = pairs.join(scores, ["dataset", "i", "j"], "left").join(joint.select("dataset", "i", "j", kinds.alias("kinds")), ["dataset", "i", "j"], "left")
     rows = rows.select("dataset", F.coalesce("apc", F.lit(0.0)).alias("apc"), "kinds")
     found = rows.groupBy("dataset").agg(F.avg("apc").alias("bp"), F.count_if((F.col("kinds") >= 2) & (F.col("apc") > 0.01)).alias("compensatory"))
-    return mean_covariation(cells_, scores).join(found, "dataset", "left").select(
+    return _mean_covariation(masks, scores).join(found, "dataset", "left").select(
         "dataset", F.coalesce("bp", 1.5 * F.col("mean_apc")).alias("bp_covariation"), F.coalesce("compensatory", F.lit(0)).alias("compensatory")
     )
 

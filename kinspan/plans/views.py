@@ -15,17 +15,19 @@ HITS = """
            CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS t_strand
     FROM {lineitem} WHERE l_partkey <> l_suppkey
 """
-#: The characters of aligned sequences: every document's whole text, in alignments of 40 columns; an alignment
-#: is a source and a stretch of the text, and a text's last stretch is filled up with gaps.
+#: Stretches of 40 characters of every document's whole text; an alignment is a source and the number of a stretch.
+PIECES = """
+    SELECT concat(b.source, '-', b.block) AS dataset, b.doc_id AS header, substr(b.text, b.block * 40 + 1, 40) AS piece
+    FROM (SELECT source, doc_id, text, explode(sequence(0, CAST(floor((length(text) - 1) / 40.0) AS INT))) AS block
+          FROM {documents} WHERE length(text) > 0) b
+"""
+#: The characters of aligned sequences: alignments of 40 columns; a text's last stretch is filled up with gaps.
 CELLS = """
     SELECT p.dataset, p.header, n.col,
            CASE WHEN n.col >= length(p.piece) THEN '-'
                 ELSE CASE ascii(substr(p.piece, n.col + 1, 1)) % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'C'
                      WHEN 2 THEN 'G' WHEN 3 THEN 'U' WHEN 4 THEN 'N' ELSE '-' END END AS ch
-    FROM (SELECT concat(b.source, '-', b.block) AS dataset, b.doc_id AS header, substr(b.text, b.block * 40 + 1, 40) AS piece
-          FROM (SELECT source, doc_id, text, explode(sequence(0, CAST(floor((length(text) - 1) / 40.0) AS INT))) AS block
-                FROM {documents} WHERE length(text) > 0) b) p
-    CROSS JOIN (SELECT explode(sequence(0, 39)) AS col) n
+    FROM ({pieces}) p CROSS JOIN (SELECT explode(sequence(0, 39)) AS col) n
 """
 #: Reference and predicted labels of stretches of sequences.
 LABELS = """
@@ -51,10 +53,13 @@ TABLES = ("lineitem", "documents", "events", "orders")
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view over the parquet tables that its text names."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    if "{pieces}" in sql:
+        # a stretch makes 40 cells: stretches are spread before, as groupings by sequence want them
+        used["pieces"] = view(spark, sf_dir, PIECES).repartition("dataset", "header")
     return spark.sql(sql, **used)
 
 
 def plain(sql: str) -> str:
     """The same text over tables of those names, with DuckDB's names for numbers in a row."""
-    sql = sql.replace("explode(sequence(", "unnest(generate_series(")
+    sql = sql.replace("{pieces}", PIECES).replace("explode(sequence(", "unnest(generate_series(")
     return sql.format(**{t: t for t in TABLES})
