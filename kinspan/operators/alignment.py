@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
 from ..plans.shared import cut
+from .quantiles import quantiles
 
 IUPAC = "ACGUNRYSWKMBDHV"
 #: Base pairs that count as canonical.
@@ -169,11 +170,10 @@ def identity(cells_: DataFrame) -> DataFrame:
     Pairs are counted by their two numbers of columns where they arise; only these counts are shuffled, and the median is theirs.
     """
     counts = pair_counts(cells_).where("either > 0").groupBy("dataset", "same", "either").agg(F.count("*").alias("n"))
-    value = 100 * (F.col("same") / F.col("either"))
-    pairs = counts.groupBy("dataset").agg(
-        (F.sum(value * F.col("n")) / F.sum("n")).alias("mean_identity"), F.percentile(value, 0.5, F.col("n")).alias("median_identity"),
-        F.min(value).alias("min_identity"), F.max(value).alias("max_identity"),
-    )
+    counts = cut(counts.select("dataset", (100 * (F.col("same") / F.col("either"))).alias("value"), "n"))
+    pairs = counts.groupBy("dataset").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean_identity"), F.min("value").alias("min_identity"), F.max("value").alias("max_identity"))
+    pairs = pairs.join(quantiles(counts, ["dataset"], "value", {"median_identity": 0.5}, "n"), "dataset")
+    pairs = pairs.select("dataset", "mean_identity", "median_identity", "min_identity", "max_identity")
     names = [c for c in pairs.columns if c != "dataset"]
     return cells_.select("dataset").distinct().join(pairs, "dataset", "left").select("dataset", *(F.coalesce(c, F.lit(100.0)).alias(c) for c in names))
 

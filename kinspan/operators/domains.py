@@ -11,16 +11,16 @@ from ..functions.scores import containment, jaccard, vote
 from ..plans.components import roots
 from ..plans.shared import cut
 from .dpc import dpc
-from .intervals import merged, overlaps, span_length, unique_spans
+from .intervals import merged, overlaps, span_length, touching, unique_spans
 
 
 def span_graph(spans: DataFrame) -> DataFrame:
-    """Overlapping spans ``a < b`` of each query with ``inter``, the lengths and the Jaccard coefficient ``sim``."""
-    both = overlaps(spans, key="q_seq", start="q_start", end="q_end", label="ord")
+    """Overlapping spans ``a < b`` of each query with ``inter``, the lengths, the Jaccard coefficient ``sim`` and the weights, if there are any."""
+    both = overlaps(spans, key="q_seq", start="q_start", end="q_end", label="ord", carry=("w",) if "w" in spans.columns else ())
     length = lambda s: span_length(f"q_start_{s}", f"q_end_{s}")
     return both.select(
         "q_seq", F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), "inter", length("a").alias("len_a"), length("b").alias("len_b"),
-        jaccard(F.col("inter"), length("a"), length("b")).alias("sim"),
+        jaccard(F.col("inter"), length("a"), length("b")).alias("sim"), *(c for c in ("w_a", "w_b") if c in both.columns),
     )
 
 
@@ -135,7 +135,7 @@ def families(
     """``dom_id, family, gamma``: the clusters of the global graph; domains that are noise have none."""
     nodes = lengths.select(F.col("dom_id").alias("id"), F.lit(1).alias("w"))
     out = dpc(
-        nodes, edges, min_sim=min_sim, min_dens=min_dens, halo_method=halo_method, halo_tau=halo_tau, point_specific=point_specific, unique=True
+        nodes, edges.withColumns({"w_a": F.lit(1), "w_b": F.lit(1)}), min_sim=min_sim, min_dens=min_dens, halo_method=halo_method, halo_tau=halo_tau, point_specific=point_specific, unique=True
     )
     return out.where("label IS NOT NULL").select(F.col("id").alias("dom_id"), F.col("label").alias("family"), "gamma")
 
@@ -147,15 +147,12 @@ def family_features(domains: DataFrame, member: DataFrame) -> DataFrame:
     """
     own = cut(domains.join(member.select("dom_id", "family"), "dom_id").select("family", "q_seq", "start", "end", "strand"))
     whole = merged(own, keys=["family", "q_seq"], start="start", end="end")
-    part = own.select("family", "q_seq", F.col("start").alias("s"), F.col("end").alias("e"), "strand")
+    key = F.struct("family", "q_seq").alias("of")
+    part = own.select(key, F.col("start").alias("s"), F.col("end").alias("e"), "strand")
     sign = F.when(F.col("strand") == "-", -1).otherwise(1)
-    inside = (F.greatest("s", "start") < F.least("e", "end"))
-    return (
-        whole.join(part, ["family", "q_seq"], "left")
-        .where(inside)
-        .groupBy("family", "q_seq", "start", "end")
-        .agg(vote(sign).alias("strand"))
-    )
+    both = touching(whole.select(key, "start", "end"), part, key="of", left_span=("start", "end"), right_span=("s", "e"))
+    voted = both.groupBy("of", "start", "end").agg(vote(sign).alias("strand"))
+    return voted.select("of.family", "of.q_seq", "start", "end", "strand")
 
 
 def find_domains(

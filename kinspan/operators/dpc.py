@@ -7,12 +7,13 @@ they are compared, as the order of a sum of doubles is not fixed; equal ones are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
 from ..plans.components import roots
 from ..plans.shared import cut
+from .quantiles import quantiles
 
 HALO_METHODS = ("traditional", "similarity_weighted", "knn", "ndcg")
 
@@ -24,9 +25,16 @@ def unique_edges(edges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def directed(edges: DataFrame, by: list[str]) -> DataFrame:
-    """Unique edges in both directions, ``src, dst, sim``: two rows an edge, without a shuffle."""
-    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
-    return edges.select(*by, F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e"), "sim").select(*by, "e.src", "e.dst", "sim")
+    """Unique edges in both directions, ``src, dst, sim``: two rows an edge, without a shuffle.
+
+    Edges with the weights ``w_a`` and ``w_b`` of their ends give ``w_dst``.
+    """
+    weighted = {"w_a", "w_b"} <= set(edges.columns)
+
+    def way(x: str, y: str) -> Column:
+        return F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), *([F.col(f"w_{y}").alias("w_dst")] if weighted else []))
+
+    return edges.select(*by, F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e"), "sim").select(*by, "e.*", "sim")
 
 
 def symmetric(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -35,9 +43,13 @@ def symmetric(edges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def densities(nodes: DataFrame, sym: DataFrame, by: list[str]) -> DataFrame:
-    """``rho``: a node's own weight and its neighbours' weights times similarity."""
-    of = nodes.select(*by, F.col("id").alias("dst"), F.col("w").alias("w_dst"))
-    near = sym.join(of, [*by, "dst"]).groupBy(*by, F.col("src").alias("id")).agg(F.sum(F.col("w_dst") * F.col("sim")).alias("near"))
+    """``rho``: a node's own weight and its neighbours' weights times similarity.
+
+    Weights that the edges have with them (``w_dst``) need no join with the nodes.
+    """
+    if "w_dst" not in sym.columns:
+        sym = sym.join(nodes.select(*by, F.col("id").alias("dst"), F.col("w").alias("w_dst")), [*by, "dst"])
+    near = sym.groupBy(*by, F.col("src").alias("id")).agg(F.sum(F.col("w_dst") * F.col("sim")).alias("near"))
     rows = nodes.join(near, [*by, "id"], "left")
     return rows.withColumn("rho", F.round(F.col("w") + F.coalesce("near", F.lit(0.0)), 9)).drop("near")
 
@@ -97,7 +109,10 @@ def halo(labelled: DataFrame, sym: DataFrame, by: list[str], *, method: str, tau
     """
     scores = cut(border_scores(labelled, sym, by, method, tau, k))
     many = labelled.groupBy(*by).agg(F.count_distinct("label").alias("n_clusters"))
-    sizes = labelled.where("label IS NOT NULL").groupBy(*by, "label").agg(F.count("*").alias("size"), F.median("rho").alias("mid"))
+    sizes = labelled.where("label IS NOT NULL").groupBy(*by, "label").agg(F.count("*").alias("size"))
+    if point_specific:
+        middle = quantiles(labelled.where("label IS NOT NULL"), [*by, "label"], "rho", {"mid": 0.5})
+        sizes = sizes.join(middle, [*by, "label"])
     rows = labelled.join(scores, [*by, "id"], "left").join(sizes, [*by, "label"], "left")
     rows = rows.join(many, by) if by else rows.crossJoin(F.broadcast(many))  # one row
     border = (F.col("size") >= min_size) & (F.col("n_clusters") > 1) & (F.col("score") >= tau) & (F.col("score") > 0)
@@ -136,7 +151,7 @@ def dpc(
         raise ValueError("min_sim must lie between 0 and 1")
     if halo_method not in (None, "none", *HALO_METHODS):
         raise ValueError(f"unknown halo method {halo_method!r}")
-    edges = edges.select(*by, "a", "b", "sim") if unique else cut(unique_edges(edges, by))
+    edges = edges.select(*by, "a", "b", "sim", *(c for c in ("w_a", "w_b") if c in edges.columns)) if unique else cut(unique_edges(edges, by))
     sym = directed(edges, by)
     dense = cut(densities(nodes, sym, by))
     state = nearest_higher(dense, edges, by)

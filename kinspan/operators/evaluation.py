@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
 from .intervals import stabbed
+from .quantiles import quantiles
 
 
 def segments(features: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -135,11 +136,9 @@ def label_counts(features: DataFrame) -> DataFrame:
 
 def label_quartiles(counts: DataFrame, column: str = "domains") -> DataFrame:
     """Exact quartiles, mean and maximum of the labels' counts by type."""
-    q = lambda p: F.percentile(column, p)
-    return counts.groupBy("label_type").agg(
-        F.count("*").alias("cluster_number"), F.max(column).alias("largest"), q(0.25).alias("q1"), q(0.5).alias("median"),
-        F.avg(column).alias("mean"), q(0.75).alias("q3"),
-    )
+    parts = quantiles(counts, ["label_type"], column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    whole = counts.groupBy("label_type").agg(F.count("*").alias("cluster_number"), F.max(column).alias("largest"), F.avg(column).alias("mean"))
+    return whole.join(parts, "label_type").select("label_type", "cluster_number", "largest", "q1", "median", "mean", "q3")
 
 
 def coverage(parts: DataFrame, label_type: str) -> DataFrame:

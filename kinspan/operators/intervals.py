@@ -52,16 +52,18 @@ def encode(rows: DataFrame, registry: DataFrame, *columns: str) -> DataFrame:
 BIN = 16
 
 
-def running(rows: DataFrame, keys: list[str], bin_: str, totals: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], bin_: str, totals: dict[str, Column], carried: dict[str, Column], whole: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` with what the earlier bins of their key add up to, so that no window spans a whole key.
 
-    ``totals`` are aggregates of one bin; ``carried`` are expressions over these, for windows over the bins of a key in
-    their order, of which there is one row each.  A later one may use the earlier ones.
+    ``totals`` are aggregates of one bin; ``carried`` are expressions over these, for windows over the earlier bins of a key, and
+    ``whole`` for windows over all of them; there is one row a bin.  A later one may use the ones before it.
     """
     bins = rows.groupBy(*keys, bin_).agg(*(c.alias(n) for n, c in totals.items()))
-    before = Window.partitionBy(*keys).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*keys).orderBy(bin_)
     for name, column in carried.items():
-        bins = bins.withColumn(name, column.over(before))
+        bins = bins.withColumn(name, column.over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    for name, column in (whole or {}).items():
+        bins = bins.withColumn(name, column.over(Window.partitionBy(*keys)))
     return rows.join(bins.drop(*totals), [*keys, bin_])
 
 
@@ -132,6 +134,31 @@ def stabbed(points: DataFrame, spans: DataFrame, *, key: str, at: str, start: st
     return both.drop("__level", "__bin")
 
 
+def touching(left: DataFrame, right: DataFrame, *, key: str, left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
+    """Rows of two tables whose half-open intervals overlap within a key, with the columns of both (named apart but for the key).
+
+    As in ``overlaps``, an interval is at home in the one or two bins of its power-of-two level, and visits its bins of the
+    wider levels; a pair is found where the wider of the two is at home, the right one where both are of a level.  Empty intervals
+    overlap nothing.  What is compared grows with the pairs found, not with the product of a key's rows.
+    """
+    def side(frame: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
+        start, end = span
+        rows = frame.where(F.col(start) < F.col(end))
+        return rows.select(key, F.struct(*(c for c in frame.columns if c != key)).alias(name), F.col(start).alias(f"{name}_s"), F.col(end).alias(f"{name}_e"), F.length(F.bin(F.col(end) - F.col(start) - 1)).alias("__own"))
+
+    x, y = side(left, left_span, "x"), side(right, right_span, "y")
+    levels = sorted(r[0] for r in x.select("__own").union(y.select("__own")).distinct().collect())  # 64 at most
+    bins = lambda n, level: F.explode(F.expr(f"sequence(shiftright({n}_s, {level}), shiftright({n}_e - 1, {level}))")).alias("__bin")
+    wider = lambda least: F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda at: at >= least)).alias("__at")
+    home = lambda frame, n: frame.select(key, n, f"{n}_s", f"{n}_e", F.col("__own").alias("__at"), bins(n, "__own"))
+    guest = lambda frame, n, least: frame.select("*", wider(least)).select(key, n, f"{n}_s", f"{n}_e", "__at", bins(n, "__at"))
+    meet = F.expr("x_s < y_e AND y_s < x_e AND __bin = shiftright(greatest(x_s, y_s), __at)")
+    on = [key, "__at", "__bin"]
+    found = guest(x, "x", F.col("__own")).join(home(y, "y"), on).where(meet).select(key, "x", "y")
+    found = found.unionByName(guest(y, "y", F.col("__own") + 1).join(home(x, "x"), on).where(meet).select(key, "x", "y"))
+    return found.select(key, "x.*", "y.*")
+
+
 def merged(spans: DataFrame, *, keys: list[str], start: str, end: str) -> DataFrame:
     """Unions of overlapping or touching intervals by key.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.intervals import encode, normalise_hits
+from ..plans.shared import cut
 
 #: The standard twelve columns; the first ten must be there.
 COLUMNS = ["query", "target", "pident", "alnlen", "mismatch", "gapopen", "qstart", "qend", "tstart", "tend", "evalue", "bits"]
@@ -39,40 +40,42 @@ def read_blast_tab(spark: SparkSession, path: str, registry: DataFrame | None =
     kept = rows.where("n < 10 OR query <> target").withColumns(numbers)
     low = F.least("qstart", "qend", "tstart", "tend")
     missing = F.col("qstart").isNull() | F.col("qend").isNull() | F.col("tstart").isNull() | F.col("tend").isNull()
-    faults = kept.agg(F.count("*").alias("n"), F.count_if(F.col("n") < 10).alias("short"), F.count_if((F.col("n") >= 10) & (missing | (low < 1))).alias("bad")).first()
+    # one pass: what each part of the file has of each query, with its faults
+    short, bad = F.col("n") < 10, (F.col("n") >= 10) & (missing | (low < 1))
+    blocks = kept.groupBy(F.shiftright("line_no", 33).alias("part"), "query").agg(
+        F.count("*").alias("n"), F.count_if(short).alias("short"), F.count_if(bad).alias("bad"), F.min("line_no").alias("first"), F.max("line_no").alias("last")
+    )
+    blocks = cut(blocks)
+    faults = blocks.agg(F.sum("n").alias("n"), F.sum("short").alias("short"), F.sum("bad").alias("bad")).first()
     if faults["short"]:
         raise ValueError(f"{faults['short']} lines have fewer than ten fields")
     if faults["bad"]:
         raise ValueError(f"{faults['bad']} lines have coordinates that are no positive numbers")
     if not faults["n"]:
         raise ValueError("no hit is left after hits on the query itself are dropped")
-    if check_blocks:
-        inner = kept.select("query", F.col("line_no").alias("at"))
-        if _interrupted(inner):
-            raise ValueError("a query comes back after another one")
+    if check_blocks and _interrupted(blocks):
+        raise ValueError("a query comes back after another one")
     hits = normalise_hits(kept.drop("n"))
     return encode(hits, registry, "q_seq", "t_seq") if registry is not None else hits
 
 
-def _interrupted(inner: DataFrame) -> bool:
-    """Whether a query's range of lines holds another query's line.
+def _interrupted(blocks: DataFrame) -> bool:
+    """Whether a query comes back after another one, from its first and last line in each part of the file.
 
-    Ranges of a million lines are looked at by themselves; a query that reaches over several of them
-    must own all lines between, which its count of lines in each tells.
+    Within a part two queries' ranges of lines must not overlap.  A query of several parts must be the last of the first one, the
+    first of the last one and alone in those between, which are all that have lines.
     """
-    size = 1_000_000
-    rows = inner.withColumn("part", F.floor(F.col("at") / size))
-    changed = rows.selectExpr("query", "part", "at", "CAST(query <> lag(query, 1, query) OVER (PARTITION BY part ORDER BY at) AS INT) AS c", "row_number() OVER (PARTITION BY part ORDER BY at) AS k")
-    blocks = changed.groupBy("query", "part").agg(F.sum(F.when(F.col("k") == 1, 1).otherwise(F.col("c"))).alias("blocks"), F.min("at").alias("a"), F.max("at").alias("b"))
-    if blocks.where("blocks > 1").limit(1).count():
-        return True
-    parts = rows.groupBy("part").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count_distinct("query").alias("queries"))
-    order = parts.selectExpr("part", "lo", "hi", "queries", "row_number() OVER (ORDER BY part) AS place")  # one row for a million lines
-    placed = blocks.join(order, "part").selectExpr("query", "place", "a", "b", "lo", "hi", "queries")
-    step = placed.selectExpr(
-        "*", "lag(place) OVER (PARTITION BY query ORDER BY place) AS before", "lag(b = hi) OVER (PARTITION BY query ORDER BY place) AS reached"
+    order = Window.partitionBy("part").orderBy("first")
+    placed = blocks.select(
+        "part", "query", F.lag("last").over(order).alias("before"), "first", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("part")).alias("queries")
     )
-    return step.where("before IS NOT NULL AND (before <> place - 1 OR NOT reached OR a <> lo)").limit(1).count() > 0
+    parts = blocks.groupBy("part").agg(F.lit(1).alias("one")).select("part", F.row_number().over(Window.orderBy("part")).alias("number"))  # one row a part of the file
+    placed = placed.join(parts, "part")
+    of_query = Window.partitionBy("query").orderBy("number")
+    step = placed.select("*", F.lag("number").over(of_query).alias("number_before"), F.lag(F.col("place") == F.col("queries")).over(of_query).alias("was_last"))
+    inner = F.col("before") > F.col("first")
+    across = F.col("number_before").isNotNull() & ((F.col("number_before") != F.col("number") - 1) | ~F.col("was_last") | (F.col("place") != 1))
+    return not step.where(inner | across).isEmpty()
 
 
 def query_order(hits: DataFrame) -> DataFrame:

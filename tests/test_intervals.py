@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from kinspan.operators import intervals
 from kinspan.operators.domains import find_domains, number_domains, span_graph, target_overlaps
-from kinspan.operators.intervals import encode, merged, normalise_hits, overlaps, stabbed, unique_spans
+from kinspan.operators.intervals import encode, merged, normalise_hits, overlaps, stabbed, touching, unique_spans
+from kinspan.operators.quantiles import quantiles
 from kinspan.functions.scores import vote
 
 RAW = "query string, target string, qstart int, qend int, tstart int, tend int"
@@ -77,6 +79,31 @@ def test_one_key_with_all_spans_is_spread_over_tasks(spark):
     assert windows and all("__bin" in x for x in windows)  # none spans the key's rows
 
 
+@pytest.mark.parametrize("longest", [12, 900])
+def test_overlaps_of_two_tables_agree_with_all_pairs(spark, longest):
+    rnd = random.Random(longest)
+    span = lambda: (s := rnd.randint(0, 60), s + rnd.choice((0, 1, rnd.randint(1, 9), rnd.randint(1, longest))))
+    x, y = ([(rnd.choice("ab"), i, *span()) for i in range(60)] for _ in range(2))
+    left, right = spark.createDataFrame(x, "k string, i int, s long, e long"), spark.createDataFrame(y, "k string, j int, t long, u long")
+    out = touching(left, right, key="k", left_span=("s", "e"), right_span=("t", "u"))
+    assert out.columns == ["k", "i", "s", "e", "j", "t", "u"]
+    wanted = [(a[1], b[1]) for a in x for b in y if a[0] == b[0] and a[2] < a[3] and b[2] < b[3] and a[2] < b[3] and b[2] < a[3]]
+    assert sorted((r.i, r.j) for r in out.collect()) == sorted(wanted) and wanted
+    assert touching(left.limit(0), right, key="k", left_span=("s", "e"), right_span=("t", "u")).count() == 0
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_quantiles_are_exact(spark, weighted):
+    rnd = random.Random(4)
+    rows = [(g, rnd.choice((rnd.randint(-3, 3) / 2, rnd.uniform(-1e6, 1e6), 1e-9 * rnd.randint(0, 9))), rnd.randint(1, 4)) for g in (1, 1, 1, 2, 3) for _ in range(40)] + [(4, 7.5, 3), (5, None, 2)]
+    frame = spark.createDataFrame(rows, "g int, v double, c int")
+    out = {r.g: (r.low, r.mid, r.high) for r in quantiles(frame, ["g"], "v", {"low": 0.1, "mid": 0.5, "high": 0.75}, "c" if weighted else None).collect()}
+    for g in (1, 2, 3, 4):
+        values = [v for k, v, c in rows if k == g for _ in range(c if weighted else 1)]
+        assert out[g] == pytest.approx([np.quantile(values, p) for p in (0.1, 0.5, 0.75)], rel=1e-12)
+    assert set(out) == {1, 2, 3, 4}
+
+
 @pytest.mark.parametrize("longest", [30, 3000])
 def test_overlaps_agree_with_all_pairs(spark, longest):
     @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
