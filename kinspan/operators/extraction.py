@@ -48,9 +48,12 @@ def remap(extracted: DataFrame, secondary: DataFrame) -> DataFrame:
     """
     other = secondary.withColumnsRenamed({"start": "s_start", "end": "s_end", "strand": "s_strand"})
     own = extracted.select("header", "seqid", "fid", "ext_start", "ext_end", F.col("strand").alias("p_strand"), F.length("sequence").alias("n"))
-    # one-based closed positions as half-open ones
-    spans = lambda frame, low, high: frame.withColumns({f"__{low}": F.col(low).cast("bigint"), f"__{high}": F.col(high).cast("bigint") + 1})
-    rows = touching(spans(own, "ext_start", "ext_end"), spans(other, "s_start", "s_end"), key="seqid", left_span=("__ext_start", "__ext_end"), right_span=("__s_start", "__s_end"))
+    # one-based closed positions as half-open ones; an empty extract, whose end lies before its start, is touched by what holds both
+    def span(frame: DataFrame, low: str, high: str) -> DataFrame:
+        return frame.withColumns({f"__{low}": F.least(low, high).cast("bigint"), f"__{high}": F.greatest(low, high).cast("bigint") + 1})
+
+    rows = touching(span(own, "ext_start", "ext_end"), span(other, "s_start", "s_end"), key="seqid", left_span=("__ext_start", "__ext_end"), right_span=("__s_start", "__s_end"))
+    rows = rows.where("s_start <= ext_end AND s_end >= ext_start")
     low, high = F.greatest("s_start", "ext_start"), F.least("s_end", "ext_end")
     minus = F.col("p_strand") == "-"
     clamp = lambda x: F.greatest(F.lit(1), F.least(x, F.col("n")))
