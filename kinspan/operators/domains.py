@@ -30,6 +30,8 @@ def spurious_parents(candidates: DataFrame, edges: DataFrame, min_containment: f
     ``candidates`` has ``q_seq, id, support, len``: more support is better, then the shorter, then the smaller id.
     Edges have ``q_seq, a, b, inter, len_a, len_b``; those from ``min_containment`` on count.
     """
+    if not 0 <= min_containment <= 1:
+        raise ValueError("min_containment must lie between 0 and 1")
     order = Window.partitionBy("q_seq").orderBy(F.desc("support"), "len", "id")
     ranked = candidates.withColumn("rank", F.row_number().over(order)).select("q_seq", "id", "rank")
     close = edges.where(containment(F.col("inter"), F.col("len_a"), F.col("len_b")) >= min_containment)

@@ -151,6 +151,10 @@ def dpc(
         raise ValueError("min_sim must lie between 0 and 1")
     if halo_method not in (None, "none", *HALO_METHODS):
         raise ValueError(f"unknown halo method {halo_method!r}")
+    if halo_tau < 0 or min_dens < 0:
+        raise ValueError("halo_tau and min_dens must not be negative")
+    fits = (F.col("sim") >= 0) & (F.col("sim") <= 1)
+    edges = edges.withColumn("sim", F.when(fits, F.col("sim")).otherwise(F.raise_error(F.lit("similarities must lie between 0 and 1")).cast("double")))
     edges = edges.select(*by, "a", "b", "sim", *(c for c in ("w_a", "w_b") if c in edges.columns)) if unique else cut(unique_edges(edges, by))
     sym = directed(edges, by)
     dense = cut(densities(nodes, sym, by))

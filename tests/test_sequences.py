@@ -1,3 +1,8 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +115,90 @@ def test_metrics(spark):
     assert (single["tcs"], single["mean_identity"]) == (100, 100)
 
 
+def test_identities_of_long_alignments_agree_with_a_plain_count(spark):
+    rnd = random.Random(2)
+    rows = ["".join(rnd.choice("ACGUN-.") for _ in range(150)) for _ in range(12)]
+    rows[3] = "-" * 150
+    cells = alignment(spark, *rows)
+    found = {(r.a, r.b): (r.same, r.either) for r in A.pair_counts(cells, block=5).collect()}
+    gap = lambda c: c in "-."
+    names = [f"s{i}" for i in range(12)]
+    wanted = {}
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows):
+            if names[i] < names[j]:
+                both = [(a, b) for a, b in zip(x, y) if not (gap(a) and gap(b))]
+                wanted[names[i], names[j]] = (sum(a == b for a, b in both), len(both))
+    assert found == wanted
+    shares = [100 * a / b for a, b in wanted.values() if b]
+    row = A.identity(cells).first()
+    assert (row["mean_identity"], row["median_identity"]) == (pytest.approx(np.mean(shares)), pytest.approx(np.median(shares)))
+    with pytest.raises(Exception, match="beyond the planes"):
+        A.pair_counts(alignment(spark, "AÉ", "AC")).collect()
+
+
+def test_covariation_of_many_sequences_agrees_with_a_plain_count(spark):
+    rnd = random.Random(6)
+    rows = ["".join(rnd.choice("ACGU-") for _ in range(70)) for _ in range(150)]
+    rows = [r[:68] + {"A": "U", "C": "G", "G": "C", "U": "A", "-": "-"}[r[0]] + r[69] for r in rows]
+    found = {(r.i, r.j): r.mi for r in A.covariation(alignment(spark, *rows)).collect()}
+    assert len(found) == 70 * 69 // 2
+    for i, j in [(0, 1), (0, 68), (5, 66), (63, 64), (68, 69)]:
+        seen = [(r[i], r[j]) for r in rows if r[i] in "ACGU" and r[j] in "ACGU"]
+        n, xy, x, y = len(seen), Counter(seen), Counter(a for a, _ in seen), Counter(b for _, b in seen)
+        assert found[i, j] == pytest.approx(sum(c / n * math.log2(c * n / (x[a] * y[b])) for (a, b), c in xy.items()), abs=1e-9)
+
+
+def test_cutoffs_are_reached_by_whole_numbers(spark):
+    # 15 of 30 positions: a product of two shares falls short of a half
+    features = spark.createDataFrame([("ref", "r", "s", 0, 22, 30, 1), ("pred", "p", "s", 0, 15, 15, 2)], "label_type string, label string, seq_id string, start long, end long, whole long, ord long")
+    parts = spark.createDataFrame([("s", 0, 15, "r", "p"), ("s", 15, 22, "r", None)], "seq_id string, start long, end long, ref string, pred string")
+    rows = {r.label: r for r in E.majority_partners(features, parts, whole="whole").collect()}
+    assert (rows["r"].share, rows["r"].partner_50, rows["r"].partner_75) == (0.5, "p", None) and rows["p"].partner_90 == "r"
+
+
+def test_unlabelled_regions_have_labels_of_their_own(spark):
+    parts = spark.createDataFrame([("s", 0, 5, None, "p"), ("s", 5, 9, None, None), ("s", 9, 12, "r", None), ("s", 12, 15, None, None)], "seq_id string, start long, end long, ref string, pred string")
+    rows = [(r.ref, r.pred) for r in E.with_unlabelled(parts).orderBy("start").collect()]
+    assert rows == [("UNL_ref_s_0", "p"), ("UNL_ref_s_0", "UNL_pred_s_5"), ("r", "UNL_pred_s_5"), ("UNL_ref_s_12", "UNL_pred_s_5")]
+
+
+@pytest.mark.parametrize(("queries", "fine"), [("aab|bcc", True), ("aa|aa|ab", True), ("ab|a", False), ("aba|c", False), ("aa|b|a", False), ("ab|bb|bc", True), ("ab|cb", False)])
+def test_queries_that_come_back_in_another_part_of_the_file(spark, tmp_path, queries, fine):
+    for i, part in enumerate(queries.split("|")):
+        (tmp_path / f"part-{i}.tsv").write_text("".join(HIT.format(q, "t", 1, 9, 1, 9) for q in part))
+    # a file opens a part each; Spark reads larger files first, so these are padded to fall in size
+    for i, path in enumerate(sorted(tmp_path.iterdir())):
+        path.write_text(path.read_text() + "#" * (5000 - 1000 * i) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "6000")
+    try:
+        if fine:
+            assert hits.read_blast_tab(spark, f"file://{tmp_path}").count() == len(queries.replace("|", ""))
+        else:
+            with pytest.raises(ValueError, match="comes back"):
+                hits.read_blast_tab(spark, f"file://{tmp_path}")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_arguments_out_of_range(spark):
+    from kinspan.operators.domains import spurious_parents
+    from kinspan.operators.dpc import dpc
+
+    nodes = spark.createDataFrame([(0, 1), (1, 1)], "id int, w int")
+    edges = lambda s: spark.createDataFrame([(0, 1, s)], "a int, b int, sim double")
+    for options in ({"min_sim": 0.0, "min_dens": 1}, {"min_sim": 0.5, "min_dens": -1}, {"min_sim": 0.5, "min_dens": 1, "halo_tau": -0.1}, {"min_sim": 0.5, "min_dens": 1, "halo_method": "x"}):
+        with pytest.raises(ValueError):
+            dpc(nodes, edges(0.5), **options)
+    with pytest.raises(Exception, match="between 0 and 1"):
+        dpc(nodes, edges(1.5), min_sim=0.5, min_dens=1)
+    with pytest.raises(ValueError):
+        spurious_parents(nodes, nodes, 1.1)
+
+
 def test_covariation(spark):
     cells = alignment(spark, "AU", "UA", "GC", "CG")
     row = A.covariation(cells).first()
