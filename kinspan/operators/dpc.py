@@ -78,10 +78,14 @@ def top_neighbours(sym: DataFrame, by: list[str], k: int = 20) -> DataFrame:
     return sym.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def border_scores(labelled: DataFrame, sym: DataFrame, by: list[str], method: str, tau: float, k: int = 20) -> DataFrame:
-    """``score``: how foreign the neighbours of each labelled node are; unlabelled ones count as foreign."""
-    own = labelled.where("label IS NOT NULL").select(*by, F.col("id").alias("src"), F.col("label").alias("own"))
+def border_scores(points: DataFrame, labelled: DataFrame, sym: DataFrame, by: list[str], method: str, tau: float, k: int = 20) -> DataFrame:
+    """``score``: how foreign the neighbours of each of the labelled ``points`` are; unlabelled ones count as foreign.
+
+    Only neighbours of these points are ranked, so that the rest of the graph is not sorted.
+    """
+    own = points.select(*by, F.col("id").alias("src"), F.col("label").alias("own"))
     other = labelled.select(*by, F.col("id").alias("dst"), F.col("label").alias("theirs"))
+    sym = sym.select(*by, "src", "dst", "sim").join(own.select(*by, "src"), [*by, "src"], "left_semi")
     near = sym.where(F.col("sim") >= tau) if method == "traditional" else top_neighbours(sym, by, k)
     rows = near.join(own, [*by, "src"]).join(other, [*by, "dst"])
     foreign = ~F.col("own").eqNullSafe(F.col("theirs"))
@@ -107,23 +111,25 @@ def halo(labelled: DataFrame, sym: DataFrame, by: list[str], *, method: str, tau
     By cluster, points less dense than its densest border point go; point by point, border points
     less dense than their cluster's median.
     """
-    scores = cut(border_scores(labelled, sym, by, method, tau, k))
-    many = labelled.groupBy(*by).agg(F.count_distinct("label").alias("n_clusters"))
-    sizes = labelled.where("label IS NOT NULL").groupBy(*by, "label").agg(F.count("*").alias("size"))
+    named = labelled.where("label IS NOT NULL")
+    sizes = named.groupBy(*by, "label").agg(F.count("*").alias("size"))
+    many = sizes.groupBy(*by).agg(F.count("*").alias("n_clusters")).where("n_clusters > 1")
+    open_ = sizes.where(F.col("size") >= min_size)
+    open_ = open_.join(many, by, "left_semi") if by else open_.crossJoin(F.broadcast(many)).drop("n_clusters")  # one row or none
     if point_specific:
-        middle = quantiles(labelled.where("label IS NOT NULL"), [*by, "label"], "rho", {"mid": 0.5})
-        sizes = sizes.join(middle, [*by, "label"])
-    rows = labelled.join(scores, [*by, "id"], "left").join(sizes, [*by, "label"], "left")
-    rows = rows.join(many, by) if by else rows.crossJoin(F.broadcast(many))  # one row
-    border = (F.col("size") >= min_size) & (F.col("n_clusters") > 1) & (F.col("score") >= tau) & (F.col("score") > 0)
-    rows = rows.withColumn("border", F.coalesce(border, F.lit(False)))
+        open_ = open_.join(quantiles(named, [*by, "label"], "rho", {"mid": 0.5}), [*by, "label"])
+    points = cut(named.select(*by, "id", "label", "rho").join(open_.drop("size"), [*by, "label"]))
+    scores = border_scores(points, labelled, sym, by, method, tau, k).where((F.col("score") >= tau) & (F.col("score") > 0))
+    border = points.join(scores, [*by, "id"])
     if point_specific:
-        gone = F.col("border") & (F.col("rho") < F.col("mid"))
+        gone = border.where("rho < mid").select(*by, "id", F.lit(True).alias("__gone"))
+        rows = labelled.join(gone, [*by, "id"], "left")
+        stays = F.col("__gone").isNull()
     else:
-        edge = rows.where("border").groupBy(*by, "label").agg(F.max("rho").alias("rho_b"))
-        rows = rows.join(edge, [*by, "label"], "left")
-        gone = F.coalesce(F.col("rho") < F.col("rho_b"), F.lit(False))
-    return rows.withColumn("label", F.when(~gone, F.col("label"))).select(labelled.columns)
+        edge = border.groupBy(*by, "label").agg(F.max("rho").alias("__edge"))
+        rows = labelled.join(edge, [*by, "label"], "left")
+        stays = F.col("__edge").isNull() | (F.col("rho") >= F.col("__edge"))
+    return rows.withColumn("label", F.when(stays, F.col("label"))).select(labelled.columns)
 
 
 def dpc(
