@@ -75,7 +75,7 @@ def nearest_higher(dense: DataFrame, edges: DataFrame, by: list[str]) -> DataFra
 def top_neighbours(sym: DataFrame, by: list[str], k: int = 20) -> DataFrame:
     """The k most similar neighbours of each node and their ``rank``; equal similarities by id."""
     order = Window.partitionBy(*by, "src").orderBy(F.desc("sim"), "dst")
-    return sym.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return sym.select(*by, "src", "dst", "sim").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def border_scores(points: DataFrame, labelled: DataFrame, sym: DataFrame, by: list[str], method: str, tau: float, k: int = 20) -> DataFrame:
