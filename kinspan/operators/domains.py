@@ -62,25 +62,26 @@ def domain_instances(
     """
     spans = cut(unique_spans(hits))
     graph = cut(span_graph(spans))
+    # places of spans go with the nodes, so that the spans are not looked up again; a peak keeps its own label
     clusters = cut(
         dpc(
-            spans.select("q_seq", F.col("ord").alias("id"), "w"), graph, by=["q_seq"], min_sim=min_sim, min_dens=min_dens,
+            spans.select("q_seq", F.col("ord").alias("id"), "w", "q_start", "q_end"), graph, by=["q_seq"], min_sim=min_sim, min_dens=min_dens,
             halo_method=halo_method, halo_tau=halo_tau, point_specific=point_specific, unique=True,
-        ).select("q_seq", "id", "w", "label")
+        ).where("label IS NOT NULL").select("q_seq", "id", "w", "q_start", "q_end", "label")
     )
-    support = clusters.where("label IS NOT NULL").groupBy("q_seq", F.col("label").alias("id")).agg(F.sum("w").alias("support"))
-    at = spans.select("q_seq", F.col("ord").alias("id"), F.col("q_start").alias("start"), F.col("q_end").alias("end"))
-    peaks = support.join(at, ["q_seq", "id"]).withColumn("len", F.col("end") - F.col("start"))
-    parents = cut(spurious_parents(cut(peaks), graph, min_containment))
+    at_peak = lambda c: F.max(F.when(F.col("id") == F.col("label"), F.col(c)))
+    peaks = clusters.groupBy("q_seq", "label").agg(F.sum("w").alias("support"), at_peak("q_start").alias("start"), at_peak("q_end").alias("end"))
+    peaks = cut(peaks.withColumnRenamed("label", "id").withColumn("len", F.col("end") - F.col("start")))
+    parents = cut(spurious_parents(peaks, graph, min_containment))
     if reassign:
         final = roots(parents, ["q_seq"]).select("q_seq", F.col("id").alias("label"), F.col("root").alias("peak"))
     else:
         final = parents.where("id = parent").select("q_seq", F.col("id").alias("label"), F.col("id").alias("peak"))
-    of_span = clusters.join(final, ["q_seq", "label"]).select("q_seq", F.col("id").alias("ord"), "peak")
-    of_span = of_span.join(spans.select("q_seq", "ord", "q_start", "q_end"), ["q_seq", "ord"]).drop("ord")
+    of_span = clusters.join(final, ["q_seq", "label"]).select("q_seq", "q_start", "q_end", "peak")
     assigned = cut(hits.join(of_span, ["q_seq", "q_start", "q_end"]).select("q_seq", "peak", "t_seq", "t_start", "t_end", "t_strand"))
     voted = assigned.groupBy("q_seq", "peak").agg(vote(F.col("t_strand")).alias("strand"))
-    domains = cut(voted.join(at.withColumnRenamed("id", "peak"), ["q_seq", "peak"]).select("q_seq", "peak", "start", "end", "strand"))
+    at = peaks.select("q_seq", F.col("id").alias("peak"), "start", "end")
+    domains = cut(voted.join(at, ["q_seq", "peak"]).select("q_seq", "peak", "start", "end", "strand"))
     own = domains.select("q_seq", "peak", F.col("q_seq").alias("t_seq"), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
     return domains, assigned.drop("t_strand").unionByName(own)
 
@@ -104,24 +105,35 @@ def number_domains(domains: DataFrame, query_order: DataFrame | None = None, ran
     return domains.withColumn("local", local).join(offsets, "q_seq").withColumn("dom_id", (F.col("offset") + F.col("local")).cast("bigint")).drop("local", "offset")
 
 
+def _on_targets(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lengths of domains, and a row for each overlapping pair of merged spans, with both lengths.
+
+    A span has its domain's length with it, so that pairs, which are many more than spans, are joined with nothing.
+    """
+    spans = cut(merged(targets, keys=["t_seq", "dom_id"], start="t_start", end="t_end"))
+    lengths = cut(spans.groupBy("dom_id").agg(F.sum(span_length("t_start", "t_end")).alias("len")))
+    both = overlaps(spans.join(lengths, "dom_id"), key="t_seq", start="t_start", end="t_end", label="dom_id", differ="dom_id", carry=("len",))
+    return lengths, both.select(F.col("dom_id_a").alias("a"), F.col("dom_id_b").alias("b"), "inter", "len_a", "len_b")
+
+
 def target_overlaps(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lengths of domains over their targets, and overlaps of different domains on one target.
 
     Spans of one domain on one target are merged first.  Lengths: ``dom_id, len``; overlaps:
     ``a < b`` and ``inter``, one row for each overlapping pair of merged spans.
     """
-    spans = cut(merged(targets, keys=["t_seq", "dom_id"], start="t_start", end="t_end"))
-    lengths = spans.groupBy("dom_id").agg(F.sum(span_length("t_start", "t_end")).alias("len"))
-    both = overlaps(spans, key="t_seq", start="t_start", end="t_end", label="dom_id", differ="dom_id")
-    return lengths, both.select(F.col("dom_id_a").alias("a"), F.col("dom_id_b").alias("b"), "inter")
+    lengths, both = _on_targets(targets)
+    return lengths, both.select("a", "b", "inter")
 
 
-def family_edges(lengths: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, inter, sim``: summed overlaps of two domains and their Jaccard coefficient."""
-    summed = pairs.groupBy("a", "b").agg(F.sum("inter").alias("inter"))
-    rows = summed.join(lengths.select(F.col("dom_id").alias("a"), F.col("len").alias("len_a")), "a")
-    rows = rows.join(lengths.select(F.col("dom_id").alias("b"), F.col("len").alias("len_b")), "b")
-    return rows.select("a", "b", "inter", jaccard(F.col("inter"), F.col("len_a"), F.col("len_b")).alias("sim"))
+def family_graph(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lengths of domains, and ``a, b, inter, sim``: summed overlaps of two domains and their Jaccard coefficient.
+
+    Overlaps are summed in the task that finds them, and then in one shuffle.
+    """
+    lengths, both = _on_targets(targets)
+    summed = both.groupBy("a", "b").agg(F.sum("inter").alias("inter"), F.max("len_a").alias("len_a"), F.max("len_b").alias("len_b"))
+    return lengths, summed.select("a", "b", "inter", jaccard(F.col("inter"), F.col("len_a"), F.col("len_b")).alias("sim"))
 
 
 def families(
@@ -183,8 +195,8 @@ def find_domains(
     )
     numbered = cut(number_domains(domains, query_order))
     known = numbered.select("q_seq", "peak", "dom_id")
-    lengths, pairs = target_overlaps(targets.join(known, ["q_seq", "peak"]).select("t_seq", "t_start", "t_end", "dom_id"))
-    lengths, edges = cut(lengths), cut(family_edges(lengths, pairs))
+    lengths, edges = family_graph(targets.join(known, ["q_seq", "peak"]).select("t_seq", "t_start", "t_end", "dom_id"))
+    edges = cut(edges)
     member = families(
         lengths, edges, min_sim=min_fam_sim, min_dens=min_fam_dens, halo_method=halo_method, halo_tau=fam_halo, point_specific=point_specific
     )

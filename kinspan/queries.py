@@ -369,14 +369,13 @@ def target_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {EDGES} SELECT a, b, inter, round(sim, 6) AS sim FROM edges")
 def family_edges(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(D.family_edges(*D.target_overlaps(numbered(spark, d)[1])), "sim")
+    return rounded(D.family_graph(numbered(spark, d)[1])[1], "sim")
 
 
 @query(f"WITH RECURSIVE {FAMILIES} SELECT * FROM member")
 def domain_families(spark: SparkSession, d: str) -> DataFrame:
-    lengths, pairs = D.target_overlaps(numbered(spark, d)[1])
-    lengths = cut(lengths)
-    return D.families(lengths, cut(D.family_edges(lengths, pairs)), halo_method=None).select("dom_id", "family")
+    lengths, edges = D.family_graph(numbered(spark, d)[1])
+    return D.families(lengths, cut(edges), halo_method=None).select("dom_id", "family")
 
 
 def _features_sql(families: str) -> str:
