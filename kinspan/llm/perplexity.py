@@ -169,7 +169,7 @@ def _named(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataFr
 
 def score_with_arrays(rows: DataFrame, model: DataFrame) -> DataFrame:
     """Counts, grams and log probabilities of each text, by sorted arrays sent to all executors."""
-    held = model.select("lang", "gram", F.col("logp").cast("float")).orderBy("lang", "gram").toArrow()
+    held = model.select("lang", "gram", "logp").orderBy("lang", "gram").toArrow()
     names = held.column("lang").combine_chunks().dictionary_encode()
     names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
     cut = np.flatnonzero(np.diff(names.indices.to_numpy(), prepend=-1)).tolist() + [held.num_rows]
@@ -265,8 +265,9 @@ def judge(
 
     Result, a row per input row: the id, ``lang``, ``n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, perplexity, lower, upper, kept``.  A model of up to
-    ``array_rows`` grams is sent to the executors as sorted arrays (12 bytes a gram); a larger one
-    is joined.  Null texts count as empty: they have no perplexity and fail the base rules.  A
+    ``array_rows`` grams is sent to the executors as sorted arrays (16 bytes a gram); a larger one
+    is joined.  Both have the same double logarithms, and a text's mean is rounded to 9 decimals, as
+    the order of a sum is not fixed: results do not depend on the way taken.  Null texts count as empty: they have no perplexity and fail the base rules.  A
     null language is a language of its own, named by the empty string.  Rows with equal ids are
     judged each; further columns are left out; an empty table gives an empty result.  The default
     ``spread`` is chosen on labelled junk caught against clean documents lost (see the README).
@@ -280,7 +281,7 @@ def judge(
     scored = score_with_arrays(rows, model) if 0 < n <= array_rows else score_with_join(rows, model, folder)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored.withColumn("base_failed", failed).withColumn(
-        "log_perplexity", F.when(F.col("n_grams") > 0, -F.col("logp") / F.col("n_grams"))
+        "log_perplexity", F.when(F.col("n_grams") > 0, F.round(-F.col("logp") / F.col("n_grams"), 9))
     ).write.parquet(f"{folder}/scored")
     scored = read(f"{folder}/scored")
     bounds = small(bands(scored, low=low, high=high, spread=spread))
