@@ -27,6 +27,8 @@ ARC_FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_REVISIT = 1000
 RECORDS_A_FILE = 20_000
+#: Bytes of a gzip file that are fed at a time.
+PIECE = 1 << 14
 
 
 def write_arc(
@@ -82,16 +84,30 @@ def write_arc(
     made.write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
-def inflated(content: bytes) -> memoryview:
-    """The bytes of a file: plain, or of one or more gzip members."""
+def inflated(content: bytes) -> tuple[memoryview, str | None]:
+    """The bytes of a file, plain or of one or more gzip members, and what is wrong where they end too soon.
+
+    Members are fed in pieces, so that what follows one is not copied once for each member.
+    """
+    data, at, out = memoryview(content), 0, []
     if content[:2] != b"\x1f\x8b":
-        return memoryview(content)
-    out = []
-    while content[:2] == b"\x1f\x8b":
+        return data, None
+    wrong = None
+    while wrong is None and bytes(data[at : at + 2]) == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        out.append(member.decompress(content) + member.flush())
-        content = member.unused_data
-    return memoryview(b"".join(out))
+        while wrong is None and not member.eof:
+            piece = data[at : at + PIECE]
+            if not len(piece):
+                wrong = "a gzip member ends after its file"
+                break
+            try:
+                out.append(member.decompress(piece))
+            except zlib.error as e:
+                wrong = f"a gzip member is broken: {e}"
+            at += len(piece) - len(member.unused_data)
+    if wrong is None and bytes(data[at:]).strip(b"\0"):
+        wrong = f"no gzip member at byte {at}"
+    return memoryview(b"".join(out)), wrong
 
 
 def _line(data: memoryview, at: int) -> tuple[str, int]:
@@ -110,8 +126,10 @@ def arc_records(content: bytes) -> Iterator[dict]:
 
     A file whose version block cannot be read is a ``ValueError``; where a record cannot, an ``error`` is the last one.
     """
-    data = inflated(content)
+    data, wrong = inflated(content)
     if not len(data):
+        if wrong:
+            raise ValueError(wrong)
         return
     line, at = _line(data, 0)
     if not line.startswith("filedesc://"):
@@ -138,6 +156,8 @@ def arc_records(content: bytes) -> Iterator[dict]:
         size = int(size)
         yield record | {"offset": begun, "content": data[at : at + size]}
         at += size
+    if wrong:
+        yield {"offset": at, "error": wrong}
 
 
 def split_http(content: memoryview | bytes) -> tuple[bytes, bytes]:
@@ -188,7 +208,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         def records(content: bytes) -> Iterator[dict]:
             try:
                 yield from arc_records(content)
-            except (ValueError, IndexError, zlib.error) as e:
+            except (ValueError, IndexError) as e:
                 yield {"offset": 0, "error": str(e)}
 
         for batch in batches:
@@ -215,15 +235,19 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(parse, CAPTURE)
 
 
-def convert(captures: DataFrame, path: str, *, work: str) -> None:
-    """Captures as gzipped WARC files of ``RECORDS_A_FILE`` records at most; rows with an error are left out.
+def convert(captures: DataFrame, path: str, *, work: str, errors: str) -> None:
+    """Captures as gzipped WARC files of ``RECORDS_A_FILE`` records at most.
+
+    What could not be read, ``url`` (the archive's path) and ``error``, is a table written to ``errors``.
 
     Of captures with equal payloads of ``LEAST_REVISIT`` bytes or more, the one with the largest
     page id (and, among equal ids, the largest record id) is a response; the others become
     revisits that name it.  The table of payloads that occur more than once is written to
     ``work`` first: Spark broadcasts it below its own threshold, and else sorts and joins it.
     """
-    captures = cut(captures.where("error IS NULL").drop("error"))  # archives are parsed once
+    captures = cut(captures)  # archives are parsed once
+    captures.where("error IS NOT NULL").select("url", "error").write.parquet(errors)
+    captures = captures.where("error IS NULL").drop("error")
     long = F.col("payload_bytes") >= LEAST_REVISIT
     (
         captures.where(long)
@@ -267,8 +291,8 @@ def convert(captures: DataFrame, path: str, *, work: str) -> None:
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Header fields (lower-case names) and block of each record of a WARC file."""
-    data = inflated(content)
+    """Header fields (lower-case names) and block of each record of a WARC file; ``ValueError`` where one cannot be read."""
+    data, wrong = inflated(content)
     at = 0
     while at < len(data):
         line, after = _line(data, at)
@@ -284,57 +308,73 @@ def warc_records(content: bytes) -> Iterator[tuple[dict, bytes]]:
                 break
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
-        size = int(fields["content-length"])
-        if after + size > len(data):
-            raise ValueError(f"the WARC record at {at} ends after its file")
-        yield fields, bytes(data[after : after + size])
-        at = after + size
+        size = fields.get("content-length", "")
+        if not size.isdigit() or after + int(size) > len(data):
+            raise ValueError(f"the WARC record at {at} has no length or ends after its file")
+        yield fields, bytes(data[after : after + int(size)])
+        at = after + int(size)
+    if wrong:
+        raise ValueError(wrong)
 
 
-def _hex_digest(value: str) -> str:
+def _sha1(value: str) -> str | None:
+    """A header's SHA-1 digest as lower-case hex; of another algorithm, or malformed, none."""
     algorithm, _, digest = value.partition(":")
     if algorithm.lower() != "sha1":
-        raise ValueError(f"a digest other than SHA-1: {value}")
-    return digest.lower() if len(digest) == 40 else base64.b32decode(digest.upper()).hex()
+        return None
+    if re.fullmatch("[0-9a-fA-F]{40}", digest):
+        return digest.lower()
+    return base64.b32decode(digest.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", digest) else None
 
 
 RECORD = (
     "record_id string, page_id long, url string, date string, record_type string, payload_bytes long,"
-    " payload_digest string, refers_to_id string"
+    " payload_digest string, refers_to_id string, error string"
 )
 
 
+def _warc_row(fields: dict, block: bytes) -> tuple | None:
+    """A response or revisit as a row of ``RECORD``; other records have none."""
+    kind = fields.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
+    head, body = split_http(block)
+    told = _sha1(fields.get("warc-payload-digest", ""))
+    key = http_header(head, b"X-Page-Id")
+    page = int(key) if key and re.fullmatch(r"-?\d{1,18}", key) else None
+    if kind == "revisit":
+        size, digest, error = None, told, None  # its payload is that of the record it refers to
+    else:
+        size, digest = len(body), hashlib.sha1(body).hexdigest()
+        error = f"the payload does not match its digest {told}" if told not in (None, digest) else None
+    return (fields.get("warc-record-id"), page, fields.get("warc-target-uri"), fields.get("warc-date"), kind, size, digest, fields.get("warc-refers-to"), error)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row per response or revisit record of all WARC files below a path.
+    """A row per response or revisit record of all WARC files below a path, with ``error``.
 
-    Digests of responses are recomputed from the payload and must agree with the header.  Revisits
-    hold no payload, so ``payload_bytes`` is null for them.
+    Digests of responses are computed from the payload; where the header has a SHA-1 digest that differs, ``error`` says
+    so, while digests of other algorithms are not compared.  Revisits hold no payload, so ``payload_bytes`` is null for them.  A file that
+    cannot be read to its end has one row more, with nothing but ``url``, its path, and ``error``.
     """
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         names = [x.split()[0] for x in RECORD.split(", ")]
         for batch in batches:
-            for content in batch.column(0).to_pylist():
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = []
-                for fields, block in warc_records(content):
-                    if fields["warc-type"] not in ("response", "revisit"):
-                        continue
-                    head, body = split_http(block)
-                    digest = _hex_digest(fields["warc-payload-digest"])
-                    size = len(body)
-                    if fields["warc-type"] == "revisit":
-                        size = None  # its payload is that of the record it refers to
-                    elif hashlib.sha1(body).hexdigest() != digest:
-                        raise ValueError(f"the payload of {fields['warc-record-id']} does not match its digest")
-                    key = http_header(head, b"X-Page-Id")
-                    rows.append((fields["warc-record-id"], int(key) if key else None, fields.get("warc-target-uri"), fields["warc-date"],
-                                 fields["warc-type"], size, digest, fields.get("warc-refers-to")))
+                try:
+                    for fields, block in warc_records(content):
+                        if (row := _warc_row(fields, block)) is not None:
+                            rows.append(row)
+                except ValueError as e:
+                    rows.append((None, None, name, None, None, None, None, None, str(e)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").load(path)
-    return files.select("content").mapInArrow(parse, RECORD)
+    return files.select("path", "content").mapInArrow(parse, RECORD)
 
 
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
@@ -344,14 +384,18 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     record_id``.  Null pages count as empty payloads; rows with equal ids and equal long payloads
     make one response and revisits of it; a null id reads back as null and sorts below others.
     An empty table gives an empty result; further columns of the input are not archived.
-    The archives stay in the shared folder.
+    The archives stay in the shared folder, with a table of what could not be read (``errors``).  A record that this
+    same call wrote and cannot read back is an error of the job.
     """
     spark = pages.sparkSession
     at = fresh_folder(spark, "archives")
     write_arc(pages, f"{at}/arc", id_col=id_col, url_col=url_col, body_col=body_col)
-    convert(read_arc(spark, f"{at}/arc"), f"{at}/warc", work=f"{at}/copies")
+    convert(read_arc(spark, f"{at}/arc"), f"{at}/warc", work=f"{at}/copies", errors=f"{at}/errors")
     read_warc(spark, f"{at}/warc").write.parquet(f"{at}/records")
     records = spark.read.schema(RECORD).parquet(f"{at}/records")
+    torn = spark.read.parquet(f"{at}/errors").select("error").unionByName(records.where("error IS NOT NULL").select("error")).head(1)
+    if torn:
+        raise ValueError(f"archives just written cannot be read back: {torn[0][0]}")
     keep = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("date").alias("warc_date"), "record_id"]
     own = records.where("record_type = 'response'")
     target = own.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), "payload_bytes")
