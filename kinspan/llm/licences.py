@@ -4,7 +4,8 @@ Only DataFrame functions are used.  Texts are normalised to lower-case words, so
 punctuation do not matter.  For ``2x / (m + n)`` to reach ``least``, a stretch must share a least number of
 a template's n bigrams; so it shares one of any larger rest of them, and of these the rarest are taken as
 the template's anchors.  Only texts with an anchor are looked at, only for its templates, and only
-where enough shared bigrams lie within the template's length.
+where enough shared bigrams lie within the size bound: of more than ``n (2 - least) / least`` bigrams, even one that holds
+the whole template falls short of ``least``.
 """
 
 from __future__ import annotations
@@ -114,8 +115,20 @@ def bigrams_of(text: Column) -> Column:
     return F.coalesce(let(words_of(text), pairs), F.array().cast("array<bigint>"))
 
 
+def earlier(grams: Column) -> Column:
+    """For each place of an array the place before it that has the same value, or -1."""
+    ordered = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+
+    def back(s: Column) -> Column:
+        same = lambda x, k: (k > 0) & (F.get(s, k - 1)["g"] == x["g"])
+        pairs = F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), F.when(same(x, k), F.get(s, k - 1)["i"]).otherwise(-1).alias("before")))
+        return F.transform(F.array_sort(pairs), lambda x: x["before"])
+
+    return let(ordered, back)
+
+
 def anchored(templates: list[tuple[str, list[int]]], least: float) -> list[tuple[str, list[int], int, int, list[int]]]:
-    """Of each template with its bigrams: the distinct ones, how many bigrams it has, how many of the distinct ones
+    """Of each template with its bigrams: the distinct ones, how many bigrams a stretch may have, how many of the distinct ones
     must be shared, and its anchors: one more than may be missing, those in the fewest templates first."""
     seen: dict[int, int] = {}
     for _, grams in templates:
@@ -127,7 +140,7 @@ def anchored(templates: list[tuple[str, list[int]]], least: float) -> list[tuple
         need = max(1, math.ceil(len(own) * least / (2 - least) - 1e-9))
         rare = sorted(own, key=lambda g: (seen[g], g))[: len(own) - need + 1]
         if own:
-            out.append((name, own, len(grams), need, rare))
+            out.append((name, own, math.floor(len(grams) * (2 - least) / least + 1e-9), need, rare))
     return out
 
 
@@ -141,8 +154,8 @@ def scan_licences(
 ) -> DataFrame:
     """``id, licence, first_word, n_words, dice``: of each text and template the best stretch of ``least`` or more.
 
-    A stretch begins at a bigram of the template and ends at the last one within the template's length; of equally
-    good ones the first counts.  A text can match several templates, as where one contains
+    A stretch begins and ends at bigrams of the template and has at most ``(2 - least) / least`` times as many bigrams as that; of
+    equally good ones the first counts, and of those that begin together the shortest.  A text can match several templates, as where one contains
     another, and has a row for each.  Templates are a parameter of bounded size and sent to all executors; their
     bigrams are made by the same expression as those of texts.  Null, empty and one-word texts
     have no bigrams and no rows; rows with equal ids give rows each; further columns are left out; an
@@ -151,34 +164,41 @@ def scan_licences(
     spark = docs.sparkSession
     given = spark.createDataFrame(list((TEMPLATES if templates is None else templates).items()), "licence string, body string")
     known = anchored([(r[0], r[1]) for r in given.select("licence", bigrams_of(F.col("body"))).collect()], least)
-    schema = "licence string, own array<bigint>, length int, need int, anchors array<bigint>"
+    schema = "licence string, own array<bigint>, bound int, need int, anchors array<bigint>"
     table = spark.createDataFrame(known, schema)
     anchors_of = sorted({g for *_, anchors in known for g in anchors})
     any_anchor = (lambda g: g.isin(anchors_of)) if anchors_of else (lambda g: F.lit(False))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), bigrams_of(F.col(text_col)).alias("grams"))
-    rows = rows.withColumn("hits", F.array_distinct(F.filter("grams", any_anchor)))
+    rows = rows.withColumn("hits", F.array_distinct(F.filter("grams", any_anchor))).where(F.size("hits") > 0)
+    rows = rows.withColumn("earlier", earlier(F.col("grams")))
     # the templates of the anchors: a text is repeated once for each of them, and joined with those by name
     has = lambda anchors: F.arrays_overlap("hits", F.array(*map(F.lit, anchors)))
     several = F.array(*(F.when(has(anchors), F.lit(name)) for name, *_, anchors in known), F.lit(None).cast("string"))
-    pairs = rows.select(id_col, "grams", F.explode(F.filter(several, lambda x: x.isNotNull())).alias("licence")).join(F.broadcast(table.drop("anchors")), "licence")
-    at = F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains("own", F.element_at("grams", i + 1)))
-    pairs = pairs.withColumn("at", at).where(F.size("at") >= F.col("need"))
-    # places in ``at`` from which on enough shared bigrams lie within the template's length
-    begins = F.filter(
-        F.sequence(F.lit(1), F.size("at") - F.col("need") + 1),
-        lambda k: F.element_at("at", k + F.col("need") - 1) - F.element_at("at", k) < F.col("length"),
-    )
-
-    def stretch(k: Column) -> Column:
-        first = F.element_at("at", k)
-        last = F.array_max(F.filter(F.slice("at", k, F.col("length")), lambda p: p < first + F.col("length")))
-        found = F.array_distinct(F.slice("grams", first + 1, last - first + 1))
-        dice = let(found, lambda f: 2.0 * F.size(F.array_intersect(f, F.col("own"))) / (F.size(f) + F.size("own")))
-        return F.struct(dice.alias("dice"), (-first).alias("before"), (last - first + 2).alias("n_words"))
-
-    best = F.array_max(F.transform(begins, stretch))
-    return (
-        pairs.withColumn("best", best)
-        .where(F.col("best.dice") >= least)
-        .select(id_col, "licence", (-F.col("best.before")).alias("first_word"), F.col("best.n_words").alias("n_words"), F.col("best.dice").alias("dice"))
-    )
+    pairs = rows.select(id_col, "grams", "earlier", F.explode(F.filter(several, lambda x: x.isNotNull())).alias("licence")).join(F.broadcast(table.drop("anchors")), "licence")
+    # values that are used at every step are bound to names, so that they are computed once a text and template:
+    # ``at``, the places of shared bigrams, and ``f``, those from which on enough of them lie within the bound; distinct bigrams
+    # from ``f`` on are those without an earlier one from ``f`` on, and are counted along the stretch
+    best = """
+        transform(array(transform(grams, g -> array_contains(own, g))), shared ->
+        transform(array(filter(sequence(0, size(grams) - 1), i -> shared[i])), at ->
+        array_max(transform(
+            IF(size(at) < need, array(), filter(sequence(0, size(at) - need), k -> at[k + need - 1] - at[k] < bound)),
+            k -> transform(array(at[k]), f -> aggregate(
+                sequence(f, least(f + bound, size(grams)) - 1),
+                named_struct('all', 0, 'both', 0, 'dice', 0D, 'last', f),
+                (s, p) -> transform(
+                    array(named_struct('all', s.all + IF(earlier[p] < f, 1, 0), 'both', s.both + IF(earlier[p] < f AND shared[p], 1, 0))),
+                    n -> named_struct(
+                        'all', n.all, 'both', n.both,
+                        'dice', IF(shared[p], greatest(s.dice, 2D * n.both / (n.all + size(own))), s.dice),
+                        'last', IF(shared[p] AND 2D * n.both / (n.all + size(own)) > s.dice, p, s.last)
+                    )
+                )[0],
+                s -> named_struct('dice', s.dice, 'before', -f, 'sooner', -s.last)
+            ))[0]
+        )))[0])[0]
+    """
+    first, last = -F.col("best.before"), -F.col("best.sooner")
+    # taken out by explode, which the filter is not pushed through: each is computed once
+    found = pairs.select(id_col, "licence", F.explode(F.filter(F.array(F.expr(best)), lambda b: b["dice"] >= least)).alias("best"))
+    return found.select(id_col, "licence", first.alias("first_word"), (last - first + 2).alias("n_words"), F.col("best.dice").alias("dice"))

@@ -140,24 +140,31 @@ def _licence_sql() -> str:
     grams = "[ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]"
     return f"""
         WITH t AS (
-            SELECT licence, list_distinct(g) AS own, CAST(len(g) AS BIGINT) AS length, CAST(ceil(len(list_distinct(g)) * 0.8 / 1.2 - 1e-9) AS BIGINT) AS need
+            SELECT licence, list_distinct(g) AS own, CAST(floor(len(g) * 1.5 + 1e-9) AS BIGINT) AS bound,
+                   CAST(ceil(len(list_distinct(g)) * 0.8 / 1.2 - 1e-9) AS BIGINT) AS need
             FROM (SELECT licence, {grams} AS g FROM (SELECT licence, {words.format("body")} AS ws FROM (VALUES {values}) v(licence, body)))
         ), d AS (
             SELECT row_number() OVER () AS r, doc_id, {grams} AS g FROM (SELECT doc_id, {words.format("text")} AS ws FROM documents WHERE text IS NOT NULL)
-        ), shared AS (
-            SELECT r, licence, i FROM (SELECT r, unnest(g) AS x, unnest(range(0, len(g))) AS i FROM d) JOIN (SELECT licence, unnest(own) AS x FROM t) USING (x)
+        ), places AS MATERIALIZED (
+            SELECT *, coalesce(lag(i) OVER (PARTITION BY r, x ORDER BY i), -1) AS earlier FROM (SELECT r, unnest(g) AS x, unnest(range(0, len(g))) AS i FROM d)
+        ), shared AS MATERIALIZED (
+            SELECT r, licence, i FROM places JOIN (SELECT licence, unnest(own) AS x FROM t) USING (x)
         ), begins AS (
-            SELECT s.r, s.licence, s.i, e.i AS other
-            FROM shared s JOIN t USING (licence) JOIN shared e ON e.r = s.r AND e.licence = s.licence AND e.i >= s.i AND e.i < s.i + t.length
-        ), stretches AS (
-            SELECT r, licence, i, max(other) AS last FROM begins JOIN t USING (licence) GROUP BY r, licence, i, need HAVING count(*) >= need
-        ), scored AS (
-            SELECT d.doc_id, r, licence, i, last, own, list_distinct(g[i + 1:last + 1]) AS found FROM stretches JOIN d USING (r) JOIN t USING (licence)
+            SELECT s.r, s.licence, s.i, t.bound, len(t.own) AS n
+            FROM (SELECT *, lead(i, need - 1) OVER (PARTITION BY r, licence ORDER BY i) AS enough FROM shared JOIN t USING (licence)) s JOIN t USING (licence)
+            WHERE s.enough - s.i < t.bound
+        ), walked AS (
+            SELECT b.r, b.licence, b.i, p.i AS last, b.n, s.i IS NOT NULL AS mine,
+                   count(*) FILTER (WHERE p.earlier < b.i) OVER w AS every, count(*) FILTER (WHERE p.earlier < b.i AND s.i IS NOT NULL) OVER w AS both
+            FROM begins b JOIN places p ON p.r = b.r AND p.i >= b.i AND p.i < b.i + b.bound
+                 LEFT JOIN shared s ON s.r = p.r AND s.licence = b.licence AND s.i = p.i
+            WINDOW w AS (PARTITION BY b.r, b.licence, b.i ORDER BY p.i ROWS UNBOUNDED PRECEDING)
         ), best AS (
-            SELECT *, 2.0::DOUBLE * len(list_intersect(found, own)) / (len(found) + len(own)) AS dice FROM scored
-            QUALIFY row_number() OVER (PARTITION BY r, licence ORDER BY 2.0::DOUBLE * len(list_intersect(found, own)) / (len(found) + len(own)) DESC, i) = 1
+            SELECT r, licence, i, last, 2.0::DOUBLE * both / (every + n) AS dice FROM walked WHERE mine
+            QUALIFY row_number() OVER (PARTITION BY r, licence ORDER BY 2.0::DOUBLE * both / (every + n) DESC, i, last) = 1
         )
-        SELECT doc_id, licence, CAST(i AS INTEGER) AS first_word, CAST(last - i + 2 AS INTEGER) AS n_words, round(dice, 6) AS dice FROM best WHERE dice >= 0.8
+        SELECT doc_id, licence, CAST(i AS INTEGER) AS first_word, CAST(last - i + 2 AS INTEGER) AS n_words, round(dice, 6) AS dice
+        FROM best JOIN d USING (r) WHERE dice >= 0.8
     """
 
 

@@ -23,26 +23,43 @@ def prose(rng, n):
 
 
 def brute_licences(text, templates, least):
-    """The best stretch of each template, by trying every pair of first and last shared bigram."""
+    """The best stretch of each template, by trying every pair of first and last shared bigram within the size bound."""
     grams = lambda t: list(zip(w := re.findall(r"[^\W_]+", t.lower()), w[1:]))
     out = {}
     mine = grams(text or "")
     for name, body in templates.items():
         seq = grams(body)
         own = set(seq)
+        bound = math.floor(len(seq) * (2 - least) / least + 1e-9)
         at = [i for i, g in enumerate(mine) if g in own]
         best = None
-        for first in at:
-            last = max(p for p in at if first <= p < first + len(seq))
-            found = set(mine[first : last + 1])
-            dice = 2 * len(found & own) / (len(found) + len(own))
-            if dice >= least and (best is None or dice > best[0]):
-                best = (dice, first, last - first + 2)
+        for j, first in enumerate(at):
+            found, upto = set(), first
+            for last in at[j:]:
+                if last >= first + bound:
+                    break
+                found.update(mine[upto : last + 1])
+                upto = last + 1
+                dice = 2 * len(found & own) / (len(found) + len(own))
+                if dice >= least and (best is None or dice > best[0]):
+                    best = (dice, first, last - first + 2)
         if best:
             out[name] = best
     return out
 
 
+def test_licence_with_foreign_words_inside(spark):
+    """A stretch may be longer than its template, as far as the size bound goes, and ends where it is best."""
+    body = TEMPLATES["MIT"].split()
+    texts = [" ".join([*body[:80], *(f"foreign{i}" for i in range(n)), *body[80:]]) for n in (10, 30, 40, 70, 100)]
+    texts.append(f"{TEMPLATES['MIT']} and later the software again, to the software, of the software")
+    got = {r["doc_id"]: (r["dice"], r["first_word"], r["n_words"]) for r in scan_licences(rows_of(spark, texts), {"MIT": TEMPLATES["MIT"]}).collect()}
+    want = {i: x["MIT"] for i, t in enumerate(texts) if (x := brute_licences(t, {"MIT": TEMPLATES["MIT"]}, 0.8))}
+    assert got.keys() == want.keys() == {0, 1, 2, 3, 5}
+    assert all(got[i] == (pytest.approx(want[i][0]), *want[i][1:]) for i in want)
+    assert 0.87 < got[2][0] < 0.88 and got[5][0] == 1.0
+
+
 def test_licences(spark):
     rng = random.Random(2)
     wrapped = "\n".join(f"// {line}" for line in textwrap.wrap(TEMPLATES["MIT"], 60))
@@ -220,6 +237,40 @@ def test_arc_files_of_any_name_and_state(spark, tmp_path):
     assert sorted(r["url"].rsplit("/", 1)[1] for r in rows if r["error"] is not None) == ["part-1.arc", "torn.arc"]
 
 
+def test_members_are_not_copied_for_each_other():
+    members = [gzip.compress(b"%d " % i * 400) for i in range(3000)]
+    data, wrong = archives.inflated(b"".join(members) + bytes(10))
+    assert wrong is None and bytes(data) == b"".join(b"%d " % i * 400 for i in range(3000))
+    data, wrong = archives.inflated(b"".join(members)[:-9])
+    assert wrong and bytes(data).startswith(b"0 0 ")
+    assert archives.inflated(members[0] + b"rest")[1] == f"no gzip member at byte {len(members[0])}"
+
+
+def test_errors_of_archives_are_rows(spark, tmp_path):
+    block = f"1 0 x\n{archives.ARC_FIELDS['1']}\n"
+    head = f"filedesc://n.arc 0.0.0.0 2020 text/plain {len(block)}\n{block}\n"
+    good = "http://a/1 1.2.3.4 20200102030405 text/html 5\nhello\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "torn.arc").write_bytes((head + good + good[:-4]).encode())
+    captures = archives.read_arc(spark, str(tmp_path / "arc"))
+    archives.convert(captures, str(tmp_path / "warc"), work=str(tmp_path / "work"), errors=str(tmp_path / "errors"))
+    (torn,) = spark.read.parquet(str(tmp_path / "errors")).collect()
+    assert torn["url"].endswith("torn.arc") and "unreadable" in torn["error"]
+    assert [(r["url"], r["error"]) for r in archives.read_warc(spark, str(tmp_path / "warc")).collect()] == [("http://a/1", None)]
+
+    def record(digest, body="hello"):
+        block = f"HTTP/1.1 200 OK\r\n\r\n{body}"
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{digest}>\r\nWARC-Payload-Digest: {digest}\r\nContent-Length: {len(block)}\r\n\r\n{block}\r\n\r\n"
+
+    right = "sha1:" + hashlib.sha1(b"hello").hexdigest()
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x.warc").write_bytes((record(right) + record("sha256:00") + record("sha1:" + "0" * 40) + "no record\n").encode())
+    rows = {r["record_id"]: r for r in archives.read_warc(spark, str(tmp_path / "other")).collect()}
+    assert rows[f"<{right}>"]["error"] is None and rows["<sha256:00>"]["error"] is None
+    assert "does not match" in rows["<sha1:" + "0" * 40 + ">"]["error"] and "no WARC record" in rows[None]["error"]
+    assert {r["payload_digest"] for r in rows.values()} == {None, right[5:]}
+
+
 # ---- byte pairs
 
 
