@@ -155,13 +155,13 @@ def _licence_sql() -> str:
             WHERE s.enough - s.i < t.bound
         ), walked AS (
             SELECT b.r, b.licence, b.i, p.i AS last, b.n, s.i IS NOT NULL AS mine,
-                   count(*) FILTER (WHERE p.earlier < b.i) OVER w AS every, count(*) FILTER (WHERE p.earlier < b.i AND s.i IS NOT NULL) OVER w AS both
+                   count(*) FILTER (WHERE p.earlier < b.i) OVER w AS every, count(*) FILTER (WHERE p.earlier < b.i AND s.i IS NOT NULL) OVER w AS common
             FROM begins b JOIN places p ON p.r = b.r AND p.i >= b.i AND p.i < b.i + b.bound
                  LEFT JOIN shared s ON s.r = p.r AND s.licence = b.licence AND s.i = p.i
             WINDOW w AS (PARTITION BY b.r, b.licence, b.i ORDER BY p.i ROWS UNBOUNDED PRECEDING)
         ), best AS (
-            SELECT r, licence, i, last, 2.0::DOUBLE * both / (every + n) AS dice FROM walked WHERE mine
-            QUALIFY row_number() OVER (PARTITION BY r, licence ORDER BY 2.0::DOUBLE * both / (every + n) DESC, i, last) = 1
+            SELECT r, licence, i, last, 2.0::DOUBLE * common / (every + n) AS dice FROM walked WHERE mine
+            QUALIFY row_number() OVER (PARTITION BY r, licence ORDER BY 2.0::DOUBLE * common / (every + n) DESC, i, last) = 1
         )
         SELECT doc_id, licence, CAST(i AS INTEGER) AS first_word, CAST(last - i + 2 AS INTEGER) AS n_words, round(dice, 6) AS dice
         FROM best JOIN d USING (r) WHERE dice >= 0.8
