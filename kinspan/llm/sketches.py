@@ -160,6 +160,17 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - third), F.substring(following, F.lit(1), third))
 
 
+#: The digests of an edited text: as many of its text's as they begin with alike, and the rest.
+EDITED = "concat(slice(a, 1, alike), rest)"
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``alike`` and ``rest`` for the digests ``e``: an edited text begins as its text does, and this part is neither written nor shuffled twice."""
+    rows = rows.withColumn("differ", F.expr("array_position(zip_with(a, e, (x, y) -> x <=> y), false)"))
+    rows = rows.withColumn("alike", F.expr("IF(differ = 0, size(a), CAST(differ - 1 AS INT))"))
+    return rows.withColumn("rest", F.expr("slice(e, alike + 1, size(e))")).drop("differ", "e")
+
+
 def fingerprints(
     docs: DataFrame,
     *,
@@ -180,12 +191,13 @@ def fingerprints(
     folder = fresh_folder(spark, "sketches")
     rows = with_next(docs, id_col, text_col, bucket_bytes, most_bounds)
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next")))
-    rows.select(
+    rows = rows.select(
         "row", "id", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"),
         digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next")).alias("f"),
-    ).write.parquet(f"{folder}/digests")
+    )
+    packed(rows).write.parquet(f"{folder}/digests")
     held = spark.read.parquet(f"{folder}/digests")
-    sketched = held.selectExpr("row", "size(a) AS n", f"{small_sketch('a')} AS sa", f"{small_sketch('e')} AS se", f"{small_sketch('f')} AS sf")
+    sketched = held.selectExpr("row", "size(a) AS n", f"{small_sketch('a')} AS sa", f"{small_sketch(EDITED)} AS se", f"{small_sketch('f')} AS sf")
     tried = sketched.selectExpr("row", "n", f"explode(array(named_struct('kind', 0, 'd', {subtract('sa', 'se')}), named_struct('kind', 1, 'd', {subtract('sa', 'sf')}))) AS p")
     tried = tried.selectExpr("row", "n", "p.kind", f"{peeled('p.d', 0)} AS s")
     tried = tried.selectExpr("row", "kind", f"IF({is_empty('s.cells')}, {likeness('n', 's.plus', 's.minus')}, NULL) AS likeness")
@@ -195,7 +207,7 @@ def fingerprints(
     while results[-1].where("likeness IS NULL").limit(1).count():
         level += 1
         failed = results[-1].where("likeness IS NULL").select("row", "kind")
-        pairs = held.join(failed, "row").selectExpr("row", "kind", "a", "IF(kind = 0, e, f) AS b")
+        pairs = held.join(failed, "row").selectExpr("row", "kind", "a", f"IF(kind = 0, {EDITED}, f) AS b")
         recover(pairs, level).write.parquet(f"{folder}/level-{level}")
         results.append(spark.read.parquet(f"{folder}/level-{level}"))
     found = results[0].where("likeness IS NOT NULL")
@@ -204,5 +216,5 @@ def fingerprints(
     found = found.groupBy("row").agg(F.max(F.expr("IF(kind = 0, likeness, NULL)")).alias("near_edited"), F.max(F.expr("IF(kind = 1, likeness, NULL)")).alias("near_next"))
     text = lambda c: f"array_join(transform({small_sketch(c)}, k -> concat(lpad(lower(hex(k.n)), 4, '0'), lpad(lower(hex(k.x)), 16, '0'))), '')"
     return held.join(found, "row").selectExpr(
-        f"id AS {id_col}", "n_chars", "lower(hex(sha)) AS edited_sha256", f"{text('a')} AS fingerprint", f"{text('e')} AS edited_fingerprint", "near_edited", "near_next"
+        f"id AS {id_col}", "n_chars", "lower(hex(sha)) AS edited_sha256", f"{text('a')} AS fingerprint", f"{text(EDITED)} AS edited_fingerprint", "near_edited", "near_next"
     )
