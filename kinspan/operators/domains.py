@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import containment, jaccard, vote
 from ..plans.components import roots
-from ..plans.shared import cut
+from ..plans.shared import by_key, cut
 from .dpc import dpc
 from .intervals import merged, overlaps, span_length, touching, unique_spans
 
@@ -35,9 +35,8 @@ def spurious_parents(candidates: DataFrame, edges: DataFrame, min_containment: f
     order = Window.partitionBy("q_seq").orderBy(F.desc("support"), "len", "id")
     ranked = candidates.withColumn("rank", F.row_number().over(order)).select("q_seq", "id", "rank")
     close = edges.where(containment(F.col("inter"), F.col("len_a"), F.col("len_b")) >= min_containment)
-    both = close.select("q_seq", F.col("a").alias("id"), F.col("b").alias("peer")).unionByName(
-        close.select("q_seq", F.col("b").alias("id"), F.col("a").alias("peer"))
-    )
+    way = lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("peer"))
+    both = close.select("q_seq", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("q_seq", "e.*")
     peers = ranked.select("q_seq", F.col("id").alias("peer"), F.col("rank").alias("peer_rank"))
     better = both.join(ranked, ["q_seq", "id"]).join(peers, ["q_seq", "peer"]).where("peer_rank < rank")
     best = better.groupBy("q_seq", "id").agg(F.min_by("peer", "peer_rank").alias("parent"))
@@ -60,30 +59,34 @@ def domain_instances(
     Domains: ``q_seq, peak, start, end, strand``; targets: ``q_seq, peak, t_seq, t_start, t_end``,
     among them each domain's own span on its query.
     """
-    spans = cut(unique_spans(hits))
-    graph = cut(span_graph(spans))
-    # places of spans go with the nodes, so that the spans are not looked up again; a peak keeps its own label
-    clusters = cut(
-        dpc(
-            spans.select("q_seq", F.col("ord").alias("id"), "w", "q_start", "q_end"), graph, by=["q_seq"], min_sim=min_sim, min_dens=min_dens,
-            halo_method=halo_method, halo_tau=halo_tau, point_specific=point_specific, unique=True,
-        ).where("label IS NOT NULL").select("q_seq", "id", "w", "q_start", "q_end", "label")
-    )
-    at_peak = lambda c: F.max(F.when(F.col("id") == F.col("label"), F.col(c)))
-    peaks = clusters.groupBy("q_seq", "label").agg(F.sum("w").alias("support"), at_peak("q_start").alias("start"), at_peak("q_end").alias("end"))
-    peaks = cut(peaks.withColumnRenamed("label", "id").withColumn("len", F.col("end") - F.col("start")))
-    parents = cut(spurious_parents(peaks, graph, min_containment))
-    if reassign:
-        final = roots(parents, ["q_seq"]).select("q_seq", F.col("id").alias("label"), F.col("root").alias("peak"))
-    else:
-        final = parents.where("id = parent").select("q_seq", F.col("id").alias("label"), F.col("id").alias("peak"))
-    of_span = clusters.join(final, ["q_seq", "label"]).select("q_seq", "q_start", "q_end", "peak")
-    assigned = cut(hits.join(of_span, ["q_seq", "q_start", "q_end"]).select("q_seq", "peak", "t_seq", "t_start", "t_end", "t_strand"))
-    voted = assigned.groupBy("q_seq", "peak").agg(vote(F.col("t_strand")).alias("strand"))
-    at = peaks.select("q_seq", F.col("id").alias("peak"), "start", "end")
-    domains = cut(voted.join(at, ["q_seq", "peak"]).select("q_seq", "peak", "start", "end", "strand"))
+    def of_queries(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+        spans = cut(unique_spans(hits))
+        graph = cut(span_graph(spans))
+        # places of spans go with the nodes, so that the spans are not looked up again; a peak keeps its own label
+        clusters = cut(
+            dpc(
+                spans.select("q_seq", F.col("ord").alias("id"), "w", "q_start", "q_end"), graph, by=["q_seq"], min_sim=min_sim, min_dens=min_dens,
+                halo_method=halo_method, halo_tau=halo_tau, point_specific=point_specific, unique=True,
+            ).where("label IS NOT NULL").select("q_seq", "id", "w", "q_start", "q_end", "label")
+        )
+        at_peak = lambda c: F.max(F.when(F.col("id") == F.col("label"), F.col(c)))
+        peaks = clusters.groupBy("q_seq", "label").agg(F.sum("w").alias("support"), at_peak("q_start").alias("start"), at_peak("q_end").alias("end"))
+        peaks = cut(peaks.withColumnRenamed("label", "id").withColumn("len", F.col("end") - F.col("start")))
+        parents = cut(spurious_parents(peaks, graph, min_containment))
+        if reassign:
+            final = roots(parents, ["q_seq"]).select("q_seq", F.col("id").alias("label"), F.col("root").alias("peak"))
+        else:
+            final = parents.where("id = parent").select("q_seq", F.col("id").alias("label"), F.col("id").alias("peak"))
+        of_span = clusters.join(final, ["q_seq", "label"]).select("q_seq", "q_start", "q_end", "peak")
+        assigned = cut(hits.join(of_span, ["q_seq", "q_start", "q_end"]).select("q_seq", "peak", "t_seq", "t_start", "t_end", "t_strand"))
+        voted = assigned.groupBy("q_seq", "peak").agg(vote(F.col("t_strand")).alias("strand"))
+        at = peaks.select("q_seq", F.col("id").alias("peak"), "start", "end")
+        domains = voted.join(at, ["q_seq", "peak"]).select("q_seq", "peak", "start", "end", "strand")
+        return domains, assigned.drop("t_strand")
+
+    domains, assigned = by_key(hits, "q_seq", of_queries)
     own = domains.select("q_seq", "peak", F.col("q_seq").alias("t_seq"), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    return domains, assigned.drop("t_strand").unionByName(own)
+    return domains, assigned.unionByName(own)
 
 
 def number_domains(domains: DataFrame, query_order: DataFrame | None = None, range_rows: int = 500_000) -> DataFrame:

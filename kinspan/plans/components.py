@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, is_dealt
 
 #: Copies of a row that is looked up by many; rows that count as many; rows of the list of those, at most.
 COPIES, MANY, LISTED = 64, 200_000, 100_000
@@ -36,11 +36,12 @@ def roots(parents: DataFrame, by: list[str], many: int = MANY) -> DataFrame:
     """``id, root`` of a forest given by ``id, parent`` (a root is its own parent), by pointer doubling.
 
     Rows that have come to a root are done with and leave the table, so that it shrinks from round to round, and a star is
-    over after one.  Only the number of rows left reaches the driver.  Few rows are doubled three times a round.
+    over after one.  Only the number of rows left reaches the driver.  Few rows, and those dealt to buckets, are doubled three times a round.
     """
     now = parents.select(*by, "id", "parent")
     done: DataFrame | None = None
-    few = now.count() <= many
+    local = any(map(is_dealt, by))
+    few = local or now.count() <= many
 
     def above(rows: DataFrame) -> DataFrame:
         up = rows.select(*by, F.col("id").alias("parent"), F.col("parent").alias("above"))
@@ -53,6 +54,11 @@ def roots(parents: DataFrame, by: list[str], many: int = MANY) -> DataFrame:
         for _ in range(2 if few else 0):
             now = above(now).select(*by, "id", F.col("above").alias("parent"))
         step = cut(above(now))
+        if local:  # rows stay in one table, as a union is in no buckets
+            now = step.select(*by, "id", F.col("above").alias("parent"))
+            if step.where("parent <> above").isEmpty():
+                return now.withColumnRenamed("parent", "root")
+            continue
         at_root = step.where("parent = above").select(*by, "id", F.col("parent").alias("root"))
         done = at_root if done is None else done.unionByName(at_root)
         now = step.where("parent <> above").select(*by, "id", F.col("above").alias("parent"))
