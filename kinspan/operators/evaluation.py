@@ -23,8 +23,11 @@ def segments(features: DataFrame, lengths: DataFrame) -> DataFrame:
     """
     inside = features.join(lengths, "seq_id").withColumn("start", F.greatest("start", F.lit(0))).withColumn("end", F.least("end", "length"))
     inside = inside.where("start < end")
-    cuts = inside.select("seq_id", F.explode(F.array("start", "end")).alias("at"))
-    cuts = cuts.unionByName(lengths.select("seq_id", F.explode(F.array(F.lit(0).cast("bigint"), F.col("length").cast("bigint"))).alias("at"))).distinct()
+    # one pass over sequences with their features, if any: a union of both would lose the buckets of ``dealt``
+    ends = F.array(*(F.col(c).cast("bigint") for c in ("start", "end")))
+    whole = F.array(F.lit(0).cast("bigint"), F.col("length").cast("bigint"))
+    cuts = lengths.join(inside.select("seq_id", "start", "end"), "seq_id", "left")
+    cuts = cuts.select("seq_id", F.explode(F.when(F.col("start").isNull(), whole).otherwise(F.concat(ends, whole))).alias("at")).distinct()
     pieces = cuts.select("seq_id", F.col("at").alias("a"), F.lead("at").over(Window.partitionBy("seq_id").orderBy("at")).alias("b")).where("b IS NOT NULL")
     # no feature begins or ends within a piece, so a piece is in the features that hold its start
     over = stabbed(pieces, inside, key="seq_id", at="a", start="start", end="end")
@@ -102,7 +105,7 @@ def majority_partners(features: DataFrame, parts: DataFrame, percents: tuple[int
     other = F.when(F.col("label_type") == "ref", F.col("p_pred")).otherwise(F.col("p_ref"))
     p = parts.select("seq_id", F.col("start").alias("a"), F.col("end").alias("b"), F.col("ref").alias("p_ref"), F.col("pred").alias("p_pred"))
     over = stabbed(p, features, key="seq_id", at="a", start="start", end="end").withColumn("other", other)
-    keys = ["label_type", "ord"]
+    keys = ["seq_id", "label_type", "ord"]  # a feature is of one sequence, by which all this may be dealt
     counts = over.groupBy(*keys, "other").agg(F.sum(F.col("b") - F.col("a")).alias("n"), F.min("a").alias("left"))
     best = counts.groupBy(*keys).agg(F.max_by("other", F.struct("n", -F.col("left"))).alias("partner"), F.max("n").alias("__n"))
     size = F.col(whole) if whole else F.col("end") - F.col("start")

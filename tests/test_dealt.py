@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import DataFrameWriter
 
+from kinspan.operators import evaluation as E
 from kinspan.operators.domains import domain_instances
 from kinspan.operators.dpc import HALO_METHODS
 from kinspan.plans import shared
+from kinspan.plans.shared import cut
 
 
 @pytest.fixture
@@ -45,3 +47,22 @@ def test_heavy_queries_give_the_same_domains(spark, hits, monkeypatch):
     plain = both()
     monkeypatch.setattr(shared, "HEAVY", 60)
     assert both() == plain and plain[0] and spark.conf.get(shared.ALL_KEYS) == "true"
+
+
+def test_partners_come_of_one_shuffle(spark, plans):
+    rng = random.Random(3)
+    rows = [(s, a := rng.randint(0, 80), a + rng.randint(1, 40), rng.choice(("ref", "pred")), f"f{rng.randint(0, 4)}", 1000 * s + i, None) for s in range(8) for i in range(12)]
+    rows += [(s, None, None, None, None, None, 60 + 5 * s) for s in range(9)]
+    placed = spark.createDataFrame(rows, "seq_id long, start long, end long, label_type string, label string, ord long, length long")
+
+    def partners(own):
+        features, lengths = cut(own.where("length IS NULL").drop("length")), own.where("length IS NOT NULL").select("seq_id", "length")
+        parts = cut(E.segments(features, lengths))
+        return parts, E.majority_partners(features, parts)
+
+    parts, out = shared.by_key(placed, "seq_id", partners)
+    assert [p.count("Exchange") for p in plans] == [1, 0, 0, 0, 0]
+    plain_parts, plain = partners(placed)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, plain_parts.collect()))
+    by_name = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert by_name(out) == by_name(plain)
