@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import containment, jaccard, vote
@@ -108,15 +109,24 @@ def number_domains(domains: DataFrame, query_order: DataFrame | None = None, ran
     return domains.withColumn("local", local).join(offsets, "q_seq").withColumn("dom_id", (F.col("offset") + F.col("local")).cast("bigint")).drop("local", "offset")
 
 
-def _on_targets(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lengths of domains, and a row for each overlapping pair of merged spans, with both lengths.
+#: Neighbours that a domain may meet on several spans, at most, by which its meetings are told apart; with more, all are summed up.
+REPEATS = 256
+
+
+def merged_targets(targets: DataFrame) -> DataFrame:
+    """Unions of each domain's spans on each target."""
+    return by_key(targets, "t_seq", lambda own: (merged(own, keys=["t_seq", "dom_id"], start="t_start", end="t_end"),))[0]
+
+
+def target_lengths(spans: DataFrame) -> DataFrame:
+    """``dom_id, len``: positions that each domain has on its targets."""
+    return cut(spans.groupBy("dom_id").agg(F.sum(span_length("t_start", "t_end")).alias("len")))
 
-    A span has its domain's length with it, so that pairs, which are many more than spans, are joined with nothing.
-    """
-    spans = cut(merged(targets, keys=["t_seq", "dom_id"], start="t_start", end="t_end"))
-    lengths = cut(spans.groupBy("dom_id").agg(F.sum(span_length("t_start", "t_end")).alias("len")))
-    both = overlaps(spans.join(lengths, "dom_id"), key="t_seq", start="t_start", end="t_end", label="dom_id", differ="dom_id", carry=("len",))
-    return lengths, both.select(F.col("dom_id_a").alias("a"), F.col("dom_id_b").alias("b"), "inter", "len_a", "len_b")
+
+def _meetings(spans: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each overlapping pair of spans of different domains on one target, with ``carry`` of both."""
+    both = overlaps(spans, key="t_seq", start="t_start", end="t_end", label="dom_id", differ="dom_id", carry=carry)
+    return both.select("t_seq", F.col("dom_id_a").alias("a"), F.col("dom_id_b").alias("b"), "inter", *(f"{c}_{s}" for c in carry for s in "ab"))
 
 
 def target_overlaps(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,24 +135,63 @@ def target_overlaps(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     Spans of one domain on one target are merged first.  Lengths: ``dom_id, len``; overlaps:
     ``a < b`` and ``inter``, one row for each overlapping pair of merged spans.
     """
-    lengths, both = _on_targets(targets)
-    return lengths, both.select("a", "b", "inter")
+    def of_targets(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+        spans = cut(merged(own, keys=["t_seq", "dom_id"], start="t_start", end="t_end"))
+        return spans, _meetings(spans).select("a", "b", "inter")
+
+    spans, both = by_key(targets, "t_seq", of_targets, lazy=True)
+    return target_lengths(spans), both
+
+
+def _mark(domain: str) -> Column:
+    return (F.pmod(F.xxhash64(domain), F.lit(1 << 16)) - (1 << 15)).cast("short")
 
 
-def family_graph(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def family_graph(targets: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
     """Lengths of domains, and ``a, b, inter, sim``: summed overlaps of two domains and their Jaccard coefficient.
 
-    Overlaps are summed in the task that finds them, and then in one shuffle.
+    Pairs are many times the spans, and most meet once, so that they need no sum.  Each domain's neighbours are sent to one
+    place as marks of two bytes first; those whose mark comes once there meet it once, and are edges where they are
+    found.  Only the rest is shuffled and summed.  Third, a function that gives the edges with ``rho_a`` and ``rho_b`` of
+    a table ``id, rho``, which come with the spans.
     """
-    lengths, both = _on_targets(targets)
-    summed = both.groupBy("a", "b").agg(F.sum("inter").alias("inter"), F.max("len_a").alias("len_a"), F.max("len_b").alias("len_b"))
-    return lengths, summed.select("a", "b", "inter", jaccard(F.col("inter"), F.col("len_a"), F.col("len_b")).alias("sim"))
+    def of_targets(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+        spans = cut(merged(own, keys=["t_seq", "dom_id"], start="t_start", end="t_end"))
+        return spans, _meetings(spans).groupBy("t_seq", "a").agg(F.collect_list(_mark("b")).alias("marks"))
+
+    spans, marks = by_key(targets, "t_seq", of_targets, lazy=True)
+    lengths = target_lengths(spans)
+    twice = marks.select("a", "marks").repartition("a").select("a", F.explode("marks").alias("mark")).groupBy("a", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    # no more marks than REPEATS are listed: null stands for all
+    listed = twice.groupBy(F.col("a").alias("dom_id")).agg(F.when(F.count("*") <= REPEATS, F.collect_list("mark")).alias("marks"), F.lit(True).alias("some"))
+    marks = F.when(F.col("some").isNull(), F.array().cast("array<smallint>")).otherwise(F.col("marks"))
+    known = cut(lengths.join(listed, "dom_id", "left").select("dom_id", "len", marks.alias("marks")))
+
+    def meetings(known: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+        return by_key(spans.join(known, "dom_id"), "t_seq", lambda own: (_meetings(own, (*carry, "marks")),), lazy=True, counted=spans)[0]
+
+    again = F.col("marks_a").isNull() | F.array_contains("marks_a", _mark("b"))
+    sim = jaccard(F.col("inter"), F.col("len_a"), F.col("len_b")).alias("sim")
+    inter = F.col("inter").cast("bigint").alias("inter")
+    both = meetings(known, ("len",))
+    summed = both.where(again).groupBy("a", "b").agg(F.sum("inter").alias("inter"), F.max("len_a").alias("len_a"), F.max("len_b").alias("len_b"))
+    summed = cut(summed.select("a", "b", "inter", sim))
+    once = both.where(~again).select("a", "b", inter, sim)
+
+    def with_densities(dense: DataFrame) -> DataFrame:
+        rho = dense.select(F.col("id").alias("dom_id"), "rho")
+        once = meetings(known.join(rho, "dom_id"), ("len", "rho")).where(~again).select("a", "b", inter, sim, "rho_a", "rho_b")
+        ends = [dense.select(F.col("id").alias(e), F.col("rho").alias(f"rho_{e}")) for e in "ab"]
+        return once.unionByName(summed.join(ends[0], "a").join(ends[1], "b").select(once.columns))
+
+    return lengths, once.unionByName(summed), with_densities
 
 
 def families(
     lengths: DataFrame,
     edges: DataFrame,
     *,
+    with_densities: Callable[[DataFrame], DataFrame] | None = None,
     min_sim: float = 0.25,
     min_dens: float = 1,
     halo_method: str | None = "similarity_weighted",
@@ -152,7 +201,8 @@ def families(
     """``dom_id, family, gamma``: the clusters of the global graph; domains that are noise have none."""
     nodes = lengths.select(F.col("dom_id").alias("id"), F.lit(1).alias("w"))
     out = dpc(
-        nodes, edges.withColumns({"w_a": F.lit(1), "w_b": F.lit(1)}), min_sim=min_sim, min_dens=min_dens, halo_method=halo_method, halo_tau=halo_tau, point_specific=point_specific, unique=True
+        nodes, edges.withColumns({"w_a": F.lit(1), "w_b": F.lit(1)}), min_sim=min_sim, min_dens=min_dens, halo_method=halo_method, halo_tau=halo_tau, point_specific=point_specific, unique=True,
+        with_densities=with_densities,
     )
     return out.where("label IS NOT NULL").select(F.col("id").alias("dom_id"), F.col("label").alias("family"), "gamma")
 
@@ -198,10 +248,9 @@ def find_domains(
     )
     numbered = cut(number_domains(domains, query_order))
     known = numbered.select("q_seq", "peak", "dom_id")
-    lengths, edges = family_graph(targets.join(known, ["q_seq", "peak"]).select("t_seq", "t_start", "t_end", "dom_id"))
-    edges = cut(edges)
+    lengths, edges, with_densities = family_graph(cut(targets.join(known, ["q_seq", "peak"]).select("t_seq", "t_start", "t_end", "dom_id")))
     member = families(
-        lengths, edges, min_sim=min_fam_sim, min_dens=min_fam_dens, halo_method=halo_method, halo_tau=fam_halo, point_specific=point_specific
+        lengths, edges, with_densities=with_densities, min_sim=min_fam_sim, min_dens=min_fam_dens, halo_method=halo_method, halo_tau=fam_halo, point_specific=point_specific
     )
     out = family_features(numbered, cut(member))
     return out.select(F.col("q_seq").alias("seqid"), (F.col("start") + 1).alias("start"), "end", "strand", "family")

@@ -7,6 +7,8 @@ they are compared, as the order of a sum of doubles is not fixed; equal ones are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,9 +60,13 @@ def nearest_higher(dense: DataFrame, edges: DataFrame, by: list[str]) -> DataFra
     """``nh``, the most similar neighbour of higher density, its similarity ``smax`` (0 without one) and ``gamma``.
 
     Of the two ends of an edge one is the denser, so each unique edge is looked at once, from its other end.
+    Edges that have ``rho_a`` and ``rho_b`` need no join with the nodes.
     """
     end = lambda e: dense.select(*by, F.col("id").alias(e), F.col("rho").alias(f"rho_{e}"))
-    ends = edges.select(*by, "a", "b", "sim").join(end("a"), [*by, "a"]).join(end("b"), [*by, "b"])
+    if "rho_a" in edges.columns:
+        ends = edges
+    else:
+        ends = edges.select(*by, "a", "b", "sim").join(end("a"), [*by, "a"]).join(end("b"), [*by, "b"])
     b_higher = F.col("rho_b") > F.col("rho_a")  # a < b, so that a goes first among equals
     pick = lambda x, y: F.when(b_higher, F.col(x)).otherwise(F.col(y))
     best = (
@@ -145,12 +151,14 @@ def dpc(
     halo_k: int = 20,
     point_specific: bool = False,
     unique: bool = False,
+    with_densities: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Nodes with ``rho, smax, nh, gamma`` and ``label``, the id of their cluster's peak (null: noise).
 
     A peak is at least ``min_dens`` dense and less than ``min_sim`` similar to its nearest denser
     neighbour; other points follow theirs, and are noise where this ends at no peak.  ``unique`` says that
     the edges are pairs ``a < b``, each there once and more than 0 similar, which saves a shuffle of them.
+    ``with_densities`` gives the same edges with ``rho_a`` and ``rho_b``, where that takes less than to join them with the nodes.
     """
     by = by or []
     if not 0 < min_sim < 1:
@@ -164,7 +172,7 @@ def dpc(
     edges = edges.select(*by, "a", "b", "sim", *(c for c in ("w_a", "w_b") if c in edges.columns)) if unique else cut(unique_edges(edges, by))
     sym = directed(edges, by)
     dense = cut(densities(nodes, sym, by))
-    state = nearest_higher(dense, edges, by)
+    state = nearest_higher(dense, with_densities(dense) if with_densities else edges, by)
     state = cut(state.withColumn("peak", (F.col("rho") >= min_dens) & (F.col("nh").isNull() | (F.col("smax") < min_sim))))
     forest = state.withColumn("parent", F.when(F.col("peak"), F.col("id")).otherwise(F.coalesce("nh", "id")))
     found = roots(forest, by)

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import DataFrameWriter
 
+from kinspan.operators import domains
 from kinspan.operators import evaluation as E
-from kinspan.operators.domains import domain_instances
+from kinspan.operators.domains import domain_instances, target_overlaps
 from kinspan.operators.dpc import HALO_METHODS
 from kinspan.plans import shared
 from kinspan.plans.shared import cut
@@ -66,3 +67,30 @@ def test_partners_come_of_one_shuffle(spark, plans):
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, plain_parts.collect()))
     by_name = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
     assert by_name(out) == by_name(plain)
+
+
+@pytest.mark.parametrize("repeats", [256, 0])
+def test_edges_of_families_are_summed_where_they_repeat(spark, monkeypatch, repeats):
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 6), s := rng.randint(0, 200), s + rng.randint(1, 25), rng.randint(0, 40)) for _ in range(300)]
+    targets = spark.createDataFrame(rows, "t_seq long, t_start int, t_end int, dom_id long")
+    monkeypatch.setattr(domains, "REPEATS", repeats)
+    at = {}
+    for t, s, e, d in rows:
+        at.setdefault(d, set()).update((t, x) for x in range(s, e))
+    want = {(a, b): len(at[a] & at[b]) for a in at for b in at if a < b and at[a] & at[b]}
+    lengths, edges, with_densities = domains.family_graph(targets)
+    assert dict(lengths.collect()) == {d: len(x) for d, x in at.items()}
+    assert {(r.a, r.b): r.inter for r in edges.collect()} == want and edges.count() == len(want)
+    assert any(row[0] > 1 for row in target_overlaps(targets)[1].groupBy("a", "b").count().select("count").collect())
+    out = with_densities(lengths.selectExpr("dom_id AS id", "dom_id / 4 AS rho")).collect()
+    assert {(r.a, r.b): (r.rho_a, r.rho_b) for r in out} == {(a, b): (a / 4, b / 4) for a, b in want}
+
+
+def test_pairs_that_meet_once_are_not_shuffled(spark):
+    # 300 domains on one target, each pair of which meets there alone
+    targets = spark.range(300).selectExpr("1L AS t_seq", "CAST(id AS INT) AS t_start", "CAST(id + 400 AS INT) AS t_end", "id AS dom_id")
+    edges = domains.family_graph(targets)[1]
+    assert edges.count() == 300 * 299 // 2
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "Aggregate" not in plan
