@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import closed_slice, iupac_density, reverse_complement
+from ..plans.shared import cut
 from .intervals import touching
 
 
@@ -24,19 +25,22 @@ def extract(
     sequences with more than ``max_density`` degenerate codes, are left out.
     Result: ``header, seqid, fid, ext_start, ext_end, strand, sequence``.
     """
-    rows = features.join(sequences, "seqid")
+    # a sequence is measured once, not with each of its features
+    rows = features.join(sequences.withColumn("__len", F.length("sequence")), "seqid")
     fid = F.when(F.coalesce("ID", F.lit("")) != "", F.col("ID"))
     if "row" in features.columns:
         fid = F.coalesce(fid, F.concat(F.lit("feature_"), F.col("row").cast("string")))
     rows = rows.select(
         "seqid", fid.alias("fid"), "strand", "sequence",
         F.greatest(F.lit(1), F.col("start") - flank).alias("ext_start"),
-        F.least(F.length("sequence"), F.col("end") + flank).alias("ext_end"),
+        F.least("__len", F.col("end") + flank).alias("ext_end"),
     )
-    part = closed_slice(F.col("sequence"), F.col("ext_start"), F.col("ext_end"))
-    rows = rows.withColumn("sequence", F.when(F.col("strand") == "-", reverse_complement(part, preserve_case)).otherwise(part))
+    # a filter within a list of one, as a plain one would cut the part out anew for each time that it names it; a complement is as degenerate
+    part = F.filter(F.array(closed_slice(F.col("sequence"), F.col("ext_start"), F.col("ext_end"))), lambda s: iupac_density(s) <= max_density)
+    rows = rows.withColumn("sequence", F.explode(part))
+    rows = rows.withColumn("sequence", F.when(F.col("strand") == "-", reverse_complement(F.col("sequence"), preserve_case)).otherwise(F.col("sequence")))
     header = F.concat_ws("::", "fid", "seqid", F.concat(F.col("ext_start"), F.lit("_"), F.col("ext_end"), F.lit(f"_flank{flank}")))
-    return rows.where(iupac_density(F.col("sequence")) <= max_density).select(
+    return rows.select(
         header.alias("header"), "seqid", "fid", "ext_start", "ext_end", "strand", "sequence"
     )
 
@@ -47,7 +51,8 @@ def remap(extracted: DataFrame, secondary: DataFrame) -> DataFrame:
     ``secondary``: ``seqid, start, end, strand`` and what else a GFF has.
     """
     other = secondary.withColumnsRenamed({"start": "s_start", "end": "s_end", "strand": "s_strand"})
-    own = extracted.select("header", "seqid", "fid", "ext_start", "ext_end", F.col("strand").alias("p_strand"), F.length("sequence").alias("n"))
+    # extracts are looked at three times, so they are made once, without their sequences
+    own = cut(extracted.select("header", "seqid", "fid", "ext_start", "ext_end", F.col("strand").alias("p_strand"), F.length("sequence").alias("n")))
     # one-based closed positions as half-open ones; an empty extract, whose end lies before its start, is touched by what holds both
     def span(frame: DataFrame, low: str, high: str) -> DataFrame:
         return frame.withColumns({f"__{low}": F.least(low, high).cast("bigint"), f"__{high}": F.greatest(low, high).cast("bigint") + 1})
