@@ -9,6 +9,7 @@ from kinspan.operators import domains
 from kinspan.operators import evaluation as E
 from kinspan.operators.domains import domain_instances, target_overlaps
 from kinspan.operators.dpc import HALO_METHODS
+from kinspan.operators.intervals import overlaps
 from kinspan.plans import shared
 from kinspan.plans.shared import cut
 
@@ -94,3 +95,22 @@ def test_pairs_that_meet_once_are_not_shuffled(spark):
     assert edges.count() == 300 * 299 // 2
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and "Aggregate" not in plan
+
+
+def test_no_table_is_sent_for_its_few_bytes_on_disk(spark, monkeypatch):
+    seen, write = [], DataFrameWriter.saveAsTable
+
+    def noted(self, *args, **options):
+        seen.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", noted)
+    before = spark.conf.get(shared.SENT)
+    rows = spark.range(400).selectExpr("id % 3 AS k", "id AS v")
+    joined = lambda own: (cut(own).join(cut(own).selectExpr("k", "v", "v + 1 AS x"), ["k", "v"]),)
+    assert shared.by_key(rows, "k", joined)[0].count() == 400
+    assert sum("Join" in p for p in seen) == 1 and not any("Broadcast" in p for p in seen)
+    assert before != "-1" and spark.conf.get(shared.SENT) == before
+    spans = spark.range(40).selectExpr("id % 3 AS k", "CAST(id AS INT) AS s", "CAST(id + 9 AS INT) AS e", "id AS v")
+    later = shared.by_key(spans, "k", lambda own: (overlaps(own, key="k", start="s", end="e", label="v"),), lazy=True)[0]
+    assert later.count() and "Broadcast" not in later._jdf.queryExecution().executedPlan().toString()
