@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import containment, jaccard, vote
@@ -13,6 +13,7 @@ from ..plans.components import roots
 from ..plans.shared import by_key, cut
 from .dpc import dpc
 from .intervals import merged, overlaps, span_length, touching, unique_spans
+from .meetings import Graph, meetings
 
 
 def span_graph(spans: DataFrame) -> DataFrame:
@@ -123,75 +124,33 @@ def target_lengths(spans: DataFrame) -> DataFrame:
     return cut(spans.groupBy("dom_id").agg(F.sum(span_length("t_start", "t_end")).alias("len")))
 
 
-def _meetings(spans: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each overlapping pair of spans of different domains on one target, with ``carry`` of both."""
-    both = overlaps(spans, key="t_seq", start="t_start", end="t_end", label="dom_id", differ="dom_id", carry=carry)
-    return both.select("t_seq", F.col("dom_id_a").alias("a"), F.col("dom_id_b").alias("b"), "inter", *(f"{c}_{s}" for c in carry for s in "ab"))
-
-
 def target_overlaps(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lengths of domains over their targets, and overlaps of different domains on one target.
 
     Spans of one domain on one target are merged first.  Lengths: ``dom_id, len``; overlaps:
     ``a < b`` and ``inter``, one row for each overlapping pair of merged spans.
     """
-    def of_targets(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-        spans = cut(merged(own, keys=["t_seq", "dom_id"], start="t_start", end="t_end"))
-        return spans, _meetings(spans).select("a", "b", "inter")
-
-    spans, both = by_key(targets, "t_seq", of_targets, lazy=True)
-    return target_lengths(spans), both
-
-
-def _mark(domain: str) -> Column:
-    return (F.pmod(F.xxhash64(domain), F.lit(1 << 16)) - (1 << 15)).cast("short")
+    spans = merged_targets(targets)
+    return target_lengths(spans), meetings(spans)
 
 
-def family_graph(targets: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+def family_graph(targets: DataFrame) -> tuple[DataFrame, DataFrame, Graph]:
     """Lengths of domains, and ``a, b, inter, sim``: summed overlaps of two domains and their Jaccard coefficient.
 
-    Pairs are many times the spans, and most meet once, so that they need no sum.  Each domain's neighbours are sent to one
-    place as marks of two bytes first; those whose mark comes once there meet it once, and are edges where they are
-    found.  Only the rest is shuffled and summed.  Third, a function that gives the edges with ``rho_a`` and ``rho_b`` of
-    a table ``id, rho``, which come with the spans.
+    Third, the graph of these edges, a function that gives them with ``rho_a`` and ``rho_b`` of a table ``id, rho``, and what
+    clustering asks of them without spelling them out.
     """
-    def of_targets(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-        spans = cut(merged(own, keys=["t_seq", "dom_id"], start="t_start", end="t_end"))
-        return spans, _meetings(spans).groupBy("t_seq", "a").agg(F.collect_list(_mark("b")).alias("marks"))
-
-    spans, marks = by_key(targets, "t_seq", of_targets, lazy=True)
+    spans = merged_targets(targets)
     lengths = target_lengths(spans)
-    twice = marks.select("a", "marks").repartition("a").select("a", F.explode("marks").alias("mark")).groupBy("a", "mark").agg(F.count("*").alias("n")).where("n > 1")
-    # no more marks than REPEATS are listed: null stands for all
-    listed = twice.groupBy(F.col("a").alias("dom_id")).agg(F.when(F.count("*") <= REPEATS, F.collect_list("mark")).alias("marks"), F.lit(True).alias("some"))
-    marks = F.when(F.col("some").isNull(), F.array().cast("array<smallint>")).otherwise(F.col("marks"))
-    known = cut(lengths.join(listed, "dom_id", "left").select("dom_id", "len", marks.alias("marks")))
-
-    def meetings(known: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-        return by_key(spans.join(known, "dom_id"), "t_seq", lambda own: (_meetings(own, (*carry, "marks")),), lazy=True, counted=spans)[0]
-
-    again = F.col("marks_a").isNull() | F.array_contains("marks_a", _mark("b"))
-    sim = jaccard(F.col("inter"), F.col("len_a"), F.col("len_b")).alias("sim")
-    inter = F.col("inter").cast("bigint").alias("inter")
-    both = meetings(known, ("len",))
-    summed = both.where(again).groupBy("a", "b").agg(F.sum("inter").alias("inter"), F.max("len_a").alias("len_a"), F.max("len_b").alias("len_b"))
-    summed = cut(summed.select("a", "b", "inter", sim))
-    once = both.where(~again).select("a", "b", inter, sim)
-
-    def with_densities(dense: DataFrame) -> DataFrame:
-        rho = dense.select(F.col("id").alias("dom_id"), "rho")
-        once = meetings(known.join(rho, "dom_id"), ("len", "rho")).where(~again).select("a", "b", inter, sim, "rho_a", "rho_b")
-        ends = [dense.select(F.col("id").alias(e), F.col("rho").alias(f"rho_{e}")) for e in "ab"]
-        return once.unionByName(summed.join(ends[0], "a").join(ends[1], "b").select(once.columns))
-
-    return lengths, once.unionByName(summed), with_densities
+    graph = Graph(spans, lengths, REPEATS)
+    return lengths, graph.edges(), graph
 
 
 def families(
     lengths: DataFrame,
     edges: DataFrame,
     *,
-    with_densities: Callable[[DataFrame], DataFrame] | None = None,
+    with_densities: Callable[[DataFrame], DataFrame] | Graph | None = None,
     min_sim: float = 0.25,
     min_dens: float = 1,
     halo_method: str | None = "similarity_weighted",

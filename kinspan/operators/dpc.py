@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import ratio
 from ..plans.components import roots
 from ..plans.shared import cut
+from .meetings import Graph
 from .quantiles import quantiles
 
 HALO_METHODS = ("traditional", "similarity_weighted", "knn", "ndcg")
@@ -44,24 +45,35 @@ def symmetric(edges: DataFrame, by: list[str]) -> DataFrame:
     return directed(unique_edges(edges, by), by)
 
 
-def densities(nodes: DataFrame, sym: DataFrame, by: list[str]) -> DataFrame:
-    """``rho``: a node's own weight and its neighbours' weights times similarity.
+def densities(nodes: DataFrame, sym: DataFrame, by: list[str], near: DataFrame | None = None) -> DataFrame:
+    """``rho``: a node's own weight and its neighbours' weights times similarity, or ``near``, where these are added up already.
 
     Weights that the edges have with them (``w_dst``) need no join with the nodes.
     """
-    if "w_dst" not in sym.columns:
-        sym = sym.join(nodes.select(*by, F.col("id").alias("dst"), F.col("w").alias("w_dst")), [*by, "dst"])
-    near = sym.groupBy(*by, F.col("src").alias("id")).agg(F.sum(F.col("w_dst") * F.col("sim")).alias("near"))
+    if near is None:
+        if "w_dst" not in sym.columns:
+            sym = sym.join(nodes.select(*by, F.col("id").alias("dst"), F.col("w").alias("w_dst")), [*by, "dst"])
+        near = sym.groupBy(*by, F.col("src").alias("id")).agg(F.sum(F.col("w_dst") * F.col("sim")).alias("near"))
     rows = nodes.join(near, [*by, "id"], "left")
     return rows.withColumn("rho", F.round(F.col("w") + F.coalesce("near", F.lit(0.0)), 9)).drop("near")
 
 
-def nearest_higher(dense: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+def nearest_higher(dense: DataFrame, edges: DataFrame, by: list[str], likely: DataFrame | None = None) -> DataFrame:
     """``nh``, the most similar neighbour of higher density, its similarity ``smax`` (0 without one) and ``gamma``.
 
     Of the two ends of an edge one is the denser, so each unique edge is looked at once, from its other end.
-    Edges that have ``rho_a`` and ``rho_b`` need no join with the nodes.
+    Edges that have ``rho_a`` and ``rho_b`` need no join with the nodes.  ``likely`` (``id, sim, rho_up, up``), where
+    neighbours are picked already, has the one among them.
     """
+    if likely is None:
+        likely = _denser(dense, edges, by)
+    best = likely.groupBy(*by, "id").agg(F.max(F.struct("sim", "rho_up", (-F.col("up")).alias("last"), F.col("up").alias("nh"))).alias("best"))
+    rows = dense.join(best, [*by, "id"], "left").select(*dense.columns, F.col("best.nh").alias("nh"), F.coalesce("best.sim", F.lit(0.0)).alias("smax"))
+    return rows.withColumn("gamma", F.col("rho") * (1 - F.col("smax")))
+
+
+def _denser(dense: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """Of each edge the less dense end ``id``, the other one ``up`` and its density."""
     end = lambda e: dense.select(*by, F.col("id").alias(e), F.col("rho").alias(f"rho_{e}"))
     if "rho_a" in edges.columns:
         ends = edges
@@ -69,13 +81,7 @@ def nearest_higher(dense: DataFrame, edges: DataFrame, by: list[str]) -> DataFra
         ends = edges.select(*by, "a", "b", "sim").join(end("a"), [*by, "a"]).join(end("b"), [*by, "b"])
     b_higher = F.col("rho_b") > F.col("rho_a")  # a < b, so that a goes first among equals
     pick = lambda x, y: F.when(b_higher, F.col(x)).otherwise(F.col(y))
-    best = (
-        ends.select(*by, pick("a", "b").alias("id"), pick("b", "a").alias("up"), pick("rho_b", "rho_a").alias("rho_up"), "sim")
-        .groupBy(*by, "id")
-        .agg(F.max(F.struct("sim", "rho_up", (-F.col("up")).alias("last"), F.col("up").alias("nh"))).alias("best"))
-    )
-    rows = dense.join(best, [*by, "id"], "left").select(*dense.columns, F.col("best.nh").alias("nh"), F.coalesce("best.sim", F.lit(0.0)).alias("smax"))
-    return rows.withColumn("gamma", F.col("rho") * (1 - F.col("smax")))
+    return ends.select(*by, pick("a", "b").alias("id"), pick("b", "a").alias("up"), pick("rho_b", "rho_a").alias("rho_up"), "sim")
 
 
 def top_neighbours(sym: DataFrame, by: list[str], k: int = 20) -> DataFrame:
@@ -84,14 +90,17 @@ def top_neighbours(sym: DataFrame, by: list[str], k: int = 20) -> DataFrame:
     return sym.select(*by, "src", "dst", "sim").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def border_scores(points: DataFrame, labelled: DataFrame, sym: DataFrame, by: list[str], method: str, tau: float, k: int = 20) -> DataFrame:
+def border_scores(points: DataFrame, labelled: DataFrame, sym: DataFrame, by: list[str], method: str, tau: float, k: int = 20, graph: Graph | None = None) -> DataFrame:
     """``score``: how foreign the neighbours of each of the labelled ``points`` are; unlabelled ones count as foreign.
 
-    Only neighbours of these points are ranked, so that the rest of the graph is not sorted.
+    Only neighbours of these points are ranked, so that the rest of the graph is not sorted; ``graph`` picks them where it finds them.
     """
     own = points.select(*by, F.col("id").alias("src"), F.col("label").alias("own"))
     other = labelled.select(*by, F.col("id").alias("dst"), F.col("label").alias("theirs"))
-    sym = sym.select(*by, "src", "dst", "sim").join(own.select(*by, "src"), [*by, "src"], "left_semi")
+    if graph is not None and method != "traditional":
+        sym = graph.top(points, k)
+    else:
+        sym = sym.select(*by, "src", "dst", "sim").join(own.select(*by, "src"), [*by, "src"], "left_semi")
     near = sym.where(F.col("sim") >= tau) if method == "traditional" else top_neighbours(sym, by, k)
     rows = near.join(own, [*by, "src"]).join(other, [*by, "dst"])
     foreign = ~F.col("own").eqNullSafe(F.col("theirs"))
@@ -110,7 +119,7 @@ def border_scores(points: DataFrame, labelled: DataFrame, sym: DataFrame, by: li
     return mass.select(*by, "id", F.round(ratio(F.col("x"), F.col("y")), 9).alias("score"))
 
 
-def halo(labelled: DataFrame, sym: DataFrame, by: list[str], *, method: str, tau: float, min_size: int = 3, k: int = 20, point_specific: bool = False) -> DataFrame:
+def halo(labelled: DataFrame, sym: DataFrame, by: list[str], *, method: str, tau: float, min_size: int = 3, k: int = 20, point_specific: bool = False, graph: Graph | None = None) -> DataFrame:
     """``labelled`` with the labels of halo points set to null.
 
     Clusters of fewer than ``min_size`` points, and groups with a single cluster, are left as they are.
@@ -125,7 +134,7 @@ def halo(labelled: DataFrame, sym: DataFrame, by: list[str], *, method: str, tau
     if point_specific:
         open_ = open_.join(quantiles(named, [*by, "label"], "rho", {"mid": 0.5}), [*by, "label"])
     points = cut(named.select(*by, "id", "label", "rho").join(open_.drop("size"), [*by, "label"]))
-    scores = border_scores(points, labelled, sym, by, method, tau, k).where((F.col("score") >= tau) & (F.col("score") > 0))
+    scores = border_scores(points, labelled, sym, by, method, tau, k, graph).where((F.col("score") >= tau) & (F.col("score") > 0))
     border = points.join(scores, [*by, "id"])
     if point_specific:
         gone = border.where("rho < mid").select(*by, "id", F.lit(True).alias("__gone"))
@@ -151,14 +160,15 @@ def dpc(
     halo_k: int = 20,
     point_specific: bool = False,
     unique: bool = False,
-    with_densities: Callable[[DataFrame], DataFrame] | None = None,
+    with_densities: Callable[[DataFrame], DataFrame] | Graph | None = None,
 ) -> DataFrame:
     """Nodes with ``rho, smax, nh, gamma`` and ``label``, the id of their cluster's peak (null: noise).
 
     A peak is at least ``min_dens`` dense and less than ``min_sim`` similar to its nearest denser
     neighbour; other points follow theirs, and are noise where this ends at no peak.  ``unique`` says that
     the edges are pairs ``a < b``, each there once and more than 0 similar, which saves a shuffle of them.
-    ``with_densities`` gives the same edges with ``rho_a`` and ``rho_b``, where that takes less than to join them with the nodes.
+    ``with_densities`` gives the same edges with ``rho_a`` and ``rho_b``, where that takes less than to join them with the nodes;
+    a ``Graph`` of nodes of weight 1 says what is asked of them without spelling them out.
     """
     by = by or []
     if not 0 < min_sim < 1:
@@ -171,8 +181,12 @@ def dpc(
     edges = edges.withColumn("sim", F.when(fits, F.col("sim")).otherwise(F.raise_error(F.lit("similarities must lie between 0 and 1")).cast("double")))
     edges = edges.select(*by, "a", "b", "sim", *(c for c in ("w_a", "w_b") if c in edges.columns)) if unique else cut(unique_edges(edges, by))
     sym = directed(edges, by)
-    dense = cut(densities(nodes, sym, by))
-    state = nearest_higher(dense, with_densities(dense) if with_densities else edges, by)
+    graph = with_densities if isinstance(with_densities, Graph) else None
+    dense = cut(densities(nodes, sym, by, graph.near() if graph else None))
+    if graph:
+        state = nearest_higher(dense, edges, by, graph.best(dense))
+    else:
+        state = nearest_higher(dense, with_densities(dense) if with_densities else edges, by)
     state = cut(state.withColumn("peak", (F.col("rho") >= min_dens) & (F.col("nh").isNull() | (F.col("smax") < min_sim))))
     forest = state.withColumn("parent", F.when(F.col("peak"), F.col("id")).otherwise(F.coalesce("nh", "id")))
     found = roots(forest, by)
@@ -180,4 +194,4 @@ def dpc(
     labelled = state.drop("peak").join(found.join(peaks, [*by, "root"], "left").drop("root"), [*by, "id"])
     if halo_method in (None, "none") or halo_tau >= 1:
         return labelled
-    return halo(cut(labelled), sym, by, method=halo_method, tau=halo_tau, min_size=halo_min_size, k=halo_k, point_specific=point_specific)
+    return halo(cut(labelled), sym, by, method=halo_method, tau=halo_tau, min_size=halo_min_size, k=halo_k, point_specific=point_specific, graph=graph)
