@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,10 +11,10 @@ from kinspan.operators import alignment as A
 from kinspan.operators import bits
 
 
-def test_planes_that_tell_codes_apart():
-    assert len(bits.telling({ord(c) for c in "ACGUN"}, 7)) == 3 and bits.telling({65}, 7) == () and bits.telling(set(), 7) == ()
-    codes = set(range(128))
-    assert bits.telling(codes, 7) == tuple(range(7))
+def test_only_bits_that_tell_residues_apart():
+    assert len(bits.masks(pa.array(["ACGUN-.", "A", ""]))) == 4 and len(bits.masks(pa.array(["AA-", ""]))) == 1
+    with pytest.raises(ValueError):
+        bits.masks(pa.array(["A\u00c9"]))
 
 
 @pytest.mark.parametrize(("width", "block", "tile", "kinds"), [(40, 1000, (256, 4096), 1 << 22), (40, 7, (3, 4), 1 << 22), (150, 7, (3, 4), 1), (150, 1000, (5, 100), 1 << 22)])
@@ -24,8 +25,8 @@ def test_tallies_of_pairs(spark, monkeypatch, width, block, tile, kinds):
     rows = [("a", "".join(rng.choice("ACGUNacgun-.XYZ" if i % 3 else "AC-.") for _ in range(width))) for i in range(33)]
     rows += [rows[i] for i in (0, 0, 0, 5, 7, 7)] + [("b", "-" * width), ("b", "A" * width), ("c", "." * width)]
     aligned = spark.createDataFrame([(d, i, s) for i, (d, s) in enumerate(rows)], "dataset string, header long, sequence string")
-    classes = A.bit_planes(aligned).groupBy("dataset", "words").agg(F.count("*").alias("times")).withColumn("header", F.xxhash64("words"))
-    out = bits.pair_tallies(classes, 7, block).groupBy("dataset", "same", "either").agg(F.sum("n").alias("n")).where("n <> 0")
+    classes = aligned.groupBy("dataset", "sequence").agg(F.count("*").alias("times"))
+    out = bits.pair_tallies(classes, block).groupBy("dataset", "same", "either").agg(F.sum("n").alias("n")).where("n <> 0")
     want, distinct, times = Counter(), sorted(set(rows)), Counter(rows)
     for i, x in enumerate(distinct):
         for y in distinct[:i]:
@@ -44,3 +45,9 @@ def test_pairs_of_rows_are_no_rows(spark):
     finally:
         A.cut = real
     assert len(found) == 1 and any("FlatMapGroupsInArrow" in p for p in made) and not any("times_x" in p for p in made)
+
+
+def test_cells_count_where_they_are(spark):
+    rows = spark.createDataFrame([("a", 0, "AC-GU"), ("a", 1, "ACCG-"), ("a", 2, "-CCGA")], "dataset string, header long, sequence string")
+    cells = A.cells(rows).where("ch <> '-'")
+    assert [tuple(r) for r in A.identity(cells).collect()] == [tuple(r) for r in A.identity(rows).collect()]
